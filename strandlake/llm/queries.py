@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, sharding
+from . import bpe, quality, sharding, tokencount
 from .common import table
 
 
+def vocabulary_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded(table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.json"), digests=True)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.assign(table(spark, sf_dir, "documents"), "doc_id", "text", [1.0] * 16)
     return rows.select(F.col("key").alias("doc_id"), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -19,9 +29,15 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.doc_id", *quality.BASE, "base_failed", "kept")
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), vocabulary_file("piece_bpe_32k.model"))
+
+
 QUERIES = {
+    "op4_bpe": op4_bpe,
     "op6_sharding": op6_sharding,
     "op7_quality_rules": op7_quality_rules,
+    "op10_token_counts": op10_token_counts,
 }
 
 _ALL_RULES = " or ".join(f"({r.rejects})" for r in quality.RULES)
