@@ -158,3 +158,8 @@ def sliding(values: np.ndarray, width: int, take=np.minimum) -> np.ndarray:
     before = take.accumulate(padded, axis=1).ravel()
     after = take.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()
     return take(after[:n], before[width - 1 : width - 1 + n])
+
+
+def with_row(docs: DataFrame, text: str) -> DataFrame:
+    """`row`, a struct of all columns of docs whatever their names, and `text`, empty where null."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), text_column(f"`{text}`").alias("text"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, sharding, tokencount
+from . import bpe, decontam, quality, sharding, tokencount
 from .common import table
 
 
@@ -19,6 +19,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.json"), digests=True)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.assign(table(spark, sf_dir, "documents"), "doc_id", "text", [1.0] * 16)
     return rows.select(F.col("key").alias("doc_id"), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -35,6 +40,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_bpe": op4_bpe,
+    "op5_decontamination": op5_decontamination,
     "op6_sharding": op6_sharding,
     "op7_quality_rules": op7_quality_rules,
     "op10_token_counts": op10_token_counts,
@@ -43,6 +49,19 @@ QUERIES = {
 _ALL_RULES = " or ".join(f"({r.rejects})" for r in quality.RULES)
 
 SQL = {
+    "op5_decontamination": r"""
+with d as (select row_number() over () rid, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') words from documents),
+b as (select item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') words from benchmark),
+bs as (select item_id, words, least(13, len(words)) size from b where len(words) > 0),
+bw as (select distinct item_id, size, array_to_string(words[i : i + size - 1], ' ') win from (select item_id, words, size, unnest(range(1, len(words) - size + 2)) i from bs)),
+dw as (select rid, i, size, array_to_string(words[i : i + size - 1], ' ') win from (select rid, words, size, unnest(range(1, len(words) - size + 2)) i from d, (select distinct size from bs) where len(words) >= size)),
+h as (select rid, i, dw.size, item_id from dw join bw on dw.size = bw.size and dw.win = bw.win),
+n as (select rid, count(distinct j) n from (select rid, unnest(range(i, i + size)) j from h) group by rid),
+t as (select rid, count(*) n, string_agg(item_id, ',' order by item_id) s from (select distinct rid, cast(item_id as varchar) item_id from h) group by rid)
+select doc_id, cast(len(words) as bigint) n_words, cast(coalesce(n.n, 0) as bigint) n_hit, cast(coalesce(t.n, 0) as bigint) n_items, sha256(coalesce(t.s, '')) items_sha256,
+  coalesce(n.n, 0) > 0 and 20 * coalesce(n.n, 0) >= len(words) as contaminated
+from d left join n on d.rid = n.rid left join t on d.rid = t.rid
+""",
     "op7_quality_rules": rf"""
 with t as (
   select row_number() over () rid, doc_id, coalesce(text, '') body from documents),
