@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, quality, sharding, tokencount
+from . import bpe, decontam, phrases, quality, sharding, tokencount
 from .common import table
 
 
@@ -15,6 +15,11 @@ def vocabulary_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = phrases.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), digests=True)
+    return found.select("row.doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.json"), digests=True)
 
@@ -39,6 +44,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_bpe": op4_bpe,
     "op5_decontamination": op5_decontamination,
     "op6_sharding": op6_sharding,
@@ -49,6 +55,16 @@ QUERIES = {
 _ALL_RULES = " or ".join(f"({r.rejects})" for r in quality.RULES)
 
 SQL = {
+    "op3_substring_dedup": r"""
+with d as (select row_number() over () rid, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') words from documents),
+w as (select rid, doc_id, i, array_to_string(words[i : i + 12], ' ') win from (select rid, doc_id, words, unnest(range(1, len(words) - 11)) i from d where len(words) >= 13)),
+f as (select win, min(doc_id) first from w group by win having count(*) > 1),
+h as (select rid, i from w join f on w.win = f.win where f.first < w.doc_id),
+g as (select distinct rid, unnest(range(i, i + 13)) j from h),
+k as (select d.rid, string_agg(x, ' ' order by j) s, count(*) n from (select rid, unnest(words) x, unnest(range(1, len(words) + 1)) j from d) d left join g using (rid, j) where g.rid is null group by d.rid)
+select doc_id, cast(len(words) as bigint) n_words, cast(len(words) - coalesce(k.n, 0) as bigint) n_removed, sha256(coalesce(k.s, '')) kept_sha256
+from d left join k on d.rid = k.rid
+""",
     "op5_decontamination": r"""
 with d as (select row_number() over () rid, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') words from documents),
 b as (select item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') words from benchmark),
