@@ -145,6 +145,16 @@ def byte_hashes(data: np.ndarray, size: int) -> np.ndarray:
     return mix((sums[size:] - sums[:-size]) * powers(len(sums))[1][:n])
 
 
+def byte_sums(data: np.ndarray) -> np.ndarray:
+    """prefix_sums of bytes, for range_hashes."""
+    return prefix_sums(_BYTE_VALUES[data])
+
+
+def spread(base: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """base[i], base[i] + 1, ... (count[i] of them) for each i, one after the other."""
+    return np.repeat(base - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
+
+
 def sliding(values: np.ndarray, width: int, take=np.minimum) -> np.ndarray:
     """The least (or by take, greatest) value of each window of `width`; len(values) - width + 1 of them."""
     n = len(values) - width + 1

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliding, with_row, written
+from .common import with_row, written
 
 #: Bytes of text in a block; one longer text is a block of its own.
 BLOCK_BYTES = 4 << 20
@@ -27,7 +27,7 @@ LEAST_BUCKETS = 256
 HOT_PLACES = 50_000
 
 ANSWER = "block bigint, kind int, bucket bigint, payload binary"
-_QUESTION = "bucket bigint, block bigint, payload binary"
+QUESTION = "bucket bigint, block bigint, payload binary"
 
 
 def pack_rows(rows: pa.Array, keys: pa.Array, texts: list[bytes]) -> bytes:
@@ -147,14 +147,20 @@ def mask_of(payload: bytes | None, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(payload, np.uint8), count=n).astype(bool) if payload else np.zeros(n, bool)
 
 
-def asked(questions: DataFrame, kind: int, answer: Callable[[list[bytes]], list[bytes]], name: str) -> DataFrame:
-    """The buckets' answers, as a written table of (block, kind, bucket, payload)."""
+def asked(questions: DataFrame, answers: dict[int, Callable[[list[bytes]], list[bytes]]], bits: int, name: str) -> DataFrame:
+    """The buckets' answers, as a written table of (block, kind, bucket, payload).
+
+    answers: by kind; questions of the k-th kind go to the k-th range of 2**bits bucket numbers.
+    """
+    kinds = list(answers.items())
 
     def run(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        kind, answer = kinds[bucket >> bits]
         found = answer(table.column("payload").to_pylist())
         kept = [i for i, f in enumerate(found) if f]
-        out = table.select(["block", "bucket"]).take(pa.array(kept, pa.int64()))
-        return pa.table({"block": out.column("block"), "kind": pa.array([kind] * len(kept), pa.int32()), "bucket": out.column("bucket"), "payload": pa.array([found[i] for i in kept], pa.binary())})
+        n, block = len(kept), table.column("block").take(pa.array(kept, pa.int64()))
+        return pa.table({"block": block, "kind": pa.array([kind] * n, pa.int32()), "bucket": pa.array([bucket & ((1 << bits) - 1)] * n, pa.int64()), "payload": pa.array([found[i] for i in kept], pa.binary())})
 
     return written(questions.select("bucket", "block", "payload").groupBy("bucket").applyInArrow(run, ANSWER), name)
 
@@ -170,7 +176,7 @@ def ask_prints(table: DataFrame, prints: Callable[[pa.Table], np.ndarray], bits:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([block] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "block", "payload"])
 
-    return asked(table.select("block", "payload").mapInArrow(run, _QUESTION), 1, _answer_prints, "prints")
+    return asked(table.select("block", "payload").mapInArrow(run, QUESTION), {1: _answer_prints}, bits, "prints")
 
 
 def with_answers(table: DataFrame, answers: list[DataFrame], work: Callable[[int, pa.Table, dict[int, dict[int, bytes]]], pa.Table], schema) -> DataFrame:
@@ -208,10 +214,3 @@ def window_masks(found: np.ndarray, answers: dict[int, bytes], bits: int) -> np.
 
 def questions_of(rows: list[tuple[int, bytes]], block: int) -> pa.Table:
     return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64()), "block": pa.array([block] * len(rows), pa.int64()), "payload": pa.array([r[1] for r in rows], pa.binary())})
-
-
-QUESTION = _QUESTION
-
-
-def least_of_windows(hashes: np.ndarray, width: int) -> np.ndarray:
-    return sliding(hashes, width)

@@ -128,7 +128,7 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", digests: boo
         zero = np.zeros(len(hashes), np.int64)
         return X.questions_of([(b, X.pack_windows(hashes[x:y], keys[x:y], zero[x:y])) for b, x, y in X.by_bucket(hashes, bits)], block)
 
-    windows = X.asked(X.with_answers(table, [prints], ask, X.QUESTION), 2, X.answer_windows, "windows")
+    windows = X.asked(X.with_answers(table, [prints], ask, X.QUESTION), {2: X.answer_windows}, bits, "windows")
     last = "kept_sha256" if digests else "kept_text"
 
     def finish(block, rows, answers):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, phrases, quality, sharding, tokencount
+from . import bpe, decontam, phrases, quality, sharding, suffix, tokencount
 from .common import table
 
 
@@ -39,6 +39,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.doc_id", *quality.BASE, "base_failed", "kept")
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), digests=True)
+    return found.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), vocabulary_file("piece_bpe_32k.model"))
 
@@ -49,6 +54,7 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op6_sharding": op6_sharding,
     "op7_quality_rules": op7_quality_rules,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_token_counts": op10_token_counts,
 }
 
