@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import itemgetter
 
 import pyarrow as pa
 import regex
@@ -16,13 +18,17 @@ from .common import passes, text_column
 from .prefixbpe import PrefixEncoder
 
 #: Bytes of text encoded together: the larger, the more prefixes are shared; bounds a task's memory.
-ENCODE_BYTES = 8 << 20
+ENCODE_BYTES = 16 << 20
 #: Chunks that a worker keeps between passes; memory only.
-KEPT_CHUNKS = 300_000
+KEPT_CHUNKS = 600_000
 
 #: The split pattern of byte-level vocabularies, and characters that count as white space in it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0                　"
+first_of, second_of, third_of = itemgetter(0), itemgetter(1), itemgetter(2)
+
+#: Marks that form a word of their own behind letters.
+LAST_MARKS = {".", ",", "!", "?", ";", ":"}
 #: Below this the library's and our tables of letters agree; chunks with other characters are split by the library.
 PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa1-ɏ]*")
 
@@ -56,6 +62,9 @@ class ByteBPE:
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         back = {s: bytes([b]) for b, s in enumerate(symbols)}
         self.bytes_of = {i: b"".join(back[c] for c in t) for t, i in self.ids.items() if all(c in back for c in t)}
+        self.space = symbols[0x20]
+        self.id_text = {t: str(i) for t, i in self.ids.items()}
+        self.token_bytes = {t: self.bytes_of[i] for t, i in self.ids.items() if i in self.bytes_of}
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
         library = Tokenizer.from_file(path)
         self.library_split = library.pre_tokenizer.pre_tokenize_str
@@ -71,21 +80,34 @@ class ByteBPE:
             return [w.encode().decode("latin-1").translate(self.symbols) for w in self.find(text)]
         return [w for w, _ in self.library_split(text)]
 
+    def _words_of(self, chunk: str, lead: bool) -> list[str]:
+        """words() of the chunk, with a space before it if lead; ASCII letters, alone or before one mark, are cut without a pattern."""
+        if chunk.isascii():
+            if chunk.isalpha():
+                return [self.space + chunk if lead else chunk]
+            head = chunk[:-1]
+            if chunk[-1:] in LAST_MARKS and head.isalpha():
+                return [self.space + head if lead else head, chunk[-1]]
+        return self.words(" " + chunk if lead else chunk)
+
     def _chunks(self, text: str) -> tuple[list[str], bool]:
         """Parts that can be encoded alone; True if each but the first stands for itself with a space before it."""
         if any(r in text for r in self.risky):  # a run of white space that a cut at its space would change
             return [text], False
         return text.split(" "), True
 
-    def _learn(self, spaced: set[str], first: set[str]) -> None:
-        split = {(" " + c if lead else c): (c, lead) for some, lead in ((spaced, True), (first, False)) for c in some}
-        words = {c: self.words(c) for c in split}
-        found = self.encoder.encode(w for ws in words.values() for w in ws)
-        ids, bytes_of = self.ids, self.bytes_of
-        made = {w: [ids[t] for t in ts] for w, ts in found.items()}
-        for whole, (c, lead) in split.items():
-            out = [i for w in words[whole] for i in made[w]]
-            (self.spaced if lead else self.first)[c] = (len(out), ",".join(map(str, out)), b"".join([bytes_of[i] for i in out]))
+    def _learn(self, chunks: set[str], lead: bool, into: dict) -> None:
+        words = [(c, self._words_of(c, lead)) for c in chunks]
+        id_text, bytes_of = self.id_text, self.token_bytes
+        made = {}
+        for w, tokens in self.encoder.encode({w for _, ws in words for w in ws}):
+            made[w] = (len(tokens), ",".join([id_text[t] for t in tokens]), b"".join([bytes_of[t] for t in tokens]))
+        for c, ws in words:
+            if len(ws) == 1:
+                into[c] = made[ws[0]]
+            else:
+                found = [made[w] for w in ws]
+                into[c] = (sum([f[0] for f in found]), ",".join([f[1] for f in found]), b"".join([f[2] for f in found]))
 
     def encode_texts(self, texts: list[str]) -> Iterator[tuple[int, str, bytes]]:
         """(number of ids, ids joined by commas, decoded bytes) of each text; special strings get their own ids."""
@@ -105,7 +127,8 @@ class ByteBPE:
         if len(self.spaced) + len(self.first) > KEPT_CHUNKS:
             self.spaced = {c: v for c, v in self.spaced.items() if c in spaced}
             self.first.clear()
-        self._learn(spaced - self.spaced.keys(), first - self.first.keys())
+        self._learn(spaced - self.spaced.keys(), True, self.spaced)
+        self._learn(first - self.first.keys(), False, self.first)
         spaced_get, first_get = self.spaced.__getitem__, self.first.__getitem__
         for plan in plans:
             found = []
@@ -117,7 +140,7 @@ class ByteBPE:
                     if chunks[0]:
                         found.append(first_get(chunks[0]))
                     found += map(spaced_get, chunks[1:])
-            yield sum([f[0] for f in found]), ",".join([f[1] for f in found]), b"".join([f[2] for f in found])
+            yield sum(map(first_of, found)), ",".join(map(second_of, found)), b"".join(map(third_of, found))
 
 
 @lru_cache(maxsize=2)
@@ -136,6 +159,7 @@ def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     names = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
 
     def run(batches):
+        gc.disable()  # nothing here forms cycles, and scanning the caches over and over takes a third of the time
         bpe = vocabulary(path)
         digest = lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:

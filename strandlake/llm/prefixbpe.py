@@ -23,8 +23,9 @@ class PrefixEncoder:
     def __init__(self, ranks: dict[str, int | float]):
         self.ranks = ranks
         self.longest = max(map(len, ranks), default=0)
-        self._pairs: dict[tuple[str, str], bool] = {}
-        self._whole: dict[str, bool] = {}
+        #: of each token, the tokens that it was tried behind ("" at the start of a word), and whether the pair holds
+        self._behind: dict[str, dict[str, bool]] = {t: {} for t in ranks}
+        self._pairs = 0
 
     def merge(self, text: str) -> list[str]:
         """The encoding by merges; quadratic, for pairs of tokens and for tests."""
@@ -41,15 +42,12 @@ class PrefixEncoder:
         return parts
 
     def _pair(self, a: str, b: str) -> bool:
-        if len(self._pairs) >= PAIRS:
-            self._pairs.clear()
-        ok = self._pairs[a, b] = self.merge(a + b) == [a, b]
-        return ok
-
-    def _is_whole(self, t: str) -> bool:
-        ok = self._whole.get(t)
-        if ok is None:
-            ok = self._whole[t] = self.merge(t) == [t]
+        if self._pairs >= PAIRS:
+            for known in self._behind.values():
+                known.clear()
+            self._pairs = 0
+        ok = self._behind[b][a] = self.merge(a + b) == ([a, b] if a else [b])
+        self._pairs += 1
         return ok
 
     def walk(self, words: Iterable[str]) -> Iterator[tuple[str, list[str], list[int]]]:
@@ -57,7 +55,7 @@ class PrefixEncoder:
 
         Both lists are reused; only their first len(word) + 1 entries count.
         """
-        ranks, pairs, longest = self.ranks, self._pairs, self.longest
+        behind, longest = self._behind.get, self.longest
         last, count, before = [""], [0], ""
         for word in words:
             shared = 0
@@ -70,18 +68,13 @@ class PrefixEncoder:
                 last += [""] * more
                 count += [0] * more
             for i in range(shared + 1, len(word) + 1):
-                for j in range(max(0, i - longest), i):
+                for j in range(i - longest if i > longest else 0, i):
                     t = word[j:i]
-                    if t in ranks:
-                        if not j:
-                            if self._is_whole(t):
-                                break
-                        else:
-                            ok = pairs.get((last[j], t))
-                            if ok is None:
-                                ok = self._pair(last[j], t)
-                            if ok:
-                                break
+                    known = behind(t)
+                    if known is not None:
+                        ok = known.get(last[j])
+                        if ok or ok is None and self._pair(last[j], t):
+                            break
                 else:
                     raise ValueError(f"no token for {word[i - 1]!r}")
                 last[i] = t
@@ -89,16 +82,14 @@ class PrefixEncoder:
             yield word, last, count
             before = word
 
-    def encode(self, words: Iterable[str]) -> dict[str, list[str]]:
-        """The tokens of each distinct word."""
-        out = {}
+    def encode(self, words: Iterable[str]) -> Iterator[tuple[str, list[str]]]:
+        """Each distinct word and its tokens."""
         for word, last, count in self.walk(sorted(set(words))):
             i, tokens = len(word), [""] * count[len(word)]
             for k in range(len(tokens) - 1, -1, -1):
                 tokens[k] = last[i]
                 i -= len(tokens[k])
-            out[word] = tokens
-        return out
+            yield word, tokens
 
     def counts(self, words: Iterable[str]) -> dict[str, int]:
         return {word: count[len(word)] for word, _, count in self.walk(sorted(set(words)))}

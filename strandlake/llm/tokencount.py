@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 from functools import lru_cache
 
@@ -112,6 +113,7 @@ def token_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
+        gc.disable()  # as in bpe: no cycles here
         pieces = counter(path)
         for batch in batches:
             for start, group in passes(batch.column(1).cast(pa.binary()).to_pylist(), COUNT_BYTES):
