@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, phrases, quality, sharding, suffix, tokencount
+from . import bpe, decontam, minhash, phrases, quality, sharding, suffix, tokencount
 from .common import table
 
 
@@ -15,6 +15,10 @@ def vocabulary_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = phrases.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), digests=True)
     return found.select("row.doc_id", "n_words", "n_removed", "kept_sha256")
@@ -49,6 +53,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_minhash_dedup": op1_minhash_dedup,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_bpe": op4_bpe,
     "op5_decontamination": op5_decontamination,
@@ -61,6 +66,18 @@ QUERIES = {
 _ALL_RULES = " or ".join(f"({r.rejects})" for r in quality.RULES)
 
 SQL = {
+    "op1_minhash_dedup": r"""
+with recursive d as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') words from documents),
+s as (select distinct doc_id, case when len(words) < 2 then array_to_string(words, ' ') else words[i] || ' ' || words[i + 1] end sh
+  from (select doc_id, words, unnest(range(1, greatest(len(words), 2))) i from d where len(words) > 0)),
+n as (select doc_id, count(*) n from s group by doc_id),
+p as (select a.doc_id a, b.doc_id b, count(*) c from s a join s b on a.sh = b.sh and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
+r as (select doc_id, doc_id other from d union select r.doc_id, l.b from r join l on r.other = l.a),
+m as (select doc_id, min(other) component_id from r group by doc_id)
+select d.doc_id, cast(coalesce(n.n, 0) as bigint) n_shingles, m.component_id, d.doc_id = m.component_id as kept
+from d left join n on d.doc_id = n.doc_id join m on d.doc_id = m.doc_id
+""",
     "op3_substring_dedup": r"""
 with d as (select row_number() over () rid, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') words from documents),
 w as (select rid, doc_id, i, array_to_string(words[i : i + 12], ' ') win from (select rid, doc_id, words, unnest(range(1, len(words) - 11)) i from d where len(words) >= 13)),
