@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, minhash, phrases, quality, sharding, suffix, tokencount
+from . import bpe, decontam, htmltext, minhash, phrases, quality, sharding, suffix, tokencount, warc
 from .common import table
 
 
@@ -19,6 +19,11 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = htmltext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("row.page_id", "row.url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = phrases.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), digests=True)
     return found.select("row.doc_id", "n_words", "n_removed", "kept_sha256")
@@ -43,6 +48,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.doc_id", *quality.BASE, "base_failed", "kept")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_archive(spark, warc.archive(table(spark, sf_dir, "pages")))
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), digests=True)
     return found.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -54,11 +63,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_html_extraction": op2_html_extraction,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_bpe": op4_bpe,
     "op5_decontamination": op5_decontamination,
     "op6_sharding": op6_sharding,
     "op7_quality_rules": op7_quality_rules,
+    "op8_warc": op8_warc,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_token_counts": op10_token_counts,
 }
@@ -100,6 +111,15 @@ t as (select rid, count(*) n, string_agg(item_id, ',' order by item_id) s from (
 select doc_id, cast(len(words) as bigint) n_words, cast(coalesce(n.n, 0) as bigint) n_hit, cast(coalesce(t.n, 0) as bigint) n_items, sha256(coalesce(t.s, '')) items_sha256,
   coalesce(n.n, 0) > 0 and 20 * coalesce(n.n, 0) >= len(words) as contaminated
 from d left join n on d.rid = n.rid left join t on d.rid = t.rid
+""",
+    "op8_warc": r"""
+with q as (select page_id, strlen(coalesce(html, '')) n, sha1(coalesce(html, '')) s from pages),
+f as (select s, n, min(page_id) least_id from q group by s, n),
+j as (select q.*, least_id, least_id is not null and least_id is distinct from page_id as again from q join f using (s, n))
+select page_id, cast(n as bigint) payload_bytes,
+  array_to_string(list_transform(range(0, 32), c -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast((cast('0x' || substr(s, cast(c // 4 * 5 + 1 as bigint), 5) as bigint) >> (15 - 5 * (c % 4))) & 31 as bigint) + 1, 1)), '') payload_digest,
+  case when again then 'revisit' else 'response' end record_type, case when again then least_id end refers_to
+from j
 """,
     "op7_quality_rules": rf"""
 with t as (
