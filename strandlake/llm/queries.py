@@ -117,7 +117,7 @@ with q as (select page_id, strlen(coalesce(html, '')) n, sha1(coalesce(html, '')
 f as (select s, n, min(page_id) least_id from q group by s, n),
 j as (select q.*, least_id, least_id is not null and least_id is distinct from page_id as again from q join f using (s, n))
 select page_id, cast(n as bigint) payload_bytes,
-  array_to_string(list_transform(range(0, 32), c -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast((cast('0x' || substr(s, cast(c // 4 * 5 + 1 as bigint), 5) as bigint) >> (15 - 5 * (c % 4))) & 31 as bigint) + 1, 1)), '') payload_digest,
+  array_to_string(list_transform(range(0, 32), lambda c: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast((cast('0x' || substr(s, cast(c // 4 * 5 + 1 as bigint), 5) as bigint) >> (15 - 5 * (c % 4))) & 31 as bigint) + 1, 1)), '') payload_digest,
   case when again then 'revisit' else 'response' end record_type, case when again then least_id end refers_to
 from j
 """,
