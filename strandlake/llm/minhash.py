@@ -7,6 +7,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import SPACE_SEPARATORS, Words, as_bytes, mix, passes, prefix_sums, range_hashes, spread, text_column, written
 from .components import components
@@ -17,6 +18,8 @@ PERCENT = 80
 #: Coordinates a band and bands: two sets of similarity 0.8 share no band once in ten million pairs.
 BAND_ROWS = 5
 BANDS = 40
+#: Nodes of either side that one task holds against each other.
+CHUNK = 2000
 
 _SEEDS = np.random.default_rng(1009).integers(0, 1 << 63, 2 * BAND_ROWS * BANDS, dtype=np.uint64)
 
@@ -88,9 +91,9 @@ def linked(a: frozenset, b: frozenset, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _sets(docs: DataFrame, key: str, text: str, full: bool) -> DataFrame:
-    """key, n, low, high (the set's hashes, null if empty); if full, also bands and body (the text, compressed)."""
-    source = docs.select(F.col(f"`{key}`").cast("bigint").alias("key"), text_column(f"`{text}`").alias("text"))
+def _sets(docs: DataFrame, key: str, text: str, full: bool = False, carry: bool = False) -> DataFrame:
+    """key, n, low, high (the set's hashes, null if empty); if full, also bands and body (the text, compressed); if carry, `row`."""
+    source = docs.select(F.col(f"`{key}`").cast("bigint").alias("key"), text_column(f"`{text}`").alias("text"), *([F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")] if carry else []))
 
     def run(batches):
         pack = zstandard.ZstdCompressor(3).compress
@@ -104,9 +107,14 @@ def _sets(docs: DataFrame, key: str, text: str, full: bool) -> DataFrame:
                     keys = band_keys(rows).view(np.int64)
                     bands = pa.ListArray.from_arrays(pa.array(np.arange(len(group) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel(), pa.int64()))
                     columns += [bands, pa.array([pack(t) for t in group], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "n", "low", "high", "bands", "body"][: len(columns)])
+                if carry:
+                    columns.append(batch.column(2).slice(start, len(group)))
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return source.mapInArrow(run, "key bigint, n bigint, low bigint, high bigint" + ", bands array<bigint>, body binary" * full)
+    schema = T._parse_datatype_string("key bigint, n bigint, low bigint, high bigint" + ", bands array<bigint>, body binary" * full)
+    if carry:
+        schema = T.StructType([*schema.fields, source.schema["row"]])
+    return source.mapInArrow(run, schema)
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -130,6 +138,73 @@ def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "body_a", "body_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def _across(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between nodes of unlike labels that share a band.
+
+    A band's main label is its most frequent one; its nodes of other labels are outsiders of that label. Each outsider is
+    held against all nodes of the main label and against the label's other outsiders, in tasks of at most CHUNK of either
+    side, which give links only. Two nodes that meet in no band differ; for those that do, this covers every pair of
+    unlike labels.
+    """
+    named = members.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
+    sizes = named.groupBy("band", "label").agg(F.count("*").alias("size"))
+    mixed = sizes.groupBy("band").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("size", "label")).alias("main")).filter("labels > 1").select("band", "main")
+    outsiders = written(named.join(mixed, "band").filter("label <> main").select("main", "node", "label").distinct(), "outsiders")
+    mains = outsiders.groupBy("main").agg(F.count("*").alias("n_out"))
+    of_main = nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("main")).join(mains.select("main"), "main")
+    held = written(of_main.select("main", "node", F.col("main").alias("label")).union(outsiders), "held")
+    chunks = held.groupBy("main").agg(F.count("*").alias("n")).join(mains, "main").select("main", F.ceil(F.col("n") / CHUNK).cast("int").alias("rows"), F.ceil(F.col("n_out") / CHUNK).cast("int").alias("columns"))
+    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    row_side = held.join(chunks, "main").select("main", "node", "label", F.lit(False).alias("outside"), part("rows").alias("i"), every("columns").alias("j"))
+    column_side = outsiders.join(chunks, "main").select("main", "node", "label", F.lit(True).alias("outside"), every("rows").alias("i"), part("columns").alias("j"))
+    tasks = row_side.union(column_side).join(nodes.select("node", "body"), "node")
+
+    def run(table: pa.Table) -> pa.Table:
+        unpack = zstandard.ZstdDecompressor().decompress
+        node, label, outside = (table.column(c).to_pylist() for c in ("node", "label", "outside"))
+        sets = [shingles(unpack(b.as_py())) for b in table.column("body")]
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                x = parent[x]
+            return x
+
+        found = []
+        others = [k for k, o in enumerate(outside) if not o]
+        for p in (k for k, o in enumerate(outside) if o):
+            own, n = sets[p], len(sets[p])
+            for q in others:
+                m = len(sets[q])
+                if 100 * m >= percent * n and 100 * n >= percent * m and root(label[p]) != root(label[q]) and linked(own, sets[q], percent):
+                    found.append((node[p], node[q]))
+                    parent[root(label[p])] = root(label[q])
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    return tasks.groupBy("main", "i", "j").applyInArrow(run, "a bigint, b bigint")
+
+
+def _classes(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
+    """low, high and component_id of each distinct set that isn't empty."""
+    every = _sets(docs, key, text, full=True).filter(F.col("low").isNotNull())
+    grouped = every.groupBy("low", "high").agg(F.min("key").alias("least_key"), F.first("bands").alias("bands"), F.first("body").alias("body"))
+    nodes = written(grouped.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    bands = nodes.select("node", F.explode("bands").alias("band"))
+    shared = bands.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("members")).filter("members > 1").drop("members")
+    members = written(bands.join(shared, "band"), "bands")
+    pairs = members.filter("node > leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    labels = components(_verified(pairs, nodes, percent))
+    more = _across(members, labels, nodes, percent)
+    named = nodes.select("node", "low", "high", "least_key").join(labels, "node", "left").select("node", "low", "high", "least_key", F.coalesce("label", "node").alias("label"))
+    end = lambda c: named.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
+    lifted = more.join(end("a"), "a").join(end("b"), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+    joined = components(lifted).select(F.col("node").alias("label"), F.col("label").alias("whole"))
+    final = named.join(joined, "label", "left").select("low", "high", "least_key", F.coalesce("whole", "label").alias("label"))
+    least = final.groupBy("label").agg(F.min("least_key").alias("component_id"))
+    return final.join(least, "label").select("low", "high", "component_id")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per row of docs: key, n_shingles, component_id (the least key reachable over links), kept (key = component_id).
 
@@ -141,36 +216,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     1. Equal sets are grouped by a 128-bit hash; a group keeps one compressed text.
     2. Bands of the sketches: each node of a band is paired with the band's least node. A pair met in several bands is
        verified once, on the full sets of words. Links give components.
-    3. A band whose nodes are still in several components may hide links between them: each node outside the band's largest
-       component is verified against the band's nodes of other components, unless their sizes rule the link out.
+    3. A band whose nodes are still in several components may hide links between them; _across looks for these.
     """
-    every = _sets(docs, key, text, True).filter(F.col("low").isNotNull())
-    grouped = every.groupBy("low", "high").agg(F.min("key").alias("least_key"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("body").alias("body"))
-    nodes = written(grouped.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    bands = nodes.select("node", F.explode("bands").alias("band"))
-    shared = bands.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("members")).filter("members > 1").drop("members")
-    members = written(bands.join(shared, "band"), "bands")
-    pairs = members.filter("node > leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    labels = components(_verified(pairs, nodes, percent))
-
-    named = members.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
-    sizes = named.groupBy("band", "label").agg(F.count("*").alias("size"))
-    mixed = written(sizes.groupBy("band").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("size", "label")).alias("main")).filter("labels > 1").select("band", "main"), "mixed")
-    labelled = named.join(mixed, "band").join(nodes.select("node", "n", "bands"), "node")
-    pivots = labelled.filter("label <> main").select("band", F.col("node").alias("p"), F.col("label").alias("p_label"), F.col("n").alias("p_n"), F.col("bands").alias("p_bands"))
-    crossed = pivots.join(labelled, "band").filter((F.col("label") != F.col("p_label")) & (F.col("n") * 100 >= F.col("p_n") * percent) & (F.col("p_n") * 100 >= F.col("n") * percent))
-    # Verify a pair in the first band that it shares, so that it is met once.
-    first = F.element_at(F.filter(F.zip_with("bands", "p_bands", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), 1)
-    further = crossed.filter(first == F.col("band")).select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
-    further = written(further.join(pairs, ["a", "b"], "left_anti"), "further")
-    more = _verified(further, nodes, percent)
-    named_nodes = nodes.select("node", "low", "high", "least_key").join(labels, "node", "left").select("node", "low", "high", "least_key", F.coalesce("label", "node").alias("label"))
-    ends = named_nodes.select("node", "label")
-    lifted = more.join(ends.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(ends.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").filter("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
-    joined = components(lifted).select(F.col("node").alias("label"), F.col("label").alias("whole"))
-    final = named_nodes.join(joined, "label", "left").select("low", "high", "least_key", F.coalesce("whole", "label").alias("label"))
-    least = final.groupBy("label").agg(F.min("least_key").alias("component_id"))
-    of_set = final.join(least, "label").select("low", "high", "component_id")
-    rows = _sets(docs, key, text, False).join(of_set, ["low", "high"], "left")
+    rows = _sets(docs, key, text).join(_classes(docs, key, text, percent), ["low", "high"], "left")
     component = F.when(F.col("low").isNull(), F.col("key")).otherwise(F.col("component_id"))
     return rows.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"))
+
+
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """The rows of docs that near_duplicates keeps, with their columns."""
+    rows = _sets(docs, key, text, carry=True).join(_classes(docs, key, text, percent), ["low", "high"], "left")
+    return rows.filter(F.col("low").isNull() | F.col("key").eqNullSafe(F.col("component_id"))).select("row.*")
