@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on; a longer single text is one pass of its own.
-PASS_BYTES = 1 << 20
+PASS_BYTES = 1 << 19
 
 #: The white space of the word pattern [^\x20\x09-\x0D]+.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"

@@ -15,16 +15,17 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import with_row, written
+from .common import text_column, written
 
 #: Bytes of text in a block; one longer text is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Bytes of text for each bucket, and the fewest buckets.
 BUCKET_BYTES = 2 << 20
 LEAST_BUCKETS = 256
 #: Beyond so many places a fingerprint's windows are asked for one by one, which spreads them over all buckets.
-HOT_PLACES = 50_000
+HOT_PLACES = 4_000
 
 ANSWER = "block bigint, kind int, bucket bigint, payload binary"
 QUESTION = "bucket bigint, block bigint, payload binary"
@@ -33,7 +34,7 @@ QUESTION = "bucket bigint, block bigint, payload binary"
 def pack_rows(rows: pa.Array, keys: pa.Array, texts: list[bytes]) -> bytes:
     sink = pa.BufferOutputStream()
     batch = pa.RecordBatch.from_arrays([rows, keys, pa.array(texts, pa.binary())], ["row", "key", "text"])
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 5))) as w:
         w.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
@@ -43,8 +44,9 @@ def unpack_rows(data: bytes) -> pa.Table:
 
 
 def blocks(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(block, n_bytes, payload) of all rows of docs with all their columns; a null key orders behind all others."""
-    source = with_row(docs, text).select("row", F.coalesce(F.col("row").getField(key).cast("bigint"), F.lit(2**63 - 1)).alias("key"), "text")
+    """(block, n_bytes, payload) of all rows of docs: other columns, key and text once. A null key orders behind all others."""
+    others = F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != text])
+    source = docs.select(others.alias("row"), F.coalesce(F.col(f"`{key}`").cast("bigint"), F.lit(2**63 - 1)).alias("key"), text_column(f"`{text}`").alias("text"))
 
     def run(batches):
         part, number = TaskContext.get().partitionId(), 0
@@ -77,6 +79,11 @@ def blocks(docs: DataFrame, text: str, key: str) -> DataFrame:
     return written(source.mapInArrow(run, "block bigint, n_bytes bigint, payload binary"), "blocks")
 
 
+def row_field(docs: DataFrame, text: str) -> T.StructField:
+    """The column `row` that blocks carry: all columns of docs but the text."""
+    return T.StructField("row", T.StructType([f for f in docs.schema.fields if f.name != text]))
+
+
 def bucket_bits(table: DataFrame) -> int:
     size = table.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     return max(LEAST_BUCKETS.bit_length() - 1, math.ceil(math.log2(max(size, 1) / BUCKET_BYTES)) if size > BUCKET_BYTES else 0)
@@ -100,8 +107,8 @@ def _pack_prints(prints: np.ndarray, counts: np.ndarray, bits: int) -> bytes:
     return short.tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
-def _answer_prints(payloads: list[bytes]) -> list[bytes]:
-    """For each payload two packed masks: prints that recur, and those with over HOT_PLACES places."""
+def _answer_prints(payloads: list[bytes], hot_places: int = HOT_PLACES) -> list[bytes]:
+    """For each payload two packed masks: prints that recur, and those with over hot_places places."""
     values, counts = [], []
     for p in payloads:
         n = len(p) // 7
@@ -112,7 +119,7 @@ def _answer_prints(payloads: list[bytes]) -> list[bytes]:
     _, inverse = np.unique(np.concatenate(values), return_inverse=True)
     total = np.bincount(inverse, np.concatenate(counts))[inverse]
     cuts = np.cumsum([len(v) for v in values])[:-1]
-    return [np.packbits(t > 1).tobytes() + np.packbits(t > HOT_PLACES).tobytes() if (t > 1).any() else b"" for t in np.split(total, cuts)]
+    return [np.packbits(t > 1).tobytes() + np.packbits(t > hot_places).tobytes() if (t > 1).any() else b"" for t in np.split(total, cuts)]
 
 
 # Windows: whether one occurs elsewhere at an earlier (key, start).
@@ -165,7 +172,7 @@ def asked(questions: DataFrame, answers: dict[int, Callable[[list[bytes]], list[
     return written(questions.select("bucket", "block", "payload").groupBy("bucket").applyInArrow(run, ANSWER), name)
 
 
-def ask_prints(table: DataFrame, prints: Callable[[pa.Table], np.ndarray], bits: int) -> DataFrame:
+def ask_prints(table: DataFrame, prints: Callable[[pa.Table], np.ndarray], bits: int, hot_places: int = HOT_PLACES) -> DataFrame:
     """Answers on the fingerprints that `prints` gives for a block's rows (with repeats)."""
 
     def run(batches):
@@ -176,7 +183,7 @@ def ask_prints(table: DataFrame, prints: Callable[[pa.Table], np.ndarray], bits:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([block] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "block", "payload"])
 
-    return asked(table.select("block", "payload").mapInArrow(run, QUESTION), {1: _answer_prints}, bits, "prints")
+    return asked(table.select("block", "payload").mapInArrow(run, QUESTION), {1: lambda payloads: _answer_prints(payloads, hot_places)}, bits, "prints")
 
 
 def with_answers(table: DataFrame, answers: list[DataFrame], work: Callable[[int, pa.Table, dict[int, dict[int, bytes]]], pa.Table], schema) -> DataFrame:

@@ -17,7 +17,7 @@ WINDOW = 13
 #: Words of a fingerprint; each window's least one tells whether the window is asked for at all.
 GRAM = 7
 #: Characters of the patterns in one automaton; a block with more has several, each reading all its documents.
-SHARD_CHARS = 1 << 20
+SHARD_CHARS = 1 << 19
 
 
 class Windows:
@@ -108,7 +108,7 @@ def located(found: dict[str, int], words: list[list[bytes]], keys: np.ndarray, s
 
 
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", digests: bool = False) -> DataFrame:
-    """One row per row of docs: `row` (all its columns), n_words, n_removed and kept_text, or with digests kept_sha256.
+    """One row per row of docs: `row` (all its columns but the text), n_words, n_removed and kept_text, or with digests kept_sha256.
 
     Words are runs of [^\\x20\\x09-\\x0D]. A word goes if a window of WINDOW words that covers it also starts in a document
     with a smaller key; windows are judged on the input. Kept words are joined by one space. Null and empty texts have no
@@ -144,6 +144,5 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", digests: boo
         out = [hashlib.sha256(k).hexdigest() for k in kept] if digests else [k.decode("utf-8", "replace") for k in kept]
         return pa.table({"row": rows.column("row"), "n_words": pa.array(map(len, words), pa.int64()), "n_removed": pa.array([int(m.sum()) for m in masks], pa.int64()), last: pa.array(out, pa.string())})
 
-    row = T.StructField("row", T.StructType(docs.schema.fields))
-    schema = T.StructType([row, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField(last, T.StringType())])
+    schema = T.StructType([X.row_field(docs, text), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField(last, T.StringType())])
     return X.with_answers(table, [prints, windows], finish, schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,8 @@ LENGTH = 100
 #: Bytes of a fingerprint; the least one in each LENGTH bytes tells whether they are asked for, and where.
 GRAM = 32
 WIDTH = LENGTH - GRAM + 1
+#: Bytes of text in one suffix array; the stretches of one fingerprint stay together.
+ARRAY_BYTES = 1 << 18
 
 
 def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
@@ -30,16 +33,24 @@ def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for i in range(have):
         key = key * np.uint64(257) + padded[i : i + n]
-    _, ranks = np.unique(key, return_inverse=True)
+    ranks = _ranked(key)
     while have < length:
         step = min(have, length - have)
         further = np.zeros(n, np.uint64)
-        further[: max(0, n - step)] = ranks[step:].astype(np.uint64) + np.uint64(1)
-        _, ranks = np.unique(ranks.astype(np.uint64) * np.uint64(n + 2) + further, return_inverse=True)
+        further[: max(0, n - step)] = ranks[step:] + np.uint64(1)
+        ranks = _ranked(ranks * np.uint64(n + 2) + further)
         have += step
     return ranks
 
 
+def _ranked(key: np.ndarray) -> np.ndarray:
+    order = np.argsort(key)
+    own = key[order]
+    ranks = np.empty(len(key), np.uint64)
+    ranks[order] = np.cumsum(np.r_[False, own[1:] != own[:-1]]) if len(key) else own
+    return ranks
+
+
 def longest_previous_factors(data: bytes) -> np.ndarray:
     """For each place of data, the length of the longest string from there that also starts earlier.
 
@@ -167,6 +178,16 @@ class _Asked:
         return doc, at, which, hashes[first], self.keys[doc[first]], at[first]
 
 
+def _portions(values: np.ndarray, sizes: np.ndarray) -> Iterator[slice]:
+    """Runs of stretches, sorted by fingerprint, of about ARRAY_BYTES together, without a cut between equal fingerprints."""
+    reach = np.cumsum(sizes)
+    begin = done = 0
+    for cut in [*(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]:
+        if cut > begin and (reach[cut - 1] - done >= ARRAY_BYTES or cut == len(values)):
+            yield slice(begin, cut)
+            begin, done = cut, reach[cut - 1]
+
+
 def _answer_stretches(payloads: list[bytes]) -> list[bytes]:
     """For each payload, a packed mask over the windows of its stretches: those that start earlier elsewhere."""
     parts = []
@@ -195,12 +216,14 @@ def _answer_stretches(payloads: list[bytes]) -> list[bytes]:
     own = distinct[(times[inverse] > 1) | (repeats[distinct] > 0)]
     starts = np.r_[0, np.cumsum(n)[:-1]]
     removed = np.zeros(int(n.sum()), bool)
-    if len(own):
-        text = data[spread(at[own], size[own])]
-        where = np.r_[0, np.cumsum(size[own])[:-1]]
-        ranks = suffix_ranks(text, LENGTH)[spread(where, n[own])]  # of the windows only
-        place = spread(begin[own].astype(np.int64), n[own])
-        removed[spread(starts[own], n[own])] = X.later_of_equals(ranks, np.repeat(keys[own], n[own]), place)
+    own = own[np.argsort(value[own], kind="stable")]
+    for part in _portions(value[own], size[own]):
+        some = own[part]
+        text = data[spread(at[some], size[some])]
+        where = np.r_[0, np.cumsum(size[some])[:-1]]
+        ranks = suffix_ranks(text, LENGTH)[spread(where, n[some])]  # of the windows only
+        place = spread(begin[some].astype(np.int64), n[some])
+        removed[spread(starts[some], n[some])] = X.later_of_equals(ranks, np.repeat(keys[some], n[some]), place)
     # Copies at the same (key, start) share the first one's verdicts; later ones go.
     copies = np.flatnonzero(first_of != np.arange(len(order)))
     for c in copies[~later[copies]].tolist():
@@ -212,8 +235,10 @@ def _answer_stretches(payloads: list[bytes]) -> list[bytes]:
     return [np.packbits(m).tobytes() if m.any() else b"" for m in np.split(removed, cuts)]
 
 
-def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", digests: bool = False) -> DataFrame:
-    """One row per row of docs: `row` (all its columns), n_bytes, n_removed, n_spans and kept (binary), or with digests kept_sha256.
+def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", digests: bool = False, as_text: bool = False, hot_places: int = X.HOT_PLACES) -> DataFrame:
+    """One row per row of docs: `row` (all its columns but the text), n_bytes, n_removed, n_spans and kept (binary).
+
+    With digests kept_sha256 comes in place of kept; with as_text kept_text, without characters that a cut left incomplete.
 
     Texts are UTF-8 bytes, null as empty. A byte goes if LENGTH bytes that cover it also start earlier: in a row with a
     smaller key, or under the same key at an earlier place. Rows with equal keys count as one text at the same places, so a
@@ -227,7 +252,7 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", digests: boo
     """
     table = X.blocks(docs, text, key)
     bits = X.bucket_bits(table)
-    prints = X.ask_prints(table, _prints, bits)
+    prints = X.ask_prints(table, _prints, bits, hot_places)
 
     def ask(block, rows, answers):
         a = _Asked(rows, answers.get(1, {}), bits)
@@ -236,7 +261,7 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", digests: boo
         return X.questions_of([*a.stretches(bits), *windows], block)
 
     found = X.asked(X.with_answers(table, [prints], ask, X.QUESTION), {2: _answer_stretches, 3: X.answer_windows}, bits, "stretches")
-    last = "kept_sha256" if digests else "kept"
+    last = "kept_sha256" if digests else "kept_text" if as_text else "kept"
 
     def finish(block, rows, answers):
         a = _Asked(rows, answers.get(1, {}), bits)
@@ -272,9 +297,13 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", digests: boo
             removed.append(n)
             spans.append(int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1])) if n else 0)
             kept.append(np.frombuffer(t, np.uint8)[~gone].tobytes() if n else t)
-        out = pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()) if digests else pa.array(kept, pa.binary())
+        if digests:
+            out = pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())
+        elif as_text:
+            out = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())
+        else:
+            out = pa.array(kept, pa.binary())
         return pa.table({"row": rows.column("row"), "n_bytes": pa.array(map(len, a.texts), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), last: out})
 
-    row = T.StructField("row", T.StructType(docs.schema.fields))
-    schema = T.StructType([row, *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField(last, T.StringType() if digests else T.BinaryType())])
+    schema = T.StructType([X.row_field(docs, text), *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField(last, T.StringType() if digests or as_text else T.BinaryType())])
     return X.with_answers(table, [prints, found], finish, schema)
