@@ -3,16 +3,46 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandlake.llm import quality
+from strandlake.llm import bpe, decontam, minhash, quality, suffix
 from strandlake.llm.common import table, written
+from strandlake.llm.queries import vocabulary_file
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the least doc_id."""
+    return minhash.keep_first(docs)
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without strings that stand earlier; a character that a cut leaves incomplete goes too. n_chars follows the text."""
+    found = suffix.dedup(docs, as_text=True)
+    out = found.select("row.*", "kept_text").withColumnRenamed("kept_text", "text")
+    return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that hold no benchmark passage to speak of."""
+    return decontam.contamination(docs, table(spark, sf_dir, "benchmark")).filter(~F.col("contaminated")).select("row.*")
+
+
+def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids (joined by commas) and the text that they decode to."""
+    return bpe.encoded(docs, vocabulary_file("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("suffix_array_dedup", suffix_array_dedup),
+    ("decontamination", decontamination),
+    ("bpe_encoding", bpe_encoding),
+]
 
 #: The later stages cannot be told in SQL; tests/llm compares them with brute force.
 ORACLE_SQL = None
