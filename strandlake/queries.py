@@ -480,10 +480,14 @@ def csv_bytes(spark, sf):
     return read(spark, sf, "documents").select("doc_id", C.format_bytes(F.encode("lang", "UTF-8")).alias("value"))
 
 
-def _picked(column: str, texts: list[str]) -> tuple[Column, str]:
-    """A text of the list by the column's remainder, as expression and as SQL."""
+def _picked(column: str, texts: list[str]) -> Column:
+    """A text of the list by the column's remainder."""
+    return F.element_at(F.array(*[F.lit(t) for t in texts]), (F.col(column) % len(texts) + 1).cast("int"))
+
+
+def _picked_sql(column: str, texts: list[str]) -> str:
     quoted = ", ".join("'" + t.replace("'", "''") + "'" for t in texts)
-    return F.element_at(F.array(*[F.lit(t) for t in texts]), (F.col(column) % len(texts) + 1).cast("int")), f"[{quoted}][{column} % {len(texts)} + 1]"
+    return f"[{quoted}][{column} % {len(texts)} + 1]"
 
 
 TEXTS = {
@@ -496,11 +500,11 @@ TEXTS = {
     "hex": ["00", "ff", "0xFFee", "abc", "zz", "", "DEADBEEF"],
     "any": ["", "null", "NULL", "true", "FALSE", "t", "f", "0", "1", "7", "x", "NaN", "Inf", "-Inf", "123456789", "1234567890", "123456789012345678", "1234567890123456789", "12345678901234567890", "123456789012345678901234567890", "-1.5", "1.23456789012345", "1.234567890123456", "1e5", "2008-04-10 06:30:00.1234567", "2008/04/10", "9999-12-20T00:00:00", "00:00:00", "3.17:25:30.5", "12345678-9abc-def0-1234-56789abcdef0", "{123456789abcdef0123456789abcdef0}", "hello", " 42 ", "1-2", "a" * 65],
 }
-PICK = {k: _picked("event_id", v)[1] for k, v in TEXTS.items()}
+PICK = {k: _picked_sql("event_id", v) for k, v in TEXTS.items()}
 
 
 def texts(spark, sf, kind: str) -> DataFrame:
-    return read(spark, sf, "events").select("event_id", _picked("event_id", TEXTS[kind])[0].alias("s"))
+    return read(spark, sf, "events").select("event_id", _picked("event_id", TEXTS[kind]).alias("s"))
 
 
 @query(f"select event_id, case when s in ('0', 'f', 'F') or lower(s) = 'false' then false when s in ('1', 't', 'T') or lower(s) = 'true' then true end as value from (select event_id, {PICK['bool']} s from events)")
@@ -595,12 +599,12 @@ def csv_header(spark, sf):
 
 
 _LINES = ["a,b,c", "a;b;c,d", "a|b", "a\tb\tc", "a:b", "a,b;c", "plain", "1;2;3;4"]
-_LINE_SQL = "[" + ", ".join(f"'{x}'" for x in _LINES) + f"][event_id % {len(_LINES)} + 1]"
+_LINE_SQL = _picked_sql("event_id", _LINES)
 
 
 @query(f"select event_id, {csv.separator_sql('s')} as separator from (select event_id, {_LINE_SQL} s from events)")
 def csv_separator(spark, sf):
-    return read(spark, sf, "events").select("event_id", _picked("event_id", _LINES)[0].alias("s")).select("event_id", F.expr(csv.separator_sql("s")).alias("separator"))
+    return read(spark, sf, "events").select("event_id", _picked("event_id", _LINES).alias("s")).select("event_id", F.expr(csv.separator_sql("s")).alias("separator"))
 
 
 _VOTED = {"customer": ["c_custkey", "c_name", "c_acctbal", "c_mktsegment"]}
@@ -699,13 +703,15 @@ def resume_append(spark, sf):
     return append.resume(e.filter("event_id <= 500"), e, ["s"], "event_id").drop("s")
 
 
-@query()
+@query(f"select user_id as series, event_id as ordinal, {US} as value, {US} - lag({US}, 1, 0) over w as delta, row_number() over w - 1 as pos from events window w as (partition by user_id order by event_id)")
 def streaming_append(spark, sf):
-    """Deltas of a stream of the events, written by a file sink and read again; the batches keep each series' state."""
+    """Deltas of a stream of the events in three runs: each takes up the state that the run before committed."""
     out, checkpoint, source = scratch(spark, "stream"), scratch(spark, "commits"), scratch(spark, "source")
     e = read(spark, sf, "events").select(F.col("user_id").alias("series"), F.col("event_id").alias("ordinal"), E.micros(F.col("ts")).alias("value"))
-    e.repartitionByRange(3, "ordinal").write.parquet(source)
-    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    run = append.append_sink(append.delta_stream(stream), out, checkpoint).trigger(availableNow=True).start()
-    run.awaitTermination()
+    low, high = e.agg(F.min("ordinal"), F.max("ordinal")).first()
+    third = (high - low) // 3 + 1 if high is not None else 1
+    for k in range(3):
+        e.filter(F.floor((F.col("ordinal") - (low or 0)) / third) == k).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(e.schema).parquet(source)
+        append.append_sink(append.delta_stream(stream), out, checkpoint).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(append.OUT).parquet(out)
