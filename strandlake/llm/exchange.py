@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_column, written
+from .common import release_memory, text_column, written
 
 #: Bytes of text in a block; one longer text is a block of its own.
 BLOCK_BYTES = 2 << 20
@@ -165,6 +165,7 @@ def asked(questions: DataFrame, answers: dict[int, Callable[[list[bytes]], list[
         bucket = table.column("bucket")[0].as_py()
         kind, answer = kinds[bucket >> bits]
         found = answer(table.column("payload").to_pylist())
+        release_memory()
         kept = [i for i, f in enumerate(found) if f]
         n, block = len(kept), table.column("block").take(pa.array(kept, pa.int64()))
         return pa.table({"block": block, "kind": pa.array([kind] * n, pa.int32()), "bucket": pa.array([bucket & ((1 << bits) - 1)] * n, pa.int64()), "payload": pa.array([found[i] for i in kept], pa.binary())})
@@ -196,7 +197,9 @@ def with_answers(table: DataFrame, answers: list[DataFrame], work: Callable[[int
         found: dict[int, dict[int, bytes]] = {}
         for kind, bucket, payload in zip(*(group.column(c).to_pylist() for c in ("kind", "bucket", "payload"))):
             found.setdefault(kind, {})[bucket] = payload
-        return work(group.column("block")[0].as_py(), unpack_rows(found[0][0]), found)
+        out = work(group.column("block")[0].as_py(), unpack_rows(found[0][0]), found)
+        release_memory()
+        return out
 
     return rows.groupBy("block").applyInArrow(run, schema)
 

@@ -188,27 +188,16 @@ def _portions(values: np.ndarray, sizes: np.ndarray) -> Iterator[slice]:
             begin, done = cut, reach[cut - 1]
 
 
-def _answer_stretches(payloads: list[bytes]) -> list[bytes]:
-    """For each payload, a packed mask over the windows of its stretches: those that start earlier elsewhere."""
-    parts = []
-    for p in payloads:
-        k, size = int.from_bytes(p[:4], "little"), int.from_bytes(p[4:12], "little")
-        raw = pa.decompress(p[12:], decompressed_size=size, codec="zstd", asbytes=True)
-        ends = np.cumsum([0, 8 * k, 8 * k, 4 * k, 4 * k, k])
-        get = lambda i, t: np.frombuffer(raw[ends[i] : ends[i + 1]], t)
-        parts.append((get(0, np.uint64), get(1, np.int64), get(2, np.uint32), get(3, np.uint32), get(4, np.uint8), raw[ends[5] :]))
-    value, keys, begin, n, repeats = (np.concatenate([p[i] for p in parts]) for i in range(5))
-    n = n.astype(np.int64)
-    data = np.frombuffer(b"".join(p[5] for p in parts), np.uint8)
+def _earlier(data: np.ndarray, value: np.ndarray, keys: np.ndarray, begin: np.ndarray, n: np.ndarray, repeats: np.ndarray) -> np.ndarray:
+    """For each window of some stretches, whether it starts earlier in another window of theirs; data: their bytes."""
     size = n + LENGTH - 1
     at = np.r_[0, np.cumsum(size)[:-1]]
     digest = range_hashes(byte_sums(data), at, at + size)
     # Equal stretches of several blocks: each but the first is removed as a whole.
     order = np.lexsort((begin, keys, digest, value))
     head = np.r_[True, (value[order][1:] != value[order][:-1]) | (digest[order][1:] != digest[order][:-1])]
-    first = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
     first_of = np.empty(len(order), np.int64)
-    first_of[order] = first
+    first_of[order] = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
     later = (keys != keys[first_of]) | (begin != begin[first_of])
     # Windows of different stretches can only be equal under one fingerprint; alone under it, one can only repeat itself.
     distinct = np.flatnonzero(first_of == np.arange(len(order)))
@@ -216,21 +205,40 @@ def _answer_stretches(payloads: list[bytes]) -> list[bytes]:
     own = distinct[(times[inverse] > 1) | (repeats[distinct] > 0)]
     starts = np.r_[0, np.cumsum(n)[:-1]]
     removed = np.zeros(int(n.sum()), bool)
-    own = own[np.argsort(value[own], kind="stable")]
-    for part in _portions(value[own], size[own]):
-        some = own[part]
-        text = data[spread(at[some], size[some])]
-        where = np.r_[0, np.cumsum(size[some])[:-1]]
-        ranks = suffix_ranks(text, LENGTH)[spread(where, n[some])]  # of the windows only
-        place = spread(begin[some].astype(np.int64), n[some])
-        removed[spread(starts[some], n[some])] = X.later_of_equals(ranks, np.repeat(keys[some], n[some]), place)
+    if len(own):
+        text = data[spread(at[own], size[own])]
+        where = np.r_[0, np.cumsum(size[own])[:-1]]
+        ranks = suffix_ranks(text, LENGTH)[spread(where, n[own])]  # of the windows only
+        removed[spread(starts[own], n[own])] = X.later_of_equals(ranks, np.repeat(keys[own], n[own]), spread(begin[own], n[own]))
     # Copies at the same (key, start) share the first one's verdicts; later ones go.
-    copies = np.flatnonzero(first_of != np.arange(len(order)))
-    for c in copies[~later[copies]].tolist():
+    for c in np.flatnonzero((first_of != np.arange(len(order))) & ~later).tolist():
         removed[starts[c] : starts[c] + n[c]] = removed[starts[first_of[c]] : starts[first_of[c]] + n[c]]
-    gone = copies[later[copies]]
+    gone = np.flatnonzero(later)
     if len(gone):
         removed[spread(starts[gone], n[gone])] = True
+    return removed
+
+
+def _answer_stretches(payloads: list[bytes]) -> list[bytes]:
+    """For each payload, a packed mask over the windows of its stretches: those that start earlier elsewhere."""
+    parts = []
+    for p in payloads:
+        k, size = int.from_bytes(p[:4], "little"), int.from_bytes(p[4:12], "little")
+        raw = pa.decompress(p[12:], decompressed_size=size, codec="zstd", asbytes=True)
+        ends = np.cumsum([0, 8 * k, 8 * k, 4 * k, 4 * k, k])
+        get = lambda i, t: np.frombuffer(raw[ends[i] : ends[i + 1]], t)
+        parts.append((get(0, np.uint64), get(1, np.int64), get(2, np.uint32), get(3, np.uint32), get(4, np.uint8), raw[ends[5] :]))
+    value, keys, begin, n, repeats = (np.concatenate([p[i] for p in parts]) for i in range(5))
+    n, begin = n.astype(np.int64), begin.astype(np.int64)
+    data = np.frombuffer(b"".join(p[5] for p in parts), np.uint8)
+    at = np.r_[0, np.cumsum(n + LENGTH - 1)[:-1]]
+    starts = np.r_[0, np.cumsum(n)[:-1]]
+    removed = np.zeros(int(n.sum()), bool)
+    order = np.argsort(value, kind="stable")
+    for part in _portions(value[order], n[order] + LENGTH - 1):
+        s = order[part]
+        text = data[spread(at[s], n[s] + LENGTH - 1)]
+        removed[spread(starts[s], n[s])] = _earlier(text, value[s], keys[s], begin[s], n[s], repeats[s])
     cuts = np.cumsum([p[3].astype(np.int64).sum() for p in parts])[:-1]
     return [np.packbits(m).tobytes() if m.any() else b"" for m in np.split(removed, cuts)]
 
