@@ -15,7 +15,7 @@ from strandlake.operators import encode as E
 from strandlake.operators import stateful as S
 from strandlake.operators import table as O
 from strandlake.plans.schema import Series, definition_matrix
-from strandlake.sources import csv, synthetic, ticker
+from strandlake.sources import csv, page, synthetic, ticker
 from strandlake.streaming import append
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,6 +81,14 @@ def row_adapter(spark, sf):
     return rows.select("row.event_id", F.concat("row.event_type", F.lit(":"), F.col("row.user_id").cast("string")).alias("text"))
 
 
+@query("select user_id, ts, value, event_type from events")
+def page_roundtrip(spark, sf):
+    """Every series as binary pages, and the pages' rows."""
+    definition = Series.parse("events\nts datetime,64,DeltaDelta\nvalue double,64,DFCM\nevent_type string")
+    source = page.paged(read(spark, sf, "events").select("user_id", "ts", "event_id", "value", "event_type"), SERIES, ORDER)
+    return page.from_pages(page.to_pages(source, definition, ["user_id", "page"], ORDER), definition, ["user_id"]).select("user_id", "ts", "value", "event_type")
+
+
 @query("select l_suppkey, l_orderkey, l_linenumber, l_quantity from lineitem where l_suppkey in (1, 5, 7)")
 def series_filter(spark, sf):
     return O.series_filter(read(spark, sf, "lineitem"), "l_suppkey", [1, 5, 7]).select("l_suppkey", "l_orderkey", "l_linenumber", "l_quantity")
