@@ -14,11 +14,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import passes, text_column
+from .common import passes, release_memory, text_column
 from .prefixbpe import PrefixEncoder
 
 #: Bytes of text encoded together: the larger, the more prefixes are shared; bounds a task's memory.
 ENCODE_BYTES = 16 << 20
+#: Bytes of results handed over at once.
+OUT_BYTES = 2 << 20
 #: Chunks that a worker keeps between passes; memory only.
 KEPT_CHUNKS = 600_000
 
@@ -97,38 +99,41 @@ class ByteBPE:
         return text.split(" "), True
 
     def _learn(self, chunks: set[str], lead: bool, into: dict) -> None:
-        words = [(c, self._words_of(c, lead)) for c in chunks]
-        id_text, bytes_of = self.id_text, self.token_bytes
-        made = {}
-        for w, tokens in self.encoder.encode({w for _, ws in words for w in ws}):
-            made[w] = (len(tokens), ",".join([id_text[t] for t in tokens]), b"".join([bytes_of[t] for t in tokens]))
+        # Most chunks are one word of ASCII letters: their words are known without cutting.
+        plain = {c for c in chunks if c.isascii() and c.isalpha()}
+        words = [(c, self._words_of(c, lead)) for c in chunks - plain]
+        parts = {w for _, ws in words for w in ws}
+        front = self.space if lead else ""
+        skip, id_text, bytes_of, made = len(front), self.id_text, self.token_bytes, {}
+        for w, tokens in self.encoder.encode(parts.union([front + c for c in plain])):
+            entry = (len(tokens), ",".join([id_text[t] for t in tokens]), b"".join([bytes_of[t] for t in tokens]))
+            if w in parts:
+                made[w] = entry
+            if w.startswith(front) and w[skip:] in plain:
+                into[w[skip:]] = entry
         for c, ws in words:
             if len(ws) == 1:
                 into[c] = made[ws[0]]
             else:
                 found = [made[w] for w in ws]
-                into[c] = (sum([f[0] for f in found]), ",".join([f[1] for f in found]), b"".join([f[2] for f in found]))
+                into[c] = (sum(map(first_of, found)), ",".join(map(second_of, found)), b"".join(map(third_of, found)))
 
-    def encode_texts(self, texts: list[str]) -> Iterator[tuple[int, str, bytes]]:
+    def encode_texts(self, texts: list[str], kept_chunks: int = KEPT_CHUNKS) -> Iterator[tuple[int, str, bytes]]:
         """(number of ids, ids joined by commas, decoded bytes) of each text; special strings get their own ids."""
         plans, spaced, first = [], set(), set()
         for text in texts:
-            plan = []
-            for k, part in enumerate(self.split_special.split(text) if self.split_special and any(s in text for s in self.special) else [text]):
-                if k % 2:
-                    plan.append((part, None))
-                elif part:
-                    chunks, cut = self._chunks(part)
-                    plan.append((chunks, cut))
+            plan = list(self._plan(text))
+            for chunks, cut in plan:
+                if cut is not None:
                     first.add(chunks[0])
-                    if cut:
-                        spaced.update(chunks[1:])
+                    spaced.update(chunks[1:])
             plans.append(plan)
-        if len(self.spaced) + len(self.first) > KEPT_CHUNKS:
+        if len(self.spaced) + len(self.first) > kept_chunks:
             self.spaced = {c: v for c, v in self.spaced.items() if c in spaced}
             self.first.clear()
         self._learn(spaced - self.spaced.keys(), True, self.spaced)
         self._learn(first - self.first.keys(), False, self.first)
+        del spaced, first
         spaced_get, first_get = self.spaced.__getitem__, self.first.__getitem__
         for plan in plans:
             found = []
@@ -142,31 +147,61 @@ class ByteBPE:
                     found += map(spaced_get, chunks[1:])
             yield sum(map(first_of, found)), ",".join(map(second_of, found)), b"".join(map(third_of, found))
 
+    def _plan(self, text: str) -> Iterator[tuple]:
+        """(chunks, True if all but the first stand for themselves with a space before them) of each ordinary part, (string, None) of a special one."""
+        if self.split_special and any(s in text for s in self.special):
+            for k, part in enumerate(self.split_special.split(text)):
+                if k % 2:
+                    yield part, None
+                elif part:
+                    yield self._chunks(part)
+        elif text:
+            yield self._chunks(text)
+
 
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> ByteBPE:
     return ByteBPE(path)
 
 
-def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", digests: bool = False) -> DataFrame:
+def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", digests: bool = False, pass_bytes: int = ENCODE_BYTES, kept_chunks: int = KEPT_CHUNKS, keep: bool = True) -> DataFrame:
     """One row per row of docs: the key, n_tokens, ids (joined by commas) and decoded text, or with digests their SHA-256.
 
     A null or empty text has no ids and decodes to an empty text. Keys may be null or repeated; other columns of docs are
-    not read. Each row is worked on alone, so an empty table gives an empty one.
+    not read. Each row is worked on alone, so an empty table gives an empty one. pass_bytes and kept_chunks set how much
+    text shares a trie and how many chunks' ids a worker keeps, and without keep a worker drops all at the end of a task,
+    for jobs whose other stages need the memory: memory against time, with equal results.
     """
     source = docs.select(F.col(f"`{key}`").alias("key"), text_column(f"`{text}`").alias("text"))
     kind = docs.schema[key].dataType.simpleString()
     names = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
 
     def run(batches):
+        try:
+            yield from encode(batches)
+        finally:
+            if not keep:
+                vocabulary.cache_clear()
+                gc.enable()
+                gc.collect()
+                release_memory()
+
+    def encode(batches):
         gc.disable()  # nothing here forms cycles, and scanning the caches over and over takes a third of the time
         bpe = vocabulary(path)
         digest = lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
             raw = batch.column(1).cast(pa.binary()).to_pylist()
-            for start, group in passes(raw, ENCODE_BYTES):
-                rows = [(n, digest(i.encode()), digest(b.decode("utf-8", "replace").encode())) if digests else (n, i, b.decode("utf-8", "replace")) for n, i, b in bpe.encode_texts([g.decode("utf-8", "replace") for g in group])]
-                n, ids, decoded = zip(*rows)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(group)), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["key", "n_tokens", *names])
+            for start, group in passes(raw, pass_bytes):
+                rows, size, at = [], 0, start
+                for n, i, b in bpe.encode_texts([g.decode("utf-8", "replace") for g in group], kept_chunks):
+                    rows.append((n, digest(i.encode()), digest(b.decode("utf-8", "replace").encode())) if digests else (n, i, b.decode("utf-8", "replace")))
+                    size += 128 if digests else len(i) + len(b)
+                    if size >= OUT_BYTES or at + len(rows) == start + len(group):
+                        counts, ids, decoded = zip(*rows)
+                        yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(rows)), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["key", "n_tokens", *names])
+                        at += len(rows)
+                        rows, size = [], 0
+                release_memory()
 
     return source.mapInArrow(run, f"key {kind}, n_tokens bigint, {names[0]} string, {names[1]} string").withColumnRenamed("key", key)

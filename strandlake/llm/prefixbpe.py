@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 #: Entries that a cache of pairs holds before it starts anew; memory only, results don't depend on it.
-PAIRS = 400_000
+PAIRS = 900_000
 
 
 class PrefixEncoder:
