@@ -28,12 +28,12 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that hold no benchmark passage to speak of."""
-    return decontam.contamination(docs, table(spark, sf_dir, "benchmark")).filter(~F.col("contaminated")).select("row.*")
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (joined by commas) and the text that they decode to."""
-    return bpe.encoded(docs, vocabulary_file("byte_bpe_50k.json"))
+    return bpe.encoded(docs, vocabulary_file("byte_bpe_50k.json"), pass_bytes=2 << 20, kept_chunks=100_000, keep=False)
 
 
 STAGES = [

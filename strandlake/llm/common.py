@@ -25,11 +25,11 @@ _powers: list[np.ndarray] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share: spark.checkpoint.dir, or where that is unset (tests) a folder of our own."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="strandlake-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="strandlake-"))
+        found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
@@ -55,6 +55,7 @@ def text_column(name: str = "text"):
 
 def release_memory() -> None:
     """Give freed memory back to the system, so that a worker's footprint follows its present work. Only where the C library can."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):
@@ -74,6 +75,15 @@ def passes(texts: Iterable[bytes], most: int = PASS_BYTES) -> Iterator[tuple[int
         yield start, run
 
 
+def small(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a few rows: only so many texts become Python objects at once. Freed memory goes back at the end."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+    batch = None
+    release_memory()
+
+
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of each text; null as empty."""
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
@@ -180,5 +190,11 @@ def sliding(values: np.ndarray, width: int, take=np.minimum) -> np.ndarray:
 
 
 def with_row(docs: DataFrame, text: str) -> DataFrame:
-    """`row`, a struct of all columns of docs whatever their names, and `text`, empty where null."""
-    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), text_column(f"`{text}`").alias("text"))
+    """`row`, a struct of the other columns of docs whatever their names, and `text`, null where it is."""
+    others = [docs[f"`{c}`"] for c in docs.columns if c != text] or [F.lit(True).alias("_")]
+    return docs.select(F.struct(*others).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
+
+
+def whole_rows(frame: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """The columns of docs, from the row and text of with_row."""
+    return frame.select(*[F.col("text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns])

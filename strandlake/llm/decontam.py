@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, as_bytes, passes, separators, sliding, with_row
+from .common import Words, as_bytes, passes, separators, sliding, small, whole_rows, with_row
 
 WINDOW = 13
 #: Words of a fingerprint. One of the WINDOW - GRAM + 1 in a window has the least hash and is kept, on either side of the join.
@@ -115,17 +116,21 @@ def united(spans: list[tuple[int, int]]) -> int:
     return total
 
 
-def indexes(benchmark: DataFrame, item: str, text: str, block_bytes: int = BLOCK_BYTES) -> list[Index]:
-    """Indexes of blocks of items, each of a bounded size: the total is summed first, and tells the number of blocks."""
+def indexes(benchmark: DataFrame, item: str, text: str, block_bytes: int = BLOCK_BYTES) -> Iterator[Index]:
+    """Indexes of blocks of items, one after the other, each of a bounded size: the total is summed first and tells the number of blocks."""
     items = benchmark.select(F.coalesce(F.col(f"`{item}`").cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(size / block_bytes))
     items = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
-    return [Index([(r.item, r.text.encode()) for r in items.filter(F.col("block") == b).distinct().collect()]) for b in range(blocks)]
+    for b in range(blocks):
+        yield Index([(r.item, r.text.encode()) for r in items.filter(F.col("block") == b).distinct().collect()])
+
+
+_FOUND = "n_words bigint, n_hit bigint, n_items bigint, items array<string>, items_sha256 string, contaminated boolean"
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per row of docs: `row` (all its columns), n_words, n_hit, n_items, items (sorted ids), items_sha256, contaminated.
+    """One row per row of docs: `row` (its other columns), text, n_words, n_hit, n_items, items (sorted ids), items_sha256, contaminated.
 
     Words are runs of [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F] after A-Z are lowered. A window is WINDOW words of an item, or a whole
     item of fewer words. A word of a document in any occurrence of a window is hit; a document is contaminated from one hit
@@ -135,34 +140,36 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     Hits are found by fingerprints and confirmed on the words themselves. Rows are worked on alone, without a shuffle; an
     index larger than block_bytes is dealt out to blocks, and each block makes its own pass over the same stream of rows.
     """
-    spark = docs.sparkSession
-    rows = with_row(docs, text).select("*", F.lit(0).cast("bigint").alias("n_words"), F.array().cast("array<bigint>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    for index in indexes(benchmark, item, item_text, block_bytes):
-        shared = spark.sparkContext.broadcast(index)
-
-        def run(batches, shared=shared):
-            own = shared.value
-            for batch in batches:
-                spans, items, n_words = batch.column(3).to_pylist(), batch.column(4).to_pylist(), []
+    shared = [docs.sparkSession.sparkContext.broadcast(index) for index in indexes(benchmark, item, item_text, block_bytes)]
+    rows = with_row(docs, text).select("*", F.array().cast("array<bigint>").alias("spans"), F.array().cast("array<string>").alias("items"))
+    final = T.StructType([*rows.schema.fields[:2], *T._parse_datatype_string(_FOUND).fields])
+    for k, block in enumerate(shared):
+        last = k == len(shared) - 1
+
+        def run(batches, block=block, last=last):
+            own = block.value
+            for batch in small(batches):
+                spans, items, n = batch.column(2).to_pylist(), batch.column(3).to_pylist(), []
                 for start, group in passes(as_bytes(batch.column(1))):
-                    for k, (n, ranges, hit) in enumerate(own.hits(group), start):
-                        n_words.append(n)
-                        spans[k] += [x for r in ranges for x in r]
-                        items[k] += [own.ids[i] for i in hit]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], ["row", "text", "n_words", "spans", "items"])
-
-        rows = rows.mapInArrow(run, rows.schema)
-
-    def finish(batches):
-        for batch in batches:
-            n = batch.column(1).to_pylist()
-            hit = [united(list(zip(s[::2], s[1::2]))) for s in batch.column(2).to_pylist()]
-            items = [sorted(set(x)) for x in batch.column(3).to_pylist()]
-            digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(hit, pa.int64()), pa.array(map(len, items), pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(digest, pa.string()), pa.array([h > 0 and 20 * h >= w for h, w in zip(hit, n)], pa.bool_())],
-                ["row", "n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated"],
-            )
-
-    out = T.StructType([rows.schema["row"], *T._parse_datatype_string("n_words bigint, n_hit bigint, n_items bigint, items array<string>, items_sha256 string, contaminated boolean").fields])
-    return rows.drop("text").mapInArrow(finish, out)
+                    for i, (words, ranges, hit) in enumerate(own.hits(group), start):
+                        n.append(words)
+                        spans[i] += [x for r in ranges for x in r]
+                        items[i] += [own.ids[x] for x in hit]
+                if not last:
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], ["row", "text", "spans", "items"])
+                    continue
+                hit = [united(list(zip(s[::2], s[1::2]))) for s in spans]
+                items = [sorted(set(x)) for x in items]
+                digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(map(len, items), pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(digest, pa.string()), pa.array([h > 0 and 20 * h >= w for h, w in zip(hit, n)], pa.bool_())],
+                    final.names,
+                )
+
+        rows = rows.mapInArrow(run, final if last else rows.schema)
+    return rows
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The rows of docs that aren't contaminated, with their columns."""
+    return whole_rows(contamination(docs, benchmark, text, **options).filter(~F.col("contaminated")), docs, text)

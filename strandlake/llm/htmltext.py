@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import passes, with_row, written
+from .common import as_bytes, passes, small, with_row, written
 
 #: A subtree belongs to a site's template if it stands on so many pages of the host, and on this share of them.
 TEMPLATE_PAGES = 5
@@ -158,7 +158,7 @@ _FOUND = "host string, plain string, blocks array<struct<text: string, around: a
 
 
 def extract(pages: DataFrame, url: str = "url", source: str = "html", template_pages: int = TEMPLATE_PAGES, template_share: float = TEMPLATE_SHARE) -> DataFrame:
-    """One row per row of pages: `row` (all its columns) and `text`, the main text, empty if there is none.
+    """One row per row of pages: `row` (all its columns but the source) and `text`, the main text, empty if there is none.
 
     Menus, headers, footers, sidebars, notices, adverts, forms, scripts and comments go by element, role, class and id. If
     the page marks an article (article, main), its text is the result. Else it is the body's text without subtrees that
@@ -170,9 +170,9 @@ def extract(pages: DataFrame, url: str = "url", source: str = "html", template_p
     rows = with_row(pages, source).withColumn("url", F.col("row").getField(url).cast("string"))
 
     def subtrees(batches):
-        for batch in batches:
+        for batch in small(batches):
             urls = batch.column(1).to_pylist()
-            for start, group in passes(batch.column(0).cast(pa.binary()).to_pylist()):
+            for start, group in passes(as_bytes(batch.column(0))):
                 found = [sorted(set(Page(g.decode("utf-8", "replace")).hashes)) for g in group]
                 yield pa.RecordBatch.from_arrays([pa.array([host_of(u) for u in urls[start : start + len(group)]], pa.string()), pa.array(found, pa.list_(pa.int64()))], ["host", "hashes"])
 
@@ -184,9 +184,9 @@ def extract(pages: DataFrame, url: str = "url", source: str = "html", template_p
     templates = counts.filter("hash is not null").join(hosts, "host").filter(F.col("pages") >= F.col("all_pages") * template_share).select("host", "hash")
 
     def parse(batches):
-        for batch in batches:
+        for batch in small(batches):
             urls = batch.column(2).to_pylist()
-            for start, group in passes(batch.column(1).cast(pa.binary()).to_pylist()):
+            for start, group in passes(as_bytes(batch.column(1))):
                 plain, blocks = [], []
                 for g in group:
                     page = Page(g.decode("utf-8", "replace"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE_SEPARATORS, Words, as_bytes, mix, passes, prefix_sums, range_hashes, spread, text_column, written
+from .common import SPACE_SEPARATORS, Words, as_bytes, mix, passes, prefix_sums, range_hashes, small, spread, whole_rows, with_row, written
 from .components import components
 
 SHINGLE = 2
@@ -18,8 +18,9 @@ PERCENT = 80
 #: Coordinates a band and bands: two sets of similarity 0.8 share no band once in ten million pairs.
 BAND_ROWS = 5
 BANDS = 40
-#: Nodes of either side that one task holds against each other.
-CHUNK = 2000
+#: Nodes of either side that one task holds against each other, and bytes of their compressed texts.
+CHUNK = 500
+CHUNK_BYTES = 1 << 19
 
 _SEEDS = np.random.default_rng(1009).integers(0, 1 << 63, 2 * BAND_ROWS * BANDS, dtype=np.uint64)
 
@@ -92,12 +93,15 @@ def linked(a: frozenset, b: frozenset, percent: int = PERCENT) -> bool:
 
 
 def _sets(docs: DataFrame, key: str, text: str, full: bool = False, carry: bool = False) -> DataFrame:
-    """key, n, low, high (the set's hashes, null if empty); if full, also bands and body (the text, compressed); if carry, `row`."""
-    source = docs.select(F.col(f"`{key}`").cast("bigint").alias("key"), text_column(f"`{text}`").alias("text"), *([F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")] if carry else []))
+    """key, n, low, high (the set's hashes, null if empty); if full, also bands and body (the text, compressed); if carry, with_row's row and text."""
+    if carry:
+        source = with_row(docs, text).select(F.col("row").getField(key).cast("bigint").alias("key"), "text", "row")
+    else:
+        source = docs.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
 
     def run(batches):
         pack = zstandard.ZstdCompressor(3).compress
-        for batch in batches:
+        for batch in small(batches):
             for start, group in passes(as_bytes(batch.column(1))):
                 s = ShingleSets(group)
                 none = s.counts == 0
@@ -108,12 +112,12 @@ def _sets(docs: DataFrame, key: str, text: str, full: bool = False, carry: bool
                     bands = pa.ListArray.from_arrays(pa.array(np.arange(len(group) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel(), pa.int64()))
                     columns += [bands, pa.array([pack(t) for t in group], pa.binary())]
                 if carry:
-                    columns.append(batch.column(2).slice(start, len(group)))
+                    columns += [batch.column(c).slice(start, len(group)) for c in (2, 1)]
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     schema = T._parse_datatype_string("key bigint, n bigint, low bigint, high bigint" + ", bands array<bigint>, body binary" * full)
     if carry:
-        schema = T.StructType([*schema.fields, source.schema["row"]])
+        schema = T.StructType([*schema.fields, source.schema["row"], source.schema["text"]])
     return source.mapInArrow(run, schema)
 
 
@@ -126,7 +130,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         unpack = zstandard.ZstdDecompressor().decompress
         known, own = None, frozenset()
-        for batch in batches:
+        for batch in small(batches):
             kept = []
             for i, (a, x, y) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3))):
                 if a != known:
@@ -142,7 +146,7 @@ def _across(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: in
     """Links (a, b) between nodes of unlike labels that share a band.
 
     A band's main label is its most frequent one; its nodes of other labels are outsiders of that label. Each outsider is
-    held against all nodes of the main label and against the label's other outsiders, in tasks of at most CHUNK of either
+    held against all nodes of the main label and against the label's other outsiders, in tasks of about CHUNK of either
     side, which give links only. Two nodes that meet in no band differ; for those that do, this covers every pair of
     unlike labels.
     """
@@ -150,10 +154,12 @@ def _across(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: in
     sizes = named.groupBy("band", "label").agg(F.count("*").alias("size"))
     mixed = sizes.groupBy("band").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("size", "label")).alias("main")).filter("labels > 1").select("band", "main")
     outsiders = written(named.join(mixed, "band").filter("label <> main").select("main", "node", "label").distinct(), "outsiders")
-    mains = outsiders.groupBy("main").agg(F.count("*").alias("n_out"))
-    of_main = nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("main")).join(mains.select("main"), "main")
+    parts = lambda: F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("size") / CHUNK_BYTES)).cast("int")
+    sizes = nodes.select("node", F.octet_length("body").alias("size"))
+    columns = outsiders.join(sizes, "node").groupBy("main").agg(parts().alias("columns"))
+    of_main = nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("main")).join(columns.select("main"), "main")
     held = written(of_main.select("main", "node", F.col("main").alias("label")).union(outsiders), "held")
-    chunks = held.groupBy("main").agg(F.count("*").alias("n")).join(mains, "main").select("main", F.ceil(F.col("n") / CHUNK).cast("int").alias("rows"), F.ceil(F.col("n_out") / CHUNK).cast("int").alias("columns"))
+    chunks = held.join(sizes, "node").groupBy("main").agg(parts().alias("rows")).join(columns, "main")
     part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     row_side = held.join(chunks, "main").select("main", "node", "label", F.lit(False).alias("outside"), part("rows").alias("i"), every("columns").alias("j"))
@@ -226,4 +232,4 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of docs that near_duplicates keeps, with their columns."""
     rows = _sets(docs, key, text, carry=True).join(_classes(docs, key, text, percent), ["low", "high"], "left")
-    return rows.filter(F.col("low").isNull() | F.col("key").eqNullSafe(F.col("component_id"))).select("row.*")
+    return whole_rows(rows.filter(F.col("low").isNull() | F.col("key").eqNullSafe(F.col("component_id"))), docs, text)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, passes, text_column
+from .common import fresh_path, passes, small, text_column
 
 #: Payloads below this size are never revisits.
 LEAST_BYTES = 0
@@ -137,7 +137,7 @@ def archive(pages: DataFrame, key: str = "page_id", url: str = "url", source: st
     rows = pages.select(F.col(f"`{key}`").cast("bigint").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), text_column(f"`{source}`").alias("html"))
 
     def convert(batches):
-        for batch in batches:
+        for batch in small(batches):
             keys, urls = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for start, group in passes(batch.column(2).cast(pa.binary()).to_pylist(), 4 << 20):
                 own = range(start, start + len(group))
