@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import release_memory, text_column, written
+from .common import release_memory, small, text_column, written
 
 #: Bytes of text in a block; one longer text is a block of its own.
 BLOCK_BYTES = 2 << 20
@@ -61,7 +61,7 @@ def blocks(docs: DataFrame, text: str, key: str) -> DataFrame:
             held, size, number = [], 0, number + 1
             return out
 
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(2).cast(pa.binary()).to_pylist()
             begin = 0
             for i, t in enumerate(texts):

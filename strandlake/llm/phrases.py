@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import exchange as X
-from .common import SPACE_SEPARATORS, Words, passes, sliding
+from .common import SPACE_SEPARATORS, Words, mix, passes, sliding
 
 WINDOW = 13
 #: Words of a fingerprint; each window's least one tells whether the window is asked for at all.
@@ -33,7 +33,8 @@ class Windows:
             doc = np.searchsorted(words.first, at, side="right") - 1
             inside = at + window <= words.first[doc + 1]
             least = sliding(words.window_hashes(gram), window - gram + 1)
-            parts.append((hashes[inside], least[inside], doc[inside] + start, (at - words.first[doc])[inside]))
+            # Least hashes lie close to zero; mixed once more, they spread over the buckets.
+            parts.append((hashes[inside], mix(least[inside]), doc[inside] + start, (at - words.first[doc])[inside]))
             self.n_words[start : start + len(group)] = np.diff(words.first)
         empty = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.hash, self.least, self.doc, self.at = (np.concatenate(x) for x in zip(*(parts or [empty])))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import exchange as X
-from .common import byte_hashes, byte_sums, passes, range_hashes, sliding, spread
+from .common import byte_hashes, byte_sums, mix, passes, range_hashes, sliding, spread
 
 LENGTH = 100
 #: Bytes of a fingerprint; the least one in each LENGTH bytes tells whether they are asked for, and where.
@@ -80,6 +80,25 @@ def longest_previous_factors(data: bytes) -> np.ndarray:
     return best
 
 
+def reaches_earlier(ranks: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Where the longest previous factor of a suffix has the whole length that the ranks tell apart.
+
+    In suffix order the best earlier match of a suffix is the previous or the next one with a smaller place. Suffixes of one
+    rank stand side by side and share that length, so it is enough that either lies within the same rank: running minima of
+    the places, from the front and from behind, each starting anew with a rank, tell so.
+    """
+    order = np.argsort(ranks, kind="stable")
+    own, at = ranks[order], places[order]
+    fresh = np.r_[True, own[1:] != own[:-1]]
+    group, wide = np.cumsum(fresh), np.int64(at.max() + 1)
+    from_front = np.minimum.accumulate(at - group * wide) + group * wide
+    back = group[-1] - group
+    from_behind = (np.minimum.accumulate((at - back * wide)[::-1]))[::-1] + back * wide
+    out = np.empty(len(ranks), bool)
+    out[order] = (from_front < at) | (from_behind < at)
+    return out
+
+
 class Segments:
     """Of a block: stretches of windows (LENGTH bytes inside one text) that share their least fingerprint, if that recurs.
 
@@ -119,7 +138,8 @@ class Segments:
                 digest = range_hashes(byte_sums(data), heads, ends + LENGTH - 1)
             else:
                 times, digest = heads, np.zeros(0, np.uint64)
-            parts.append((value, doc + start, heads - first[doc], ends - heads, times, digest))
+            # Least hashes lie close to zero; mixed once more, they spread over the buckets.
+            parts.append((mix(value), doc + start, heads - first[doc], ends - heads, times, digest))
         empty = (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(4)), np.zeros(0, np.uint64))
         self.value, self.doc, self.begin, self.n, self.times, self.digest = (np.concatenate(x) for x in zip(*(parts or [empty])))
 
@@ -209,7 +229,10 @@ def _earlier(data: np.ndarray, value: np.ndarray, keys: np.ndarray, begin: np.nd
         text = data[spread(at[own], size[own])]
         where = np.r_[0, np.cumsum(size[own])[:-1]]
         ranks = suffix_ranks(text, LENGTH)[spread(where, n[own])]  # of the windows only
-        removed[spread(starts[own], n[own])] = X.later_of_equals(ranks, np.repeat(keys[own], n[own]), spread(begin[own], n[own]))
+        by_place = np.lexsort((begin[own], keys[own]))
+        place = np.empty(len(own), np.int64)
+        place[by_place] = np.cumsum(np.r_[False, (np.diff(keys[own][by_place]) != 0) | (np.diff(begin[own][by_place]) != 0)])
+        removed[spread(starts[own], n[own])] = reaches_earlier(ranks, spread(place * int(n[own].max()), n[own]))
     # Copies at the same (key, start) share the first one's verdicts; later ones go.
     for c in np.flatnonzero((first_of != np.arange(len(order))) & ~later).tolist():
         removed[starts[c] : starts[c] + n[c]] = removed[starts[first_of[c]] : starts[first_of[c]] + n[c]]

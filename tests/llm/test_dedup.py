@@ -177,6 +177,15 @@ def test_longest_previous_factors():
         assert suffix.longest_previous_factors(data).tolist() == want
 
 
+def test_reaches_earlier_is_a_full_previous_factor():
+    rng = random.Random(5)
+    data = bytes(rng.choice(b"ab") for _ in range(300))
+    for length in (1, 4, 9):
+        n = len(data) - length + 1
+        ranks = suffix.suffix_ranks(np.frombuffer(data, np.uint8), length)[:n]
+        assert suffix.reaches_earlier(ranks, np.arange(n)).tolist() == (suffix.longest_previous_factors(data)[:n] >= length).tolist()
+
+
 def test_suffix_ranks():
     rng = np.random.default_rng(2)
     data = rng.integers(97, 99, 500).astype(np.uint8)
