@@ -251,3 +251,9 @@ def test_queries(spark, duck, name):
         assert canon(tuple(r[c] for c in sorted(order)) for r in got.collect()) == canon(tuple(r[order.index(c)] for c in sorted(order)) for r in want.fetchall())
     else:
         assert got.count() > 0
+
+
+@pytest.mark.parametrize("name", ["op6_sharding", "op7_quality_rules"])
+def test_native_queries_run_no_python(spark, name):
+    text = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", text)
