@@ -68,7 +68,7 @@ class PrefixEncoder:
                 last += [""] * more
                 count += [0] * more
             for i in range(shared + 1, len(word) + 1):
-                for j in range(i - longest if i > longest else 0, i):
+                for j in range(i - 1, i - longest - 1 if i > longest else -1, -1):
                     t = word[j:i]
                     known = behind(t)
                     if known is not None:
