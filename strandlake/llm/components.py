@@ -14,7 +14,7 @@ def components(links: DataFrame) -> DataFrame:
     A round gives each node the least label among its neighbours', then the label of that label. Labels only fall, and the
     rounds end when none does. A hub's many links are combined before the shuffle.
     """
-    both = written(links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a")).distinct(), "links")
+    both = written(links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a")), "links")
     labels = written(both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("other"), F.col("label").alias("seen")), "other").groupBy("node").agg(F.min("seen").alias("seen"))

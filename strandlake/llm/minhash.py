@@ -159,7 +159,8 @@ def _across(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: in
     columns = outsiders.join(sizes, "node").groupBy("main").agg(parts().alias("columns"))
     of_main = nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("main")).join(columns.select("main"), "main")
     held = written(of_main.select("main", "node", F.col("main").alias("label")).union(outsiders), "held")
-    chunks = held.join(sizes, "node").groupBy("main").agg(parts().alias("rows")).join(columns, "main")
+    # A table of its own, so that the joins below shuffle both sides and a large component's share can be split.
+    chunks = written(held.join(sizes, "node").groupBy("main").agg(parts().alias("rows")).join(columns, "main"), "chunks")
     part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     row_side = held.join(chunks, "main").select("main", "node", "label", F.lit(False).alias("outside"), part("rows").alias("i"), every("columns").alias("j"))
@@ -201,12 +202,14 @@ def _classes(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     members = written(bands.join(shared, "band"), "bands")
     pairs = members.filter("node > leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     labels = components(_verified(pairs, nodes, percent))
-    more = _across(members, labels, nodes, percent)
+    more = written(_across(members, labels, nodes, percent), "more")
     named = nodes.select("node", "low", "high", "least_key").join(labels, "node", "left").select("node", "low", "high", "least_key", F.coalesce("label", "node").alias("label"))
     end = lambda c: named.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
-    lifted = more.join(end("a"), "a").join(end("b"), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
-    joined = components(lifted).select(F.col("node").alias("label"), F.col("label").alias("whole"))
-    final = named.join(joined, "label", "left").select("low", "high", "least_key", F.coalesce("whole", "label").alias("label"))
+    final = named
+    if not more.isEmpty():
+        lifted = more.join(end("a"), "a").join(end("b"), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+        joined = components(lifted).select(F.col("node").alias("label"), F.col("label").alias("whole"))
+        final = named.join(joined, "label", "left").select("low", "high", "least_key", F.coalesce("whole", "label").alias("label"))
     least = final.groupBy("label").agg(F.min("least_key").alias("component_id"))
     return final.join(least, "label").select("low", "high", "component_id")
 
