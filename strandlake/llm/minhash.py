@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from .common import SPACE_SEPARATORS, Words, as_bytes, mix, passes, prefix_sums, range_hashes, small, spread, whole_rows, with_row, written
 from .components import components
 
+#: Words of a shingle, unless the caller gives another number.
 SHINGLE = 2
 #: Similarity in percent from which on documents are linked.
 PERCENT = 80
@@ -59,16 +60,16 @@ def band_keys(rows: np.ndarray, band_rows: int = BAND_ROWS) -> np.ndarray:
 
 
 class ShingleSets:
-    """Distinct shingle hashes of several texts (A-Z lowered): values in ascending order for each text, and counts."""
+    """Distinct hashes of several texts' shingles of `size` words (A-Z lowered): values in ascending order for each text, and counts."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], size: int = SHINGLE):
         words = Words([t.lower() for t in texts], SPACE_SEPARATORS)
         first, n = words.first[:-1], np.diff(words.first)
-        pairs = words.window_hashes(SHINGLE)
-        some = np.maximum(n - SHINGLE + 1, 0)
-        few = (n > 0) & (n < SHINGLE)  # the whole sequence is one shingle
-        values = np.concatenate([pairs[spread(first, some)], words.hash[first[few]]]) if len(n) else pairs
-        owner = np.concatenate([np.repeat(np.arange(len(n)), some), np.flatnonzero(few)])
+        windows = words.window_hashes(size)
+        some = np.maximum(n - size + 1, 0)
+        few = [np.flatnonzero(n == k) for k in range(1, size)]  # the whole sequence is one shingle
+        values = np.concatenate([windows[spread(first, some)], *(words.window_hashes(k)[first[f]] for k, f in enumerate(few, 1))]) if len(n) else windows
+        owner = np.concatenate([np.repeat(np.arange(len(n)), some), *few])
         order = np.lexsort((values, owner))
         values, owner = values[order], owner[order]
         fresh = np.r_[True, (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])] if len(values) else np.zeros(0, bool)
@@ -81,10 +82,10 @@ class ShingleSets:
         self.high = range_hashes(prefix_sums(mix(self.values)), ends - self.counts, ends)
 
 
-def shingles(text: bytes) -> frozenset[bytes]:
-    """The full shingle set of one text."""
+def shingles(text: bytes, size: int = SHINGLE) -> frozenset[bytes]:
+    """The full shingle set of one text; fewer words than a shingle has are one shingle."""
     w = text.lower().split()
-    return frozenset(map(b" ".join, zip(w, w[1:]))) if len(w) > 1 else frozenset(w)
+    return frozenset(map(b" ".join, zip(*(w[k:] for k in range(size))))) if len(w) >= size else frozenset([b" ".join(w)] if w else [])
 
 
 def linked(a: frozenset, b: frozenset, percent: int = PERCENT) -> bool:
@@ -92,7 +93,7 @@ def linked(a: frozenset, b: frozenset, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _sets(docs: DataFrame, key: str, text: str, full: bool = False, carry: bool = False) -> DataFrame:
+def _sets(docs: DataFrame, key: str, text: str, size: int, full: bool = False, carry: bool = False) -> DataFrame:
     """key, n, low, high (the set's hashes, null if empty); if full, also bands and body (the text, compressed); if carry, with_row's row and text."""
     if carry:
         source = with_row(docs, text).select(F.col("row").getField(key).cast("bigint").alias("key"), "text", "row")
@@ -103,7 +104,7 @@ def _sets(docs: DataFrame, key: str, text: str, full: bool = False, carry: bool
         pack = zstandard.ZstdCompressor(3).compress
         for batch in small(batches):
             for start, group in passes(as_bytes(batch.column(1))):
-                s = ShingleSets(group)
+                s = ShingleSets(group, size)
                 none = s.counts == 0
                 columns = [batch.column(0).slice(start, len(group)), pa.array(s.counts, pa.int64()), pa.array(s.low.view(np.int64), pa.int64(), mask=none), pa.array(s.high.view(np.int64), pa.int64(), mask=none)]
                 if full:
@@ -121,7 +122,7 @@ def _sets(docs: DataFrame, key: str, text: str, full: bool = False, carry: bool
     return source.mapInArrow(run, schema)
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, percent: int, size: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     body = nodes.select("node", "body")
     with_b = pairs.join(body.select(F.col("node").alias("b"), F.col("body").alias("body_b")), "b")
@@ -134,15 +135,15 @@ def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             kept = []
             for i, (a, x, y) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3))):
                 if a != known:
-                    known, own = a, shingles(unpack(x.as_py()))
-                if linked(own, shingles(unpack(y.as_py())), percent):
+                    known, own = a, shingles(unpack(x.as_py()), size)
+                if linked(own, shingles(unpack(y.as_py()), size), percent):
                     kept.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).take(pa.array(kept, pa.int64()))
 
     return both.select("a", "b", "body_a", "body_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def _across(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def _across(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int, size: int) -> DataFrame:
     """Links (a, b) between nodes of unlike labels that share a band.
 
     A band's main label is its most frequent one; its nodes of other labels are outsiders of that label. Each outsider is
@@ -170,7 +171,7 @@ def _across(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: in
     def run(table: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor().decompress
         node, label, outside = (table.column(c).to_pylist() for c in ("node", "label", "outside"))
-        sets = [shingles(unpack(b.as_py())) for b in table.column("body")]
+        sets = [shingles(unpack(b.as_py()), size) for b in table.column("body")]
         parent: dict[int, int] = {}
 
         def root(x: int) -> int:
@@ -192,17 +193,17 @@ def _across(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: in
     return tasks.groupBy("main", "i", "j").applyInArrow(run, "a bigint, b bigint")
 
 
-def _classes(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
+def _classes(docs: DataFrame, key: str, text: str, percent: int, size: int) -> DataFrame:
     """low, high and component_id of each distinct set that isn't empty."""
-    every = _sets(docs, key, text, full=True).filter(F.col("low").isNotNull())
+    every = _sets(docs, key, text, size, full=True).filter(F.col("low").isNotNull())
     grouped = every.groupBy("low", "high").agg(F.min("key").alias("least_key"), F.first("bands").alias("bands"), F.first("body").alias("body"))
     nodes = written(grouped.withColumn("node", F.monotonically_increasing_id()), "nodes")
     bands = nodes.select("node", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("members")).filter("members > 1").drop("members")
     members = written(bands.join(shared, "band"), "bands")
     pairs = members.filter("node > leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    labels = components(_verified(pairs, nodes, percent))
-    more = written(_across(members, labels, nodes, percent), "more")
+    labels = components(_verified(pairs, nodes, percent, size))
+    more = written(_across(members, labels, nodes, percent, size), "more")
     named = nodes.select("node", "low", "high", "least_key").join(labels, "node", "left").select("node", "low", "high", "least_key", F.coalesce("label", "node").alias("label"))
     end = lambda c: named.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
     final = named
@@ -214,10 +215,10 @@ def _classes(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     return final.join(least, "label").select("low", "high", "component_id")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """One row per row of docs: key, n_shingles, component_id (the least key reachable over links), kept (key = component_id).
 
-    Rows are linked from `percent` on of shared in united shingles. Texts without words (null, empty, blank) have an empty
+    Rows are linked from `percent` on of shared in united shingles of `size` words. Texts without words (null, empty, blank) have an empty
     set and are linked with nothing. Equal sets are one node, however many rows hold them; a repeated row is kept where the
     first is. A null key takes its component's least key; a component of null keys only has a null component_id and is kept.
     An empty table gives an empty one; other columns are not read.
@@ -227,12 +228,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
        verified once, on the full sets of words. Links give components.
     3. A band whose nodes are still in several components may hide links between them; _across looks for these.
     """
-    rows = _sets(docs, key, text).join(_classes(docs, key, text, percent), ["low", "high"], "left")
+    rows = _sets(docs, key, text, size).join(_classes(docs, key, text, percent, size), ["low", "high"], "left")
     component = F.when(F.col("low").isNull(), F.col("key")).otherwise(F.col("component_id"))
     return rows.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"))
 
 
-def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """The rows of docs that near_duplicates keeps, with their columns."""
-    rows = _sets(docs, key, text, carry=True).join(_classes(docs, key, text, percent), ["low", "high"], "left")
+    rows = _sets(docs, key, text, size, carry=True).join(_classes(docs, key, text, percent, size), ["low", "high"], "left")
     return whole_rows(rows.filter(F.col("low").isNull() | F.col("key").eqNullSafe(F.col("component_id"))), docs, text)

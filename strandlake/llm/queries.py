@@ -16,7 +16,7 @@ def vocabulary_file(name: str) -> str:
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=2)
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
