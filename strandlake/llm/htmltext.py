@@ -74,7 +74,7 @@ class Page:
             text = " ".join("".join(self._text).split())
             self._text.clear()
             if text:
-                within = () if self._rooted else tuple([e[1] for e in self._open if e[1] >= 0])
+                within = tuple([e[1] for e in self._open if e[1] >= 0])
                 self.blocks.append((text, within, self._rooted > 0))
                 if self._open and self._open[-1][2] is not None:
                     self._open[-1][2].append(text)
@@ -122,7 +122,7 @@ class Page:
             self._flush()
         if root:
             self.has_root = True
-        hashed = not self._rooted and not root and name not in ("html", "body")
+        hashed = name not in ("html", "body")
         number = -1
         if hashed:
             number = len(self.hashes)
@@ -154,55 +154,39 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-_FOUND = "host string, plain string, blocks array<struct<text: string, around: array<bigint>>>"
+_FOUND = "host string, blocks array<struct<text: string, around: array<bigint>>>"
 
 
 def extract(pages: DataFrame, url: str = "url", source: str = "html", template_pages: int = TEMPLATE_PAGES, template_share: float = TEMPLATE_SHARE) -> DataFrame:
     """One row per row of pages: `row` (all its columns but the source) and `text`, the main text, empty if there is none.
 
     Menus, headers, footers, sidebars, notices, adverts, forms, scripts and comments go by element, role, class and id. If
-    the page marks an article (article, main), its text is the result. Else it is the body's text without subtrees that
-    recur on many pages of the host: every element subtree outside an article is hashed, Spark counts the pages of each
-    (host, hash), and a block goes if a subtree around it is one of those. Character references are decoded, white space
-    inside a block becomes one space, blocks are joined by one space. A null or empty page has an empty text; pages without
-    a URL count as one host's; repeated rows count as pages of their own; no pages give no rows.
+    the page marks an article (article, main), only its text is read on, else the body's. Of that text, subtrees that recur
+    on many pages of the host go: every element subtree is hashed, Spark counts the pages of each (host, hash), and a block
+    goes if a subtree around it is one of those. Character references are decoded, white space inside a block becomes one
+    space, blocks are joined by one space. A null or empty page has an empty text; pages without a URL count as one host's;
+    repeated rows count as pages of their own; no pages give no rows.
     """
     rows = with_row(pages, source).withColumn("url", F.col("row").getField(url).cast("string"))
 
-    def subtrees(batches):
-        for batch in small(batches):
-            urls = batch.column(1).to_pylist()
-            for start, group in passes(as_bytes(batch.column(0))):
-                found = [sorted(set(Page(g.decode("utf-8", "replace")).hashes)) for g in group]
-                yield pa.RecordBatch.from_arrays([pa.array([host_of(u) for u in urls[start : start + len(group)]], pa.string()), pa.array(found, pa.list_(pa.int64()))], ["host", "hashes"])
-
-    seen = rows.select("text", "url").mapInArrow(subtrees, "host string, hashes array<bigint>")
-    # Pages of a host are counted as the pages of a mark that every page has, in the same pass.
-    counts = seen.select("host", F.explode(F.concat(F.array(F.lit(None).cast("bigint")), "hashes")).alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("pages"))
-    counts = written(counts.filter(F.col("hash").isNull() | (F.col("pages") >= template_pages)), "subtrees")
-    hosts = counts.filter("hash is null").select("host", F.col("pages").alias("all_pages"))
-    templates = counts.filter("hash is not null").join(hosts, "host").filter(F.col("pages") >= F.col("all_pages") * template_share).select("host", "hash")
-
     def parse(batches):
         for batch in small(batches):
             urls = batch.column(2).to_pylist()
             for start, group in passes(as_bytes(batch.column(1))):
-                plain, blocks = [], []
-                for g in group:
-                    page = Page(g.decode("utf-8", "replace"))
-                    kept = page.kept()
-                    settled = page.has_root or not any(around for _, around in kept)
-                    plain.append(" ".join([t for t, _ in kept]) if settled else None)
-                    blocks.append(None if settled else [{"text": t, "around": a} for t, a in kept])
+                blocks = [[{"text": t, "around": a} for t, a in Page(g.decode("utf-8", "replace")).kept()] for g in group]
                 hosts = [host_of(u) for u in urls[start : start + len(group)]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(group)), pa.array(hosts, pa.string()), pa.array(plain, pa.string()), pa.array(blocks, pa.list_(pa.struct([("text", pa.string()), ("around", pa.list_(pa.int64()))])))], ["row", "host", "plain", "blocks"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(group)), pa.array(hosts, pa.string()), pa.array(blocks, pa.list_(pa.struct([("text", pa.string()), ("around", pa.list_(pa.int64()))])))], ["row", "host", "blocks"])
 
     schema = T.StructType([rows.schema["row"], *T._parse_datatype_string(_FOUND).fields])
-    parsed = rows.select("row", "text", "url").mapInArrow(parse, schema)
-    settled = parsed.filter("plain is not null").select("row", F.col("plain").alias("text"))
-    open_pages = written(parsed.filter("plain is null").select("row", "host", "blocks").withColumn("page", F.monotonically_increasing_id()), "pages")
-    around = open_pages.select("page", "host", F.explode(F.array_distinct(F.flatten("blocks.around"))).alias("hash"))
+    parsed = written(rows.select("row", "text", "url").mapInArrow(parse, schema).withColumn("page", F.monotonically_increasing_id()), "pages")
+    hashes = F.array_distinct(F.flatten("blocks.around"))
+    # Pages of a host are counted as the pages of a mark that every page has, in the same pass.
+    seen = parsed.select("host", F.explode(F.concat(F.array(F.lit(None).cast("bigint")), hashes)).alias("hash"))
+    counts = seen.groupBy("host", "hash").agg(F.count("*").alias("pages"))
+    counts = written(counts.filter(F.col("hash").isNull() | (F.col("pages") >= template_pages)), "subtrees")
+    hosts = counts.filter("hash is null").select("host", F.col("pages").alias("all_pages"))
+    templates = counts.filter("hash is not null").join(hosts, "host").filter(F.col("pages") >= F.col("all_pages") * template_share).select("host", "hash")
+    around = parsed.select("page", "host", F.explode(hashes).alias("hash"))
     marked = around.join(templates, ["host", "hash"]).groupBy("page").agg(F.collect_set("hash").alias("gone"))
     left = F.filter("blocks", lambda b: ~F.arrays_overlap(b["around"], F.coalesce("gone", F.array().cast("array<bigint>"))))
-    cleaned = open_pages.join(marked, "page", "left").select("row", F.array_join(left["text"], " ").alias("text"))
-    return settled.unionByName(cleaned)
+    return parsed.join(marked, "page", "left").select("row", F.array_join(left["text"], " ").alias("text"))
