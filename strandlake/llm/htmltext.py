@@ -154,7 +154,7 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-_FOUND = "host string, blocks array<struct<text: string, around: array<bigint>>>"
+_FOUND = "host string, copy binary, blocks array<struct<text: string, around: array<bigint>>>"
 
 
 def extract(pages: DataFrame, url: str = "url", source: str = "html", template_pages: int = TEMPLATE_PAGES, template_share: float = TEMPLATE_SHARE) -> DataFrame:
@@ -165,7 +165,7 @@ def extract(pages: DataFrame, url: str = "url", source: str = "html", template_p
     on many pages of the host go: every element subtree is hashed, Spark counts the pages of each (host, hash), and a block
     goes if a subtree around it is one of those. Character references are decoded, white space inside a block becomes one
     space, blocks are joined by one space. A null or empty page has an empty text; pages without a URL count as one host's;
-    repeated rows count as pages of their own; no pages give no rows.
+    pages of one host with the same text before this step are copies and count once; no pages give no rows.
     """
     rows = with_row(pages, source).withColumn("url", F.col("row").getField(url).cast("string"))
 
@@ -175,13 +175,15 @@ def extract(pages: DataFrame, url: str = "url", source: str = "html", template_p
             for start, group in passes(as_bytes(batch.column(1))):
                 blocks = [[{"text": t, "around": a} for t, a in Page(g.decode("utf-8", "replace")).kept()] for g in group]
                 hosts = [host_of(u) for u in urls[start : start + len(group)]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(group)), pa.array(hosts, pa.string()), pa.array(blocks, pa.list_(pa.struct([("text", pa.string()), ("around", pa.list_(pa.int64()))])))], ["row", "host", "blocks"])
+                copies = [xxhash.xxh3_128_digest("\0".join([b["text"] for b in page]).encode("utf-8", "replace")) for page in blocks]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(group)), pa.array(hosts, pa.string()), pa.array(copies, pa.binary()), pa.array(blocks, pa.list_(pa.struct([("text", pa.string()), ("around", pa.list_(pa.int64()))])))], ["row", "host", "copy", "blocks"])
 
     schema = T.StructType([rows.schema["row"], *T._parse_datatype_string(_FOUND).fields])
     parsed = written(rows.select("row", "text", "url").mapInArrow(parse, schema).withColumn("page", F.monotonically_increasing_id()), "pages")
     hashes = F.array_distinct(F.flatten("blocks.around"))
     # Pages of a host are counted as the pages of a mark that every page has, in the same pass.
-    seen = parsed.select("host", F.explode(F.concat(F.array(F.lit(None).cast("bigint")), hashes)).alias("hash"))
+    # A subtree may stand in some copies of a text only, so all copies' hashes are united.
+    seen = parsed.select("host", "copy", F.explode(F.concat(F.array(F.lit(None).cast("bigint")), hashes)).alias("hash")).distinct()
     counts = seen.groupBy("host", "hash").agg(F.count("*").alias("pages"))
     counts = written(counts.filter(F.col("hash").isNull() | (F.col("pages") >= template_pages)), "subtrees")
     hosts = counts.filter("hash is null").select("host", F.col("pages").alias("all_pages"))

@@ -12,3 +12,17 @@ def test_templates_inside_articles_go(spark):
     page = "<html><body><main><article><h1>Title {0}</h1><p>own {0}</p><div class='box'><p>About us</p>Legal</div></article><section>All rights</section></main></body></html>"
     rows = [(k, f"http://a.example/{k}", page.format(k)) for k in range(8)] + [(100, "http://b.example/", page.format(100))]
     assert texts(spark, rows) == {k: f"Title {k} own {k}" for k in range(8)} | {100: "Title 100 own 100 About us Legal All rights"}
+
+
+def test_copies_count_once(spark):
+    page = "<body><div><p>A full article.</p><p>Its second part.</p></div>{0}</body>"
+    rows = [(k, f"http://a.example/{k}", page.format("")) for k in range(6)] + [(10 + k, None, page.format("")) for k in range(6)]
+    rows += [(20 + k, f"http://c.example/{k}", page.format(f"<aside>advert {k}</aside>").replace("<div>", "<main>").replace("</div>", "</main>")) for k in range(6)]
+    rows += [(30 + k, f"http://c.example/n{k}", f"<main>own {k}</main>") for k in range(3)]
+    whole = "A full article. Its second part."
+    assert texts(spark, rows) == {k: f"own {k - 30}" if k >= 30 else whole for k, _, _ in rows}
+
+
+def test_templates_of_copied_pages_go(spark):
+    rows = [(k, "http://a.example/", f"<main><p>own {k // 2}</p><p>box</p></main>") for k in range(12)]
+    assert texts(spark, rows) == {k: f"own {k // 2}" for k, _, _ in rows}
