@@ -16,6 +16,8 @@ from .common import as_bytes, passes, small, with_row, written
 #: A subtree belongs to a site's template if it stands on so many pages of the host, and on this share of them.
 TEMPLATE_PAGES = 5
 TEMPLATE_SHARE = 0.2
+#: On so many pages it does whatever their share, so that the bar doesn't grow with the host.
+TEMPLATE_ENOUGH = 100
 
 #: Kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -157,13 +159,13 @@ def host_of(url: str | None) -> str:
 _FOUND = "host string, copy binary, blocks array<struct<text: string, around: array<bigint>>>"
 
 
-def extract(pages: DataFrame, url: str = "url", source: str = "html", template_pages: int = TEMPLATE_PAGES, template_share: float = TEMPLATE_SHARE) -> DataFrame:
+def extract(pages: DataFrame, url: str = "url", source: str = "html", template_pages: int = TEMPLATE_PAGES, template_share: float = TEMPLATE_SHARE, template_enough: int = TEMPLATE_ENOUGH) -> DataFrame:
     """One row per row of pages: `row` (all its columns but the source) and `text`, the main text, empty if there is none.
 
     Menus, headers, footers, sidebars, notices, adverts, forms, scripts and comments go by element, role, class and id. If
     the page marks an article (article, main), only its text is read on, else the body's. Of that text, subtrees that recur
     on many pages of the host go: every element subtree is hashed, Spark counts the pages of each (host, hash), and a block
-    goes if a subtree around it is one of those. Character references are decoded, white space inside a block becomes one
+    goes if a subtree around it stands on template_pages and template_share of the pages, or on template_enough. Character references are decoded, white space inside a block becomes one
     space, blocks are joined by one space. A null or empty page has an empty text; pages without a URL count as one host's;
     pages of one host with the same text before this step are copies and count once; no pages give no rows.
     """
@@ -187,7 +189,7 @@ def extract(pages: DataFrame, url: str = "url", source: str = "html", template_p
     counts = seen.groupBy("host", "hash").agg(F.count("*").alias("pages"))
     counts = written(counts.filter(F.col("hash").isNull() | (F.col("pages") >= template_pages)), "subtrees")
     hosts = counts.filter("hash is null").select("host", F.col("pages").alias("all_pages"))
-    templates = counts.filter("hash is not null").join(hosts, "host").filter(F.col("pages") >= F.col("all_pages") * template_share).select("host", "hash")
+    templates = counts.filter("hash is not null").join(hosts, "host").filter(F.col("pages") >= F.least(F.col("all_pages") * template_share, F.lit(float(template_enough)))).select("host", "hash")
     around = parsed.select("page", "host", F.explode(hashes).alias("hash"))
     marked = around.join(templates, ["host", "hash"]).groupBy("page").agg(F.collect_set("hash").alias("gone"))
     left = F.filter("blocks", lambda b: ~F.arrays_overlap(b["around"], F.coalesce("gone", F.array().cast("array<bigint>"))))

@@ -26,3 +26,8 @@ def test_copies_count_once(spark):
 def test_templates_of_copied_pages_go(spark):
     rows = [(k, "http://a.example/", f"<main><p>own {k // 2}</p><p>box</p></main>") for k in range(12)]
     assert texts(spark, rows) == {k: f"own {k // 2}" for k, _, _ in rows}
+
+
+def test_templates_of_a_section_go_on_a_large_host(spark):
+    rows = [(k, "http://big.example/", f"<p>own {k}</p>" + "<div>section</div>" * (k < 120) + "<div>few</div>" * (k % 100 == 0)) for k in range(900)]
+    assert texts(spark, rows) == {k: f"own {k}" + " few" * (k % 100 == 0) for k in range(900)}
