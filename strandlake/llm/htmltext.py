@@ -7,6 +7,7 @@ import re
 
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,19 +34,35 @@ _ATTRIBUTES = r"""(?:[^>"']|"[^"]*"|'[^']*')*+"""
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe|xmp)\b{_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][a-z0-9:-]*)({_ATTRIBUTES})>|<[!?/][^>]*>", re.S | re.I)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|itemprop)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 NAMED_AWAY = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|sidebar|widget|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|topbar|toolbar|shar(?:e|ing)|social|related|recommended|comments?|disqus|respond|replies|pagination|pager)(?:$|[\s_-])", re.I)
+#: Parts of a class that tell a state or a layout: with-sidebar, no-sidebar, has-nav, comments-open name no sidebar, nav or comments.
+STATES = frozenset("with without has have no not non open opened closed enabled disabled".split())
+#: An element without an article keeps its text against its name if that has so many characters and is this share of the page's.
+MOST_CHARACTERS = 500
+MOST_SHARE = 0.8
 NAMED_HEADER = re.compile(r"(?:^|[\s_-])(?:header|site-title)(?:$|[\s_-])", re.I)
 
 
+def named(names: str, pattern: re.Pattern) -> bool:
+    """Whether one of the classes or ids has a listed name, other than in a word for a state or a layout."""
+    return bool(pattern.search(names)) and any(pattern.search(n) and STATES.isdisjoint(re.split("[-_]+", n.lower())) for n in names.split())
+
+
 class Page:
-    """One page: `blocks` of (text, numbers of the open elements), `hashes` of the numbered elements, and whether an article holds the text."""
+    """One page: `blocks` of (text, numbers of the open elements, named parts, articles), `hashes` of the numbered elements, and whether an article holds the text.
+
+    Elements that go by class or id alone, the named parts, are read like others; what they hold is decided on at the end.
+    """
 
     def __init__(self, source: str):
         self.hashes: list[int] = []
-        self.blocks: list[tuple[str, tuple[int, ...], bool]] = []
-        self.has_root = False
-        # An open element: [name, number or -1, its content for the hash or None, opens a dropped part, opens the root]
+        self.blocks: list[tuple[str, tuple[int, ...], tuple[int, ...], int]] = []
+        # For each article: the named parts that are it or hold it, and whether it is marked as the main one.
+        self.roots: list[tuple[tuple[int, ...], bool]] = []
+        # An open element: [name, number or -1, its content for the hash or None, opens a dropped part, its number as an article or -1, as a named part or -1]
         self._open: list[list] = []
-        self._dropped = self._rooted = 0
+        self._dropped, self._root = 0, -1
+        self._parts: list[int] = []
+        self._n_parts = 0
         self._text: list[str] = []
         at = 0
         for m in TOKEN.finditer(source):
@@ -63,6 +80,27 @@ class Page:
         self._flush()
         while self._open:
             self._pop()
+        self._decide()
+
+    def _decide(self) -> None:
+        """Drop the named parts, but for those that hold the page's main text."""
+        size, of_part, of_root = 0, dict.fromkeys(range(self._n_parts), 0), dict.fromkeys(range(len(self.roots)), 0)
+        for text, _, parts, root in self.blocks:
+            size += len(text)
+            for p in parts:
+                of_part[p] += len(text)
+            if root >= 0 and set(parts) <= set(self.roots[root][0]):
+                of_root[root] += len(text)
+        full = [r for r, n in of_root.items() if n]
+        outside = any(not self.roots[r][0] for r in full)
+        # The main element, or where no article stands outside the named parts, one with most of the text.
+        spared = {p for r in full if self.roots[r][1] or not outside and 2 * of_root[r] > size for p in self.roots[r][0]}
+        if not full:
+            spared = {p for p, n in of_part.items() if n >= MOST_CHARACTERS and n >= MOST_SHARE * size}
+        elif not spared and all(parts for _, _, parts, _ in self.blocks):
+            spared = {p for r in full for p in self.roots[r][0]}  # else nothing would be left
+        self.blocks = [b for b in self.blocks if spared.issuperset(b[2])]
+        self.has_root = any(root >= 0 for _, _, _, root in self.blocks) or any(not parts for parts, _ in self.roots)
 
     def _write(self, text: str) -> None:
         if self._dropped:
@@ -76,15 +114,17 @@ class Page:
             text = " ".join("".join(self._text).split())
             self._text.clear()
             if text:
-                within = tuple([e[1] for e in self._open if e[1] >= 0])
-                self.blocks.append((text, within, self._rooted > 0))
+                self.blocks.append((text, tuple([e[1] for e in self._open if e[1] >= 0]), tuple(self._parts), self._root))
                 if self._open and self._open[-1][2] is not None:
                     self._open[-1][2].append(text)
 
     def _pop(self) -> None:
-        name, number, content, dropped, root = self._open.pop()
+        name, number, content, dropped, root, part = self._open.pop()
         self._dropped -= dropped
-        self._rooted -= root
+        if root >= 0:
+            self._root = -1
+        if part >= 0:
+            self._parts.pop()
         if content is not None:
             value = xxhash.xxh3_64_intdigest("\0".join([name, *content]).encode("utf-8", "replace")) - (1 << 63)
             self.hashes[number] = value
@@ -112,31 +152,34 @@ class Page:
             self._text.append(" ")
         if name in VOID:
             return
-        dropped = root = False
+        dropped = part = root = main = False
         if not self._dropped:
             known = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
             role, names = known.get("role", "").lower(), f"{known.get('class', '')} {known.get('id', '')}"
-            dropped = name in DROPPED or role in ROLES or "hidden" in known or known.get("aria-hidden", "") == "true" or (name not in ("html", "body") and bool(NAMED_AWAY.search(names)))
-            if not self._rooted and not dropped:
-                dropped = name == "header" or (name not in ("html", "body") and bool(NAMED_HEADER.search(names)))
-                root = not dropped and (name in ("article", "main") or role == "main" or known.get("itemprop", "") == "articleBody")
-        if dropped and name not in BLOCK:
+            dropped = name in DROPPED or role in ROLES or "hidden" in known or known.get("aria-hidden", "") == "true" or (name == "header" and self._root < 0)
+            if not dropped:
+                part = name not in ("html", "body") and (named(names, NAMED_AWAY) or (self._root < 0 and named(names, NAMED_HEADER)))
+                main = name == "main" or role == "main"
+                root = self._root < 0 and (main or name == "article" or known.get("itemprop", "") == "articleBody")
+        if (dropped or part) and name not in BLOCK:
             self._flush()
-        if root:
-            self.has_root = True
-        hashed = name not in ("html", "body")
         number = -1
-        if hashed:
+        if name not in ("html", "body"):
             number = len(self.hashes)
             self.hashes.append(0)
-        self._open.append([name, number, [] if hashed else None, int(dropped), int(root)])
+        self._open.append([name, number, [] if number >= 0 else None, int(dropped), len(self.roots) if root else -1, self._n_parts if part else -1])
         self._dropped += dropped
-        self._rooted += root
+        if part:
+            self._parts.append(self._n_parts)
+            self._n_parts += 1
+        if root:
+            self._root = len(self.roots)
+            self.roots.append((tuple(self._parts), main))
 
     def _end(self, name: str) -> None:
         for k in range(len(self._open) - 1, -1, -1):
             if self._open[k][0] == name:
-                if name in BLOCK or any(e[3] for e in self._open[k:]):
+                if name in BLOCK or any(e[3] or e[5] >= 0 for e in self._open[k:]):
                     self._flush()
                 while len(self._open) > k:
                     self._pop()
@@ -148,7 +191,7 @@ class Page:
 
     def kept(self) -> list[tuple[str, list[int]]]:
         """(text, hashes of the subtrees around it) in page order: of the articles if there are any, else of the whole body."""
-        return [(t, [self.hashes[i] for i in within]) for t, within, rooted in self.blocks if rooted or not self.has_root]
+        return [(b[0], [self.hashes[i] for i in b[1]]) for b in self.blocks if b[3] >= 0 or not self.has_root]
 
 
 def host_of(url: str | None) -> str:
@@ -156,13 +199,11 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-_FOUND = "host string, copy binary, blocks array<struct<text: string, around: array<bigint>>>"
-
-
 def extract(pages: DataFrame, url: str = "url", source: str = "html", template_pages: int = TEMPLATE_PAGES, template_share: float = TEMPLATE_SHARE, template_enough: int = TEMPLATE_ENOUGH) -> DataFrame:
     """One row per row of pages: `row` (all its columns but the source) and `text`, the main text, empty if there is none.
 
-    Menus, headers, footers, sidebars, notices, adverts, forms, scripts and comments go by element, role, class and id. If
+    Menus, headers, footers, sidebars, notices, adverts, forms, scripts and comments go by element, role, class and id; by
+    class or id not if they are or hold the main element, or the article or nearly all of the text (Page._decide). If
     the page marks an article (article, main), only its text is read on, else the body's. Of that text, subtrees that recur
     on many pages of the host go: every element subtree is hashed, Spark counts the pages of each (host, hash), and a block
     goes if a subtree around it stands on template_pages and template_share of the pages, or on template_enough. Character references are decoded, white space inside a block becomes one
@@ -171,26 +212,49 @@ def extract(pages: DataFrame, url: str = "url", source: str = "html", template_p
     """
     rows = with_row(pages, source).withColumn("url", F.col("row").getField(url).cast("string"))
 
-    def parse(batches):
+    def read(batch):
+        """(first row, kept blocks of each page, hosts, digests of the texts, digests of host, texts and hashes)."""
+        urls = batch.column(1).to_pylist()
+        for start, group in passes(as_bytes(batch.column(0))):
+            pages = [Page(g.decode("utf-8", "replace")).kept() for g in group]
+            hosts = [host_of(u) for u in urls[start : start + len(group)]]
+            bodies = ["\n".join([t for t, _ in page]).encode("utf-8", "replace") for page in pages]
+            keys = [xxhash.xxh3_128_digest(repr((h, [a for _, a in page])).encode("utf-8", "replace") + b) for h, page, b in zip(hosts, pages, bodies)]
+            yield start, pages, hosts, bodies, keys
+
+    def subtrees(batches):
         for batch in small(batches):
-            urls = batch.column(2).to_pylist()
-            for start, group in passes(as_bytes(batch.column(1))):
-                blocks = [[{"text": t, "around": a} for t, a in Page(g.decode("utf-8", "replace")).kept()] for g in group]
-                hosts = [host_of(u) for u in urls[start : start + len(group)]]
-                copies = [xxhash.xxh3_128_digest("\0".join([b["text"] for b in page]).encode("utf-8", "replace")) for page in blocks]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(group)), pa.array(hosts, pa.string()), pa.array(copies, pa.binary()), pa.array(blocks, pa.list_(pa.struct([("text", pa.string()), ("around", pa.list_(pa.int64()))])))], ["row", "host", "copy", "blocks"])
-
-    schema = T.StructType([rows.schema["row"], *T._parse_datatype_string(_FOUND).fields])
-    parsed = written(rows.select("row", "text", "url").mapInArrow(parse, schema).withColumn("page", F.monotonically_increasing_id()), "pages")
-    hashes = F.array_distinct(F.flatten("blocks.around"))
-    # Pages of a host are counted as the pages of a mark that every page has, in the same pass.
-    # A subtree may stand in some copies of a text only, so all copies' hashes are united.
-    seen = parsed.select("host", "copy", F.explode(F.concat(F.array(F.lit(None).cast("bigint")), hashes)).alias("hash")).distinct()
-    counts = seen.groupBy("host", "hash").agg(F.count("*").alias("pages"))
-    counts = written(counts.filter(F.col("hash").isNull() | (F.col("pages") >= template_pages)), "subtrees")
+            for _, pages, hosts, bodies, keys in read(batch):
+                found = [sorted({h for _, a in page for h in a}) for page in pages]
+                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(map(xxhash.xxh3_128_digest, bodies), pa.binary()), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["host", "copy", "page", "hashes"])
+
+    seen = written(rows.select("text", "url").mapInArrow(subtrees, "host string, copy binary, page binary, hashes array<bigint>"), "subtrees")
+    # Pages of a host are counted as the pages of a mark that every page has, in the same pass. A subtree may stand in some
+    # copies of a text only, so all copies' hashes are united.
+    each = seen.select("host", "copy", F.explode(F.concat(F.array(F.lit(None).cast("bigint")), "hashes")).alias("hash")).distinct()
+    counts = each.groupBy("host", "hash").agg(F.count("*").alias("pages"))
+    counts = written(counts.filter(F.col("hash").isNull() | (F.col("pages") >= template_pages)), "counts")
     hosts = counts.filter("hash is null").select("host", F.col("pages").alias("all_pages"))
     templates = counts.filter("hash is not null").join(hosts, "host").filter(F.col("pages") >= F.least(F.col("all_pages") * template_share, F.lit(float(template_enough)))).select("host", "hash")
-    around = parsed.select("page", "host", F.explode(hashes).alias("hash"))
-    marked = around.join(templates, ["host", "hash"]).groupBy("page").agg(F.collect_set("hash").alias("gone"))
-    left = F.filter("blocks", lambda b: ~F.arrays_overlap(b["around"], F.coalesce("gone", F.array().cast("array<bigint>"))))
-    return parsed.join(marked, "page", "left").select("row", F.array_join(left["text"], " ").alias("text"))
+    # Pages that have all of host, texts and hashes in common lose the same: they are one page here, and nothing needs a row number.
+    marked = seen.select("page", "host", F.explode("hashes").alias("hash")).join(templates, ["host", "hash"]).groupBy("page").agg(F.collect_set("hash").alias("gone"))
+
+    def parse(batches):
+        pack = zstandard.ZstdCompressor(6).compress
+        for batch in small(batches):
+            for start, pages, _, bodies, keys in read(batch.select(["text", "url"])):
+                around = [[a for _, a in page] for page in pages]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(pages)), pa.array(keys, pa.binary()), pa.array(map(pack, bodies), pa.binary()), pa.array(around, pa.list_(pa.list_(pa.int64())))], ["row", "page", "body", "around"])
+
+    def cut(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in small(batches):
+            texts = []
+            for body, around, gone in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3))):
+                blocks = unpack(body).decode().split("\n")
+                texts.append(" ".join([t for t, a in zip(blocks, around) if not gone or not set(gone) & set(a)]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "text"])
+
+    schema = T.StructType([rows.schema["row"], *T._parse_datatype_string("page binary, body binary, around array<array<bigint>>").fields])
+    parsed = rows.select("row", "text", "url").mapInArrow(parse, schema).join(marked, "page", "left")
+    return parsed.select("row", "body", "around", "gone").mapInArrow(cut, T.StructType([rows.schema["row"], T.StructField("text", T.StringType())]))

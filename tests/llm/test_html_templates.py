@@ -1,7 +1,11 @@
 """Main text: templates inside articles, copies, hosts of any size, names that don't name the part."""
 
+import pytest
+
 from strandlake.llm import htmltext
 
+LONG = "some words of the text " * 40
+
 
 def texts(spark, rows):
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
@@ -31,3 +35,20 @@ def test_templates_of_copied_pages_go(spark):
 def test_templates_of_a_section_go_on_a_large_host(spark):
     rows = [(k, "http://big.example/", f"<p>own {k}</p>" + "<div>section</div>" * (k < 120) + "<div>few</div>" * (k % 100 == 0)) for k in range(900)]
     assert texts(spark, rows) == {k: f"own {k}" + " few" * (k % 100 == 0) for k in range(900)}
+
+
+@pytest.mark.parametrize("page,text", [
+    ("<div class='layout with-sidebar'><article>own</article><div class='sidebar'>side</div></div>", "own"),
+    ("<div class='content no-sidebar'><p>own</p></div><div class='site-sidebar'>side</div>", "own"),
+    ("<div class='page has-nav'><p>own</p><ul class='nav-list'><li>menu</li></ul></div>", "own"),
+    ("<article class='post comments-open'><p>own</p><div class='comments'>reader</div></article>", "own"),
+    ("<div class='sidebar-page'><main>own<section class='comments'>reader reader</section></main></div><article>other article</article>", "own other article"),
+    ("<div class='social'><article>own words</article></div><div class='related'><article>x</article></div>", "own words"),
+    ("<div id='widget'><article>own</article><div class='comments'>" + LONG + "</div></div>", "own"),
+    ("<div class='widget'><p>" + LONG + "</p></div><p>end</p>", LONG + "end"),
+    ("<div><p>own</p></div><div class='comments'><article>a</article><article>b</article></div>", "own"),
+    ("<article>own</article><div class='related'><article>" + LONG + "</article></div>", "own"),
+    ("<div class='with-header'><p>own</p></div><div class='header'>site</div><div class='cookie-notice'>cookies</div>", "own"),
+])
+def test_names_do_not_take_the_article(page, text):
+    assert " ".join(t for t, _ in htmltext.Page(f"<body>{page}</body>").kept()) == text
