@@ -27,8 +27,9 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that hold no benchmark passage to speak of."""
-    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+    """The documents that hold no benchmark passage to speak of, without the words of the passages they hold. n_chars follows the text."""
+    out = decontam.clean(docs, table(spark, sf_dir, "benchmark"), cut=True)
+    return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

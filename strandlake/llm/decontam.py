@@ -116,6 +116,17 @@ def united(spans: list[tuple[int, int]]) -> int:
     return total
 
 
+def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """The text without the words in the ranges and what separates them; separators around a range stay."""
+    words = Words([text.lower()], WORD_BORDERS)
+    out, at = [], 0
+    for a, b in sorted(spans):
+        begin, end = int(words.start[a]), int(words.end[b - 1])
+        out.append(text[at : max(at, begin)])
+        at = max(at, end)
+    return b"".join([*out, text[at:]])
+
+
 def indexes(benchmark: DataFrame, item: str, text: str, block_bytes: int = BLOCK_BYTES) -> Iterator[Index]:
     """Indexes of blocks of items, one after the other, each of a bounded size: the total is summed first and tells the number of blocks."""
     items = benchmark.select(F.coalesce(F.col(f"`{item}`").cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
@@ -129,13 +140,14 @@ def indexes(benchmark: DataFrame, item: str, text: str, block_bytes: int = BLOCK
 _FOUND = "n_words bigint, n_hit bigint, n_items bigint, items array<string>, items_sha256 string, contaminated boolean"
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, cut: bool = False) -> DataFrame:
     """One row per row of docs: `row` (its other columns), text, n_words, n_hit, n_items, items (sorted ids), items_sha256, contaminated.
 
     Words are runs of [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F] after A-Z are lowered. A window is WINDOW words of an item, or a whole
     item of fewer words. A word of a document in any occurrence of a window is hit; a document is contaminated from one hit
     word in twenty on. Null or empty texts have no words: such a document is clean, such an item has no window. Repeated
     items count once; a null id counts as "null". With no items every document is clean; no documents give no rows.
+    If cut, the hit words go from the text of a document that isn't contaminated; the counts are those before.
 
     Hits are found by fingerprints and confirmed on the words themselves. Rows are worked on alone, without a shuffle; an
     index larger than block_bytes is dealt out to blocks, and each block makes its own pass over the same stream of rows.
@@ -160,9 +172,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
                     continue
                 hit = [united(list(zip(s[::2], s[1::2]))) for s in spans]
                 items = [sorted(set(x)) for x in items]
+                guilty = [h > 0 and 20 * h >= w for h, w in zip(hit, n)]
+                text = batch.column(1)
+                if cut and any(hit):
+                    text = pa.array([without(t.encode(), list(zip(s[::2], s[1::2]))).decode() if s and not g else t for t, s, g in zip(text.to_pylist(), spans, guilty)], pa.string())
                 digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(map(len, items), pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(digest, pa.string()), pa.array([h > 0 and 20 * h >= w for h, w in zip(hit, n)], pa.bool_())],
+                    [batch.column(0), text, pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(map(len, items), pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(digest, pa.string()), pa.array(guilty, pa.bool_())],
                     final.names,
                 )
 
@@ -171,5 +187,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The rows of docs that aren't contaminated, with their columns."""
+    """The rows of docs that aren't contaminated, with their columns; if cut=True, without their hit words."""
     return whole_rows(contamination(docs, benchmark, text, **options).filter(~F.col("contaminated")), docs, text)
