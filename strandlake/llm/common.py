@@ -19,15 +19,17 @@ PASS_BYTES = 1 << 19
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 _ODD = np.uint64(0x9E3779B97F4A7C13)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C13, -1, 1 << 64))
-_BYTE_VALUES = np.random.default_rng(20240611).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: list[np.ndarray] = []
+_LENGTHS = np.uint64(0xD6E8FEB86659FD93)
+#: By number of bytes that count, 0 to 8, what is left of eight bytes read at once.
+_LEFT = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where that is unset (tests) a folder of our own."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset and all runs on one machine (tests), a folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="strandlake-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -38,10 +40,24 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts lineage and survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df as a table in the shared folder: cuts lineage and survives lost executors. The shuffles that made it go at once."""
+    spark, path, clean = df.sparkSession, fresh_path(df.sparkSession, name), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(clean, "false")
+    spark.conf.set(clean, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(clean, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a table that `written` made and that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,15 +105,6 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd number modulo 2**64, and of its inverse."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 4096)
-        one = np.ones(1, np.uint64)
-        _powers[:] = [np.concatenate([one, np.cumprod(np.full(size, x, np.uint64), dtype=np.uint64)]) for x in (_ODD, _INVERSE)]
-    return _powers[0][:n], _powers[1][:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalizer of splitmix64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -105,17 +112,51 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def prefix_sums(values: np.ndarray) -> np.ndarray:
-    """Prefix sums of values[i] * odd**i modulo 2**64; one longer than values."""
-    out = np.zeros(len(values) + 1, np.uint64)
-    if len(values):
-        np.cumsum(values * powers(len(values))[0], out=out[1:])
-    return out
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on as one number; zeros behind the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data), "<u8", padded, strides=(1,))
+
+
+def paired(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """A hash of two hashes, in this order. Each is mixed before, so sums of unlike pairs don't cancel as powers of a base do."""
+    return mix(first * _ODD + second)
 
 
-def range_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the ranges [start, end); equal for equal content, wherever it is."""
-    return mix((sums[ends] - sums[starts]) * powers(len(sums))[1][starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def ranges_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each range [start, end): mixed numbers of eight bytes and their place in the range, summed."""
+    size = ends - starts
+    view = eights(data)
+    out = mix(view[starts] & _LEFT[np.minimum(size, 8)]) if len(starts) else np.zeros(0, np.uint64)
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        pieces = (size[long] - 1) // 8  # behind the first
+        number = spread(np.ones(len(long), np.int64), pieces)
+        at = np.repeat(starts[long], pieces) + 8 * number
+        left = np.minimum(np.repeat(ends[long], pieces) - at, 8)
+        values = mix(mix(view[at] & _LEFT[left]) + number.astype(np.uint64) * _ODD)
+        out[long] += np.add.reduceat(values, np.r_[0, np.cumsum(pieces)[:-1]])
+    return mix(out + size.astype(np.uint64) * _LENGTHS)
+
+
+def runs_hash(values: np.ndarray, size: int, have: int = 1) -> np.ndarray:
+    """A hash of the `size` values from each value on; values: hashes of `have` things each, one from each thing on.
+
+    Hashes of a run are paired with those of a run further on until they cover `size`.
+    """
+    while have < size and len(values):
+        step = min(have, size - have)
+        values = paired(values[:-step], values[step:]) if len(values) > step else values[:0]
+        have += step
+    return values
+
+
+def sets_hash(values: np.ndarray, counts: np.ndarray, seed: int) -> np.ndarray:
+    """A hash of each set of distinct values, in any order."""
+    sums = np.r_[np.zeros(1, np.uint64), np.cumsum(mix(mix(values + np.uint64(seed)) + _LENGTHS), dtype=np.uint64)]
+    ends = np.cumsum(counts)
+    return mix(sums[ends] - sums[ends - counts] + counts.astype(np.uint64) * _LENGTHS)
 
 
 class Words:
@@ -134,15 +175,11 @@ class Words:
         self.start, self.end = change[::2], change[1::2]
         self.first = np.searchsorted(self.start, self.text_start)
         self.data = data
-        self.hash = range_hashes(prefix_sums(_BYTE_VALUES[data]), self.start, self.end) if len(self.start) else np.zeros(0, np.uint64)
+        self.hash = ranges_hash(data, self.start, self.end)
 
-    def window_hashes(self, size: int, sums: np.ndarray | None = None) -> np.ndarray:
+    def window_hashes(self, size: int) -> np.ndarray:
         """Hash of the `size` words from each word on, as if there were no borders between texts."""
-        n = len(self.hash) - size + 1
-        if n <= 0:
-            return np.zeros(0, np.uint64)
-        at = np.arange(n)
-        return range_hashes(prefix_sums(self.hash) if sums is None else sums, at, at + size)
+        return runs_hash(self.hash, size)
 
 
 def separators(*ranges: tuple[int, int]) -> np.ndarray:
@@ -156,17 +193,8 @@ SPACE_SEPARATORS = separators((0x20, 0x20), (0x09, 0x0D))
 
 
 def byte_hashes(data: np.ndarray, size: int) -> np.ndarray:
-    """Hash of the `size` bytes from each byte on."""
-    n = len(data) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    sums = prefix_sums(_BYTE_VALUES[data])
-    return mix((sums[size:] - sums[:-size]) * powers(len(sums))[1][:n])
-
-
-def byte_sums(data: np.ndarray) -> np.ndarray:
-    """prefix_sums of bytes, for range_hashes."""
-    return prefix_sums(_BYTE_VALUES[data])
+    """Hash of the `size` bytes (eight or more) from each byte on."""
+    return runs_hash(mix(eights(data)[: max(0, len(data) - 7)] + _LENGTHS), size, 8)
 
 
 def spread(base: np.ndarray, count: np.ndarray) -> np.ndarray:

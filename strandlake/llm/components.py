@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -16,11 +16,14 @@ def components(links: DataFrame) -> DataFrame:
     """
     both = written(links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a")), "links")
     labels = written(both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("label")), "labels")
+    before = labels
     while True:
         near = both.join(labels.select(F.col("node").alias("other"), F.col("label").alias("seen")), "other").groupBy("node").agg(F.min("seen").alias("seen"))
         met = labels.join(near, "node").select("node", "label", F.least("label", "seen").alias("fresh"))
         jump = labels.select(F.col("node").alias("fresh"), F.col("label").alias("further"))
         following = written(met.join(jump, "fresh").select("node", F.least("fresh", "further").alias("label"), (F.least("fresh", "further") < F.col("label")).alias("fell")), "labels")
-        labels = following.select("node", "label")
+        forget(before)
+        labels, before = following.select("node", "label"), following
         if not following.agg(F.max("fell")).first()[0]:
+            forget(both)
             return labels

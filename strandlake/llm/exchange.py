@@ -1,34 +1,40 @@
-"""Blocks of documents, and questions that blocks ask of hash buckets: what two operators share.
+"""Blocks of documents that ask about their stretches of text: what the two substring operators share.
 
-A table is cut once into blocks of a bounded size, written to the shared folder. Each block asks each bucket about its own
-distinct hashes, packed in one row; the bucket answers each block in turn. So a hash that a third of all rows hold is asked
-once a block, no task gathers a group of documents, and nothing reaches the driver but the sum of sizes.
+A table is cut once into blocks of a bounded size, written to the shared folder. A block has one row for each of its
+distinct fingerprints, however often it stands there, so a fingerprint that a third of all documents hold has one row a
+block and no task gathers a group of documents. Blocks are told which of their fingerprints recur, and send the stretches
+of text around these, one row for each distinct stretch, to the part of the fingerprint. What a part finds out goes back as
+ranges of the blocks' documents. The number of rows that a block sends depends on its own text alone, not on the table.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import release_memory, small, text_column, written
+from .common import mix, release_memory, small, text_column, written
 
 #: Bytes of text in a block; one longer text is a block of its own.
 BLOCK_BYTES = 2 << 20
-#: Bytes of text for each bucket, and the fewest buckets.
-BUCKET_BYTES = 2 << 20
-LEAST_BUCKETS = 256
-#: Beyond so many places a fingerprint's windows are asked for one by one, which spreads them over all buckets.
+#: Bytes of text for each part. A part holds the stretches whose fingerprints recur, some times overlapping.
+PART_BYTES = 4 << 20
+#: Beyond so many places a fingerprint's stretches are taken apart into single windows, which spreads them over all parts.
 HOT_PLACES = 4_000
+#: Equal windows of hot fingerprints meet in so many groups first; each group sends one on.
+SALTS = 1_024
 
-ANSWER = "block bigint, kind int, bucket bigint, payload binary"
-QUESTION = "bucket bigint, block bigint, payload binary"
+#: A stretch: windows that share their least fingerprint. begin, n: its first window in document `doc` and their number;
+#: repeats: its fingerprint may stand in it twice; copies: the block's other stretches with the same body.
+STRETCH = "part bigint, hot boolean, value bigint, block bigint, key bigint, doc int, begin bigint, n bigint, repeats boolean, body binary, copies binary"
+COPY = np.dtype([("doc", "<i4"), ("begin", "<i8"), ("later", "u1")])
+SPAN = np.dtype([("doc", "<i4"), ("begin", "<i8"), ("end", "<i8")])
 
 
 def pack_rows(rows: pa.Array, keys: pa.Array, texts: list[bytes]) -> bytes:
@@ -84,143 +90,188 @@ def row_field(docs: DataFrame, text: str) -> T.StructField:
     return T.StructField("row", T.StructType([f for f in docs.schema.fields if f.name != text]))
 
 
-def bucket_bits(table: DataFrame) -> int:
+def part_bits(table: DataFrame) -> int:
     size = table.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    return max(LEAST_BUCKETS.bit_length() - 1, math.ceil(math.log2(max(size, 1) / BUCKET_BYTES)) if size > BUCKET_BYTES else 0)
+    return max(3, math.ceil(math.log2(max(size, 1) / PART_BYTES)))
 
 
-def by_bucket(hashes: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
-    """(bucket, start, end) of each bucket's share of sorted hashes."""
-    if len(hashes):
-        bucket = hashes >> np.uint64(64 - bits)
-        cuts = np.flatnonzero(np.diff(bucket)) + 1
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(hashes)]):
-            yield int(bucket[a]), a, b
+def recurring(table: DataFrame, prints: Callable[[list[bytes]], np.ndarray], hot_places: int = HOT_PLACES) -> DataFrame:
+    """(block, print, hot) of the fingerprints that stand at several places; prints: those of a block's texts, with repeats.
 
+    Places are summed over a window: a fingerprint has at most one row of the tens of thousands of each block, so none has
+    more than a small share of a task.
+    """
 
-# Fingerprints: which occur in more than one place, and which in very many.
-
+    def run(batches):
+        for batch in batches:
+            for block, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found, counts = np.unique(prints(unpack_rows(payload).column("text").to_pylist()), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), block), pa.int64()), pa.array(found.view(np.int64)), pa.array(counts.astype(np.int32))], ["block", "print", "places"])
+                release_memory()
 
-def _pack_prints(prints: np.ndarray, counts: np.ndarray, bits: int) -> bytes:
-    """48 bits of each print behind the bucket's, and its count in the block, up to 255."""
-    short = ((prints << np.uint64(bits)) >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-    return short.tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes()
+    each = table.select("block", "payload").mapInArrow(run, "block bigint, print bigint, places int")
+    summed = each.withColumn("all_places", F.sum("places").over(Window.partitionBy("print"))).filter("all_places > 1")
+    return written(summed.select("block", "print", (F.col("all_places") > hot_places).alias("hot")), "recurring")
 
 
-def _answer_prints(payloads: list[bytes], hot_places: int = HOT_PLACES) -> list[bytes]:
-    """For each payload two packed masks: prints that recur, and those with over hot_places places."""
-    values, counts = [], []
-    for p in payloads:
-        n = len(p) // 7
-        wide = np.zeros((n, 8), np.uint8)
-        wide[:, :6] = np.frombuffer(p, np.uint8, n * 6).reshape(n, 6)
-        values.append(wide.view("<u8").ravel())
-        counts.append(np.frombuffer(p, np.uint8, n, n * 6))
-    _, inverse = np.unique(np.concatenate(values), return_inverse=True)
-    total = np.bincount(inverse, np.concatenate(counts))[inverse]
-    cuts = np.cumsum([len(v) for v in values])[:-1]
-    return [np.packbits(t > 1).tobytes() + np.packbits(t > hot_places).tobytes() if (t > 1).any() else b"" for t in np.split(total, cuts)]
+class Known:
+    """Which of a block's fingerprints recur, and which of these are hot."""
 
+    def __init__(self, answers: pa.Table):
+        value = answers.column("print").to_numpy().view(np.uint64)
+        order = np.argsort(value)
+        self.value, self.is_hot = value[order], answers.column("hot").to_numpy()[order]
 
-# Windows: whether one occurs elsewhere at an earlier (key, start).
+    def masks(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(recurring and not hot, hot) of each of the values."""
+        if not len(self.value):
+            return np.zeros(len(values), bool), np.zeros(len(values), bool)
+        at = np.minimum(np.searchsorted(self.value, values), len(self.value) - 1)
+        found, hot = self.value[at] == values, self.is_hot[at]
+        return found & ~hot, found & hot
 
 
-def pack_windows(hashes: np.ndarray, keys: np.ndarray, starts: np.ndarray) -> bytes:
-    return hashes.tobytes() + keys.tobytes() + starts.astype(np.uint32).tobytes()
+def binaries(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Values of the given numbers of elements, cut from an array one after the other."""
+    offsets = np.r_[0, np.cumsum(sizes * data.dtype.itemsize)].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
 
 
-def answer_windows(payloads: list[bytes]) -> list[bytes]:
-    """For each payload a packed mask of the windows that occur at an earlier place in any payload."""
-    n = [len(p) // 20 for p in payloads]
-    hashes = np.concatenate([np.frombuffer(p, np.uint64, k) for p, k in zip(payloads, n)])
-    keys = np.concatenate([np.frombuffer(p, np.int64, k, k * 8) for p, k in zip(payloads, n)])
-    starts = np.concatenate([np.frombuffer(p, np.uint32, k, k * 16) for p, k in zip(payloads, n)])
-    later = later_of_equals(hashes, keys, starts)
-    return [np.packbits(m).tobytes() if m.any() else b"" for m in np.split(later, np.cumsum(n)[:-1])]
+def stretches(block: int, keys: np.ndarray, value: np.ndarray, doc: np.ndarray, begin: np.ndarray, n: np.ndarray, repeats: np.ndarray, body: Callable[[int, int, int], bytes], hot: bool, bits: int, places: bool) -> pa.Table:
+    """Rows of STRETCH: one for each distinct body, at its least place in the block; the others are its copies.
 
+    A place is (key, begin), or without `places` the key alone; a copy is later if its place is greater.
+    """
+    order = np.lexsort((begin, keys[doc]))
+    value, doc, begin, n, repeats = value[order], doc[order], begin[order], n[order], repeats[order]
+    known: dict[bytes, int] = {}
+    which = np.fromiter((known.setdefault(body(d, b, w), len(known)) for d, b, w in zip(doc.tolist(), begin.tolist(), n.tolist())), np.int64, len(order))
+    _, first = np.unique(which, return_index=True)
+    copies = np.zeros(len(order), COPY)
+    copies["doc"], copies["begin"] = doc, begin
+    copies["later"] = (keys[doc] != keys[doc[first[which]]]) | (places & (begin != begin[first[which]]))
+    others = np.ones(len(order), bool)
+    others[first] = False
+    others = np.flatnonzero(others)
+    others = others[np.argsort(which[others], kind="stable")]
+    spread_by = mix(value[first] ^ mix(np.full(len(first), block % SALTS, np.uint64))) if hot else value[first]
+    fields = {
+        "part": pa.array((spread_by >> np.uint64(64 - bits)).astype(np.int64)), "hot": pa.array(np.full(len(first), hot)), "value": pa.array(value[first].view(np.int64)), "block": pa.array(np.full(len(first), block)),
+        "key": pa.array(keys[doc[first]]), "doc": pa.array(doc[first].astype(np.int32)), "begin": pa.array(begin[first]), "n": pa.array(n[first]), "repeats": pa.array(repeats[first]),
+        "body": pa.array(list(known), pa.binary()), "copies": binaries(copies[others], np.bincount(which[others], minlength=len(first))),
+    }
+    return pa.table(fields)
+
+
+def asked(table: DataFrame, known: DataFrame, ask: Callable[[int, pa.Table, Known], pa.Table]) -> DataFrame:
+    """The stretches that ask(block, rows, its recurring fingerprints) gives for each block."""
+
+    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
+        if not block.num_rows or not answers.num_rows:
+            return EMPTY
+        out = ask(block.column("block")[0].as_py(), unpack_rows(block.column("payload")[0].as_py()), Known(answers))
+        release_memory()
+        return out
 
-def later_of_equals(groups: np.ndarray, keys: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """True where a member of the same group has a smaller (key, start)."""
-    order = np.lexsort((starts, keys, groups))
-    g, k, s = groups[order], keys[order], starts[order]
-    head = np.r_[True, g[1:] != g[:-1]]
-    first = np.maximum.accumulate(np.where(head, np.arange(len(g)), 0))
-    out = np.empty(len(g), bool)
-    out[order] = (k != k[first]) | (s != s[first])
+    return table.select("block", "payload").groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, STRETCH)
+
+
+EMPTY = pa.schema([("part", pa.int64()), ("hot", pa.bool_()), ("value", pa.int64()), ("block", pa.int64()), ("key", pa.int64()), ("doc", pa.int32()), ("begin", pa.int64()), ("n", pa.int64()), ("repeats", pa.bool_()), ("body", pa.binary()), ("copies", pa.binary())]).empty_table()
+
+
+class Part:
+    """The stretches of one part: columns as arrays, and which of the distinct bodies each has; rows by place."""
+
+    def __init__(self, table: pa.Table, places: bool):
+        key, begin = table.column("key").to_numpy(), table.column("begin").to_numpy()
+        table = table.take(pa.array(np.lexsort((begin, key))))
+        self.table = table
+        self.key, self.begin, self.n, self.block, self.doc, self.hot, self.repeats = (table.column(c).to_numpy() for c in ("key", "begin", "n", "block", "doc", "hot", "repeats"))
+        self.value = table.column("value").to_numpy().view(np.uint64)
+        known: dict[bytes, int] = {}
+        self.which = np.fromiter((known.setdefault(b, len(known)) for b in table.column("body").to_pylist()), np.int64, table.num_rows)
+        self.bodies = list(known)
+        _, self.first = np.unique(self.which, return_index=True)
+        one = self.first[self.which]
+        #: stretches whose body stands at a smaller place too
+        self.later = (self.key != self.key[one]) | (places & (self.begin != self.begin[one]))
+
+
+def spans_of(part: Part, rows: np.ndarray, begin: np.ndarray, end: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(blocks, spans): windows begin to end - 1 of the rows' stretches, as ranges of documents; width: length of a window less one. Copies at the same place have the same, later ones go whole."""
+    copies = [np.frombuffer(c, COPY) for c in part.table.column("copies").to_pylist()]
+    sizes = np.fromiter(map(len, copies), np.int64, len(copies))
+    every = np.concatenate([*copies, np.zeros(0, COPY)])
+    owner = np.repeat(np.arange(len(copies)), sizes)
+    gone = every["later"] > 0
+    blocks, spans = [part.block[rows], part.block[owner[gone]]], [_spans(part.doc[rows], part.begin[rows] + begin, part.begin[rows] + end + width), _spans(every["doc"][gone], every["begin"][gone], every["begin"][gone] + part.n[owner[gone]] + width)]
+    same, own = every[~gone], owner[~gone]
+    if len(same) and len(rows):
+        order = np.argsort(rows, kind="stable")
+        low, high = np.searchsorted(rows[order], own), np.searchsorted(rows[order], own, side="right")
+        of = np.repeat(np.arange(len(own)), high - low)
+        k = order[np.repeat(low - np.r_[0, np.cumsum(high - low)[:-1]], high - low) + np.arange(len(of))]
+        blocks.append(part.block[own[of]])
+        spans.append(_spans(same["doc"][of], same["begin"][of] + begin[k], same["begin"][of] + end[k] + width))
+    return np.concatenate(blocks), np.concatenate(spans)
+
+
+def _spans(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(doc), SPAN)
+    out["doc"], out["begin"], out["end"] = doc, begin, end
     return out
 
 
-def mask_of(payload: bytes | None, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(payload, np.uint8), count=n).astype(bool) if payload else np.zeros(n, bool)
-
+def settled(questions: DataFrame, find: Callable[[Part], tuple[np.ndarray, np.ndarray, np.ndarray]], width: int, places: bool, bits: int) -> DataFrame:
+    """(block, spans): ranges of documents that go. find(part) gives (rows, begin, end): windows of rows' stretches that stand earlier.
 
-def asked(questions: DataFrame, answers: dict[int, Callable[[list[bytes]], list[bytes]]], bits: int, name: str) -> DataFrame:
-    """The buckets' answers, as a written table of (block, kind, bucket, payload).
-
-    answers: by kind; questions of the k-th kind go to the k-th range of 2**bits bucket numbers.
+    Hot windows meet twice: first with those of some of the blocks, where each but the first goes, and the first ones of all
+    blocks then meet in the window's own part.
     """
-    kinds = list(answers.items())
-
-    def run(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
-        kind, answer = kinds[bucket >> bits]
-        found = answer(table.column("payload").to_pylist())
+    schema = f"{STRETCH}, spans binary"
+
+    def run(table: pa.Table, last: bool) -> pa.Table:
+        part = Part(table, places)
+        rows, begin, end = find(part)
+        on = (not last) & part.hot & ~part.later
+        if on.any():
+            kept = ~on[rows]
+            rows, begin, end = rows[kept], begin[kept], end[kept]
+        blocks, spans = spans_of(part, rows, begin, end, width)
+        order = np.argsort(blocks, kind="stable")
+        heads, sizes = np.unique(blocks[order], return_counts=True)
+        found = pa.table({"block": pa.array(heads, pa.int64()), "spans": binaries(spans[order], sizes)})
+        if not last:
+            going = part.table.filter(pa.array(on))
+            mine = (part.value[on] >> np.uint64(64 - bits)).astype(np.int64)
+            rest = [np.frombuffer(c, COPY) for c in going.column("copies").to_pylist()]  # the later ones are settled
+            going = going.set_column(0, "part", pa.array(mine)).set_column(10, "copies", pa.array([c[c["later"] == 0].tobytes() for c in rest], pa.binary()))
+            found = pa.concat_tables([going.append_column("spans", pa.nulls(len(going), pa.binary())), found], promote_options="default").select([*EMPTY.column_names, "spans"])
         release_memory()
-        kept = [i for i, f in enumerate(found) if f]
-        n, block = len(kept), table.column("block").take(pa.array(kept, pa.int64()))
-        return pa.table({"block": block, "kind": pa.array([kind] * n, pa.int32()), "bucket": pa.array([bucket & ((1 << bits) - 1)] * n, pa.int64()), "payload": pa.array([found[i] for i in kept], pa.binary())})
+        return found
 
-    return written(questions.select("bucket", "block", "payload").groupBy("bucket").applyInArrow(run, ANSWER), name)
+    first = written(questions.groupBy("part").applyInArrow(lambda t: run(t, False), schema), "settled")
+    second = first.filter("spans is null").drop("spans").groupBy("part").applyInArrow(lambda t: run(t, True), "block bigint, spans binary")
+    return first.filter("spans is not null").select("block", "spans").union(second)
 
 
-def ask_prints(table: DataFrame, prints: Callable[[pa.Table], np.ndarray], bits: int, hot_places: int = HOT_PLACES) -> DataFrame:
-    """Answers on the fingerprints that `prints` gives for a block's rows (with repeats)."""
+def finished(table: DataFrame, found: DataFrame, work: Callable[[pa.Table, list[np.ndarray]], pa.Table], schema) -> DataFrame:
+    """work(rows, spans of each of them) for each block."""
 
-    def run(batches):
-        for batch in batches:
-            for block, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found, counts = np.unique(prints(unpack_rows(payload)), return_counts=True)
-                rows = [(b, _pack_prints(found[x:y], counts[x:y], bits)) for b, x, y in by_bucket(found, bits)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([block] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "block", "payload"])
-
-    return asked(table.select("block", "payload").mapInArrow(run, QUESTION), {1: lambda payloads: _answer_prints(payloads, hot_places)}, bits, "prints")
-
-
-def with_answers(table: DataFrame, answers: list[DataFrame], work: Callable[[int, pa.Table, dict[int, dict[int, bytes]]], pa.Table], schema) -> DataFrame:
-    """work(block, its rows, {kind: {bucket: payload}}) for each block."""
-    rows = table.select("block", F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("bucket"), "payload")
-    for a in answers:
-        rows = rows.unionByName(a)
-
-    def run(group: pa.Table) -> pa.Table:
-        found: dict[int, dict[int, bytes]] = {}
-        for kind, bucket, payload in zip(*(group.column(c).to_pylist() for c in ("kind", "bucket", "payload"))):
-            found.setdefault(kind, {})[bucket] = payload
-        out = work(group.column("block")[0].as_py(), unpack_rows(found[0][0]), found)
+    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
+        rows = unpack_rows(block.column("payload")[0].as_py())
+        spans = np.concatenate([np.zeros(0, SPAN), *(np.frombuffer(s, SPAN) for s in answers.column("spans").to_pylist())])
+        spans = spans[np.argsort(spans["doc"], kind="stable")]
+        out = work(rows, np.split(spans, np.searchsorted(spans["doc"], np.arange(1, rows.num_rows))))
         release_memory()
         return out
 
-    return rows.groupBy("block").applyInArrow(run, schema)
-
-
-def print_masks(found: np.ndarray, answers: dict[int, bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(recurring, hot) of a block's sorted distinct prints."""
-    recurring, hot = np.zeros(len(found), bool), np.zeros(len(found), bool)
-    for b, x, y in by_bucket(found, bits):
-        p = answers.get(b)
-        if p:
-            half = len(p) // 2
-            recurring[x:y], hot[x:y] = mask_of(p[:half], y - x), mask_of(p[half:], y - x)
-    return recurring, hot
-
-
-def window_masks(found: np.ndarray, answers: dict[int, bytes], bits: int) -> np.ndarray:
-    out = np.zeros(len(found), bool)
-    for b, x, y in by_bucket(found, bits):
-        out[x:y] = mask_of(answers.get(b), y - x)
-    return out
+    return table.select("block", "payload").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, schema)
 
 
-def questions_of(rows: list[tuple[int, bytes]], block: int) -> pa.Table:
-    return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64()), "block": pa.array([block] * len(rows), pa.int64()), "payload": pa.array([r[1] for r in rows], pa.binary())})
+def covered(spans: np.ndarray, size: int) -> np.ndarray:
+    """Which of `size` things the spans cover."""
+    change = np.zeros(size + 1, np.int32)
+    np.add.at(change, spans["begin"], 1)
+    np.add.at(change, spans["end"], -1)
+    return np.cumsum(change[:-1]) > 0

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -9,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE_SEPARATORS, Words, as_bytes, mix, passes, prefix_sums, range_hashes, small, spread, whole_rows, with_row, written
+from .common import SPACE_SEPARATORS, Words, as_bytes, mix, passes, small, spread, whole_rows, with_row, written
 from .components import components
 
 #: Words of a shingle, unless the caller gives another number.
@@ -75,17 +78,12 @@ class ShingleSets:
         fresh = np.r_[True, (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])] if len(values) else np.zeros(0, bool)
         self.values, self.owner = values[fresh], owner[fresh]
         self.counts = np.bincount(self.owner, minlength=len(texts))
-        sums = prefix_sums(self.values)
-        ends = np.cumsum(self.counts)
-        # Two independent hashes of the whole set; values are in order, so equal sets have equal ones.
-        self.low = range_hashes(sums, ends - self.counts, ends)
-        self.high = range_hashes(prefix_sums(mix(self.values)), ends - self.counts, ends)
 
 
-def shingles(text: bytes, size: int = SHINGLE) -> frozenset[bytes]:
-    """The full shingle set of one text; fewer words than a shingle has are one shingle."""
+def shingles(text: bytes, size: int = SHINGLE) -> frozenset[tuple[bytes, ...]]:
+    """The full shingle set of one text, as tuples of words; fewer words than a shingle has are one shingle."""
     w = text.lower().split()
-    return frozenset(map(b" ".join, zip(*(w[k:] for k in range(size))))) if len(w) >= size else frozenset([b" ".join(w)] if w else [])
+    return frozenset(zip(*(w[k:] for k in range(size)))) if len(w) >= size else frozenset([tuple(w)] if w else [])
 
 
 def linked(a: frozenset, b: frozenset, percent: int = PERCENT) -> bool:
@@ -93,33 +91,49 @@ def linked(a: frozenset, b: frozenset, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _sets(docs: DataFrame, key: str, text: str, size: int, full: bool = False, carry: bool = False) -> DataFrame:
-    """key, n, low, high (the set's hashes, null if empty); if full, also bands and body (the text, compressed); if carry, with_row's row and text."""
-    if carry:
-        source = with_row(docs, text).select(F.col("row").getField(key).cast("bigint").alias("key"), "text", "row")
-    else:
-        source = docs.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
+def words_of(text: bytes) -> bytes:
+    """The words of a text, A-Z lowered, with one space between."""
+    return b" ".join(text.lower().split())
+
+
+def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
+
+
+def _digests(texts: list[bytes]) -> list[pa.Array]:
+    """low, high: a 128-bit cryptographic digest of each text's words; null without words."""
+    found = [hashlib.blake2b(w, digest_size=16).digest() if w else None for w in map(words_of, texts)]
+    halves = np.frombuffer(b"".join([f or bytes(16) for f in found]), np.int64).reshape(-1, 2)
+    none = np.array([f is None for f in found], bool)
+    return [pa.array(halves[:, k].copy(), pa.int64(), mask=none) for k in (0, 1)]
+
+
+def _identified(source: DataFrame, size: int | None) -> DataFrame:
+    """The columns of source (the second is the text), and low, high of its words; with a size also n, the size of its full shingle set."""
+
+    def run(batches):
+        for batch in small(batches):
+            for start, group in passes(as_bytes(batch.column(1))):
+                count = [pa.array([len(shingles(t, size)) for t in group], pa.int64())] if size else []
+                yield pa.RecordBatch.from_arrays([*(c.slice(start, len(group)) for c in batch.columns), *_digests(group), *count], schema.names)
+
+    schema = T.StructType([*source.schema.fields, *T._parse_datatype_string("low bigint, high bigint" + ", n bigint" * bool(size)).fields])
+    return source.mapInArrow(run, schema)
+
+
+def _sketched(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """key, low, high, n (distinct shingles' hashes), bands and body (the words, compressed) of each row with words."""
 
     def run(batches):
         pack = zstandard.ZstdCompressor(3).compress
         for batch in small(batches):
             for start, group in passes(as_bytes(batch.column(1))):
                 s = ShingleSets(group, size)
-                none = s.counts == 0
-                columns = [batch.column(0).slice(start, len(group)), pa.array(s.counts, pa.int64()), pa.array(s.low.view(np.int64), pa.int64(), mask=none), pa.array(s.high.view(np.int64), pa.int64(), mask=none)]
-                if full:
-                    rows = sketches(s.values, s.counts)
-                    keys = band_keys(rows).view(np.int64)
-                    bands = pa.ListArray.from_arrays(pa.array(np.arange(len(group) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel(), pa.int64()))
-                    columns += [bands, pa.array([pack(t) for t in group], pa.binary())]
-                if carry:
-                    columns += [batch.column(c).slice(start, len(group)) for c in (2, 1)]
-                yield pa.RecordBatch.from_arrays(columns, schema.names)
-
-    schema = T._parse_datatype_string("key bigint, n bigint, low bigint, high bigint" + ", bands array<bigint>, body binary" * full)
-    if carry:
-        schema = T.StructType([*schema.fields, source.schema["row"], source.schema["text"]])
-    return source.mapInArrow(run, schema)
+                keys = band_keys(sketches(s.values, s.counts)).view(np.int64)
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(group) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel(), pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(group)), *_digests(group), pa.array(s.counts, pa.int64()), bands, pa.array([pack(words_of(t)) for t in group], pa.binary())], ["key", "low", "high", "n", "bands", "body"])
+
+    return _texts(docs, key, text).mapInArrow(run, "key bigint, low bigint, high bigint, n bigint, bands array<bigint>, body binary").filter("low is not null")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, percent: int, size: int) -> DataFrame:
@@ -147,25 +161,26 @@ def _across(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: in
     """Links (a, b) between nodes of unlike labels that share a band.
 
     A band's main label is its most frequent one; its nodes of other labels are outsiders of that label. Each outsider is
-    held against all nodes of the main label and against the label's other outsiders, in tasks of about CHUNK of either
-    side, which give links only. Two nodes that meet in no band differ; for those that do, this covers every pair of
-    unlike labels.
+    held against the nodes of the main label that are in such bands and against the label's other outsiders, as far as
+    their sets' sizes allow a link, in tasks of about CHUNK of either side, which give links only. Two nodes that meet in no
+    band differ; for those that do, this covers every pair of unlike labels.
     """
     named = members.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
-    sizes = named.groupBy("band", "label").agg(F.count("*").alias("size"))
-    mixed = sizes.groupBy("band").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("size", "label")).alias("main")).filter("labels > 1").select("band", "main")
-    outsiders = written(named.join(mixed, "band").filter("label <> main").select("main", "node", "label").distinct(), "outsiders")
-    parts = lambda: F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("size") / CHUNK_BYTES)).cast("int")
-    sizes = nodes.select("node", F.octet_length("body").alias("size"))
-    columns = outsiders.join(sizes, "node").groupBy("main").agg(parts().alias("columns"))
-    of_main = nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("main")).join(columns.select("main"), "main")
-    held = written(of_main.select("main", "node", F.col("main").alias("label")).union(outsiders), "held")
-    # A table of its own, so that the joins below shuffle both sides and a large component's share can be split.
-    chunks = written(held.join(sizes, "node").groupBy("main").agg(parts().alias("rows")).join(columns, "main"), "chunks")
+    times = named.groupBy("band", "label").agg(F.count("*").alias("times"))
+    mixed = written(times.groupBy("band").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("times", "label")).alias("main")).filter("labels > 1").select("band", "main"), "mixed")
+    # Sizes of linked sets lie in the same class or in neighbouring ones; a hundredth more, so that rounding can't matter.
+    step = math.log(101 / percent)
+    facts = nodes.select("node", F.octet_length("body").alias("bytes"), F.floor(F.ln("n") / step).cast("int").alias("class"))
+    held = written(named.join(mixed, "band").select("main", "node", "label").distinct().join(facts, "node"), "held")
+    outsiders = held.filter("label <> main")
+    parts = lambda: F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("bytes") / CHUNK_BYTES)).cast("int")
+    columns = written(outsiders.groupBy("main", "class").agg(parts().alias("columns")), "columns")
+    near = held.withColumn("class", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1))).join(columns, ["main", "class"])
+    chunks = written(near.groupBy("main", "class").agg(parts().alias("rows"), F.first("columns").alias("columns")), "chunks")
     part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    row_side = held.join(chunks, "main").select("main", "node", "label", F.lit(False).alias("outside"), part("rows").alias("i"), every("columns").alias("j"))
-    column_side = outsiders.join(chunks, "main").select("main", "node", "label", F.lit(True).alias("outside"), every("rows").alias("i"), part("columns").alias("j"))
+    row_side = near.drop("columns").join(chunks, ["main", "class"]).select("main", "class", "node", "label", F.lit(False).alias("outside"), part("rows").alias("i"), every("columns").alias("j"))
+    column_side = outsiders.join(chunks, ["main", "class"]).select("main", "class", "node", "label", F.lit(True).alias("outside"), every("rows").alias("i"), part("columns").alias("j"))
     tasks = row_side.union(column_side).join(nodes.select("node", "body"), "node")
 
     def run(table: pa.Table) -> pa.Table:
@@ -190,16 +205,16 @@ def _across(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: in
                     parent[root(label[p])] = root(label[q])
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
-    return tasks.groupBy("main", "i", "j").applyInArrow(run, "a bigint, b bigint")
+    return tasks.groupBy("main", "class", "i", "j").applyInArrow(run, "a bigint, b bigint")
 
 
 def _classes(docs: DataFrame, key: str, text: str, percent: int, size: int) -> DataFrame:
-    """low, high and component_id of each distinct set that isn't empty."""
-    every = _sets(docs, key, text, size, full=True).filter(F.col("low").isNotNull())
-    grouped = every.groupBy("low", "high").agg(F.min("key").alias("least_key"), F.first("bands").alias("bands"), F.first("body").alias("body"))
+    """low, high and component_id of each distinct sequence of words that isn't empty."""
+    every = _sketched(docs, key, text, size)
+    grouped = every.groupBy("low", "high").agg(F.min("key").alias("least_key"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("body").alias("body"))
     nodes = written(grouped.withColumn("node", F.monotonically_increasing_id()), "nodes")
     bands = nodes.select("node", F.explode("bands").alias("band"))
-    shared = bands.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("members")).filter("members > 1").drop("members")
+    shared = written(bands.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("members")).filter("members > 1").drop("members"), "shared")
     members = written(bands.join(shared, "band"), "bands")
     pairs = members.filter("node > leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     labels = components(_verified(pairs, nodes, percent, size))
@@ -211,29 +226,39 @@ def _classes(docs: DataFrame, key: str, text: str, percent: int, size: int) -> D
         lifted = more.join(end("a"), "a").join(end("b"), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
         joined = components(lifted).select(F.col("node").alias("label"), F.col("label").alias("whole"))
         final = named.join(joined, "label", "left").select("low", "high", "least_key", F.coalesce("whole", "label").alias("label"))
-    least = final.groupBy("label").agg(F.min("least_key").alias("component_id"))
+    # A table of its own: both sides of the join are shuffled then, and a large component's share can be split.
+    least = written(final.groupBy("label").agg(F.min("least_key").alias("component_id")), "least")
     return final.join(least, "label").select("low", "high", "component_id")
 
 
+def _checked(percent: int) -> None:
+    if percent < PERCENT:
+        raise ValueError(f"the bands are made for similarities from {PERCENT} percent on")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """One row per row of docs: key, n_shingles, component_id (the least key reachable over links), kept (key = component_id).
 
-    Rows are linked from `percent` on of shared in united shingles of `size` words. Texts without words (null, empty, blank) have an empty
-    set and are linked with nothing. Equal sets are one node, however many rows hold them; a repeated row is kept where the
-    first is. A null key takes its component's least key; a component of null keys only has a null component_id and is kept.
-    An empty table gives an empty one; other columns are not read.
+    Rows are linked from `percent` (80 or more) on of shared in united shingles of `size` words. Texts without words (null,
+    empty, blank) have an empty set and are linked with nothing. Equal sequences of words are one node, however many rows
+    hold them; a repeated row is kept where the first is. A null key takes its component's least key; a component of null
+    keys only has a null component_id and is kept. An empty table gives an empty one; other columns are not read.
 
-    1. Equal sets are grouped by a 128-bit hash; a group keeps one compressed text.
+    1. Rows with the same words are grouped by a 128-bit cryptographic digest of them; a group keeps one compressed text.
     2. Bands of the sketches: each node of a band is paired with the band's least node. A pair met in several bands is
        verified once, on the full sets of words. Links give components.
     3. A band whose nodes are still in several components may hide links between them; _across looks for these.
     """
-    rows = _sets(docs, key, text, size).join(_classes(docs, key, text, percent, size), ["low", "high"], "left")
+    _checked(percent)
+    rows = _identified(_texts(docs, key, text), size).drop("text").join(_classes(docs, key, text, percent, size), ["low", "high"], "left")
     component = F.when(F.col("low").isNull(), F.col("key")).otherwise(F.col("component_id"))
     return rows.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"))
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """The rows of docs that near_duplicates keeps, with their columns."""
-    rows = _sets(docs, key, text, size, carry=True).join(_classes(docs, key, text, percent, size), ["low", "high"], "left")
-    return whole_rows(rows.filter(F.col("low").isNull() | F.col("key").eqNullSafe(F.col("component_id"))), docs, text)
+    """The rows of docs that near_duplicates keeps, with their columns; what it says of nulls, empty texts, repeated rows and empty tables holds."""
+    _checked(percent)
+    rows = _identified(with_row(docs, text), None)
+    own = F.col("row").getField(key).cast("bigint")
+    joined = rows.withColumn("key", own).join(_classes(docs, key, text, percent, size), ["low", "high"], "left")
+    return whole_rows(joined.filter(F.col("low").isNull() | F.col("key").eqNullSafe(F.col("component_id"))), docs, text)

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
+from collections.abc import Iterator
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -11,71 +14,74 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import exchange as X
-from .common import SPACE_SEPARATORS, Words, mix, passes, sliding
+from .common import SPACE_SEPARATORS, Words, mix, passes, sliding, spread
 
 WINDOW = 13
 #: Words of a fingerprint; each window's least one tells whether the window is asked for at all.
 GRAM = 7
-#: Characters of the patterns in one automaton; a block with more has several, each reading all its documents.
+#: Characters of the passages in one automaton.
 SHARD_CHARS = 1 << 19
 
 
 class Windows:
-    """Of a block's documents: words, windows inside one document, their hashes and least fingerprints."""
+    """Of several texts: stretches of windows (WINDOW words inside one text) that share their least fingerprint.
 
-    def __init__(self, texts: list[bytes], window: int = WINDOW, gram: int = GRAM):
+    doc, begin: the text and the word in it at which a stretch's first window starts; n: its windows; its words are
+    n + WINDOW - 1. With `each` also the hashes of all its windows, one stretch after the other.
+    """
+
+    def __init__(self, texts: list[bytes], each: bool = False):
         parts = []
-        self.n_words = np.zeros(len(texts), np.int64)
         for start, group in passes(texts):
             words = Words(group, SPACE_SEPARATORS)
-            hashes = words.window_hashes(window)
-            at = np.arange(len(hashes))
+            least = sliding(words.window_hashes(GRAM), WINDOW - GRAM + 1)
+            at = np.arange(len(least))
             doc = np.searchsorted(words.first, at, side="right") - 1
-            inside = at + window <= words.first[doc + 1]
-            least = sliding(words.window_hashes(gram), window - gram + 1)
-            # Least hashes lie close to zero; mixed once more, they spread over the buckets.
-            parts.append((hashes[inside], mix(least[inside]), doc[inside] + start, (at - words.first[doc])[inside]))
-            self.n_words[start : start + len(group)] = np.diff(words.first)
-        empty = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.hash, self.least, self.doc, self.at = (np.concatenate(x) for x in zip(*(parts or [empty])))
-
-
-def _prints(rows: pa.Table) -> np.ndarray:
-    w = Windows(rows.column("text").to_pylist())
-    # A fingerprint of many windows in a row stands at one place; count it once for each run.
-    run = np.flatnonzero(np.r_[True, (w.least[1:] != w.least[:-1]) | (w.doc[1:] != w.doc[:-1])]) if len(w.least) else []
-    return w.least[run]
-
-
-def _candidates(rows: pa.Table, prints: dict[int, bytes], bits: int):
-    """The windows whose fingerprint recurs; their distinct hashes, and each one's first document in the block."""
-    w = Windows(rows.column("text").to_pylist())
-    found, inverse = np.unique(w.least, return_inverse=True)
-    recurring, _ = X.print_masks(found, prints, bits)
-    kept = recurring[inverse]
-    w.hash, w.doc, w.at = w.hash[kept], w.doc[kept], w.at[kept]
-    keys = rows.column("key").to_numpy()
-    order = np.lexsort((keys[w.doc], w.hash))
-    head = np.flatnonzero(np.r_[True, w.hash[order][1:] != w.hash[order][:-1]]) if len(order) else np.zeros(0, np.int64)
-    first = order[head]
-    return w, keys, w.hash[first], keys[w.doc[first]]
-
-
-def passages(w: Windows, removable: np.ndarray, since: np.ndarray, words: list[list[bytes]], window: int = WINDOW) -> dict[str, int]:
-    """Passage text to the least key from which on its occurrences go: the longest runs of removable windows in each document."""
-    out: dict[str, int] = {}
-    at = np.flatnonzero(removable)
-    if not len(at):
-        return out
-    cuts = np.flatnonzero((np.diff(at) != 1) | (np.diff(w.doc[at]) != 0) | (np.diff(w.at[at]) != 1)) + 1
-    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)]):
-        i, j = at[a], at[b - 1]
-        text = " " + b" ".join(words[w.doc[i]][w.at[i] : w.at[j] + window]).decode("latin-1") + " "
-        out[text] = min(out.get(text, 2**63 - 1), int(since[i : j + 1].max()))
-    return out
+            inside = np.flatnonzero(at + WINDOW <= words.first[doc + 1])
+            least, doc = least[inside], doc[inside]
+            heads = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (np.diff(inside) != 1)]) if len(inside) else inside
+            n = np.diff(np.r_[heads, len(inside)])
+            hashes = words.window_hashes(WINDOW)[inside] if each else least[:0]
+            # Least hashes lie close to zero; mixed once more, they spread over the parts.
+            parts.append((mix(least[heads]), doc[heads] + start, (inside - words.first[doc])[heads], n, hashes))
+        empty = np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, np.uint64)
+        self.value, self.doc, self.begin, self.n, self.hashes = (np.concatenate(x) for x in zip(*(parts or [empty])))
+
+
+def _prints(texts: list[bytes]) -> np.ndarray:
+    return Windows(texts).value
+
+
+def windows_of(body: bytes) -> list[bytes]:
+    words = body.split(b" ")
+    return [b" ".join(words[i : i + WINDOW]) for i in range(len(words) - WINDOW + 1)]
+
 
+def passages(part: X.Part) -> dict[bytes, int]:
+    """The passages of a part that recur, each with the least key under which it stands.
 
-def automata(found: dict[str, int], shard_chars: int = SHARD_CHARS):
+    A body alone under its fingerprint is one passage if it has several keys. Bodies that share a fingerprint may have
+    windows in common: each window that stands under several keys is a passage.
+    """
+    value = part.value[part.first]
+    _, inverse, times = np.unique(value, return_inverse=True, return_counts=True)
+    alone = times[inverse] == 1
+    least = part.key[part.first].tolist()
+    most = np.full(len(part.first), np.iinfo(np.int64).min)
+    np.maximum.at(most, part.which, part.key)
+    out, seen = {}, {}
+    for k in np.argsort(value, kind="stable").tolist():
+        if alone[k]:
+            if most[k] > least[k]:
+                out[part.bodies[k]] = least[k]
+        else:
+            for w in windows_of(part.bodies[k]):
+                low, high = seen.get(w, (least[k], most[k]))
+                seen[w] = min(low, least[k]), max(high, most[k])
+    return out | {w: low for w, (low, high) in seen.items() if high > low}
+
+
+def automata(found: dict[bytes, int], shard_chars: int = SHARD_CHARS) -> Iterator[ahocorasick.Automaton]:
     """Automata over shards of the passages; each value is (length in characters, least key)."""
     shard, size = ahocorasick.Automaton(), 0
     for text, since in sorted(found.items()):
@@ -83,32 +89,40 @@ def automata(found: dict[str, int], shard_chars: int = SHARD_CHARS):
             shard.make_automaton()
             yield shard
             shard, size = ahocorasick.Automaton(), 0
-        shard.add_word(text, (len(text), since))
+        shard.add_word(" " + text.decode("latin-1") + " ", (len(text), since))
         size += len(text)
     if size:
         shard.make_automaton()
         yield shard
 
 
-def located(found: dict[str, int], words: list[list[bytes]], keys: np.ndarray, shard_chars: int = SHARD_CHARS) -> list[np.ndarray]:
-    """For each document, which of its words an occurrence of a passage covers whose least key lies below the document's."""
-    masks = [np.zeros(len(w), bool) for w in words]
-    texts = [" " + b" ".join(w).decode("latin-1") + " " for w in words]
+def located(found: dict[bytes, int], bodies: list[bytes], shard_chars: int = SHARD_CHARS) -> list[list[tuple[int, int, int]]]:
+    """Of each body, (first word, word behind the last, least key) of every occurrence of a passage."""
+    out: list[list[tuple[int, int, int]]] = [[] for _ in bodies]
+    texts = [" " + b.decode("latin-1") + " " for b in bodies]
     for automaton in automata(found, shard_chars):
-        for d, text in enumerate(texts):
-            spans = [(end - length + 1, end) for end, (length, since) in automaton.iter(text) if since < keys[d]]
-            if spans:
-                begins = np.cumsum(np.r_[0, np.fromiter(map(len, words[d]), np.int64, len(words[d])) + 1])
-                a = np.searchsorted(begins, [s for s, _ in spans])
-                b = np.searchsorted(begins, [e for _, e in spans])
-                change = np.zeros(len(words[d]) + 1, np.int64)
-                np.add.at(change, a, 1)
-                np.add.at(change, b, -1)
-                masks[d] |= np.cumsum(change)[:-1] > 0
-    return masks
-
-
-def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", digests: bool = False) -> DataFrame:
+        for hits, text in zip(out, texts):
+            begins = None
+            for end, (length, since) in automaton.iter(text):
+                if begins is None:  # of each word, and behind the last
+                    begins = list(accumulate(map(len, text.split(" ")[1:-1]), lambda a, n: a + n + 1, initial=1))
+                hits.append((bisect_left(begins, end - length), bisect_left(begins, end + 1), since))
+    return out
+
+
+def find(part: X.Part) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, begin, end): the windows of stretches that also stand under a smaller key, by streaming all bodies through the part's automata."""
+    hits = located(passages(part), part.bodies)
+    sizes = np.fromiter(map(len, hits), np.int64, len(hits))
+    flat = np.array([h for own in hits for h in own], np.int64).reshape(-1, 3)
+    base = np.r_[0, np.cumsum(sizes)[:-1]] if len(sizes) else sizes
+    rows = np.repeat(np.arange(len(part.which)), sizes[part.which])
+    at = spread(base[part.which], sizes[part.which])
+    gone = flat[at, 2] < part.key[rows]
+    return rows[gone], flat[at[gone], 0], flat[at[gone], 1] - (WINDOW - 1)
+
+
+def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", digests: bool = False, hot_places: int = X.HOT_PLACES) -> DataFrame:
     """One row per row of docs: `row` (all its columns but the text), n_words, n_removed and kept_text, or with digests kept_sha256.
 
     Words are runs of [^\\x20\\x09-\\x0D]. A word goes if a window of WINDOW words that covers it also starts in a document
@@ -116,34 +130,46 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", digests: boo
     words. A null key orders behind all others; rows with equal keys don't count against each other, so repeated rows all
     keep what the first keeps. An empty table gives an empty one.
 
-    Fingerprints tell which windows may recur, and a second round of questions which of these start under a smaller key (by
-    64-bit hashes of 64-bit word hashes). Runs of such windows are the confirmed passages: automata over them read all
-    documents of the block and find every occurrence, letter by letter.
+    Windows go to the part of their least fingerprint, with the neighbours that share it, if it recurs at all. A part
+    confirms on the words themselves which passages stand under several keys, compiles automata over these, and streams the
+    stretches of all documents through them; each occurrence goes from the documents behind the passage's least key.
+    Stretches of fingerprints with over hot_places places are taken apart into single windows, which spread over all parts.
     """
     table = X.blocks(docs, text, key)
-    bits = X.bucket_bits(table)
-    prints = X.ask_prints(table, _prints, bits)
-
-    def ask(block, rows, answers):
-        _, _, hashes, keys = _candidates(rows, answers.get(1, {}), bits)
-        zero = np.zeros(len(hashes), np.int64)
-        return X.questions_of([(b, X.pack_windows(hashes[x:y], keys[x:y], zero[x:y])) for b, x, y in X.by_bucket(hashes, bits)], block)
-
-    windows = X.asked(X.with_answers(table, [prints], ask, X.QUESTION), {2: X.answer_windows}, bits, "windows")
+    bits = X.part_bits(table)
+
+    def ask(block: int, rows: pa.Table, known: X.Known) -> pa.Table:
+        texts, keys = rows.column("text").to_pylist(), rows.column("key").to_numpy()
+        w = Windows(texts, each=True)
+        words: dict[int, list[bytes]] = {}
+
+        def body(d: int, b: int, n: int) -> bytes:
+            if d not in words:
+                words[d] = texts[d].split()
+            return b" ".join(words[d][b : b + n + WINDOW - 1])
+
+        usual, hot = known.masks(w.value)
+        one = np.ones(int(w.n[hot].sum()), np.int64)
+        hashes = w.hashes[spread(np.r_[0, np.cumsum(w.n)[:-1]][hot], w.n[hot])] if len(one) else w.hashes[:0]
+        return pa.concat_tables([
+            X.stretches(block, keys, w.value[usual], w.doc[usual], w.begin[usual], w.n[usual], w.n[usual] < 0, body, False, bits, False),
+            X.stretches(block, keys, mix(hashes), np.repeat(w.doc[hot], w.n[hot]), spread(w.begin[hot], w.n[hot]) if len(one) else one, one, one < 0, body, True, bits, False),
+        ])
+
+    questions = X.asked(table, X.recurring(table, _prints, hot_places), ask)
+    found = X.settled(questions, find, WINDOW - 1, False, bits)
     last = "kept_sha256" if digests else "kept_text"
 
-    def finish(block, rows, answers):
-        w, keys, hashes, first = _candidates(rows, answers.get(1, {}), bits)
-        elsewhere = X.window_masks(hashes, answers.get(2, {}), bits)
-        which = np.searchsorted(hashes, w.hash)
-        # Windows that start under a smaller key elsewhere go for any key here; others from the key after their first.
-        since = np.where(elsewhere, np.int64(-(2**63)), first)[which] if len(hashes) else np.zeros(0, np.int64)
-        removable = since < keys[w.doc]
-        words = [t.split() for t in rows.column("text").to_pylist()]
-        masks = located(passages(w, removable, since, words), words, keys)
-        kept = [b" ".join([x for x, gone in zip(ws, m.tolist()) if not gone]) if m.any() else b" ".join(ws) for ws, m in zip(words, masks)]
-        out = [hashlib.sha256(k).hexdigest() for k in kept] if digests else [k.decode("utf-8", "replace") for k in kept]
-        return pa.table({"row": rows.column("row"), "n_words": pa.array(map(len, words), pa.int64()), "n_removed": pa.array([int(m.sum()) for m in masks], pa.int64()), last: pa.array(out, pa.string())})
+    def finish(rows: pa.Table, spans: list[np.ndarray]) -> pa.Table:
+        n, removed, out = [], [], []
+        for t, s in zip(rows.column("text").to_pylist(), spans):
+            words = t.split()
+            n.append(len(words))
+            gone = X.covered(s, len(words)) if len(s) else np.zeros(0, bool)
+            removed.append(int(np.count_nonzero(gone)))
+            kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g] if removed[-1] else words)
+            out.append(hashlib.sha256(kept).hexdigest() if digests else kept.decode("utf-8", "replace"))
+        return pa.table({"row": rows.column("row"), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), last: pa.array(out, pa.string())})
 
     schema = T.StructType([X.row_field(docs, text), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField(last, T.StringType())])
-    return X.with_answers(table, [prints, windows], finish, schema)
+    return X.finished(table, found, finish, schema)

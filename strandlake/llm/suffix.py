@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import exchange as X
-from .common import byte_hashes, byte_sums, mix, passes, range_hashes, sliding, spread
+from .common import byte_hashes, mix, passes, sliding, spread
 
 LENGTH = 100
 #: Bytes of a fingerprint; the least one in each LENGTH bytes tells whether they are asked for, and where.
@@ -19,10 +19,12 @@ GRAM = 32
 WIDTH = LENGTH - GRAM + 1
 #: Bytes of text in one suffix array; the stretches of one fingerprint stay together.
 ARRAY_BYTES = 1 << 18
+#: Steps that all suffixes take at once towards the nearest smaller place.
+STEPS = 48
 
 
-def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
-    """Rank of each place by its first `length` bytes (fewer at the end); equal ranks mean equal bytes.
+def suffix_levels(data: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
+    """(h, rank of each place by its first h bytes) for growing h up to `length`; equal ranks mean equal bytes.
 
     Prefix doubling: ranks of h bytes, paired with those h further on, give the ranks of 2h.
     """
@@ -33,14 +35,14 @@ def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for i in range(have):
         key = key * np.uint64(257) + padded[i : i + n]
-    ranks = _ranked(key)
+    levels = [(have, _ranked(key))]
     while have < length:
-        step = min(have, length - have)
+        ranks, step = levels[-1][1], min(have, length - have)
         further = np.zeros(n, np.uint64)
         further[: max(0, n - step)] = ranks[step:] + np.uint64(1)
-        ranks = _ranked(ranks * np.uint64(n + 2) + further)
         have += step
-    return ranks
+        levels.append((have, _ranked(ranks * np.uint64(n + 2) + further)))
+    return levels
 
 
 def _ranked(key: np.ndarray) -> np.ndarray:
@@ -51,60 +53,83 @@ def _ranked(key: np.ndarray) -> np.ndarray:
     return ranks
 
 
-def longest_previous_factors(data: bytes) -> np.ndarray:
-    """For each place of data, the length of the longest string from there that also starts earlier.
+def common_prefixes(data: np.ndarray, levels: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bytes that the suffixes at a and b have in common, up to the length of the last level."""
+    n, length = len(data), levels[-1][0]
+    common = np.zeros(len(a), np.int64)
+    for h, ranks in reversed(levels):
+        x, y = a + common, b + common
+        near = np.flatnonzero((x < n) & (y < n) & (common + h <= length))
+        common[near[ranks[x[near]] == ranks[y[near]]]] += h
+    for _ in range(levels[0][0]):
+        x, y = a + common, b + common
+        near = np.flatnonzero((x < n) & (y < n) & (common < length))
+        common[near[data[x[near]] == data[y[near]]]] += 1
+    return np.minimum(common, n - np.maximum(a, b))
+
 
-    In suffix order the best earlier place is the nearest before or behind with a smaller place; both come from one pass
-    over the suffix array with a stack.
+def _nearest_smaller(places: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Of each suffix, what it has in common with the nearest one before it in suffix order that stands at a smaller place.
+
+    common: with the suffix right before. Each suffix looks at one before it, with only greater places between; while that
+    one's place isn't smaller, it goes on to what that one looks at, and all do so at once. Few steps do nearly always;
+    else one walk from the front to the back finishes, which is linear for any input.
     """
-    n = len(data)
-    order = np.argsort(suffix_ranks(np.frombuffer(data, np.uint8), max(n, 1)), kind="stable").tolist() if n else []
-    best, stack = np.zeros(n, np.int64), []
-    common: list[int] = []  # with the suffix below on the stack
-
-    def lcp(a: int, b: int) -> int:
-        k = 0
-        while a + k < n and b + k < n and data[a + k] == data[b + k]:
-            k += 1
-        return k
-
-    for place in [*order, -1]:
-        down = lcp(stack[-1], place) if stack and place >= 0 else 0
-        while stack and place < stack[-1]:
-            top, own = stack.pop(), common.pop()
-            best[top] = max(own, down)  # the previous smaller place lies below on the stack, the next one is `place`
-            down = min(own, down)
-        if place >= 0:
-            stack.append(place)
-            common.append(down)
-    return best
-
-
-def reaches_earlier(ranks: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Where the longest previous factor of a suffix has the whole length that the ranks tell apart.
-
-    In suffix order the best earlier match of a suffix is the previous or the next one with a smaller place. Suffixes of one
-    rank stand side by side and share that length, so it is enough that either lies within the same rank: running minima of
-    the places, from the front and from behind, each starting anew with a rank, tell so.
+    at, low = np.arange(len(places)) - 1, common.copy()
+    left = np.flatnonzero((at >= 0) & (places[at] >= places))
+    for _ in range(STEPS):
+        if not len(left):
+            break
+        p = at[left]
+        at[left], low[left] = at[p], np.minimum(low[left], low[p])
+        left = left[(at[left] >= 0) & (places[at[left]] >= places[left])]
+    if len(left):
+        own, at_list, low_list = places.tolist(), at.tolist(), low.tolist()
+        for i in range(int(left[0]), len(own)):
+            p = at_list[i]
+            while p >= 0 and own[p] >= own[i]:
+                low_list[i] = min(low_list[i], low_list[p])
+                p = at_list[p]
+            at_list[i] = p
+        at, low = np.array(at_list), np.array(low_list)
+    low[at < 0] = 0
+    return low
+
+
+def previous_factors(data: np.ndarray, starts: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
+    """The longest-previous-factor array: of the suffix of data at each of `starts`, the length up to `length` of its longest match with a suffix at a smaller place.
+
+    In suffix order the best earlier match is the nearest suffix before or behind that stands at a smaller place: the
+    previous and next smaller values of the places, and the least common prefix on the way there.
     """
-    order = np.argsort(ranks, kind="stable")
-    own, at = ranks[order], places[order]
-    fresh = np.r_[True, own[1:] != own[:-1]]
-    group, wide = np.cumsum(fresh), np.int64(at.max() + 1)
-    from_front = np.minimum.accumulate(at - group * wide) + group * wide
-    back = group[-1] - group
-    from_behind = (np.minimum.accumulate((at - back * wide)[::-1]))[::-1] + back * wide
-    out = np.empty(len(ranks), bool)
-    out[order] = (from_front < at) | (from_behind < at)
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    levels = suffix_levels(data, length)
+    order = np.argsort(levels[-1][1][starts], kind="stable")
+    own, at = starts[order], places[order]
+    common = np.r_[0, common_prefixes(data, levels, own[:-1], own[1:])]
+    before = _nearest_smaller(at, common)
+    behind = _nearest_smaller(at[::-1], np.r_[0, common[:0:-1]])[::-1]
+    out = np.empty(len(starts), np.int64)
+    out[order] = np.maximum(before, behind)
     return out
 
 
+def longest_previous_factors(data: bytes) -> np.ndarray:
+    """For each place of data, the length of the longest string from there that also starts earlier."""
+    at = np.arange(len(data))
+    return previous_factors(np.frombuffer(data, np.uint8), at, at, max(len(data), 1))
+
+
 class Segments:
-    """Of a block: stretches of windows (LENGTH bytes inside one text) that share their least fingerprint, if that recurs.
+    """Of several texts: stretches of windows (LENGTH bytes inside one text) that share their least fingerprint.
 
-    doc, begin: the text and the place in it of a stretch's first window; n: its windows; its bytes are n + LENGTH - 1.
+    doc, begin: the text and the place in it of a stretch's first window; n: its windows; its bytes are n + LENGTH - 1;
+    times: how often the fingerprint stands in it.
     """
 
+    NAMES = ("value", "doc", "begin", "n", "times")
+
     def __init__(self, texts: list[bytes]):
         parts = []
         for start, group in passes(texts):
@@ -113,7 +138,6 @@ class Segments:
             first = np.r_[0, np.cumsum(lengths + 1)]
             grams = byte_hashes(data, GRAM)
             least = sliding(grams, WIDTH)
-            at = np.arange(len(least))
             # Number of windows that lie inside their text, from each text's start
             inside = np.zeros(len(least) + 1, np.int64)
             full = lengths >= LENGTH
@@ -127,75 +151,40 @@ class Segments:
             heads, ends = heads[kept], ends[kept]
             value = least[heads]
             doc = np.searchsorted(first, heads, side="right") - 1
-            # How often the least fingerprint stands in the stretch: only where more than once can it repeat within itself.
-            if len(heads):
+            times = heads
+            if len(heads):  # only where the least fingerprint stands more than once in a stretch can it repeat within itself
                 edge = np.zeros(WIDTH - 1, np.uint64)
                 own = np.flatnonzero(grams == sliding(np.r_[edge, least, edge], WIDTH, np.maximum))
                 low = np.searchsorted(own, heads)
                 near = np.searchsorted(own, ends + WIDTH - 1) - low
                 same = grams[own[spread(low, near)]] == np.repeat(value, near)
                 times = np.add.reduceat(same.astype(np.int64), np.r_[0, np.cumsum(near)[:-1]])
-                digest = range_hashes(byte_sums(data), heads, ends + LENGTH - 1)
-            else:
-                times, digest = heads, np.zeros(0, np.uint64)
-            # Least hashes lie close to zero; mixed once more, they spread over the buckets.
-            parts.append((mix(value), doc + start, heads - first[doc], ends - heads, times, digest))
-        empty = (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(4)), np.zeros(0, np.uint64))
-        self.value, self.doc, self.begin, self.n, self.times, self.digest = (np.concatenate(x) for x in zip(*(parts or [empty])))
+            # Least hashes lie close to zero; mixed once more, they spread over the parts.
+            parts.append((mix(value), doc + start, heads - first[doc], ends - heads, times))
+        empty = (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(4)))
+        self.value, self.doc, self.begin, self.n, self.times = (np.concatenate(x) for x in zip(*(parts or [empty])))
 
     def chosen(self, kept: np.ndarray) -> Segments:
         out = Segments([])
-        for name in ("value", "doc", "begin", "n", "times", "digest"):
+        for name in self.NAMES:
             setattr(out, name, getattr(self, name)[kept])
         return out
 
-
-def _prints(rows: pa.Table) -> np.ndarray:
-    s = Segments(rows.column("text").to_pylist())
-    return np.concatenate([s.value, s.value[s.times > 1]])  # twice if it may repeat within itself
+    def apart(self, texts: list[bytes]) -> Segments:
+        """Each window as a stretch of its own, with a hash of itself for its value."""
+        out = Segments([])
+        out.doc, out.begin = np.repeat(self.doc, self.n), spread(self.begin, self.n)
+        out.n, out.times = np.ones(len(out.doc), np.int64), np.ones(len(out.doc), np.int64)
+        out.value = np.zeros(len(out.doc), np.uint64)
+        for d in np.unique(out.doc).tolist():
+            own = slice(*np.searchsorted(out.doc, [d, d + 1]))
+            out.value[own] = byte_hashes(np.frombuffer(texts[d], np.uint8), LENGTH)[out.begin[own]]
+        return out
 
 
-class _Asked:
-    """A block's candidates: stretches by distinct content, and single windows of hot fingerprints."""
-
-    def __init__(self, rows: pa.Table, prints: dict[int, bytes], bits: int):
-        self.texts, self.keys = rows.column("text").to_pylist(), rows.column("key").to_numpy()
-        s = Segments(self.texts)
-        found, inverse = np.unique(s.value, return_inverse=True)
-        recurring, hot = X.print_masks(found, prints, bits)
-        self.hot = s.chosen(hot[inverse])
-        self.s = s = s.chosen((recurring & ~hot)[inverse])
-        order = np.lexsort((s.begin, self.keys[s.doc], s.digest, s.value))
-        v, d = s.value[order], s.digest[order]
-        head = np.r_[True, (v[1:] != v[:-1]) | (d[1:] != d[:-1])] if len(order) else np.zeros(0, bool)
-        self.first = order[head]
-        self.group = np.empty(len(order), np.int64)
-        self.group[order] = np.cumsum(head) - 1
-
-    def stretches(self, bits: int):
-        """(bucket, payload) of the distinct stretches, in the order of their fingerprints."""
-        s, f = self.s, self.first
-        keys, text = self.keys[s.doc[f]], self.texts
-        for b, x, y in X.by_bucket(s.value[f], bits):
-            g = f[x:y]
-            body = b"".join([text[d][a : a + n + LENGTH - 1] for d, a, n in zip(s.doc[g].tolist(), s.begin[g].tolist(), s.n[g].tolist())])
-            raw = s.value[g].tobytes() + keys[x:y].tobytes() + s.begin[g].astype(np.uint32).tobytes() + s.n[g].astype(np.uint32).tobytes() + (s.times[g] > 1).astype(np.uint8).tobytes() + body
-            yield b, len(g).to_bytes(4, "little") + len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
-
-    def windows(self):
-        """Distinct hot windows by hash with their first (key, start), and for each of all hot windows which one it is."""
-        h = self.hot
-        doc, at = np.repeat(h.doc, h.n), spread(h.begin, h.n)
-        hashes = np.zeros(len(doc), np.uint64)
-        for d in np.unique(doc).tolist():
-            own = slice(*np.searchsorted(doc, [d, d + 1]))
-            hashes[own] = byte_hashes(np.frombuffer(self.texts[d], np.uint8), LENGTH)[at[own]]
-        order = np.lexsort((at, self.keys[doc], hashes))
-        head = np.r_[True, hashes[order][1:] != hashes[order][:-1]] if len(order) else np.zeros(0, bool)
-        which = np.empty(len(order), np.int64)
-        which[order] = np.cumsum(head) - 1
-        first = order[head]
-        return doc, at, which, hashes[first], self.keys[doc[first]], at[first]
+def _prints(texts: list[bytes]) -> np.ndarray:
+    s = Segments(texts)
+    return np.concatenate([s.value, s.value[s.times > 1]])  # twice if it may repeat within itself
 
 
 def _portions(values: np.ndarray, sizes: np.ndarray) -> Iterator[slice]:
@@ -208,62 +197,45 @@ def _portions(values: np.ndarray, sizes: np.ndarray) -> Iterator[slice]:
             begin, done = cut, reach[cut - 1]
 
 
-def _earlier(data: np.ndarray, value: np.ndarray, keys: np.ndarray, begin: np.ndarray, n: np.ndarray, repeats: np.ndarray) -> np.ndarray:
-    """For each window of some stretches, whether it starts earlier in another window of theirs; data: their bytes."""
-    size = n + LENGTH - 1
-    at = np.r_[0, np.cumsum(size)[:-1]]
-    digest = range_hashes(byte_sums(data), at, at + size)
-    # Equal stretches of several blocks: each but the first is removed as a whole.
-    order = np.lexsort((begin, keys, digest, value))
-    head = np.r_[True, (value[order][1:] != value[order][:-1]) | (digest[order][1:] != digest[order][:-1])]
-    first_of = np.empty(len(order), np.int64)
-    first_of[order] = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
-    later = (keys != keys[first_of]) | (begin != begin[first_of])
-    # Windows of different stretches can only be equal under one fingerprint; alone under it, one can only repeat itself.
-    distinct = np.flatnonzero(first_of == np.arange(len(order)))
-    _, inverse, times = np.unique(value[distinct], return_inverse=True, return_counts=True)
-    own = distinct[(times[inverse] > 1) | (repeats[distinct] > 0)]
-    starts = np.r_[0, np.cumsum(n)[:-1]]
-    removed = np.zeros(int(n.sum()), bool)
-    if len(own):
-        text = data[spread(at[own], size[own])]
-        where = np.r_[0, np.cumsum(size[own])[:-1]]
-        ranks = suffix_ranks(text, LENGTH)[spread(where, n[own])]  # of the windows only
-        by_place = np.lexsort((begin[own], keys[own]))
-        place = np.empty(len(own), np.int64)
-        place[by_place] = np.cumsum(np.r_[False, (np.diff(keys[own][by_place]) != 0) | (np.diff(begin[own][by_place]) != 0)])
-        removed[spread(starts[own], n[own])] = reaches_earlier(ranks, spread(place * int(n[own].max()), n[own]))
-    # Copies at the same (key, start) share the first one's verdicts; later ones go.
-    for c in np.flatnonzero((first_of != np.arange(len(order))) & ~later).tolist():
-        removed[starts[c] : starts[c] + n[c]] = removed[starts[first_of[c]] : starts[first_of[c]] + n[c]]
-    gone = np.flatnonzero(later)
-    if len(gone):
-        removed[spread(starts[gone], n[gone])] = True
-    return removed
-
-
-def _answer_stretches(payloads: list[bytes]) -> list[bytes]:
-    """For each payload, a packed mask over the windows of its stretches: those that start earlier elsewhere."""
-    parts = []
-    for p in payloads:
-        k, size = int.from_bytes(p[:4], "little"), int.from_bytes(p[4:12], "little")
-        raw = pa.decompress(p[12:], decompressed_size=size, codec="zstd", asbytes=True)
-        ends = np.cumsum([0, 8 * k, 8 * k, 4 * k, 4 * k, k])
-        get = lambda i, t: np.frombuffer(raw[ends[i] : ends[i + 1]], t)
-        parts.append((get(0, np.uint64), get(1, np.int64), get(2, np.uint32), get(3, np.uint32), get(4, np.uint8), raw[ends[5] :]))
-    value, keys, begin, n, repeats = (np.concatenate([p[i] for p in parts]) for i in range(5))
-    n, begin = n.astype(np.int64), begin.astype(np.int64)
-    data = np.frombuffer(b"".join(p[5] for p in parts), np.uint8)
-    at = np.r_[0, np.cumsum(n + LENGTH - 1)[:-1]]
-    starts = np.r_[0, np.cumsum(n)[:-1]]
-    removed = np.zeros(int(n.sum()), bool)
-    order = np.argsort(value, kind="stable")
-    for part in _portions(value[order], n[order] + LENGTH - 1):
-        s = order[part]
-        text = data[spread(at[s], n[s] + LENGTH - 1)]
-        removed[spread(starts[s], n[s])] = _earlier(text, value[s], keys[s], begin[s], n[s], repeats[s])
-    cuts = np.cumsum([p[3].astype(np.int64).sum() for p in parts])[:-1]
-    return [np.packbits(m).tobytes() if m.any() else b"" for m in np.split(removed, cuts)]
+def find(part: X.Part) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, begin, end): the windows of stretches that start earlier in the part.
+
+    Equal bodies are one suffix of the array, at their first place: what stands at a later one has it as a previous factor
+    and goes whole. Bodies without another one under their fingerprint have no match but within themselves.
+    """
+    first, value, n = part.first, part.value[part.first], part.n[part.first]
+    _, inverse, times = np.unique(value, return_inverse=True, return_counts=True)
+    own = np.flatnonzero((times[inverse] > 1) | part.repeats[first])
+    own = own[np.argsort(value[own], kind="stable")]
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for portion in _portions(value[own], n[own] + LENGTH - 1):
+        s = own[portion]
+        size = n[s] + LENGTH - 1
+        starts = spread(np.r_[0, np.cumsum(size)[:-1]], n[s])
+        by_place = np.lexsort((part.begin[first[s]], part.key[first[s]]))
+        key, begin = part.key[first[s]][by_place], part.begin[first[s]][by_place]
+        number = np.empty(len(s), np.int64)
+        # A text's places go on from one key to the next, far enough apart.
+        reach = np.int64((part.begin[first[s]] + n[s]).max() + 1)
+        number[by_place] = np.cumsum(np.r_[False, key[1:] != key[:-1]]) * reach + begin
+        data = np.frombuffer(b"".join([part.bodies[k] for k in s.tolist()]), np.uint8)
+        gone = previous_factors(data, starts, spread(number, n[s]), LENGTH) >= LENGTH
+        # Runs of such windows in each stretch
+        edge = np.zeros(len(gone) + 1, bool)
+        edge[np.cumsum(n[s])] = edge[0] = True
+        up = np.flatnonzero(gone & (edge[:-1] | ~np.r_[False, gone[:-1]]))
+        down = np.flatnonzero(gone & (edge[1:] | ~np.r_[gone[1:], False])) + 1
+        of = np.searchsorted(np.cumsum(n[s]), up, side="right")
+        base = np.r_[0, np.cumsum(n[s])[:-1]][of]
+        found.append((s[of], up - base, down - base))
+    body, begin, end = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+    # Verdicts on a body hold for all of its stretches at its first place.
+    rows = np.flatnonzero(~part.later)
+    order = np.argsort(part.which[rows], kind="stable")
+    low, high = np.searchsorted(part.which[rows][order], body), np.searchsorted(part.which[rows][order], body, side="right")
+    at, again = rows[order][spread(low, high - low)], np.repeat(np.arange(len(body)), high - low)
+    later = np.flatnonzero(part.later)
+    return np.r_[at, later], np.r_[begin[again], np.zeros(len(later), np.int64)], np.r_[end[again], part.n[later]]
 
 
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", digests: bool = False, as_text: bool = False, hot_places: int = X.HOT_PLACES) -> DataFrame:
@@ -276,57 +248,34 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", digests: boo
     repeated row keeps what the first keeps; a null key orders behind all others. Overlaps count, and strings are judged on
     the input. n_spans counts the longest runs of removed bytes. An empty table gives an empty one.
 
-    Each LENGTH bytes go to the bucket of their least fingerprint, with the neighbours that share it; a bucket's suffix
-    array puts equal strings side by side, and the earliest place among them is what a longest-previous-factor array of
-    LENGTH or more points to. Bytes of very frequent fingerprints are asked for string by string, by 64-bit hashes, so that
-    no bucket has to hold them all.
+    Each LENGTH bytes go to the part of their least fingerprint, with the neighbours that share it, if it recurs at all. A
+    part's suffix array and its longest previous factors tell which of them start earlier; stretches meet on their bytes.
+    Stretches of fingerprints with over hot_places places are taken apart into single strings, which spread over all parts.
     """
     table = X.blocks(docs, text, key)
-    bits = X.bucket_bits(table)
-    prints = X.ask_prints(table, _prints, bits, hot_places)
-
-    def ask(block, rows, answers):
-        a = _Asked(rows, answers.get(1, {}), bits)
-        _, _, _, hashes, keys, at = a.windows()
-        windows = [(b + (1 << bits), X.pack_windows(hashes[x:y], keys[x:y], at[x:y])) for b, x, y in X.by_bucket(hashes, bits)]
-        return X.questions_of([*a.stretches(bits), *windows], block)
-
-    found = X.asked(X.with_answers(table, [prints], ask, X.QUESTION), {2: _answer_stretches, 3: X.answer_windows}, bits, "stretches")
+    bits = X.part_bits(table)
+
+    def ask(block: int, rows: pa.Table, known: X.Known) -> pa.Table:
+        texts, keys = rows.column("text").to_pylist(), rows.column("key").to_numpy()
+        s = Segments(texts)
+        usual, hot = known.masks(s.value)
+        out = []
+        for own, is_hot in ((s.chosen(usual), False), (s.chosen(hot).apart(texts), True)):
+            out.append(X.stretches(block, keys, own.value, own.doc, own.begin, own.n, own.times > 1, lambda d, b, n: texts[d][b : b + n + LENGTH - 1], is_hot, bits, True))
+        return pa.concat_tables(out)
+
+    questions = X.asked(table, X.recurring(table, _prints, hot_places), ask)
+    found = X.settled(questions, find, LENGTH - 1, True, bits)
     last = "kept_sha256" if digests else "kept_text" if as_text else "kept"
 
-    def finish(block, rows, answers):
-        a = _Asked(rows, answers.get(1, {}), bits)
-        s, f, keys = a.s, a.first, a.keys
-        lengths = np.fromiter(map(len, a.texts), np.int64, len(a.texts))
-        base = np.r_[0, np.cumsum(lengths + 1)]
-        change = np.zeros(int(base[-1]) + 1, np.int32)
-
-        def mark(begins, ends):
-            np.add.at(change, begins, 1)
-            np.add.at(change, ends, -1)
-
-        if len(f):
-            one = f[a.group]
-            later = (keys[s.doc] != keys[s.doc[one]]) | (s.begin != s.begin[one])
-            begins = base[s.doc] + s.begin
-            mark(begins[later], (begins + s.n + LENGTH - 1)[later])
-            answered = np.concatenate([X.mask_of(answers.get(2, {}).get(b), int(s.n[f[x:y]].sum())) for b, x, y in X.by_bucket(s.value[f], bits)])
-            starts = np.r_[0, np.cumsum(s.n[f])[:-1]]
-            own = np.flatnonzero(~later)
-            gone = spread(begins[own], s.n[own])[answered[spread(starts[a.group[own]], s.n[own])]]
-            mark(gone, gone + LENGTH)
-        doc, at, which, hashes, first_key, first_at = a.windows()
-        if len(doc):
-            gone = X.window_masks(hashes, answers.get(3, {}), bits)[which] | (keys[doc] != first_key[which]) | (at != first_at[which])
-            gone = (base[doc] + at)[gone]
-            mark(gone, gone + LENGTH)
-        all_gone = np.cumsum(change) > 0
-        removed, spans, kept = [], [], []
-        for t, x in zip(a.texts, base.tolist()):
-            gone = all_gone[x : x + len(t)]
-            n = int(np.count_nonzero(gone))
+    def finish(rows: pa.Table, spans: list[np.ndarray]) -> pa.Table:
+        texts = rows.column("text").to_pylist()
+        removed, runs, kept = [], [], []
+        for t, s in zip(texts, spans):
+            gone = X.covered(s, len(t)) if len(s) else None
+            n = int(np.count_nonzero(gone)) if gone is not None else 0
             removed.append(n)
-            spans.append(int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1])) if n else 0)
+            runs.append(int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1])) if n else 0)
             kept.append(np.frombuffer(t, np.uint8)[~gone].tobytes() if n else t)
         if digests:
             out = pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())
@@ -334,7 +283,7 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", digests: boo
             out = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())
         else:
             out = pa.array(kept, pa.binary())
-        return pa.table({"row": rows.column("row"), "n_bytes": pa.array(map(len, a.texts), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), last: out})
+        return pa.table({"row": rows.column("row"), "n_bytes": pa.array(map(len, texts), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(runs, pa.int64()), last: out})
 
     schema = T.StructType([X.row_field(docs, text), *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField(last, T.StringType() if digests or as_text else T.BinaryType())])
-    return X.with_answers(table, [prints, found], finish, schema)
+    return X.finished(table, found, finish, schema)

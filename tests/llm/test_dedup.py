@@ -5,6 +5,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import canon
 
@@ -126,12 +127,66 @@ def test_phrases_over_many_blocks(docs, monkeypatch):
     assert canon((a, b, c, sha(d.encode())) for a, b, c, d in got) == canon(brute_phrases(ROWS))
 
 
+@pytest.mark.parametrize("hot", [2, 0])
+def test_hot_phrases(docs, monkeypatch, hot):
+    monkeypatch.setattr(exchange, "BLOCK_BYTES", 2000)
+    got = phrases.dedup(docs, digests=True, hot_places=hot).select("row.doc_id", "n_words", "n_removed", "kept_sha256")
+    assert canon(got.collect()) == canon(brute_phrases(ROWS))
+
+
 def test_automata_in_shards():
-    words = [x.split() for x in (b"a b c d", b"b c d e", b"c d")]
-    found = {" b c ": 1, " c d ": 0}
-    whole = phrases.located(found, words, np.array([1, 2, 3]))
-    assert [m.astype(int).tolist() for m in whole] == [[0, 0, 1, 1], [1, 1, 1, 0], [1, 1]]
-    assert [m.tolist() for m in phrases.located(found, words, np.array([1, 2, 3]), shard_chars=1)] == [m.tolist() for m in whole]
+    bodies = [b"a b c d", b"b c d e", b"c d", b"bc d"]
+    found = {b"b c": 1, b"c d": 0}
+    whole = phrases.located(found, bodies)
+    assert [sorted(h) for h in whole] == [[(1, 3, 1), (2, 4, 0)], [(0, 2, 1), (1, 3, 0)], [(0, 2, 0)], []]
+    assert [sorted(h) for h in phrases.located(found, bodies, shard_chars=1)] == [sorted(h) for h in whole]
+
+
+def part_of(module, texts, places):
+    """All stretches of texts (each a block of its own, its place its key) in one part."""
+    tables = []
+    for k, text in enumerate(texts):
+        s = module.Segments([text]) if module is suffix else module.Windows([text])
+        body = (lambda d, b, n: text[b : b + n + 99]) if module is suffix else (lambda d, b, n: b" ".join(text.split()[b : b + n + 12]))  # noqa: B023
+        tables.append(exchange.stretches(k, np.array([k]), s.value, s.doc, s.begin, s.n, s.n > 0, body, False, 3, places))
+    return exchange.Part(pa.concat_tables(tables), places)
+
+
+@pytest.mark.parametrize("module,engine,nothing", [(phrases, "automata", lambda found, shard_chars=0: iter(())), (suffix, "previous_factors", lambda data, starts, places, length: np.zeros(len(starts), np.int64))])
+def test_the_method_makes_the_result(monkeypatch, module, engine, nothing):
+    """Passages with unlike surroundings are found by the automata, or the longest previous factors, alone."""
+    rng = random.Random(8)
+    shared = prose(rng, 40)
+    texts = [f"{prose(rng, 9)} {shared} {prose(rng, 9)}".encode() for _ in range(3)]
+    part = part_of(module, texts, module is suffix)
+    rows, begin, end = module.find(part)
+    assert {int(part.block[r]) for r in rows} == {1, 2} and (end > begin).all()
+    edge = {int(part.block[r]) for r in rows if not part.later[r]}
+    assert edge == {1, 2}
+    monkeypatch.setattr(module, engine, nothing)
+    rows, _, _ = module.find(part)
+    assert all(part.later[r] for r in rows) and (module is suffix or not len(rows))
+
+
+def thue_morse(n):
+    """A word of 2**n letters and its complement: powers of any base modulo 2**64 give both the same sum."""
+    word = "A"
+    for _ in range(n):
+        word += word.translate(str.maketrans("AB", "BA"))
+    return word, word.translate(str.maketrans("AB", "BA"))
+
+
+def test_words_made_to_collide(spark):
+    rng = random.Random(12)
+    a, b = thue_morse(10)
+    common = prose(rng, 12)
+    rows = [(1, f"one {a} two"), (2, f"one {b} two"), (3, f"{common} {a}"), (4, f"{common} {b}"), (5, f"{common} {a}"), (6, a), (7, b)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert canon(minhash.near_duplicates(frame).collect()) == canon(brute_components(rows))
+    got = phrases.dedup(frame, digests=True).select("row.doc_id", "n_words", "n_removed", "kept_sha256")
+    assert canon(got.collect()) == canon(brute_phrases(rows))
+    got = suffix.dedup(frame, digests=True).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert canon(got.collect()) == canon(brute_bytes(rows))
 
 
 def brute_bytes(rows, size=100):
@@ -177,13 +232,17 @@ def test_longest_previous_factors():
         assert suffix.longest_previous_factors(data).tolist() == want
 
 
-def test_reaches_earlier_is_a_full_previous_factor():
+@pytest.mark.parametrize("steps", [48, 1])
+def test_previous_factors_up_to_a_length(monkeypatch, steps):
+    monkeypatch.setattr(suffix, "STEPS", steps)
     rng = random.Random(5)
-    data = bytes(rng.choice(b"ab") for _ in range(300))
-    for length in (1, 4, 9):
-        n = len(data) - length + 1
-        ranks = suffix.suffix_ranks(np.frombuffer(data, np.uint8), length)[:n]
-        assert suffix.reaches_earlier(ranks, np.arange(n)).tolist() == (suffix.longest_previous_factors(data)[:n] >= length).tolist()
+    for length in (1, 4, 9, 20):
+        data = bytes(rng.choice(b"ab") for _ in range(300))
+        starts, places = np.arange(0, 290, 2), np.array(rng.sample(range(500), 145))
+        want = [max((next((k for k in range(length) if max(i, j) + k >= 300 or data[i + k] != data[j + k]), length) for j, q in zip(starts.tolist(), places) if q < p), default=0) for i, p in zip(starts.tolist(), places)]
+        assert suffix.previous_factors(np.frombuffer(data, np.uint8), starts, places, length).tolist() == want
+    rising = np.r_[np.arange(1, 400), 0]
+    assert suffix._nearest_smaller(rising, np.full(400, 7)).tolist() == [0] + [7] * 398 + [0]
 
 
 def test_suffix_ranks():
@@ -191,7 +250,7 @@ def test_suffix_ranks():
     data = rng.integers(97, 99, 500).astype(np.uint8)
     raw = data.tobytes()
     for length in (1, 7, 13, 100):
-        ranks = suffix.suffix_ranks(data, length)
+        ranks = suffix.suffix_levels(data, length)[-1][1]
         keys = [raw[i : i + length] for i in range(500)]
         assert [sorted(set(keys)).index(k) for k in keys] == ranks.tolist()
 
