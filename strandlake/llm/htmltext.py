@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
@@ -14,11 +16,13 @@ from pyspark.sql import types as T
 
 from .common import as_bytes, passes, small, with_row, written
 
-#: A subtree belongs to a site's template if it stands on so many pages of the host, and on this share of them.
+#: A subtree belongs to a site's template if it stands on so many pages of the host, and on this share of the host's pages
+#: that have an element at its path. So a section's box is one however large the host, and a sentence that some articles
+#: share is none, since the other articles have other paragraphs at the same path.
 TEMPLATE_PAGES = 5
-TEMPLATE_SHARE = 0.2
-#: On so many pages it does whatever their share, so that the bar doesn't grow with the host.
-TEMPLATE_ENOUGH = 100
+TEMPLATE_SHARE = 0.5
+#: Elements nested more deeply are read as if their tags weren't there.
+DEPTH = 256
 
 #: Kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -30,8 +34,10 @@ CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 SCOPE = frozenset("html body table td th ul ol dl article main section div aside nav footer header form".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 
-_ATTRIBUTES = r"""(?:[^>"']|"[^"]*"|'[^']*')*+"""
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe|xmp)\b{_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][a-z0-9:-]*)({_ATTRIBUTES})>|<[!?/][^>]*>", re.S | re.I)
+RAW = frozenset("script style noscript template textarea title iframe xmp".split())
+NAME = re.compile(r"</?([a-z][a-z0-9:-]*)", re.I)
+REST = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*+>""")
+RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|itemprop)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 NAMED_AWAY = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|sidebar|widget|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|topbar|toolbar|shar(?:e|ing)|social|related|recommended|comments?|disqus|respond|replies|pagination|pager)(?:$|[\s_-])", re.I)
 #: Parts of a class that tell a state or a layout: with-sidebar, no-sidebar, has-nav, comments-open name no sidebar, nav or comments.
@@ -47,36 +53,77 @@ def named(names: str, pattern: re.Pattern) -> bool:
     return bool(pattern.search(names)) and any(pattern.search(n) and STATES.isdisjoint(re.split("[-_]+", n.lower())) for n in names.split())
 
 
+def tokens(source: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name, content): ("text", "", it), ("start", name, attributes) and ("end", name, ""), in time linear in the source.
+
+    Comments, declarations and what stands in raw elements are left out, and so is a tag that the source's end cuts off.
+    """
+    at, size, spare = 0, len(source), 4 * len(source)
+    while at < size:
+        i = source.find("<", at)
+        if i < 0:
+            yield "text", "", source[at:]
+            return
+        if i > at:
+            yield "text", "", source[at:i]
+        m = NAME.match(source, i)
+        if not m and source[i + 1 : i + 2] not in ("!", "?", "/"):
+            yield "text", "", "<"
+            at = i + 1
+            continue
+        if source.startswith("<!--", i):
+            end = source.find("-->", i + 4)
+            at = end + 3 if end >= 0 else size
+            continue
+        end = source.find(">", i)
+        if end < 0:
+            return
+        if not m:
+            at = end + 1
+            continue
+        quoted = source.find('"', m.end(), end) >= 0 or source.find("'", m.end(), end) >= 0
+        if quoted and spare > 0:  # a quoted value may hold the sign; looked for as long as it takes no more than some readings of the source
+            rest = REST.match(source, m.end())
+            spare -= size - i if not rest else 0
+            end = rest.end() - 1 if rest else end
+        name, at = m[1].lower(), end + 1
+        if source[i + 1] == "/":
+            yield "end", name, ""
+        elif name in RAW:
+            close = RAW_END[name].search(source, at)
+            at = close.end() if close else size
+        else:
+            yield "start", name, source[m.end() : end]
+
+
 class Page:
-    """One page: `blocks` of (text, numbers of the open elements, named parts, articles), `hashes` of the numbered elements, and whether an article holds the text.
+    """One page: `blocks` of (text, numbers of the open elements, named parts, articles), `ids` and `paths` of the numbered elements, and whether an article holds the text.
 
+    An element's path is made of the names, classes and ids from the body down to it, its id of the path and all it holds.
     Elements that go by class or id alone, the named parts, are read like others; what they hold is decided on at the end.
     """
 
     def __init__(self, source: str):
-        self.hashes: list[int] = []
+        self.ids: list[int] = []
+        self.paths: list[int] = []
         self.blocks: list[tuple[str, tuple[int, ...], tuple[int, ...], int]] = []
         # For each article: the named parts that are it or hold it, and whether it is marked as the main one.
         self.roots: list[tuple[tuple[int, ...], bool]] = []
         # An open element: [name, number or -1, its content for the hash or None, opens a dropped part, its number as an article or -1, as a named part or -1]
         self._open: list[list] = []
+        self._names: Counter[str] = Counter()
+        self._skipped: Counter[str] = Counter()
         self._dropped, self._root = 0, -1
         self._parts: list[int] = []
         self._n_parts = 0
         self._text: list[str] = []
-        at = 0
-        for m in TOKEN.finditer(source):
-            if m.start() > at:
-                self._write(source[at : m.start()])
-            at = m.end()
-            name = m[3]
-            if name:
-                if m[2]:
-                    self._end(name.lower())
-                else:
-                    self._start(name.lower(), m[4])
-        if at < len(source):
-            self._write(source[at:])
+        for kind, name, content in tokens(source):
+            if kind == "text":
+                self._write(content)
+            elif kind == "start":
+                self._start(name, content)
+            else:
+                self._end(name)
         self._flush()
         while self._open:
             self._pop()
@@ -121,17 +168,20 @@ class Page:
     def _pop(self) -> None:
         name, number, content, dropped, root, part = self._open.pop()
         self._dropped -= dropped
+        self._names[name] -= 1
         if root >= 0:
             self._root = -1
         if part >= 0:
             self._parts.pop()
         if content is not None:
-            value = xxhash.xxh3_64_intdigest("\0".join([name, *content]).encode("utf-8", "replace")) - (1 << 63)
-            self.hashes[number] = value
+            value = xxhash.xxh3_64_intdigest("\0".join([str(self.paths[number]), *content]).encode("utf-8", "replace")) - (1 << 63)
+            self.ids[number] = value
             if self._open and self._open[-1][2] is not None:
                 self._open[-1][2].append(str(value))
 
     def _close_implied(self, names: set[str] | frozenset[str]) -> None:
+        if not any(self._names[n] for n in names):
+            return
         for k in range(len(self._open) - 1, -1, -1):
             name = self._open[k][0]
             if name in names:
@@ -152,9 +202,12 @@ class Page:
             self._text.append(" ")
         if name in VOID:
             return
+        if len(self._open) >= DEPTH:
+            self._skipped[name] += 1
+            return
         dropped = part = root = main = False
+        known = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
         if not self._dropped:
-            known = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
             role, names = known.get("role", "").lower(), f"{known.get('class', '')} {known.get('id', '')}"
             dropped = name in DROPPED or role in ROLES or "hidden" in known or known.get("aria-hidden", "") == "true" or (name == "header" and self._root < 0)
             if not dropped:
@@ -165,8 +218,11 @@ class Page:
             self._flush()
         number = -1
         if name not in ("html", "body"):
-            number = len(self.hashes)
-            self.hashes.append(0)
+            number = len(self.ids)
+            above = self.paths[self._open[-1][1]] if self._open and self._open[-1][1] >= 0 else 0
+            self.ids.append(0)
+            self.paths.append(xxhash.xxh3_64_intdigest(f"{above} {name} {known.get('class', '')} {known.get('id', '')}".encode("utf-8", "replace")) - (1 << 63))
+        self._names[name] += 1
         self._open.append([name, number, [] if number >= 0 else None, int(dropped), len(self.roots) if root else -1, self._n_parts if part else -1])
         self._dropped += dropped
         if part:
@@ -177,6 +233,13 @@ class Page:
             self.roots.append((tuple(self._parts), main))
 
     def _end(self, name: str) -> None:
+        if self._skipped[name]:
+            self._skipped[name] -= 1
+            return
+        if not self._names[name]:
+            if name == "p" or name in BLOCK:
+                self._flush()
+            return
         for k in range(len(self._open) - 1, -1, -1):
             if self._open[k][0] == name:
                 if name in BLOCK or any(e[3] or e[5] >= 0 for e in self._open[k:]):
@@ -190,8 +253,8 @@ class Page:
             self._flush()
 
     def kept(self) -> list[tuple[str, list[int]]]:
-        """(text, hashes of the subtrees around it) in page order: of the articles if there are any, else of the whole body."""
-        return [(b[0], [self.hashes[i] for i in b[1]]) for b in self.blocks if b[3] >= 0 or not self.has_root]
+        """(text, numbers of the elements around it) in page order: of the articles if there are any, else of the whole body."""
+        return [(b[0], list(b[1])) for b in self.blocks if b[3] >= 0 or not self.has_root]
 
 
 def host_of(url: str | None) -> str:
@@ -199,62 +262,65 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def extract(pages: DataFrame, url: str = "url", source: str = "html", template_pages: int = TEMPLATE_PAGES, template_share: float = TEMPLATE_SHARE, template_enough: int = TEMPLATE_ENOUGH) -> DataFrame:
+_PARSED = "host string, copy binary, page binary, elements array<struct<path: bigint, id: bigint>>, body binary, around array<array<int>>"
+
+
+def extract(pages: DataFrame, url: str = "url", source: str = "html", template_pages: int = TEMPLATE_PAGES, template_share: float = TEMPLATE_SHARE) -> DataFrame:
     """One row per row of pages: `row` (all its columns but the source) and `text`, the main text, empty if there is none.
 
-    Menus, headers, footers, sidebars, notices, adverts, forms, scripts and comments go by element, role, class and id; by
-    class or id not if they are or hold the main element, or the article or nearly all of the text (Page._decide). If
-    the page marks an article (article, main), only its text is read on, else the body's. Of that text, subtrees that recur
-    on many pages of the host go: every element subtree is hashed, Spark counts the pages of each (host, hash), and a block
-    goes if a subtree around it stands on template_pages and template_share of the pages, or on template_enough. Character references are decoded, white space inside a block becomes one
-    space, blocks are joined by one space. A null or empty page has an empty text; pages without a URL count as one host's;
-    pages of one host with the same text before this step are copies and count once; no pages give no rows.
+    Every element subtree around text is hashed, with its path; Spark counts, for each host, the pages that have the subtree
+    and those that have an element at its path. Subtrees on template_pages and template_share of these are the site's
+    template and go, in articles too. What is never text of an article goes by the kind of its element (menu, header,
+    footer, sidebar, form, script) and by role, class and id; by class or id not if it is or holds the main element, or the
+    article or nearly all of the text (Page._decide). If the page marks an article (article, main), only its text is read
+    on, else the body's. Character references are decoded, white space inside a block becomes one space, blocks are joined
+    by one space. A null or empty page has an empty text; pages without a URL count as one host's; pages of one host with
+    the same text before templates go are copies and count once; no pages give no rows. A page is read once, in time linear
+    in its length whatever is left open or nested.
     """
     rows = with_row(pages, source).withColumn("url", F.col("row").getField(url).cast("string"))
 
-    def read(batch):
-        """(first row, kept blocks of each page, hosts, digests of the texts, digests of host, texts and hashes)."""
-        urls = batch.column(1).to_pylist()
-        for start, group in passes(as_bytes(batch.column(0))):
-            pages = [Page(g.decode("utf-8", "replace")).kept() for g in group]
-            hosts = [host_of(u) for u in urls[start : start + len(group)]]
-            bodies = ["\n".join([t for t, _ in page]).encode("utf-8", "replace") for page in pages]
-            keys = [xxhash.xxh3_128_digest(repr((h, [a for _, a in page])).encode("utf-8", "replace") + b) for h, page, b in zip(hosts, pages, bodies)]
-            yield start, pages, hosts, bodies, keys
-
-    def subtrees(batches):
-        for batch in small(batches):
-            for _, pages, hosts, bodies, keys in read(batch):
-                found = [sorted({h for _, a in page for h in a}) for page in pages]
-                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(map(xxhash.xxh3_128_digest, bodies), pa.binary()), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["host", "copy", "page", "hashes"])
-
-    seen = written(rows.select("text", "url").mapInArrow(subtrees, "host string, copy binary, page binary, hashes array<bigint>"), "subtrees")
-    # Pages of a host are counted as the pages of a mark that every page has, in the same pass. A subtree may stand in some
-    # copies of a text only, so all copies' hashes are united.
-    each = seen.select("host", "copy", F.explode(F.concat(F.array(F.lit(None).cast("bigint")), "hashes")).alias("hash")).distinct()
-    counts = each.groupBy("host", "hash").agg(F.count("*").alias("pages"))
-    counts = written(counts.filter(F.col("hash").isNull() | (F.col("pages") >= template_pages)), "counts")
-    hosts = counts.filter("hash is null").select("host", F.col("pages").alias("all_pages"))
-    templates = counts.filter("hash is not null").join(hosts, "host").filter(F.col("pages") >= F.least(F.col("all_pages") * template_share, F.lit(float(template_enough)))).select("host", "hash")
-    # Pages that have all of host, texts and hashes in common lose the same: they are one page here, and nothing needs a row number.
-    marked = seen.select("page", "host", F.explode("hashes").alias("hash")).join(templates, ["host", "hash"]).groupBy("page").agg(F.collect_set("hash").alias("gone"))
-
     def parse(batches):
         pack = zstandard.ZstdCompressor(6).compress
         for batch in small(batches):
-            for start, pages, _, bodies, keys in read(batch.select(["text", "url"])):
-                around = [[a for _, a in page] for page in pages]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(pages)), pa.array(keys, pa.binary()), pa.array(map(pack, bodies), pa.binary()), pa.array(around, pa.list_(pa.list_(pa.int64())))], ["row", "page", "body", "around"])
+            urls = batch.column(2).to_pylist()
+            for start, group in passes(as_bytes(batch.column(1))):
+                columns: list[list] = [[] for _ in range(6)]
+                for g, u in zip(group, urls[start:]):
+                    page = Page(g.decode("utf-8", "replace"))
+                    kept, host = page.kept(), host_of(u)
+                    used = sorted({n for _, around in kept for n in around})
+                    place = {n: k for k, n in enumerate(used)}
+                    body = "\n".join([t for t, _ in kept]).encode("utf-8", "replace")
+                    around = [[place[n] for n in a] for _, a in kept]
+                    ids = [page.ids[n] for n in used]
+                    key = xxhash.xxh3_128_digest(repr((host, ids, around)).encode("utf-8", "replace") + body)
+                    for column, value in zip(columns, (host, xxhash.xxh3_128_digest(body), key, [{"path": page.paths[n], "id": i} for n, i in zip(used, ids)], pack(body), around)):
+                        column.append(value)
+                kinds = (pa.string(), pa.binary(), pa.binary(), pa.list_(pa.struct([("path", pa.int64()), ("id", pa.int64())])), pa.binary(), pa.list_(pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(group)), *map(pa.array, columns, kinds)], schema.names)
+
+    schema = T.StructType([rows.schema["row"], *T._parse_datatype_string(_PARSED).fields])
+    parsed = written(rows.select("row", "text", "url").mapInArrow(parse, schema), "parsed")
+    each = parsed.select("host", "copy", "page", F.explode(F.array_distinct("elements")).alias("e")).select("host", "copy", "page", "e.path", "e.id")
+    # A subtree may stand in some copies of a text only, so all copies' subtrees are united.
+    held = each.select("host", "path", "id", "copy").distinct().groupBy("host", "path", "id").agg(F.count("*").alias("pages")).filter(F.col("pages") >= template_pages)
+    at_path = each.select("host", "path", "copy").distinct().groupBy("host", "path").agg(F.count("*").alias("all_pages")).filter(F.col("all_pages") >= template_pages)
+    templates = written(held.join(at_path, ["host", "path"]).filter(F.col("pages") >= F.col("all_pages") * template_share).select("host", "id"), "templates")
+    # Pages that have all of host, texts and subtrees in common lose the same: they are one page here, and nothing needs a row number.
+    gone = each.select("host", "page", "id").join(templates, ["host", "id"]).groupBy("page").agg(F.collect_set("id").alias("gone"))
 
     def cut(batches):
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in small(batches):
             texts = []
-            for body, around, gone in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3))):
+            for elements, body, around, ids in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3, 4))):
                 blocks = unpack(body).decode().split("\n")
-                texts.append(" ".join([t for t, a in zip(blocks, around) if not gone or not set(gone) & set(a)]))
+                if ids:
+                    off = {k for k, e in enumerate(elements) if e["id"] in ids}
+                    blocks = [t for t, a in zip(blocks, around) if off.isdisjoint(a)]
+                texts.append(" ".join(blocks))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "text"])
 
-    schema = T.StructType([rows.schema["row"], *T._parse_datatype_string("page binary, body binary, around array<array<bigint>>").fields])
-    parsed = rows.select("row", "text", "url").mapInArrow(parse, schema).join(marked, "page", "left")
-    return parsed.select("row", "body", "around", "gone").mapInArrow(cut, T.StructType([rows.schema["row"], T.StructField("text", T.StringType())]))
+    marked = parsed.select("row", "elements", "body", "around", "page").join(written(gone, "gone"), "page", "left")
+    return marked.select("row", F.when(F.col("gone").isNotNull(), F.col("elements")).alias("elements"), "body", F.when(F.col("gone").isNotNull(), F.col("around")).alias("around"), "gone").mapInArrow(cut, T.StructType([rows.schema["row"], T.StructField("text", T.StringType())]))

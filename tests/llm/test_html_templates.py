@@ -1,4 +1,6 @@
-"""Main text: templates inside articles, copies, hosts of any size, names that don't name the part."""
+"""Main text: templates inside articles, copies, hosts of any size, names that don't name the part, hostile pages."""
+
+import time
 
 import pytest
 
@@ -37,6 +39,28 @@ def test_templates_of_a_section_go_on_a_large_host(spark):
     assert texts(spark, rows) == {k: f"own {k}" + " few" * (k % 100 == 0) for k in range(900)}
 
 
+def test_sentences_that_articles_share_stay(spark):
+    """A line on many pages of a host is no template while other articles have other paragraphs in its place; a box on all pages of a section is."""
+    box = "<div class='author'><p>Written by us</p></div>"
+    rows = [(k, "http://a.example/", f"<article><p>own {k}</p>" + "<p>A common line.</p>" * (k % 3 == 0) + f"<p>end {k}</p>" + box * (k < 20) + "</article>") for k in range(120)]
+    assert texts(spark, rows) == {k: f"own {k}" + " A common line." * (k % 3 == 0) + f" end {k}" for k in range(120)}
+    # Without the counts the box stays: they, not names, take it away.
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert htmltext.extract(pages, template_pages=1000).filter("text like '%Written by us%'").count() == 20
+
+
+@pytest.mark.parametrize("source", ["<a " * 200_000, "<a '" * 100_001 + ">", "<div>x" * 60_000, "<blockquote><p>x" * 30_000, "<!--" * 200_000, "<script>" * 100_000, "<p x='>" * 50_001, "</b>" * 100_000, "<i>" * 50_000 + "<h1></h1>" * 50_000, "<" * 500_000, "&" * 300_000])
+def test_hostile_pages_take_linear_time(source):
+    began = time.perf_counter()
+    htmltext.Page(source).kept()
+    assert time.perf_counter() - began < 10
+
+
+def test_deep_nesting_keeps_the_text():
+    page = "<article>" + "<div>" * 1000 + "deep" + "</div>" * 1000 + "<p>after</p></article><p>outside</p>"
+    assert [t for t, _ in htmltext.Page(page).kept()] == ["deep", "after"]
+
+
 @pytest.mark.parametrize("page,text", [
     ("<div class='layout with-sidebar'><article>own</article><div class='sidebar'>side</div></div>", "own"),
     ("<div class='content no-sidebar'><p>own</p></div><div class='site-sidebar'>side</div>", "own"),
