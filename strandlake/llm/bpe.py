@@ -180,9 +180,9 @@ def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
         try:
             yield from encode(batches)
         finally:
+            gc.enable()
             if not keep:
                 vocabulary.cache_clear()
-                gc.enable()
                 gc.collect()
                 release_memory()
 

@@ -3,23 +3,23 @@
 from __future__ import annotations
 
 import hashlib
-import math
 from collections import defaultdict
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, as_bytes, passes, separators, sliding, small, whole_rows, with_row
+from .common import Words, as_bytes, mix, passes, separators, sliding, small, whole_rows, with_row, written
+from .exchange import blocks, unpack_rows
 
 WINDOW = 13
 #: Words of a fingerprint. One of the WINDOW - GRAM + 1 in a window has the least hash and is kept, on either side of the join.
 GRAM = 7
-#: Bytes of item texts in one broadcast index; more items go into further blocks, each with its own pass over the rows.
-BLOCK_BYTES = 16 << 20
+#: Bytes of item texts up to which their index goes to all executors; beyond, fingerprints meet in a join.
+INDEX_BYTES = 16 << 20
 
 #: Bytes that separate words, after A-Z are lowered.
 WORD_BORDERS = separators((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
@@ -39,7 +39,7 @@ def kept_grams(words: Words, window: int = WINDOW, gram: int = GRAM) -> tuple[np
 
 
 class Index:
-    """Items of one block: their words, kept fingerprints, and, for items of fewer words than a window, the whole item."""
+    """Items: their words, kept fingerprints, and, for items of fewer words than a window, the whole item."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
         self.window = window
@@ -116,76 +116,105 @@ def united(spans: list[tuple[int, int]]) -> int:
     return total
 
 
-def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
-    """The text without the words in the ranges and what separates them; separators around a range stay."""
-    words = Words([text.lower()], WORD_BORDERS)
-    out, at = [], 0
-    for a, b in sorted(spans):
-        begin, end = int(words.start[a]), int(words.end[b - 1])
-        out.append(text[at : max(at, begin)])
-        at = max(at, end)
-    return b"".join([*out, text[at:]])
+def _short_hashes(words: Words, size: int) -> np.ndarray:
+    """Fingerprints of all runs of `size` words: of items with fewer words than a window."""
+    return mix(words.window_hashes(size) + np.uint64(size))
+
+
+def _item_prints(items: DataFrame) -> DataFrame:
+    """(number, size, print) of each item: its kept fingerprints with size 0, or that of a whole short item with its number of words."""
+
+    def run(batches):
+        for batch in small(batches):
+            for start, group in passes(as_bytes(batch.column(1))):
+                numbers = batch.column(0).to_numpy()[start : start + len(group)]
+                for number, text in zip(numbers.tolist(), group):
+                    words = Words([text.lower()], WORD_BORDERS)
+                    n = len(words.hash)
+                    found = kept_grams(words)[1] if n >= WINDOW else _short_hashes(words, n) if n else words.hash
+                    found = np.unique(found)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), number)), pa.array(np.full(len(found), 0 if n >= WINDOW else n, np.int32)), pa.array(found.view(np.int64))], ["number", "size", "print"])
+
+    return written(items.select("number", "text").mapInArrow(run, "number bigint, size int, print bigint"), "item_prints")
+
+
+def _met(table: DataFrame, items: DataFrame) -> DataFrame:
+    """(block, item, text) of the items that share a fingerprint with a block of documents: each once, however often."""
+    prints = _item_prints(items)
+    sizes = [r[0] for r in prints.select("size").filter("size > 0").distinct().collect()]  # fewer than WINDOW
 
+    def run(batches):
+        for batch in batches:
+            for block, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = []
+                for _, group in passes(unpack_rows(payload).column("text").to_pylist()):
+                    words = Words([t.lower() for t in group], WORD_BORDERS)
+                    found += [kept_grams(words)[1], *(_short_hashes(words, s) for s in sizes)]
+                found = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), block), pa.int64()), pa.array(found.view(np.int64))], ["block", "print"])
 
-def indexes(benchmark: DataFrame, item: str, text: str, block_bytes: int = BLOCK_BYTES) -> Iterator[Index]:
-    """Indexes of blocks of items, one after the other, each of a bounded size: the total is summed first and tells the number of blocks."""
-    items = benchmark.select(F.coalesce(F.col(f"`{item}`").cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
-    blocks = max(1, math.ceil(size / block_bytes))
-    items = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
-    for b in range(blocks):
-        yield Index([(r.item, r.text.encode()) for r in items.filter(F.col("block") == b).distinct().collect()])
+    pairs = table.select("block", "payload").mapInArrow(run, "block bigint, print bigint").join(prints.select("number", "print"), "print").select("block", "number").distinct()
+    return written(pairs, "met").join(items, "number").select("block", "item", "text")
 
 
 _FOUND = "n_words bigint, n_hit bigint, n_items bigint, items array<string>, items_sha256 string, contaminated boolean"
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, cut: bool = False) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", index_bytes: int = INDEX_BYTES) -> DataFrame:
     """One row per row of docs: `row` (its other columns), text, n_words, n_hit, n_items, items (sorted ids), items_sha256, contaminated.
 
     Words are runs of [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F] after A-Z are lowered. A window is WINDOW words of an item, or a whole
     item of fewer words. A word of a document in any occurrence of a window is hit; a document is contaminated from one hit
     word in twenty on. Null or empty texts have no words: such a document is clean, such an item has no window. Repeated
     items count once; a null id counts as "null". With no items every document is clean; no documents give no rows.
-    If cut, the hit words go from the text of a document that isn't contaminated; the counts are those before.
 
-    Hits are found by fingerprints and confirmed on the words themselves. Rows are worked on alone, without a shuffle; an
-    index larger than block_bytes is dealt out to blocks, and each block makes its own pass over the same stream of rows.
+    Hits are found by fingerprints and confirmed and extended on the words themselves. The size of all items is summed
+    first: up to index_bytes, their fingerprints go to all executors as an index and documents are read once, without a
+    shuffle. Beyond, the fingerprints of blocks of documents are joined with those of the items, and each block gets the
+    items that it met.
     """
-    shared = [docs.sparkSession.sparkContext.broadcast(index) for index in indexes(benchmark, item, item_text, block_bytes)]
-    rows = with_row(docs, text).select("*", F.array().cast("array<bigint>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    final = T.StructType([*rows.schema.fields[:2], *T._parse_datatype_string(_FOUND).fields])
-    for k, block in enumerate(shared):
-        last = k == len(shared) - 1
-
-        def run(batches, block=block, last=last):
-            own = block.value
+    rows = with_row(docs, text)
+    items = benchmark.select(F.coalesce(F.col(f"`{item}`").cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col(f"`{item_text}`").cast("string"), F.lit("")).alias("text"))
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("item")), F.lit(0))).first()[0]
+    schema = T.StructType([*rows.schema.fields, *T._parse_datatype_string(_FOUND).fields])
+
+    def found(index: Index, texts: list[bytes]) -> list[pa.Array]:
+        counts, hit, items = [], [], []
+        for _, group in passes(texts):
+            for n, spans, own in index.hits(group):
+                counts.append(n)
+                hit.append(united(spans))
+                items.append(sorted({index.ids[k] for k in own}))
+        digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
+        return [pa.array(counts, pa.int64()), pa.array(hit, pa.int64()), pa.array(map(len, items), pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(digest, pa.string()), pa.array([h > 0 and 20 * h >= n for h, n in zip(hit, counts)], pa.bool_())]
+
+    if size <= index_bytes:
+        shared = docs.sparkSession.sparkContext.broadcast(Index([(r.item, r.text.encode()) for r in items.distinct().collect()]))
+
+        def run(batches):
             for batch in small(batches):
-                spans, items, n = batch.column(2).to_pylist(), batch.column(3).to_pylist(), []
-                for start, group in passes(as_bytes(batch.column(1))):
-                    for i, (words, ranges, hit) in enumerate(own.hits(group), start):
-                        n.append(words)
-                        spans[i] += [x for r in ranges for x in r]
-                        items[i] += [own.ids[x] for x in hit]
-                if not last:
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], ["row", "text", "spans", "items"])
-                    continue
-                hit = [united(list(zip(s[::2], s[1::2]))) for s in spans]
-                items = [sorted(set(x)) for x in items]
-                guilty = [h > 0 and 20 * h >= w for h, w in zip(hit, n)]
-                text = batch.column(1)
-                if cut and any(hit):
-                    text = pa.array([without(t.encode(), list(zip(s[::2], s[1::2]))).decode() if s and not g else t for t, s, g in zip(text.to_pylist(), spans, guilty)], pa.string())
-                digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), text, pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(map(len, items), pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(digest, pa.string()), pa.array(guilty, pa.bool_())],
-                    final.names,
-                )
-
-        rows = rows.mapInArrow(run, final if last else rows.schema)
-    return rows
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *found(shared.value, as_bytes(batch.column(1)))], schema.names)
+
+        return rows.mapInArrow(run, schema)
+
+    # The text is carried as it is beside the blocks' copy, which has no nulls.
+    numbered = written(items.distinct().withColumn("number", F.monotonically_increasing_id()), "items")
+    table = blocks(rows.select("row", "text", F.lit(0).alias("key"), F.col("text").isNull().alias("none")), "text", "key")
+
+    def extend(block: pa.Table, met: pa.Table) -> pa.Table:
+        own = unpack_rows(block.column("payload")[0].as_py())
+        texts = own.column("text").to_pylist()
+        index = Index(list(zip(met.column("item").to_pylist(), as_bytes(met.column("text")))))
+        row, none = (pc.struct_field(own.column("row").combine_chunks(), k) for k in ("row", "none"))
+        kept = pa.array([None if x else t.decode() for t, x in zip(texts, none.to_pylist())], pa.string())
+        return pa.Table.from_arrays([row, kept, *found(index, texts)], schema.names)
+
+    return table.select("block", "payload").groupBy("block").cogroup(_met(table, numbered).groupBy("block")).applyInArrow(extend, schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The rows of docs that aren't contaminated, with their columns; if cut=True, without their hit words."""
-    return whole_rows(contamination(docs, benchmark, text, **options).filter(~F.col("contaminated")), docs, text)
+    """The rows of docs without any hit word, with their columns: a long document that holds one passage goes too.
+
+    What contamination says of null and empty texts, repeated rows and empty tables holds: such rows have no hit and stay.
+    """
+    return whole_rows(contamination(docs, benchmark, text, **options).filter("n_hit = 0"), docs, text)

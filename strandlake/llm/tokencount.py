@@ -21,28 +21,45 @@ SPACE = "▁"
 
 
 class PieceCounts:
-    """A sentencepiece BPE model with byte fallback, identity normalization and no pieces with an inner space.
+    """A sentencepiece BPE model with byte fallback, identity normalization, and pieces of spaces alone that rank behind all others.
 
-    The text, with a space put before it, is cut before each space behind another character; no piece crosses such a cut.
-    Runs of several spaces, whose pieces all rank alike, are counted by the library.
+    The text, with a space put before it, is cut before each space behind another character; no other piece crosses such a
+    cut. For each distinct chunk between cuts the exact token count of every prefix is stored: the prefix programme gives
+    it for words, and for runs of spaces, whose pieces are merged last and from the left, a count that grows by one with
+    each run of the longest such piece.
     """
 
     def __init__(self, path: str):
-        import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as proto
 
         model = proto.ModelProto()
         with open(path, "rb") as f:
             model.ParseFromString(f.read())
         spec, trainer = model.normalizer_spec, model.trainer_spec
-        ranks = {p.piece: -p.score for p in model.pieces if p.type == p.NORMAL and not p.piece.startswith(SPACE * 2)}
-        if trainer.model_type != trainer.BPE or not trainer.byte_fallback or spec.precompiled_charsmap or not spec.add_dummy_prefix or spec.remove_extra_whitespaces or not spec.escape_whitespaces or any(SPACE in p[1:] for p in ranks) or any(p.type in (p.USER_DEFINED, p.UNUSED) for p in model.pieces):
+        normal = {p.piece: -p.score for p in model.pieces if p.type == p.NORMAL}
+        spaces = {p: r for p, r in normal.items() if len(p) > 1 and not p.strip(SPACE)}
+        ranks = {p: r for p, r in normal.items() if p not in spaces}
+        if (
+            trainer.model_type != trainer.BPE or not trainer.byte_fallback or spec.precompiled_charsmap or not spec.add_dummy_prefix or spec.remove_extra_whitespaces or not spec.escape_whitespaces
+            or any(SPACE in p[1:] for p in ranks) or any(p.type in (p.USER_DEFINED, p.UNUSED) for p in model.pieces) or len(set(spaces.values())) > 1 or any(r >= s for p, r in ranks.items() for s in set(spaces.values()) if len(p) > 1)
+        ):
             raise ValueError(f"{path}: not such a model")
         self.encoder = PrefixEncoder(ranks)
-        self.library = sentencepiece.SentencePieceProcessor(model_file=path)
+        self._longest = max(map(len, spaces), default=1)
+        merge = PrefixEncoder(spaces | {SPACE: 0}).merge
+        self._runs = [len(merge(SPACE * k)) if k else 0 for k in range(4 * self._longest)]
+        if any(self._runs[k + self._longest] != n + 1 for k, n in enumerate(self._runs[: -self._longest])):
+            raise ValueError(f"{path}: runs of spaces aren't counted so")
         known = "".join(c for c in ranks if len(c) == 1)
         self.unknown = re.compile(f"([^{re.escape(known)}])")
-        self.found: dict[str, int] = {}
+        #: chunk without its first space: token counts of its prefixes, from one character on with that space
+        self.stored: dict[str, bytes | tuple[int, ...]] = {}
+        #: the last of these
+        self.total: dict[str, int] = {}
+
+    def run_count(self, spaces: int) -> int:
+        """Tokens of so many spaces."""
+        return self._runs[spaces % self._longest] + spaces // self._longest
 
     def chunks(self, text: str) -> list[str]:
         """Each stands for itself with one space before it."""
@@ -54,49 +71,76 @@ class PieceCounts:
         return text.split(SPACE)
 
     def _learn(self, chunks: set[str]) -> None:
-        runs = [c for c in chunks if c.startswith(SPACE)]
-        if runs:  # the library puts the first space itself
-            self.found |= {c: len(ids) for c, ids in zip(runs, self.library.encode(runs, num_threads=1))}
-        parts = {c: [p for p in self.unknown.split(SPACE + c)] for c in chunks if not c.startswith(SPACE)}
-        counted = self.encoder.counts(p for ps in parts.values() for p in ps[::2] if p)
-        for c, ps in parts.items():
-            self.found[c] = sum([counted[p] for p in ps[::2] if p]) + sum([len(p.encode()) for p in ps[1::2]])
-
-    def counts(self, texts: list[str]) -> list[int]:
+        """Store the prefix counts of chunks; words are passed over in the order of a trie, each shared prefix once."""
+        words = {SPACE + c.lstrip(SPACE) for c in chunks}
+        cut = {w: self.unknown.split(w) for w in words}
+        own: dict[str, tuple[list[int], list[bool]]] = {}  # of each part: token counts of its prefixes, and whether these begin with a lone space
+        for part, last, count in self.encoder.walk(sorted({p for ps in cut.values() for p in ps[::2] if p})):
+            lone = [True] * (len(part) + 1)
+            if part[0] == SPACE:
+                for i in range(2, len(part) + 1):
+                    j = i - len(last[i])
+                    lone[i] = j > 0 and lone[j]
+            own[part] = count[1 : len(part) + 1], lone[1:]
+        for c in chunks:
+            bare = c.lstrip(SPACE)
+            spaces, counts, base = len(c) - len(bare) + 1, [], 0
+            for j, p in enumerate(cut[SPACE + bare]):
+                if j % 2:
+                    counts.append(base := base + len(p.encode()))
+                elif p:
+                    found, lone = own[p]
+                    if not counts and spaces > 1:
+                        # A lone first space is merged with those before it, once all other pieces are formed.
+                        found = [self.run_count(spaces) + n - 1 if alone else self.run_count(spaces - 1) + n for n, alone in zip(found, lone)]
+                        counts = [self.run_count(k) for k in range(1, spaces)]
+                    counts += [base + n for n in found] if base else found
+                    base = counts[-1]
+            self.stored[c] = bytes(counts) if base < 256 and max(counts) < 256 else tuple(counts)
+            self.total[c] = base
+
+    def _known(self, texts: list[str]) -> list[list[str]]:
         cut = [self.chunks(t) for t in texts]
         needed = set().union(*cut)
-        if len(self.found) > KEPT_CHUNKS:
-            self.found = {c: n for c, n in self.found.items() if c in needed}
-        self._learn(needed - self.found.keys())
-        get = self.found.__getitem__
-        return [sum(map(get, c)) for c in cut]
+        if len(self.stored) > KEPT_CHUNKS:
+            self.stored = {c: n for c, n in self.stored.items() if c in needed}
+            self.total = {c: n for c, n in self.total.items() if c in needed}
+        self._learn(needed - self.stored.keys())
+        return cut
+
+    def counts(self, texts: list[str], budget: int | None = None) -> list[tuple[int, int]]:
+        """(tokens, characters of the longest prefix within the budget) of each text, from the stored counts."""
+        get, out = self.total.__getitem__, []
+        for text, chunks in zip(texts, self._known(texts)):
+            n = sum(map(get, chunks))
+            out.append((n, len(text) if budget is None or n <= budget else self._within(chunks, budget)))
+        return out
+
+    def _within(self, chunks: list[str], budget: int) -> int:
+        best = at = base = 0
+        for c in chunks:
+            if base >= budget:
+                break
+            fits = [i for i, n in enumerate(self.stored[c], 1) if base + n <= budget]
+            if fits:
+                best = at + fits[-1]
+            base += self.total[c]
+            at += len(c) + 1
+        return max(0, best - 1)  # the space put before the text
 
     def prefix_counts(self, text: str) -> np.ndarray:
-        """Entry i is the token count of text[:i]; the whole text is passed over once."""
-        counts, total, at = np.zeros(len(text) + 2, np.int64), 0, 0  # of the text with its leading space
-        for c in self.chunks(text):
-            whole = SPACE + c
-            if c.startswith(SPACE):
-                own = [1] + [len(self.library.encode(c[:i], num_threads=1)) for i in range(1, len(c) + 1)]
-            else:
-                own = []
-                for j, p in enumerate(self.unknown.split(whole)):
-                    base = own[-1] if own else 0
-                    if j % 2:
-                        own.append(base + len(p.encode()))
-                    elif p:
-                        for _, _, count in self.encoder.walk([p]):
-                            own += [base + n for n in count[1 : len(p) + 1]]
-            counts[at + 1 : at + 1 + len(whole)] = np.array(own) + total
-            total += own[-1]
-            at += len(whole)
-        out = counts[1:]
+        """Entry i is the token count of text[:i]: each chunk's stored counts behind those before it."""
+        out, at, base = np.zeros(len(text) + 1, np.int64), 0, 0
+        for c in self._known([text])[0]:
+            out[at : at + len(c) + 1] = np.fromiter(self.stored[c], np.int64, len(c) + 1) + base
+            base += self.total[c]
+            at += len(c) + 1
         out[0] = 0  # an empty text gets no space
         return out
 
     def longest_prefix(self, text: str, budget: int) -> int:
-        """Characters of the longest prefix of at most `budget` tokens, from the stored counts."""
-        return int(np.flatnonzero(self.prefix_counts(text) <= budget)[-1])
+        """Characters of the longest prefix of at most `budget` tokens."""
+        return self.counts([text], budget)[0][1]
 
 
 @lru_cache(maxsize=2)
@@ -105,28 +149,34 @@ def counter(path: str) -> PieceCounts:
 
 
 def token_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
-    """One row per row of docs: the key, n_bytes, n_tokens and over_limit (more than limit tokens).
+    """One row per row of docs: the key, n_bytes, n_tokens, over_limit (more than limit tokens), limit_chars.
 
-    A null or empty text has neither bytes nor tokens. Keys may be null or repeated; other columns are not read.
+    limit_chars are the characters of the text's longest prefix of at most limit tokens, looked up in the stored prefix
+    counts. A null or empty text has neither bytes nor tokens. Keys may be null or repeated; other columns are not read. An
+    empty table gives an empty one. A very long text is a pass of its own, in memory in proportion to it.
     """
     source = docs.select(F.col(f"`{key}`").alias("key"), text_column(f"`{text}`").alias("text"))
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
         gc.disable()  # as in bpe: no cycles here
-        pieces = counter(path)
-        for batch in batches:
-            for start, group in passes(batch.column(1).cast(pa.binary()).to_pylist(), COUNT_BYTES):
-                n = pieces.counts([g.decode("utf-8", "replace") for g in group])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(group)), pa.array([len(g) for g in group], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["key", "n_bytes", "n_tokens", "over_limit"])
+        try:
+            pieces = counter(path)
+            for batch in batches:
+                for start, group in passes(batch.column(1).cast(pa.binary()).to_pylist(), COUNT_BYTES):
+                    n, chars = zip(*pieces.counts([g.decode("utf-8", "replace") for g in group], limit))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(group)), pa.array([len(g) for g in group], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_()), pa.array(chars, pa.int64())], ["key", "n_bytes", "n_tokens", "over_limit", "limit_chars"])
+        finally:
+            gc.enable()
 
-    return source.mapInArrow(run, f"key {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean").withColumnRenamed("key", key)
+    return source.mapInArrow(run, f"key {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean, limit_chars bigint").withColumnRenamed("key", key)
 
 
 def prefix_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: the key and counts, where counts[i] is the token count of the first i characters.
 
-    With them, truncation to any budget and the cost of any cut are lookups. A null text counts as empty: [0].
+    With them, truncation to any budget and the cost of any cut are lookups. A null text counts as empty: [0]. Keys may be
+    null or repeated; an empty table gives an empty one. A very long text's counts are one array of its length.
     """
     source = docs.select(F.col(f"`{key}`").alias("key"), text_column(f"`{text}`").alias("text"))
     kind = docs.schema[key].dataType.simpleString()
@@ -134,7 +184,9 @@ def prefix_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
     def run(batches):
         pieces = counter(path)
         for batch in batches:
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([pieces.prefix_counts(t)], pa.list_(pa.int32()))], ["key", "counts"])
+            for start, group in passes(batch.column(1).cast(pa.binary()).to_pylist()):
+                counts = [pieces.prefix_counts(g.decode("utf-8", "replace")) for g in group]
+                offsets = np.r_[0, np.cumsum([len(c) for c in counts])].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(group)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(counts).astype(np.int32)))], ["key", "counts"])
 
     return source.mapInArrow(run, f"key {kind}, counts array<int>").withColumnRenamed("key", key)

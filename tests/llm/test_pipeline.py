@@ -5,7 +5,8 @@ from conftest import SMALL
 import corpus_pipeline
 from strandlake.llm.common import written
 
-from .test_dedup import brute_bytes, brute_components
+from .test_dedup import brute_bytes
+from .test_pipeline_near import brute_firsts
 from .test_rows import brute_hits, brute_quality
 
 
@@ -19,7 +20,7 @@ def test_stages(spark):
     assert docs.columns == columns and all(not brute_quality(t)[5] for t in kept.values()) and 0 < len(kept) < len(rows)
 
     docs = written(steps["near_dedup"](spark, docs, SMALL), "n")
-    firsts = {d for d, _, _, own in brute_components(list(kept.items())) if own}
+    firsts = brute_firsts(list(kept.items()))
     kept = {r.doc_id: r.text for r in docs.collect()}
     assert docs.columns == columns and set(kept) == firsts
 
@@ -32,7 +33,7 @@ def test_stages(spark):
 
     docs = written(steps["decontamination"](spark, docs, SMALL), "d")
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
-    clean = {d for d, r in after.items() if not brute_hits(r.text, items)[4]}
+    clean = {d for d, r in after.items() if not brute_hits(r.text, items)[1]}
     assert docs.columns == columns and {r.doc_id for r in docs.collect()} == clean
 
     last = steps["bpe_encoding"](spark, docs, SMALL).collect()

@@ -62,7 +62,12 @@ def test_counts_equal_the_library(spark, docs, empty):
     library = sentencepiece.SentencePieceProcessor(model_file=path)
     texts = [r[1] or "" for r in ROWS] + random_texts(3000)
     frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(None, None)], "doc_id bigint, text string")
-    got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in tokencount.token_counts(frame, path, limit=50).collect()}
+    rows = tokencount.token_counts(frame, path, limit=50).collect()
+    got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in rows}
+    for r in rows:
+        if r.doc_id is not None:
+            t = texts[r.doc_id]
+            assert r.limit_chars == len(t) if not r.over_limit else len(library.encode(t[: r.limit_chars], num_threads=1)) <= 50 < len(library.encode(t[: r.limit_chars + 1], num_threads=1))
     for k, (t, ids) in enumerate(zip(texts, library.encode(texts, num_threads=1))):
         assert got[k] == (len(t.encode()), len(ids), len(ids) > 50), t
     assert got[None] == (0, 0, False)
@@ -72,6 +77,15 @@ def test_counts_equal_the_library(spark, docs, empty):
         own = pieces.prefix_counts(t)
         assert own.tolist() == [len(library.encode(t[:i], num_threads=1)) for i in range(len(t) + 1)]
         assert pieces.longest_prefix(t, 3) == max(i for i, n in enumerate(own) if n <= 3)
+    for k in range(1, 70):  # runs of spaces, alone, before words, before a character without a piece
+        for t in (" " * k, " " * k + "word", "a" + " " * k, "a" + " " * k + "\x00b", " " * k + "\n", "▁" * k + ".", "x " + " " * k + "12 " + " " * k):
+            assert pieces.counts([t])[0][0] == len(library.encode(t, num_threads=1)), (k, t)
+    long = " " * 300_000 + "end"
+    assert pieces.prefix_counts(long)[-1] == len(library.encode(long, num_threads=1))
+    # The stored prefix counts make the result: with others in their place it changes.
+    pieces.stored["other"] = bytes([1, 1, 1, 1, 9, 9])
+    pieces.total["other"] = 9
+    assert pieces.counts(["other"], 5) == [(9, 3)] and pieces.prefix_counts("other").tolist() == [0, 1, 1, 1, 9, 9]
     some = tokencount.prefix_counts(docs.filter("doc_id = 1"), path).first()
     assert some.counts[-1] == len(library.encode(ROWS[0][1], num_threads=1))
 
@@ -90,20 +104,22 @@ def brute_hits(text, items, window=13):
     return len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(words)
 
 
-@pytest.mark.parametrize("block", [1 << 24, 150])
-def test_contamination(spark, docs, block):
+@pytest.mark.parametrize("most", [1 << 24, 0])
+def test_contamination(spark, docs, most):
     rng = random.Random(6)
     longer = ROWS[3][1].split()
     items = [(10, " ".join(longer[2:30])), (9, "One"), (8, "two, WORDS!"), (7, ""), (6, None), (5, " ".join(longer[1:14])), (5, " ".join(longer[1:14])), (None, ROWS[6][1]), (4, prose(rng, 40)), (3, "a " * 13)]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
-    got = decontam.contamination(docs, bench, block_bytes=block).select("row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    got = decontam.contamination(docs, bench, index_bytes=most).select("row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     assert canon(got.collect()) == canon((d, *brute_hits(t, items)) for d, t, *_ in ROWS)
 
 
-def test_contamination_of_nothing(docs, empty, spark):
+@pytest.mark.parametrize("most", [1 << 24, -1])
+def test_contamination_of_nothing(docs, empty, spark, odd, most):
     none = spark.createDataFrame([], "item_id bigint, text string")
-    assert decontam.contamination(docs, none).filter("contaminated or n_hit > 0").count() == 0
-    assert decontam.contamination(empty, none).collect() == []
+    assert decontam.contamination(docs, none, index_bytes=most).filter("contaminated or n_hit > 0").count() == 0
+    assert decontam.contamination(empty, none, index_bytes=most).collect() == []
+    assert canon(decontam.clean(odd, none, index_bytes=most).collect()) == canon(odd.collect())
 
 
 def brute_quality(text):
