@@ -11,6 +11,7 @@ from strandlake.llm.queries import vocabulary_file
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that no quality rule rejects; null, empty and blank texts are rejected as too short."""
     return quality.keep(docs)
 
 
@@ -27,9 +28,8 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that hold no benchmark passage to speak of, without the words of the passages they hold. n_chars follows the text."""
-    out = decontam.clean(docs, table(spark, sf_dir, "benchmark"), cut=True)
-    return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    """The documents without any word of a benchmark passage: long ones that hold one passage go too. Null and empty texts stay."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,6 +50,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole table of documents; an empty table gives an empty one."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
