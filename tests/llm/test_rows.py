@@ -148,6 +148,23 @@ def test_cascade_changes_no_verdict(docs):
     verdicts = {tuple(sorted((r[0], r[1]) for r in quality.judge(docs, rules=order).select("row.doc_id", "kept").collect())) for order in (quality.RULES, quality.RULES[::-1])}
     assert len(verdicts) == 1
     assert {r.name for r in quality.cascade(docs, "text")} == {r.name for r in quality.RULES}
+    for order in (quality.RULES, quality.RULES[::-1]):
+        assert {(r.doc_id, True) for r in quality.keep(docs, rules=order, ordered=True).collect()} == {x for x in next(iter(verdicts)) if x[1]}
+
+
+def test_later_rules_are_not_evaluated(docs):
+    """A rule that can't be evaluated does no harm behind one that rejects, and fails before it."""
+    fatal, none = quality.Rule("fatal", "n_digits > 0 or raise_error('evaluated') is null", ("n_digits",)), quality.Rule("none", "n_words >= 0", ("n_words",))
+    assert quality.judge(docs, rules=(none, fatal), ordered=True).filter("kept").count() == 0
+    with pytest.raises(Exception, match="evaluated"):
+        quality.judge(docs, rules=(fatal, none), ordered=True).filter("kept").count()
+    plan = quality.judge(docs, ordered=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert all("CASE WHEN" in line for line in plan.splitlines() if "[0-9]" in line) and "[0-9]" in plan
+
+
+def test_the_sample_is_bounded(spark):
+    plan = quality.sampled(spark.range(0, 10**6, 1, 50).selectExpr("cast(id as string) as text"), "text")
+    assert plan.count() == quality.SAMPLE_ROWS and plan.rdd.getNumPartitions() == 1
 
 
 def test_equal_short_hashes_are_told_apart(spark):
