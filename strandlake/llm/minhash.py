@@ -23,8 +23,8 @@ PERCENT = 80
 BAND_ROWS = 5
 BANDS = 40
 #: Nodes of either side that one task holds against each other, and bytes of their compressed texts.
-CHUNK = 500
-CHUNK_BYTES = 1 << 19
+CHUNK = 200
+CHUNK_BYTES = 1 << 18
 
 _SEEDS = np.random.default_rng(1009).integers(0, 1 << 63, 2 * BAND_ROWS * BANDS, dtype=np.uint64)
 
