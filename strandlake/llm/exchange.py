@@ -24,7 +24,7 @@ from .common import mix, release_memory, small, text_column, written
 #: Bytes of text in a block; one longer text is a block of its own.
 BLOCK_BYTES = 2 << 20
 #: Bytes of text for each part. A part holds the stretches whose fingerprints recur, some times overlapping.
-PART_BYTES = 4 << 20
+PART_BYTES = 1 << 20
 #: Beyond so many places a fingerprint's stretches are taken apart into single windows, which spreads them over all parts.
 HOT_PLACES = 4_000
 #: Equal windows of hot fingerprints meet in so many groups first; each group sends one on.
