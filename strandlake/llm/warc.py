@@ -7,17 +7,19 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, passes, small, text_column
+from .common import fresh_path, passes, small, text_column, written
 
 #: Payloads below this size are never revisits.
 LEAST_BYTES = 0
+#: Bytes of an archive file from which on the next one begins.
+FILE_BYTES = 32 << 20
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 #: The field lines that the two versions of the ARC format declare.
@@ -99,39 +101,73 @@ def converted(record: ArcRecord) -> dict[str, str | bytes]:
     return {"id": f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{record.url} {d} {block}')}>", "date": date, "uri": record.url, "ip": record.ip, "block_digest": block, "payload_digest": digest_of(payload), "head": head, "payload": payload}
 
 
-def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers with lower-case names, block) of each record, by declared lengths. gzip members are unpacked."""
-    if data[:2] == b"\x1f\x8b":
-        parts = []
-        while data:
-            unpack = zlib.decompressobj(31)
-            parts.append(unpack.decompress(data))
-            data = unpack.unused_data
-        data = b"".join(parts)
-    at = 0
+def unzipped(data: bytes) -> Iterator[bytes]:
+    """What each gzip member holds; the data themselves if they aren't gzip."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    at, view = 0, memoryview(data)
     while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n")
-        if not lines[0].startswith("WARC/1."):
-            raise ValueError(f"no WARC record at {at}")
-        headers = {k.strip().lower(): v.strip() for k, v in (line.split(":", 1) for line in lines[1:])}
-        begin = end + 4
-        at = begin + int(headers["content-length"])
-        yield headers, data[begin:at]
-        if data[at : at + 4] != b"\r\n\r\n":
-            raise ValueError(f"no end of a WARC record at {at}")
-        at += 4
+        unpack, parts = zlib.decompressobj(31), []
+        while not unpack.eof:
+            if at >= len(data):
+                raise ValueError("a gzip member is cut off")
+            piece = view[at : at + (1 << 16)]
+            parts.append(unpack.decompress(piece))
+            at += len(piece)
+        at -= len(unpack.unused_data)
+        yield b"".join(parts)
+
+
+def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers with lower-case names, block) of each record, by declared lengths. gzip members are unpacked one by one; each holds whole records."""
+    for content in unzipped(data):
+        at = 0
+        while at < len(content):
+            end = content.index(b"\r\n\r\n", at)
+            lines = content[at:end].decode().split("\r\n")
+            if not lines[0].startswith("WARC/1."):
+                raise ValueError(f"no WARC record at {at}")
+            headers = {k.strip().lower(): v.strip() for k, v in (line.split(":", 1) for line in lines[1:])}
+            begin = end + 4
+            at = begin + int(headers["content-length"])
+            yield headers, content[begin:at]
+            if content[at : at + 4] != b"\r\n\r\n":
+                raise ValueError(f"no end of a WARC record at {at}")
+            at += 4
+
+
+def warc_record(headers: Iterable[tuple[str, str | None]], block: bytes) -> bytes:
+    """A record; headers without a value are left out."""
+    lines = "".join(f"{k}: {v}\r\n" for k, v in headers if v is not None)
+    return f"WARC/1.1\r\n{lines}Content-Length: {len(block)}\r\n\r\n".encode() + block + END.encode()
+
+
+def record_id(key: int | None, payload: bytes) -> str:
+    """An identifier made from the page's key and payload: writing twice gives the same one. _record_id is the same as a column."""
+    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{"" if key is None else key} {hashlib.sha1(payload).hexdigest()}')}>"
+
+
+def _record_id(key: Column, sha: Column) -> Column:
+    digest = F.sha1(F.concat(F.unhex(F.lit(NAMESPACE.hex)), F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(" "), sha).cast("binary")))
+    part = lambda begin, length: F.substr(digest, F.lit(begin), F.lit(length))
+    variant = F.substr(F.lit("89ab"), F.conv(part(17, 1), 16, 10).cast("int") % 4 + 1, F.lit(1))
+    return F.concat(F.lit("<urn:uuid:"), part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-"), variant, part(18, 3), F.lit("-"), part(21, 12), F.lit(">"))
 
 
 _PARTS = "page_id bigint, n bigint, payload_digest string, block_digest string, id string, date string, uri string, ip string, head string, payload string"
 
 
-def archive(pages: DataFrame, key: str = "page_id", url: str = "url", source: str = "html", least_bytes: int = LEAST_BYTES) -> str:
-    """Write a WARC record per row of pages, by way of ARC records, as gzip files in the shared folder; its path.
+def archive(pages: DataFrame, key: str = "page_id", url: str = "url", source: str = "html", least_bytes: int = LEAST_BYTES, file_bytes: int = FILE_BYTES) -> str:
+    """Write a WARC record per row of pages, by way of ARC records of both versions, as files in the shared folder; its path.
+
+    A file begins with a warcinfo record, has a gzip member for each record, and ends with the record that brings it to
+    file_bytes; so files can be read apart, and a lost executor costs a bounded part of the work.
 
     Of records with equal payloads of at least least_bytes bytes, the one with the smallest key is a response and the
     others are revisits that name it; rows that share this key and payload are all responses. A null key orders behind all
-    others and is written as no key; payloads met under null keys only are all responses. A null page has an empty payload.
+    others and is written as no key; payloads met under null keys only are all responses. A null page has an empty payload;
+    an empty table gives no records.
     """
     spark = pages.sparkSession
     rows = pages.select(F.col(f"`{key}`").cast("bigint").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), text_column(f"`{source}`").alias("html"))
@@ -140,43 +176,69 @@ def archive(pages: DataFrame, key: str = "page_id", url: str = "url", source: st
         for batch in small(batches):
             keys, urls = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for start, group in passes(batch.column(2).cast(pa.binary()).to_pylist(), 4 << 20):
-                own = range(start, start + len(group))
                 records = []
-                for k, payload in zip(own, group):
-                    name = "" if keys[k] is None else f"X-Page-Id: {keys[k]}\r\n"
-                    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{name}Content-Length: {len(payload)}\r\n\r\n"
+                for k, payload in enumerate(group, start):
+                    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n"
                     records.append(ArcRecord(urls[k] or f"urn:page:{keys[k]}", "0.0.0.0", "20240101000000", "text/html", head.encode() + payload))
-                found = [converted(r) for r in read_arc(write_arc(f"part-{start}.arc", records, 1 + start % 2))]
-                column = lambda name, kind=pa.string(): pa.array([f[name] for f in found], kind)
+                found: list = [None] * len(group)
+                for version in FIELDS:  # rows in turn go by archives of either version
+                    found[version - 1 :: 2] = [converted(r) for r in read_arc(write_arc(f"part-{start}.arc", records[version - 1 :: 2], version))]
+                own = keys[start : start + len(group)]
+                column = lambda name: pa.array([f[name] for f in found], pa.string())
                 text = lambda name: pa.array([f[name] for f in found], pa.binary()).view(pa.string())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, len(group)), pa.array(map(len, group), pa.int64()), *(column(x) for x in ("payload_digest", "block_digest", "id", "date", "uri", "ip")), text("head"), text("payload")],
+                    [batch.column(0).slice(start, len(group)), pa.array([len(f["payload"]) for f in found], pa.int64()), column("payload_digest"), column("block_digest"), pa.array([record_id(k, f["payload"]) for k, f in zip(own, found)]), column("date"), column("uri"), column("ip"), text("head"), text("payload")],
                     [x.split()[0] for x in _PARTS.split(", ")],
                 )
 
+    def pack(batches):
+        date, held, size = None, [], 0
+        zipped = lambda record: zlib.compress(record, wbits=31)
+        # The text writer ends each file with a zero byte: the last one of an empty gzip member, which has no length.
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array([b"".join([*held, zipped(b"")[:-1]])], pa.binary())], ["value"])
+        for batch in small(batches, 200):
+            for r in batch.to_pylist():
+                if not held:
+                    about = b"software: strandlake\r\nformat: WARC File Format 1.1\r\n"
+                    date = r["date"]
+                    held.append(zipped(warc_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(NAMESPACE, r['id'])}>"), ("WARC-Date", date), ("Content-Type", "application/warc-fields")], about)))
+                again = r["first"] is not None
+                block = (r["head"] + ("" if again else r["payload"])).encode()
+                revisit = [
+                    ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", r["first_id"]), ("WARC-Refers-To-Target-URI", re.sub(r"\s", "%20", r["first_url"] or f"urn:page:{r['first']}")), ("WARC-Refers-To-Date", r["date"]), ("X-Refers-To-Page-Id", r["first"]),
+                ] if again else [("WARC-Block-Digest", f"sha1:{r['block_digest']}")]
+                headers = [
+                    ("WARC-Type", "revisit" if again else "response"), ("WARC-Record-ID", r["id"]), ("WARC-Date", r["date"]), ("WARC-Target-URI", r["uri"]), ("WARC-IP-Address", r["ip"]), *revisit,
+                    ("WARC-Payload-Digest", f"sha1:{r['payload_digest']}"), ("X-Page-Id", r["page_id"]), ("Content-Type", "application/http; msgtype=response"),
+                ]
+                held.append(zipped(warc_record(headers, block)))
+                size += len(held[-1])
+                if size >= file_bytes:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
     parts = rows.mapInArrow(convert, _PARTS)
     sha = F.sha1(F.col("html").cast("binary"))
-    firsts = rows.groupBy(sha.alias("sha"), F.octet_length("html").cast("bigint").alias("n")).agg(F.min("page_id").alias("first"), F.min_by("url", "page_id").alias("first_url"), F.count("*").alias("times"))
-    firsts = firsts.filter((F.col("times") > 1) & (F.col("n") >= least_bytes)).select("sha", F.col("n").alias("size"), "first", "first_url")
+    firsts = rows.groupBy(sha.alias("sha"), F.octet_length("html").cast("bigint").alias("size")).agg(F.min("page_id").alias("first"), F.min_by("url", "page_id").alias("first_url"), F.count("*").alias("times"))
+    # A table of its own, so that the join below shuffles both sides and a payload that very many pages have can be split.
+    firsts = written(firsts.filter((F.col("times") > 1) & (F.col("size") >= least_bytes) & F.col("first").isNotNull()).select("sha", "size", "first", "first_url", _record_id(F.col("first"), F.col("sha")).alias("first_id")), "firsts")
     parts = parts.withColumn("sha", F.sha1(F.col("payload").cast("binary")))
-    joined = parts.join(firsts, (parts.sha == firsts.sha) & (parts.n == firsts["size"]), "left").drop("sha")
-    revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
-    block = F.concat("head", F.when(revisit, F.lit("")).otherwise(F.col("payload")))
-    line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
-    record = F.concat(
-        F.lit("WARC/1.1\r\n"), line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))), line("WARC-Record-ID", F.col("id")), line("WARC-Date", F.col("date")), line("WARC-Target-URI", F.col("uri")), line("WARC-IP-Address", F.col("ip")),
-        F.when(revisit, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To-Target-URI", F.regexp_replace(F.coalesce("first_url", F.lit("-")), "\\s", "%20")), line("X-Refers-To-Page-Id", F.col("first").cast("string")))).otherwise(line("WARC-Block-Digest", F.concat(F.lit("sha1:"), F.col("block_digest")))),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))), F.lit("Content-Type: application/http; msgtype=response\r\n"), line("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"), block,
-    )
+    joined = parts.join(firsts, (parts.sha == firsts.sha) & (parts.n == firsts["size"]), "left")
+    own = F.col("first").eqNullSafe(F.col("page_id"))
+    shown = joined.select("page_id", "payload_digest", "block_digest", "id", "date", "uri", "ip", "head", F.when(F.col("first").isNull() | own, F.col("payload")).alias("payload"), F.when(~own, F.col("first")).alias("first"), F.when(~own, F.col("first_url")).alias("first_url"), F.when(~own, F.col("first_id")).alias("first_id"))
     path = fresh_path(spark, "warc")
-    joined.select(record.alias("value")).write.option("lineSep", END).option("compression", "gzip").text(path)
+    # Spark's text writer takes the bytes as they are; each row, the whole of an archive, is a file.
+    shown.mapInArrow(pack, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
     return path
 
 
 def read_archive(spark, path: str) -> DataFrame:
     """One row per response and revisit of the WARC files at path: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    A response's digest is computed from its payload and must equal the declared one.
+    A response's digest is computed from its payload and must equal the declared one. A record without a key has a null
+    page_id; other kinds of records are passed over; an archive without records gives no rows.
     """
 
     def number(text: str | None) -> int | None:
@@ -196,7 +258,7 @@ def read_archive(spark, path: str) -> DataFrame:
                     size = len(payload) if kind == "response" else int(http["content-length"])
                     if kind == "response" and digest_of(payload) != declared:
                         raise ValueError(f"a payload's digest isn't {declared}")
-                    rows.append((number(http.get("x-page-id")), size, declared, kind, number(headers.get("x-refers-to-page-id"))))
+                    rows.append((number(headers.get("x-page-id")), size, declared, kind, number(headers.get("x-refers-to-page-id"))))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 

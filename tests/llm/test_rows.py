@@ -269,6 +269,16 @@ def test_archive(spark):
         again = first is not None and first != p
         want.append((p, len((h or "").encode()), warc.digest_of((h or "").encode()), "revisit" if again else "response", first if again else None))
     assert canon(warc.read_archive(spark, warc.archive(pages)).collect()) == canon(want)
+    path = warc.archive(pages, file_bytes=1)
+    files = [bytes(r.content) for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).collect() if r.length]
+    assert len(files) == len(rows) and canon(warc.read_archive(spark, path).collect()) == canon(want)
+    records = [list(warc.read_warc(f)) for f in files]
+    assert all([h["warc-type"] for h, _ in r][0] == "warcinfo" and len(r) == 2 for r in records)
+    responses = {h["warc-record-id"]: h.get("x-page-id") for r in records for h, _ in r if h["warc-type"] == "response"}
+    for r in records:
+        if r[1][0]["warc-type"] == "revisit":
+            assert responses[r[1][0]["warc-refers-to"]] == r[1][0]["x-refers-to-page-id"] and b"same" not in r[1][1]
+    assert all(len(list(warc.unzipped(f))) == 3 for f in files) and all(zlib.decompress(f, 31) for f in files)
     small = warc.read_archive(spark, warc.archive(pages, least_bytes=5)).filter("record_type = 'revisit'").count()
     assert small == 0
     assert warc.read_archive(spark, warc.archive(pages.limit(0))).collect() == []
