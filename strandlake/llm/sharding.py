@@ -43,10 +43,10 @@ def assign(docs: DataFrame, key: str, text: str, weights: Sequence[float], next_
     Slots are dealt by buckets of a shard: rows of a bucket are numbered in their own task, and a small table of the
     buckets' counts gives where each begins. Equal rows are counted before the shuffle.
     """
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    scores = rendezvous(F.col(key), list(weights) + [next_weight])
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    scores = rendezvous(F.col(f"`{key}`"), list(weights) + [next_weight])
     rows = docs.select(
-        F.col(key).alias("key"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"),
+        F.col(f"`{key}`").alias("key"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"),
         winner(scores[:-1]).alias("shard"), winner(scores).alias("grown_shard"),
     )
     buckets = max(1, math.ceil(docs.count() / BUCKET_ROWS / len(weights)))

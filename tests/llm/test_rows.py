@@ -2,12 +2,15 @@
 
 import hashlib
 import html
+import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
 import pytest
+import xxhash
 from conftest import SMALL, canon
 
 from strandlake.llm import bpe, decontam, htmltext, quality, sharding, tokencount, warc
@@ -199,6 +202,26 @@ def test_sharding(docs, odd, empty):
         sharding.assign(docs, "doc_id", "text", [0.0])
 
 
+def brute_shard(key, weights):
+    """The winner by a hash and scores of our own."""
+    best = None
+    for shard, weight in enumerate(weights):
+        h = xxhash.xxh64_intdigest(struct.pack("<q", key), 42)
+        h = xxhash.xxh64_intdigest(struct.pack("<i", shard), h)
+        score = -weight / math.log(((h >> 11) + 0.5) / 2**53)
+        best = max(best or (score, shard), (score, shard))
+    return best[1]
+
+
+def test_shards_by_an_independent_scorer(spark):
+    rng = random.Random(3)
+    keys = [rng.randrange(-(2**63), 2**63) for _ in range(300)] + [0, -1, 2**63 - 1]
+    weights = [1.0, 2.5, 1.0, 0.5, 3.0]
+    frame = spark.createDataFrame([(k, "t") for k in keys], "`a.key` bigint, `a.text` string")
+    for r in sharding.assign(frame, "a.key", "a.text", weights, 1.5).collect():
+        assert (r.shard, r.grown_shard) == (brute_shard(r.key, weights), brute_shard(r.key, [*weights, 1.5]))
+
+
 def test_weights_and_many_buckets(spark, monkeypatch):
     monkeypatch.setattr(sharding, "BUCKET_ROWS", 50)
     rows = sharding.assign(spark.range(6000).selectExpr("id as doc_id", "'t' as text"), "doc_id", "text", [1.0, 3.0]).collect()
