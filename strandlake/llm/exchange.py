@@ -3,8 +3,9 @@
 A table is cut once into blocks of a bounded size, written to the shared folder. A block has one row for each of its
 distinct fingerprints, however often it stands there, so a fingerprint that a third of all documents hold has one row a
 block and no task gathers a group of documents. Blocks are told which of their fingerprints recur, and send the stretches
-of text around these, one row for each distinct stretch, to the part of the fingerprint. What a part finds out goes back as
-ranges of the blocks' documents. The number of rows that a block sends depends on its own text alone, not on the table.
+of text around these, each distinct one once, to the part of the fingerprint; what goes from one block to one part is packed
+in one row. What a part finds out goes back as ranges of the blocks' documents. However large the table, a block has no more
+rows than fingerprints, and no more packs than stretches.
 """
 
 from __future__ import annotations
@@ -14,27 +15,30 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, release_memory, small, text_column, written
+from .common import mix, release_memory, small, spread, text_column, written
 
 #: Bytes of text in a block; one longer text is a block of its own.
 BLOCK_BYTES = 2 << 20
 #: Bytes of text for each part. A part holds the stretches whose fingerprints recur, some times overlapping.
-PART_BYTES = 1 << 20
+PART_BYTES = 4 << 20
 #: Beyond so many places a fingerprint's stretches are taken apart into single windows, which spreads them over all parts.
 HOT_PLACES = 4_000
 #: Equal windows of hot fingerprints meet in so many groups first; each group sends one on.
 SALTS = 1_024
 
 #: A stretch: windows that share their least fingerprint. begin, n: its first window in document `doc` and their number;
-#: repeats: its fingerprint may stand in it twice; copies: the block's other stretches with the same body.
-STRETCH = "part bigint, hot boolean, value bigint, block bigint, key bigint, doc int, begin bigint, n bigint, repeats boolean, body binary, copies binary"
+#: repeats: its fingerprint may stand in it twice; size: of its body; copies: the block's other stretches with the same body.
+STRETCH = np.dtype([("value", "<u8"), ("block", "<i8"), ("key", "<i8"), ("begin", "<i8"), ("n", "<i8"), ("doc", "<i4"), ("size", "<i4"), ("copies", "<i4"), ("hot", "u1"), ("repeats", "u1")])
 COPY = np.dtype([("doc", "<i4"), ("begin", "<i8"), ("later", "u1")])
 SPAN = np.dtype([("doc", "<i4"), ("begin", "<i8"), ("end", "<i8")])
+PACKS = "part bigint, payload binary"
+_packs = pa.schema([("part", pa.int64()), ("payload", pa.binary())])
 
 
 def pack_rows(rows: pa.Array, keys: pa.Array, texts: list[bytes]) -> bytes:
@@ -137,8 +141,46 @@ def binaries(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
 
 
-def stretches(block: int, keys: np.ndarray, value: np.ndarray, doc: np.ndarray, begin: np.ndarray, n: np.ndarray, repeats: np.ndarray, body: Callable[[int, int, int], bytes], hot: bool, bits: int, places: bool) -> pa.Table:
-    """Rows of STRETCH: one for each distinct body, at its least place in the block; the others are its copies.
+class Stretches:
+    """Several stretches: `rows` of STRETCH, their bodies, and the copies of all of them one after the other."""
+
+    def __init__(self, rows: np.ndarray, bodies: list[bytes], copies: np.ndarray):
+        self.rows, self.bodies, self.copies = rows, bodies, copies
+
+    def packs(self, part: np.ndarray) -> pa.Table:
+        """One pack for each part that some of them go to."""
+        order = np.argsort(part, kind="stable")
+        rows, owner = self.rows[order], np.repeat(np.arange(len(order)), self.rows["copies"])
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        copies = self.copies[np.argsort(place[owner], kind="stable")]
+        reach = np.r_[0, np.cumsum(rows["copies"])]
+        cuts = np.flatnonzero(np.diff(part[order])) + 1
+        zip_up, parts, payloads = zstandard.ZstdCompressor(3).compress, [], []
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(order)] if len(order) else []):
+            parts.append(int(part[order[a]]))
+            payloads.append(zip_up(b"".join([(b - a).to_bytes(8, "little"), rows[a:b].tobytes(), copies[reach[a] : reach[b]].tobytes(), *[self.bodies[k] for k in order[a:b].tolist()]])))
+        return pa.table([pa.array(parts, pa.int64()), pa.array(payloads, pa.binary())], schema=_packs)
+
+    @staticmethod
+    def unpacked(payloads: list[bytes]) -> Stretches:
+        rows, bodies, copies, unzip = [], [], [], zstandard.ZstdDecompressor().decompress
+        for payload in payloads:
+            data = unzip(payload)
+            own = np.frombuffer(data, STRETCH, int.from_bytes(data[:8], "little"), 8)
+            at = 8 + own.nbytes
+            n = int(own["copies"].sum())
+            rows.append(own)
+            copies.append(np.frombuffer(data, COPY, n, at))
+            at += n * COPY.itemsize
+            for size in own["size"].tolist():
+                bodies.append(data[at : at + size])
+                at += size
+        return Stretches(np.concatenate([*rows, np.zeros(0, STRETCH)]), bodies, np.concatenate([*copies, np.zeros(0, COPY)]))
+
+
+def stretches(block: int, keys: np.ndarray, value: np.ndarray, doc: np.ndarray, begin: np.ndarray, n: np.ndarray, repeats: np.ndarray, body: Callable[[int, int, int], bytes], hot: bool, places: bool) -> Stretches:
+    """One stretch for each distinct body, at its least place in the block; the others are its copies.
 
     A place is (key, begin), or without `places` the key alone; a copy is later if its place is greater.
     """
@@ -154,64 +196,73 @@ def stretches(block: int, keys: np.ndarray, value: np.ndarray, doc: np.ndarray,
     others[first] = False
     others = np.flatnonzero(others)
     others = others[np.argsort(which[others], kind="stable")]
-    spread_by = mix(value[first] ^ mix(np.full(len(first), block % SALTS, np.uint64))) if hot else value[first]
-    fields = {
-        "part": pa.array((spread_by >> np.uint64(64 - bits)).astype(np.int64)), "hot": pa.array(np.full(len(first), hot)), "value": pa.array(value[first].view(np.int64)), "block": pa.array(np.full(len(first), block)),
-        "key": pa.array(keys[doc[first]]), "doc": pa.array(doc[first].astype(np.int32)), "begin": pa.array(begin[first]), "n": pa.array(n[first]), "repeats": pa.array(repeats[first]),
-        "body": pa.array(list(known), pa.binary()), "copies": binaries(copies[others], np.bincount(which[others], minlength=len(first))),
-    }
-    return pa.table(fields)
+    rows = np.zeros(len(first), STRETCH)
+    for name, values in (("value", value), ("key", keys[doc]), ("begin", begin), ("n", n), ("doc", doc), ("repeats", repeats)):
+        rows[name] = values[first]
+    rows["block"], rows["hot"] = block, hot
+    rows["size"], rows["copies"] = list(map(len, known)), np.bincount(which[others], minlength=len(first))
+    return Stretches(rows, list(known), copies[others])
 
 
-def asked(table: DataFrame, known: DataFrame, ask: Callable[[int, pa.Table, Known], pa.Table]) -> DataFrame:
-    """The stretches that ask(block, rows, its recurring fingerprints) gives for each block."""
+def asked(table: DataFrame, known: DataFrame, ask: Callable[[int, pa.Table, Known], list[Stretches]], bits: int) -> DataFrame:
+    """Packs of the stretches that ask(block, rows, its recurring fingerprints) gives for each block."""
 
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         if not block.num_rows or not answers.num_rows:
-            return EMPTY
-        out = ask(block.column("block")[0].as_py(), unpack_rows(block.column("payload")[0].as_py()), Known(answers))
+            return _packs.empty_table()
+        out = []
+        for s in ask(block.column("block")[0].as_py(), unpack_rows(block.column("payload")[0].as_py()), Known(answers)):
+            # Equal hot windows of different blocks meet by groups of blocks first.
+            value = np.where(s.rows["hot"] > 0, mix(s.rows["value"] ^ mix((s.rows["block"] % SALTS).astype(np.uint64))), s.rows["value"])
+            out.append(s.packs((value >> np.uint64(64 - bits)).astype(np.int64)))
         release_memory()
-        return out
-
-    return table.select("block", "payload").groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, STRETCH)
+        return pa.concat_tables(out)
 
-
-EMPTY = pa.schema([("part", pa.int64()), ("hot", pa.bool_()), ("value", pa.int64()), ("block", pa.int64()), ("key", pa.int64()), ("doc", pa.int32()), ("begin", pa.int64()), ("n", pa.int64()), ("repeats", pa.bool_()), ("body", pa.binary()), ("copies", pa.binary())]).empty_table()
+    return table.select("block", "payload").groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, PACKS)
 
 
 class Part:
-    """The stretches of one part: columns as arrays, and which of the distinct bodies each has; rows by place."""
-
-    def __init__(self, table: pa.Table, places: bool):
-        key, begin = table.column("key").to_numpy(), table.column("begin").to_numpy()
-        table = table.take(pa.array(np.lexsort((begin, key))))
-        self.table = table
-        self.key, self.begin, self.n, self.block, self.doc, self.hot, self.repeats = (table.column(c).to_numpy() for c in ("key", "begin", "n", "block", "doc", "hot", "repeats"))
-        self.value = table.column("value").to_numpy().view(np.uint64)
+    """The stretches of one part by place, as arrays, and which of the distinct bodies each has."""
+
+    def __init__(self, found: Stretches, places: bool):
+        order = np.lexsort((found.rows["begin"], found.rows["key"]))
+        self.rows = found.rows[order]
+        self.key, self.begin, self.n, self.value = (self.rows[c] for c in ("key", "begin", "n", "value"))
+        self.repeats = self.rows["repeats"] > 0
+        owner = np.repeat(np.arange(len(order)), found.rows["copies"])
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        by_place = np.argsort(place[owner], kind="stable")
+        #: copies of all stretches, and whose they are
+        self.copies, self.owner = found.copies[by_place], place[owner][by_place]
         known: dict[bytes, int] = {}
-        self.which = np.fromiter((known.setdefault(b, len(known)) for b in table.column("body").to_pylist()), np.int64, table.num_rows)
+        self.which = np.fromiter((known.setdefault(found.bodies[k], len(known)) for k in order.tolist()), np.int64, len(order))
         self.bodies = list(known)
         _, self.first = np.unique(self.which, return_index=True)
         one = self.first[self.which]
         #: stretches whose body stands at a smaller place too
         self.later = (self.key != self.key[one]) | (places & (self.begin != self.begin[one]))
 
+    def chosen(self, rows: np.ndarray, copies: np.ndarray) -> Stretches:
+        """Some of the stretches with some of their copies."""
+        kept = copies & rows[self.owner]
+        out = self.rows[rows]
+        out["copies"] = np.bincount(self.owner[kept], minlength=len(rows))[rows]
+        return Stretches(out, [self.bodies[k] for k in self.which[rows].tolist()], self.copies[kept])
+
 
 def spans_of(part: Part, rows: np.ndarray, begin: np.ndarray, end: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(blocks, spans): windows begin to end - 1 of the rows' stretches, as ranges of documents; width: length of a window less one. Copies at the same place have the same, later ones go whole."""
-    copies = [np.frombuffer(c, COPY) for c in part.table.column("copies").to_pylist()]
-    sizes = np.fromiter(map(len, copies), np.int64, len(copies))
-    every = np.concatenate([*copies, np.zeros(0, COPY)])
-    owner = np.repeat(np.arange(len(copies)), sizes)
-    gone = every["later"] > 0
-    blocks, spans = [part.block[rows], part.block[owner[gone]]], [_spans(part.doc[rows], part.begin[rows] + begin, part.begin[rows] + end + width), _spans(every["doc"][gone], every["begin"][gone], every["begin"][gone] + part.n[owner[gone]] + width)]
-    same, own = every[~gone], owner[~gone]
+    block, doc = part.rows["block"], part.rows["doc"]
+    gone = part.copies["later"] > 0
+    later, same, own = part.copies[gone], part.copies[~gone], part.owner[~gone]
+    blocks = [block[rows], block[part.owner[gone]]]
+    spans = [_spans(doc[rows], part.begin[rows] + begin, part.begin[rows] + end + width), _spans(later["doc"], later["begin"], later["begin"] + part.n[part.owner[gone]] + width)]
     if len(same) and len(rows):
         order = np.argsort(rows, kind="stable")
         low, high = np.searchsorted(rows[order], own), np.searchsorted(rows[order], own, side="right")
-        of = np.repeat(np.arange(len(own)), high - low)
-        k = order[np.repeat(low - np.r_[0, np.cumsum(high - low)[:-1]], high - low) + np.arange(len(of))]
-        blocks.append(part.block[own[of]])
+        of, k = np.repeat(np.arange(len(own)), high - low), order[spread(low, high - low)]
+        blocks.append(block[own[of]])
         spans.append(_spans(same["doc"][of], same["begin"][of] + begin[k], same["begin"][of] + end[k] + width))
     return np.concatenate(blocks), np.concatenate(spans)
 
@@ -228,12 +279,11 @@ def settled(questions: DataFrame, find: Callable[[Part], tuple[np.ndarray, np.nd
     Hot windows meet twice: first with those of some of the blocks, where each but the first goes, and the first ones of all
     blocks then meet in the window's own part.
     """
-    schema = f"{STRETCH}, spans binary"
 
     def run(table: pa.Table, last: bool) -> pa.Table:
-        part = Part(table, places)
+        part = Part(Stretches.unpacked(table.column("payload").to_pylist()), places)
         rows, begin, end = find(part)
-        on = (not last) & part.hot & ~part.later
+        on = (not last) & (part.rows["hot"] > 0) & ~part.later
         if on.any():
             kept = ~on[rows]
             rows, begin, end = rows[kept], begin[kept], end[kept]
@@ -242,16 +292,14 @@ def settled(questions: DataFrame, find: Callable[[Part], tuple[np.ndarray, np.nd
         heads, sizes = np.unique(blocks[order], return_counts=True)
         found = pa.table({"block": pa.array(heads, pa.int64()), "spans": binaries(spans[order], sizes)})
         if not last:
-            going = part.table.filter(pa.array(on))
-            mine = (part.value[on] >> np.uint64(64 - bits)).astype(np.int64)
-            rest = [np.frombuffer(c, COPY) for c in going.column("copies").to_pylist()]  # the later ones are settled
-            going = going.set_column(0, "part", pa.array(mine)).set_column(10, "copies", pa.array([c[c["later"] == 0].tobytes() for c in rest], pa.binary()))
-            found = pa.concat_tables([going.append_column("spans", pa.nulls(len(going), pa.binary())), found], promote_options="default").select([*EMPTY.column_names, "spans"])
+            going = part.chosen(on, part.copies["later"] == 0)  # the later ones are settled
+            packs = going.packs((going.rows["value"] >> np.uint64(64 - bits)).astype(np.int64))
+            found = pa.concat_tables([packs.append_column("block", pa.nulls(len(packs), pa.int64())).append_column("spans", pa.nulls(len(packs), pa.binary())), found], promote_options="default")
         release_memory()
         return found
 
-    first = written(questions.groupBy("part").applyInArrow(lambda t: run(t, False), schema), "settled")
-    second = first.filter("spans is null").drop("spans").groupBy("part").applyInArrow(lambda t: run(t, True), "block bigint, spans binary")
+    first = written(questions.groupBy("part").applyInArrow(lambda t: run(t, False), f"{PACKS}, block bigint, spans binary"), "settled")
+    second = first.filter("spans is null").select("part", "payload").groupBy("part").applyInArrow(lambda t: run(t, True), "block bigint, spans binary")
     return first.filter("spans is not null").select("block", "spans").union(second)
 
 

@@ -138,7 +138,7 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", digests: boo
     table = X.blocks(docs, text, key)
     bits = X.part_bits(table)
 
-    def ask(block: int, rows: pa.Table, known: X.Known) -> pa.Table:
+    def ask(block: int, rows: pa.Table, known: X.Known) -> list[X.Stretches]:
         texts, keys = rows.column("text").to_pylist(), rows.column("key").to_numpy()
         w = Windows(texts, each=True)
         words: dict[int, list[bytes]] = {}
@@ -151,12 +151,12 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", digests: boo
         usual, hot = known.masks(w.value)
         one = np.ones(int(w.n[hot].sum()), np.int64)
         hashes = w.hashes[spread(np.r_[0, np.cumsum(w.n)[:-1]][hot], w.n[hot])] if len(one) else w.hashes[:0]
-        return pa.concat_tables([
-            X.stretches(block, keys, w.value[usual], w.doc[usual], w.begin[usual], w.n[usual], w.n[usual] < 0, body, False, bits, False),
-            X.stretches(block, keys, mix(hashes), np.repeat(w.doc[hot], w.n[hot]), spread(w.begin[hot], w.n[hot]) if len(one) else one, one, one < 0, body, True, bits, False),
-        ])
+        return [
+            X.stretches(block, keys, w.value[usual], w.doc[usual], w.begin[usual], w.n[usual], w.n[usual] < 0, body, False, False),
+            X.stretches(block, keys, mix(hashes), np.repeat(w.doc[hot], w.n[hot]), spread(w.begin[hot], w.n[hot]) if len(one) else one, one, one < 0, body, True, False),
+        ]
 
-    questions = X.asked(table, X.recurring(table, _prints, hot_places), ask)
+    questions = X.asked(table, X.recurring(table, _prints, hot_places), ask, bits)
     found = X.settled(questions, find, WINDOW - 1, False, bits)
     last = "kept_sha256" if digests else "kept_text"
 

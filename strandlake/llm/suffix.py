@@ -255,16 +255,16 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", digests: boo
     table = X.blocks(docs, text, key)
     bits = X.part_bits(table)
 
-    def ask(block: int, rows: pa.Table, known: X.Known) -> pa.Table:
+    def ask(block: int, rows: pa.Table, known: X.Known) -> list[X.Stretches]:
         texts, keys = rows.column("text").to_pylist(), rows.column("key").to_numpy()
         s = Segments(texts)
         usual, hot = known.masks(s.value)
         out = []
         for own, is_hot in ((s.chosen(usual), False), (s.chosen(hot).apart(texts), True)):
-            out.append(X.stretches(block, keys, own.value, own.doc, own.begin, own.n, own.times > 1, lambda d, b, n: texts[d][b : b + n + LENGTH - 1], is_hot, bits, True))
-        return pa.concat_tables(out)
+            out.append(X.stretches(block, keys, own.value, own.doc, own.begin, own.n, own.times > 1, lambda d, b, n: texts[d][b : b + n + LENGTH - 1], is_hot, True))
+        return out
 
-    questions = X.asked(table, X.recurring(table, _prints, hot_places), ask)
+    questions = X.asked(table, X.recurring(table, _prints, hot_places), ask, bits)
     found = X.settled(questions, find, LENGTH - 1, True, bits)
     last = "kept_sha256" if digests else "kept_text" if as_text else "kept"
 

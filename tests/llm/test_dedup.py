@@ -5,7 +5,6 @@ import random
 from collections import defaultdict
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from conftest import canon
 
@@ -144,12 +143,13 @@ def test_automata_in_shards():
 
 def part_of(module, texts, places):
     """All stretches of texts (each a block of its own, its place its key) in one part."""
-    tables = []
+    payloads = []
     for k, text in enumerate(texts):
         s = module.Segments([text]) if module is suffix else module.Windows([text])
         body = (lambda d, b, n: text[b : b + n + 99]) if module is suffix else (lambda d, b, n: b" ".join(text.split()[b : b + n + 12]))  # noqa: B023
-        tables.append(exchange.stretches(k, np.array([k]), s.value, s.doc, s.begin, s.n, s.n > 0, body, False, 3, places))
-    return exchange.Part(pa.concat_tables(tables), places)
+        found = exchange.stretches(k, np.array([k]), s.value, s.doc, s.begin, s.n, s.n > 0, body, False, places)
+        payloads += found.packs((s.value >> np.uint64(60))[: len(found.rows)].astype(np.int64)).column("payload").to_pylist()
+    return exchange.Part(exchange.Stretches.unpacked(payloads), places)
 
 
 @pytest.mark.parametrize("module,engine,nothing", [(phrases, "automata", lambda found, shard_chars=0: iter(())), (suffix, "previous_factors", lambda data, starts, places, length: np.zeros(len(starts), np.int64))])
@@ -160,8 +160,8 @@ def test_the_method_makes_the_result(monkeypatch, module, engine, nothing):
     texts = [f"{prose(rng, 9)} {shared} {prose(rng, 9)}".encode() for _ in range(3)]
     part = part_of(module, texts, module is suffix)
     rows, begin, end = module.find(part)
-    assert {int(part.block[r]) for r in rows} == {1, 2} and (end > begin).all()
-    edge = {int(part.block[r]) for r in rows if not part.later[r]}
+    assert {int(part.rows["block"][r]) for r in rows} == {1, 2} and (end > begin).all()
+    edge = {int(part.rows["block"][r]) for r in rows if not part.later[r]}
     assert edge == {1, 2}
     monkeypatch.setattr(module, engine, nothing)
     rows, _, _ = module.find(part)
