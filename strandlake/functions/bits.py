@@ -13,6 +13,32 @@ def zigzag(v: Column, bits: int = 64) -> Column:
     return F.when(v >= 0, v.cast("bigint") * 2).otherwise(v.cast("bigint") * -2 - 1)
 
 
+_LOW = (1 << 32) - 1
+
+
+def joined_halves(high: Column, low: Column, bits: int = 64, unsigned: bool = False) -> Column:
+    """high * 2**32 + low modulo 2**bits, of any two whole numbers, as a signed number (or, below 64 bits, an unsigned one)."""
+    whole = F.shiftleft(high + F.shiftright(low, 32), 32).bitwiseOR(low.bitwiseAND(F.lit(_LOW)))
+    if bits == 64:
+        return whole
+    return whole.bitwiseAND(F.lit((1 << bits) - 1).cast("bigint")) if unsigned else F.shiftright(F.shiftleft(whole, 64 - bits), 64 - bits)
+
+
+def halves(v: Column) -> tuple[Column, Column]:
+    """(high, low) 32 bits of a bigint: sums of up to 2**31 of either don't overflow."""
+    return F.shiftright(v, 32), v.bitwiseAND(F.lit(_LOW))
+
+
+def wrapping_add(a: Column, b: Column, bits: int = 64, unsigned: bool = False) -> Column:
+    (h, l), (i, m) = halves(a), halves(b)
+    return joined_halves(h + i, l + m, bits, unsigned)
+
+
+def wrapping_subtract(a: Column, b: Column, bits: int = 64, unsigned: bool = False) -> Column:
+    (h, l), (i, m) = halves(a), halves(b)
+    return joined_halves(h - i, l - m, bits, unsigned)
+
+
 def unzigzag(u: Column) -> Column:
     return F.shiftrightunsigned(u, 1).bitwiseXOR(-(u.bitwiseAND(F.lit(1).cast("bigint"))))
 

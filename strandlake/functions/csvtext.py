@@ -55,6 +55,52 @@ def value_kind(s: str) -> Column:
     return F.expr(kind_sql(s))
 
 
+#: Ranks of the integer and real types in a column's vote: a type's group is it and those behind it.
+GROUPS = (("long", "ulong", "int", "uint", "short", "ushort", "byte", "sbyte"), ("decimal", "double", "float"))
+DECIMAL_MAX = 79228162514264337593543950335
+FLOAT_MAX = 3.4028234663852886e38
+
+
+def candidates(s: Column) -> Column:
+    """Every type that a text value can be read as, the likeliest first: an array of (type, lossless).
+
+    Null for nothing, an empty array for the word null. Values are taken as they are, without trimming: blanks, signs of
+    plus and second points make a string. Whole numbers of up to 9 characters are ints first, up to 18 longs, beyond that
+    the types that hold them; reals begin with the smallest type that keeps all digits (7 for float, 15 for double).
+    """
+    no, yes = F.lit(None).cast("struct<type: string, lossless: boolean>"), F.lit(True)
+    one = lambda kind, lossless=yes: F.struct(F.lit(kind).alias("type"), lossless.alias("lossless"))
+    some = lambda *xs: F.array_compact(F.array(*xs))
+    if_ = lambda c, x: F.when(c, x).otherwise(no)
+    low, n = F.lower(s), F.length(s)
+    small = [one(k) for k in ("int", "long", "char", "double", "float", "uint", "ulong", "decimal", "byte", "ushort", "sbyte", "short")]
+    real = some(one("double"), one("float"))
+    v = s.try_cast("decimal(38,0)")
+    between = lambda a, b: (v >= F.lit(str(a)).cast("decimal(38,0)")) & (v <= F.lit(str(b)).cast("decimal(38,0)"))
+    exact = lambda kind: s.try_cast("bigint").cast(kind).cast("decimal(38,0)") == v
+    tiny = [if_(between(0, 255), one("byte")), if_(between(0, 65535), one("ushort")), if_(between(-128, 127), one("sbyte")), if_(between(-32768, 32767), one("short"))]
+    short = some(one("int"), one("long"), one("double"), one("float", exact("float")), if_(v >= 0, one("uint")), if_(v >= 0, one("ulong")), one("decimal"), *tiny)
+    middle = some(if_(between(-(2**31), 2**31 - 1), one("int")), one("long"), one("double", exact("double")), one("float", exact("float")), if_(between(0, 2**32 - 1), one("uint")), if_(v >= 0, one("ulong")), one("decimal"), *tiny)
+    large = some(if_(between(-(2**63), 2**63 - 1), one("long")), if_(between(0, 2**64 - 1), one("ulong")), one("decimal"))
+    d = s.try_cast("double")
+    digits = F.length(F.regexp_replace(F.regexp_replace(s, "[-.]", ""), "^0+|0+$", ""))
+    f, g, h = one("float", digits <= 7), one("double", digits <= 15), one("decimal")
+    text = some(one("string"))
+    return (
+        F.when(s.isNull() | (s == ""), F.lit(None)).when(low == "null", F.array().cast("array<struct<type: string, lossless: boolean>>"))
+        .when(low.isin("true", "false"), some(one("bool"))).when(low.isin("nan", "inf", "-inf"), real)
+        .when(s.isin("0", "1"), some(one("bool"), *small)).when(s.rlike("^[2-9]$"), some(*small)).when(low.isin("t", "f"), some(one("bool"), one("char"))).when(n == 1, some(one("char")))
+        .when((n >= 32) & s.rlike(GUID), some(one("guid")))
+        .when(s.rlike("[.].*[.]"), text)
+        .when(s.rlike("-.*-|/|^[^:]*T[^:]*$") & s.rlike(DATETIME), some(one("datetime"))).when(s.rlike(":") & s.rlike(TIMESPAN), some(one("timespan"))).when(s.rlike("T") & s.rlike(DATETIME), some(one("datetime")))
+        .when(s.rlike("^-?[0-9]{1,9}$") & (n <= 9), short).when(s.rlike("^-?[0-9]{1,18}$") & (n <= 18), middle)
+        .when(s.rlike("^-?[0-9]{18,38}$") & between(-DECIMAL_MAX, DECIMAL_MAX), large)
+        .when((n < 32) & s.rlike("^-?([0-9]+[.]?[0-9]*|[.][0-9]+)[eE]-?[0-9]+$") & d.isNotNull(), some(one("double"), if_(F.abs(d) <= FLOAT_MAX, one("float", d.cast("float").cast("double") == d))))
+        .when(s.rlike("^-?([0-9]+[.][0-9]*|[.][0-9]+)$"), F.when(digits <= 7, F.array(f, g, h)).when(digits <= 15, F.array(g, h, f)).otherwise(F.array(h, g, f)))
+        .otherwise(text)
+    )
+
+
 def format_datetime(ts: Column) -> Column:
     """yyyy-MM-dd HH:mm:ss, and seven decimals unless they are zero."""
     micro = F.date_format(ts, "SSSSSS")
@@ -106,9 +152,25 @@ def parse_int(s: Column, kind: str = "long") -> Column:
     return F.when((v >= F.lit(str(low)).cast("decimal(38,0)")) & (v <= F.lit(str(high)).cast("decimal(38,0)")), v).cast("decimal(20,0)")
 
 
-def parse_number(s: Column) -> Column:
+def parse_number(s: Column, kind: str = "double") -> Column:
+    """A real (double, float or decimal(38,18)) with a sign, an exponent, currency signs and thousands' commas; NaN, Inf and -Inf for the first two. Null where it doesn't fit."""
     bare = F.regexp_replace(F.trim(s), "[$€£¥,]", "")
-    return F.when(bare.rlike(NUMBER), bare.try_cast("double"))
+    plain = F.when(bare.rlike(NUMBER), bare.try_cast(kind))
+    if kind.startswith("decimal"):
+        return plain
+    word = F.lower(bare)
+    special = F.when(word == "nan", F.lit("NaN")).when(word == "inf", F.lit("Infinity")).when(word == "-inf", F.lit("-Infinity"))
+    return F.when(special.isNotNull(), special.cast(kind)).otherwise(plain)
+
+
+def parse_char(s: Column) -> Column:
+    """A value of one character; null for others."""
+    return F.when(F.length(s) == 1, s)
+
+
+def parse_string(s: Column) -> Column:
+    """The text; null for nothing and for the word null."""
+    return F.when((s != "") & (F.lower(s) != "null"), s)
 
 
 def parse_datetime(s: Column) -> Column:

@@ -28,28 +28,42 @@ def _signed(v: int) -> int:
     return v - (1 << 64) if v >> 63 else v
 
 
-def dfcm(df: DataFrame, series: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
-    """series, order, `encoded` (bigint bit patterns) and `decoded` (the doubles that they give back).
+_REAL = {64: ("<d", "<Q"), 32: ("<f", "<I")}
+
+
+def dfcm(df: DataFrame, series: Sequence[str], order: Sequence[str], value: str, bits: int = 64) -> DataFrame:
+    """series, order and `encoded` (bigint bit patterns) of doubles, or with 32 bits of floats. A null counts as 0.
 
     Rows of a series are one sequence; to bound a task, put a chunk column into `series`: each chunk starts afresh.
     """
+    real, whole = _REAL[bits]
+
+    def work(table: pa.Table) -> pa.Table:
+        patterns = [struct.unpack(whole, struct.pack(real, v or 0.0))[0] for v in table.column(value).to_pylist()]
+        codes = pa.array(map(_signed, Dfcm(bits).encode(patterns)), pa.int64())
+        return pa.table({**{c: table.column(c) for c in [*series, *order]}, "encoded": codes})
+
+    return _by_series(df, series, order, value, work, [*(df.schema[c] for c in order), T.StructField("encoded", T.LongType())])
+
+
+def dfcm_decode(df: DataFrame, series: Sequence[str], order: Sequence[str], encoded: str = "encoded", bits: int = 64) -> DataFrame:
+    """series, order and `decoded` (double) from the codes alone."""
+    real, whole = _REAL[bits]
 
     def work(table: pa.Table) -> pa.Table:
-        bits = [struct.unpack("<Q", struct.pack("<d", v))[0] for v in table.column(value).to_pylist()]
-        codes = list(Dfcm(64).encode(bits))
-        back = [struct.unpack("<d", struct.pack("<Q", v))[0] for v in Dfcm(64).decode(codes)]
-        return pa.table({**{c: table.column(c) for c in [*series, *order]}, "encoded": pa.array([_signed(c) for c in codes], pa.int64()), "decoded": pa.array(back, pa.float64())})
+        codes = [c & ((1 << bits) - 1) for c in table.column(encoded).to_pylist()]
+        back = pa.array([struct.unpack(real, struct.pack(whole, v))[0] for v in Dfcm(bits).decode(codes)], pa.float64())
+        return pa.table({**{c: table.column(c) for c in [*series, *order]}, "decoded": back})
 
-    fields = [*(df.schema[c] for c in order), T.StructField("encoded", T.LongType()), T.StructField("decoded", T.DoubleType())]
-    return _by_series(df, series, order, value, work, fields)
+    return _by_series(df, series, order, encoded, work, [*(df.schema[c] for c in order), T.StructField("decoded", T.DoubleType())])
 
 
 def codec_stream(df: DataFrame, series: Sequence[str], order: Sequence[str], value: str, codec: str) -> DataFrame:
-    """series, `items`, `size` and `data`: the codec's bytes over the series' bigint bit patterns in order."""
+    """series, `items`, `size` and `data`: the codec's bytes over the series' bigint bit patterns in order; a null counts as 0."""
     mask = (1 << 32) - 1 if codec == "u32" else WORD
 
     def work(table: pa.Table) -> pa.Table:
-        data = CODECS[codec].encode([v & mask for v in table.column(value).to_pylist()])
+        data = CODECS[codec].encode([(v or 0) & mask for v in table.column(value).to_pylist()])
         return pa.table({**{c: table.column(c).slice(0, 1) for c in series}, "items": pa.array([len(table)], pa.int64()), "size": pa.array([len(data)], pa.int64()), "data": pa.array([data], pa.binary())})
 
     return _by_series(df, series, order, value, work, [T.StructField("items", T.LongType()), T.StructField("size", T.LongType()), T.StructField("data", T.BinaryType())])

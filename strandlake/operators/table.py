@@ -9,16 +9,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .encode import numbered
+
 _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
-def positions(df: DataFrame, series: Sequence[str], order: Sequence[str], name: str = "pos") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*series).orderBy(*order)).cast("bigint") - 1)
+def positions(df: DataFrame, series: Sequence[str], order: Sequence[str], name: str = "pos", chunk: Column | None = None) -> DataFrame:
+    """df with each row's place in its series; `chunk` cuts long series, as for the encoders."""
+    return numbered(df, series, order, chunk).withColumnRenamed("pos", name)
 
 
-def skip(df: DataFrame, series: Sequence[str], order: Sequence[str], count: int) -> DataFrame:
+def skip(df: DataFrame, series: Sequence[str], order: Sequence[str], count: int, chunk: Column | None = None) -> DataFrame:
     """Rows behind the first `count` of each series."""
-    return positions(df, series, order, "__pos").filter(F.col("__pos") >= count).drop("__pos")
+    return positions(df, series, order, "__pos", chunk).filter(F.col("__pos") >= count).drop("__pos")
 
 
 def add_column(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -27,9 +30,24 @@ def add_column(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.withColumn(name, value)
 
 
-def positional_zip(left: DataFrame, right: DataFrame, series: Sequence[str], left_order: Sequence[str], right_order: Sequence[str]) -> DataFrame:
+def add_values(df: DataFrame, name: str, values: DataFrame, series: Sequence[str], order: Sequence[str], value: str, value_order: Sequence[str], offset: int = 0, chunk: Column | None = None, value_chunk: Column | None = None) -> DataFrame:
+    """df with a last column of values that stand at the same places of their series, from place `offset` on.
+
+    Fewer values than rows in a series are an error when the result is read; further values are left out.
+    """
+    if name in df.columns:
+        raise ValueError(f"there is a column {name}")
+    rows = positions(df, series, order, "__pos", chunk)
+    own = positions(values.select(*series, *value_order, F.col(value).alias("__value")), series, value_order, "__pos", value_chunk)
+    found = own.select(*series, (F.col("__pos") - offset).alias("__pos"), F.struct("__value").alias("__found"))
+    joined = rows.join(found, [*series, "__pos"], "left")
+    checked = F.when(F.col("__found").isNull(), F.raise_error(F.lit(f"{name} has fewer values than rows"))).otherwise(F.col("__found.__value"))
+    return joined.select(*df.columns, checked.cast(values.schema[value].dataType).alias(name))
+
+
+def positional_zip(left: DataFrame, right: DataFrame, series: Sequence[str], left_order: Sequence[str], right_order: Sequence[str], left_chunk: Column | None = None, right_chunk: Column | None = None) -> DataFrame:
     """Rows of both sides at equal places of their series. The other columns' names must differ."""
-    a, b = positions(left, series, left_order), positions(right, series, right_order)
+    a, b = positions(left, series, left_order, chunk=left_chunk), positions(right, series, right_order, chunk=right_chunk)
     return a.join(b, [*series, "pos"])
 
 
@@ -61,10 +79,10 @@ def recompress(df: DataFrame, path: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def first_difference(left: DataFrame, right: DataFrame, series: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
+def first_difference(left: DataFrame, right: DataFrame, series: Sequence[str], order: Sequence[str], value: str, chunk: Column | None = None) -> DataFrame:
     """(series, pos): the first place where two sides differ or one has ended; series without a difference aren't there."""
-    a = positions(left, series, order).select(*series, "pos", F.struct(F.col(value).alias("v")).alias("a"))
-    b = positions(right, series, order).select(*series, "pos", F.struct(F.col(value).alias("v")).alias("b"))
+    a = positions(left, series, order, chunk=chunk).select(*series, "pos", F.struct(F.col(value).alias("v")).alias("a"))
+    b = positions(right, series, order, chunk=chunk).select(*series, "pos", F.struct(F.col(value).alias("v")).alias("b"))
     return a.join(b, [*series, "pos"], "full").filter(~F.col("a").eqNullSafe(F.col("b"))).groupBy(*series).agg(F.min("pos").alias("pos"))
 
 
@@ -100,10 +118,23 @@ def rank_candidates(df: DataFrame, within: Sequence[str], by: Sequence[Column])
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*within).orderBy(*by)))
 
 
-def encoding_gain(sizes: DataFrame, within: Sequence[str], label: str, size: str, base: str) -> DataFrame:
-    """sizes with `gain`: size relative to the row labelled base in the same group, less 1."""
-    bases = sizes.filter(F.col(label) == base).select(*within, F.col(size).alias("__base"))
-    return sizes.join(bases, [*within]).withColumn("gain", F.col(size) / F.col("__base") - 1).drop("__base")
+def encoding_gain(sizes: DataFrame, within: Sequence[str], label: str, size: str, base: str, seconds: str | None = None) -> DataFrame:
+    """sizes with `gain`: size relative to the row labelled base in the same group, less 1; with `seconds` also `speed_gain`: the base row's time relative to the own, less 1."""
+    bases = sizes.filter(F.col(label) == base).select(*within, F.col(size).alias("__base"), *([F.col(seconds).alias("__time")] if seconds else []))
+    out = sizes.join(bases, [*within]).withColumn("gain", F.col(size) / F.col("__base") - 1)
+    return (out.withColumn("speed_gain", F.col("__time") / F.col(seconds) - 1).drop("__time") if seconds else out).drop("__base")
+
+
+def friendly_name(kind: T.DataType) -> str:
+    """A type's name for people: the plain name, with its parts in angle brackets."""
+    name = type(kind).__name__.removesuffix("Type")
+    parts = [f.dataType for f in kind.fields] if isinstance(kind, T.StructType) else [kind.keyType, kind.valueType] if isinstance(kind, T.MapType) else [kind.elementType] if isinstance(kind, T.ArrayType) else []
+    return f"{name}<{', '.join(map(friendly_name, parts))}>" if parts else name
+
+
+def friendly_names(df: DataFrame) -> DataFrame:
+    """(place, name, type) of each column."""
+    return df.sparkSession.createDataFrame([(i, f.name, friendly_name(f.dataType)) for i, f in enumerate(df.schema.fields)], "place int, name string, type string")
 
 
 def page_statistics(df: DataFrame, series: Sequence[str], order: Sequence[str], value: str) -> DataFrame:

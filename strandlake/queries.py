@@ -5,17 +5,19 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import bits as B
 from strandlake.functions import csvtext as C
+from strandlake.operators import dispatch, rows
 from strandlake.operators import encode as E
 from strandlake.operators import stateful as S
 from strandlake.operators import table as O
 from strandlake.plans.schema import Series, definition_matrix
-from strandlake.sources import csv, page, synthetic, ticker
+from strandlake.sources import csv, files, page, synthetic, ticker
 from strandlake.streaming import append
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,9 +39,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that all executors share: the checkpoint folder, or where none is set (tests) one of our own."""
+    """A fresh path in the folder that all executors share: the checkpoint folder, or where none is set and all runs on one machine (tests) one of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="strandlake-"))
         root = spark.sparkContext.getCheckpointDir()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -74,11 +78,23 @@ def skip_rows(spark, sf):
     return O.skip(read(spark, sf, "events").select("user_id", "event_id", "ts", "value"), SERIES, ORDER, 5).select("user_id", "event_id", "value")
 
 
+@dataclass
+class _Event:
+    event_id: int
+    event_type: str
+    user_id: int
+
+
+@dataclass
+class _Text:
+    event_id: int
+    text: str
+
+
 @query("select event_id, event_type || ':' || cast(user_id as varchar) as text from events")
 def row_adapter(spark, sf):
-    row = F.struct("event_id", "event_type", "user_id")
-    rows = read(spark, sf, "events").select(row.alias("row"))
-    return rows.select("row.event_id", F.concat("row.event_type", F.lit(":"), F.col("row.user_id").cast("string")).alias("text"))
+    """Rows as instances of a class, one by one, and rows put from such."""
+    return rows.mapped(read(spark, sf, "events"), _Event, lambda e: _Text(e.event_id, f"{e.event_type}:{e.user_id}"), "event_id bigint, text string")
 
 
 @query("select user_id, ts, value, event_type from events")
@@ -116,6 +132,45 @@ def add_column(spark, sf):
     return O.add_column(read(spark, sf, "events").select("event_id", "value"), "twice", F.col("value") * 2)
 
 
+@query("select user_id, event_id, other from (select user_id, event_id, row_number() over (partition by user_id order by ts, event_id) p from events) join (select user_id, event_id * 10 other, row_number() over (partition by user_id order by event_id desc) p from events) using (user_id, p)")
+def add_values(spark, sf):
+    """A column by position."""
+    e = read(spark, sf, "events")
+    values = e.select("user_id", (-F.col("event_id")).alias("back"), (F.col("event_id") * 10).alias("v"))
+    return O.add_values(e.select("user_id", "ts", "event_id"), "other", values, SERIES, ORDER, "v", ["back"]).select("user_id", "event_id", "other")
+
+
+_PAGE = "events\nts datetime,64,DeltaDelta\nvalue double,64,DFCM\nevent_type string"
+
+
+def _pages(spark, sf, condition: str = "true") -> DataFrame:
+    return page.to_pages(read(spark, sf, "events").filter(condition).select("user_id", "ts", "event_id", "value", "event_type"), Series.parse(_PAGE), SERIES, ORDER)
+
+
+@query("select user_id, event_type, value from events")
+def page_copy(spark, sf):
+    """Some columns of binary pages, copied as stored bytes."""
+    kept = Series.parse("events\nevent_type string\nvalue double,64,DFCM")
+    return page.from_pages(page.copied_columns(_pages(spark, sf), ["event_type", "value"]), kept, SERIES).select("user_id", "event_type", "value")
+
+
+@query("select user_id, name, channel from (select distinct user_id from events), (values ('ts', 1), ('value', 2), ('event_type', 3)) c(name, channel)")
+def page_channels(spark, sf):
+    return page.channels(_pages(spark, sf), SERIES).filter(F.octet_length("data") > 0).select("user_id", "name", "channel")
+
+
+@query("select user_id, row_number() over (partition by user_id order by event_id % 2, ts, event_id) - 1 as pos, ts, value, event_type from events")
+def page_append(spark, sf):
+    """Pages of some rows, with the others appended behind them."""
+    whole = page.appended(_pages(spark, sf, "event_id % 2 = 0"), read(spark, sf, "events").filter("event_id % 2 = 1"), Series.parse(_PAGE), SERIES, ORDER)
+    return page.from_pages(whole, Series.parse(_PAGE), SERIES).select("user_id", "pos", "ts", "value", "event_type")
+
+
+@query("select * from (values (0, 'event_id', 'Long'), (1, 'ts', 'TimestampNTZ'), (2, 'user_id', 'Long'), (3, 'event_type', 'String'), (4, 'value', 'Double'), (5, 'props', 'String'), (6, 'pair', 'Struct<Long, Array<Double>>')) t(place, name, type)")
+def friendly_names(spark, sf):
+    return O.friendly_names(read(spark, sf, "events").withColumn("pair", F.struct("event_id", F.array("value"))))
+
+
 @query("select event_id, ts, user_id, event_type, value from events")
 def remove_column(spark, sf):
     return O.remove_column(read(spark, sf, "events"), "props")
@@ -244,19 +299,95 @@ def dfcm_encode(spark, sf):
 
 @query("select user_id, event_id, value as decoded from events")
 def dfcm_roundtrip(spark, sf):
-    return S.dfcm(read(spark, sf, "events"), SERIES, ORDER, "value").select("user_id", "event_id", "decoded")
+    """Codes of one job, written, and the values that another job makes of the codes alone."""
+    path = scratch(spark, "codes")
+    S.dfcm(read(spark, sf, "events"), SERIES, ORDER, "value").write.parquet(path)
+    return S.dfcm_decode(spark.read.parquet(path), SERIES, ORDER).select("user_id", "event_id", "decoded")
 
 
 @query(f"""{DD} select user_id, event_id, d - frame_min as ts_code, xor({BITS}, lag({BITS}, 1, 0) over (partition by user_id order by ts, event_id)) as value_code from f""")
 def encode_by_schema(spark, sf):
     series = Series.parse("events\nus datetime,64,DeltaDelta\nvalue double,64,XOR")
-    how = {"DeltaDelta": lambda d, c: E.delta_delta(d, SERIES, ORDER, c).drop("pos", "prev", "delta", "delta_zigzag", "frame", "frame_min"), "Xor": lambda d, c: E.xor(d, SERIES, ORDER, c, real=True).drop("pos", "prev", "bits")}
     out = events(spark, sf)
     for column, name in zip(series.columns, ("ts_code", "value_code")):
-        out = how[column.encoding](out, column.name).withColumnRenamed("encoded", name)
+        out = dispatch.encoded(out, column, SERIES, ORDER, name)
     return out.select("user_id", "event_id", "ts_code", "value_code")
 
 
+@query(f"select user_id, event_id, {US} as us, cast(event_id * 37 % 256 - 128 as bigint) as narrow, {US} % 4294967296 as wide from events")
+def decode_by_schema(spark, sf):
+    """Values of several types and widths by way of their definitions' encoders and decoders."""
+    series = Series.parse("events\nus datetime,64,DeltaDelta\nnarrow int8,8,Delta\nwide uint32,32,DeltaDelta")
+    out = events(spark, sf).withColumns({"narrow": F.col("event_id") * 37 % 256 - 128, "wide": F.pmod(F.col("us"), F.lit(1 << 32))})
+    for c in series.columns:
+        out = dispatch.decoded(dispatch.encoded(out, c, SERIES, ORDER, f"{c.name}_code"), c, SERIES, ORDER, f"{c.name}_code", f"{c.name}_back")
+    return out.select("user_id", "event_id", *[F.col(f"{c.name}_back").cast("bigint").alias(c.name) for c in series.columns])
+
+
+#: Values at both ends of 64 bits, and by remainder those of narrower types.
+LIMITS = [2**63 - 1, -5, -(2**63), 0, 1, -1, 2**62, -(2**62) - 1, 42]
+_LIMIT = "[" + ", ".join(f"({v})::hugeint" for v in LIMITS) + "][event_id % 9 + 1]"
+
+
+def _wrapped(v: str, bits: int = 64) -> str:
+    half, whole = f"{1 << bits - 1}::hugeint", f"{1 << bits}::hugeint"
+    return f"cast((((({v}) + {half}) % {whole}) + {whole}) % {whole} - {half} as bigint)"
+
+
+def limits(spark, sf) -> DataFrame:
+    return events(spark, sf).withColumn("v", F.element_at(F.array(*[F.lit(v).cast("decimal(20,0)").cast("bigint") for v in LIMITS]), (F.col("event_id") % 9 + 1).cast("int")))
+
+
+_LV = f"v as (select user_id, event_id, ts, {_LIMIT} v from events), d as (select *, row_number() over w - 1 pos, v - lag(v, 1, 0::hugeint) over w raw from v window w as (partition by user_id order by ts, event_id))"
+
+
+@query(f"with {_LV} select event_id, {_wrapped('raw')} as delta64, {_wrapped('raw', 32)} as delta32, {_wrapped('raw', 16)} as delta16, {_wrapped('raw', 8)} as delta8 from d")
+def delta_wrap(spark, sf):
+    """Differences modulo 2**bits of values at the limits of the type."""
+    out = limits(spark, sf)
+    for bits in (64, 32, 16, 8):
+        out = E.delta(out, SERIES, ORDER, "v", bits=bits).withColumnRenamed("delta", f"delta{bits}").drop("pos", "prev", "delta_zigzag")
+    return out.select("event_id", "delta64", "delta32", "delta16", "delta8")
+
+
+@query(f"select event_id, cast({_LIMIT} as bigint) as signed, cast({_LIMIT} as bigint) as unsigned, {_wrapped(_LIMIT, 16)} as narrow from events")
+def delta_unwrap(spark, sf):
+    coded = E.delta(limits(spark, sf), SERIES, ORDER, "v").drop("pos", "prev")
+    back = E.delta_decode(coded, SERIES, ORDER, "delta").withColumnRenamed("decoded", "signed")
+    back = E.delta_decode(back, SERIES, ORDER, "delta_zigzag", True).withColumnRenamed("decoded", "unsigned").drop("delta", "delta_zigzag")
+    return E.delta_decode(E.delta(back, SERIES, ORDER, "v", bits=16), SERIES, ORDER, "delta", bits=16).select("event_id", "signed", "unsigned", F.col("decoded").alias("narrow"))
+
+
+@query(f"""with {_LV}, w as (select *, {_wrapped('raw')}::hugeint step, pos // 16 frame from d), f as (select *, case when count(*) over (partition by user_id, frame) = 16 then min(step) over (partition by user_id, frame) else 0 end least from w)
+select event_id, cast(least as bigint) as frame_min, {_wrapped('step - least')} as encoded, cast(v as bigint) as decoded from f""")
+def deltadelta_wrap(spark, sf):
+    coded = E.delta_delta(limits(spark, sf), SERIES, ORDER, "v")
+    return E.delta_delta_decode(coded, SERIES, ORDER).select("event_id", "frame_min", "encoded", "decoded")
+
+
+_FBITS = "cast(cast(cast(value as float) as bit) as integer)::bigint & 4294967295"
+
+
+@query(f"select event_id, xor({_FBITS}, lag({_FBITS}, 1, 0) over (partition by user_id order by ts, event_id)) as encoded from events")
+def xor_float(spark, sf):
+    return E.xor(events(spark, sf), SERIES, ORDER, "value", real=True, bits=32).select("event_id", "encoded")
+
+
+@query("select user_id, event_id, value from events")
+def dfcm_float(spark, sf):
+    """Floats by way of their codes; they are those of the doubles' nearest floats."""
+    source = read(spark, sf, "events")
+    back = S.dfcm_decode(S.dfcm(source, SERIES, ORDER, "value", 32), SERIES, ORDER, bits=32)
+    same = back.join(source.select("user_id", "ts", "event_id", "value"), [*SERIES, *ORDER])
+    return same.select("user_id", "event_id", F.when(F.col("decoded") == F.col("value").cast("float").cast("double"), F.col("value")).alias("value"))
+
+
+@query("select user_id, row_number() over (partition by user_id order by ts, event_id) - 1 as pos, event_id % 16 as value from events")
+def bitunpack(spark, sf):
+    source = read(spark, sf, "events").select("user_id", "ts", "event_id", (F.col("event_id") % 16).alias("v"))
+    return E.bit_unpack(E.bit_pack(source, SERIES, ORDER, "v", 4), SERIES, 4, source.groupBy("user_id").agg(F.count("*").alias("items")))
+
+
 # Byte widths and codecs
 
 HEX16 = "lpad(to_hex({0}), 16, '0')"
@@ -406,7 +537,15 @@ def permutations(spark, sf):
     return O.permutations(items, 3).select(F.concat_ws(">", "picked").alias("picked"))
 
 
-@query("select * from (values " + ", ".join(f"('{t}', '{b}', '{e}', '{c}')" for t, b, e, c in definition_matrix()) + ") t(type, bits, encoding, compression)")
+_WIDE = "['None', 'Delta', 'DeltaDelta', 'Xor']"
+
+
+@query(f"""select type, bits, unnest(encodings) as encoding, compression from (
+  select unnest(['datetime', 'timespan', 'uint64', 'int64']) as type, '64' as bits, {_WIDE} as encodings
+  union all select unnest(['uint32', 'int32']), '32', {_WIDE} union all select unnest(['uint16', 'int16']), '16', {_WIDE} union all select unnest(['uint8', 'int8']), '8', {_WIDE}
+  union all select 'double', '64', ['None', 'Xor', 'Dfcm'] union all select 'float', '32', ['None', 'Xor', 'Dfcm'] union all select 'decimal', '128', ['None'] union all select 'boolean', '1', ['None']
+  union all select k, unnest(['1', '2', '4']), ['None'] from (values ('uint8'), ('int8')) s(k) union all select unnest(['string', 'byte[]', 'stream']), 'var', ['None']) t,
+  (values ('nocompress'), ('zlib'), ('lz4'), ('zstd')) c(compression)""")
 def definition_matrix_rows(spark, sf):
     return O.definition_frame(spark, definition_matrix())
 
@@ -569,11 +708,66 @@ def try_cast_default(spark, sf):
 # CSV
 
 
-@query(f"select event_id, {C.kind_sql('s', 'duckdb')} as kind from (select event_id, {PICK['any']} s from events)")
+#: The type of each of TEXTS["any"], and its candidates (+ without loss, - with), worked out by hand from the format's rules.
+_KINDS = "null null null bool bool bool bool bool bool int char double double double int int long long ulong decimal double double decimal double datetime datetime datetime timespan timespan guid guid string int string string".split()
+_SMALL = "int+ long+ char+ double+ float+ uint+ ulong+ decimal+ byte+ ushort+ sbyte+ short+"
+_CANDIDATES = [
+    None, "", "", "bool+", "bool+", "bool+ char+", "bool+ char+", f"bool+ {_SMALL}", f"bool+ {_SMALL}", _SMALL, "char+", "double+ float+", "double+ float+", "double+ float+",
+    "int+ long+ double+ float- uint+ ulong+ decimal+", "int+ long+ double+ float- uint+ ulong+ decimal+", "long+ double- float- ulong+ decimal+", "long+ ulong+ decimal+", "ulong+ decimal+", "string+",
+    "float+ double+ decimal+", "double+ decimal+ float-", "decimal+ double- float-", "double+ float+", "datetime+", "datetime+", "datetime+", "timespan+", "string+", "guid+", "guid+", "string+", "string+", "string+", "string+",
+]
+
+
+@query(f"select event_id, {_picked_sql('event_id', _KINDS)} as kind from events")
 def csv_value_types(spark, sf):
     return texts(spark, sf, "any").select("event_id", C.value_kind("s").alias("kind"))
 
 
+_CANDIDATE_SQL = "[" + ", ".join("null" if c is None else f"'{c}'" for c in _CANDIDATES) + "]"
+
+
+@query(f"select event_id, {_CANDIDATE_SQL}[event_id % {len(_CANDIDATES)} + 1] as candidates from events")
+def csv_candidates(spark, sf):
+    """Every type that a value may have, the likeliest first."""
+    shown = F.transform("c", lambda x: F.concat(x["type"], F.when(x["lossless"], "+").otherwise("-")))
+    return texts(spark, sf, "any").select("event_id", C.candidates(F.col("s")).alias("c")).select("event_id", F.when(F.col("c").isNotNull(), F.array_join(shown, " ")).alias("candidates"))
+
+
+#: What customers' columns are read as, by hand: keys of up to 9 digits, names and segments, balances with one or two places.
+_VOTES_SQL = """with v as (
+  select 'c_custkey' as name, 'int' as type, count_if(c_custkey > 1) likely, count(*) valid, 0 potential from customer
+  union all select 'c_custkey', 'bool', count_if(c_custkey in (0, 1)), count_if(c_custkey in (0, 1)), 0 from customer
+  union all select 'c_custkey', unnest(['long', 'double', 'uint', 'ulong', 'decimal', 'float']), 0, count(*), 0 from customer
+  union all select 'c_custkey', 'char', 0, count_if(c_custkey < 10), 0 from customer union all select 'c_custkey', 'byte', 0, count_if(c_custkey < 256), 0 from customer union all select 'c_custkey', 'ushort', 0, count_if(c_custkey < 65536), 0 from customer
+  union all select 'c_custkey', 'sbyte', 0, count_if(c_custkey < 128), 0 from customer union all select 'c_custkey', 'short', 0, count_if(c_custkey < 32768), 0 from customer
+  union all select 'c_name', 'string', count(*), count(*), 0 from customer union all select 'c_mktsegment', 'string', count(*), count(*), 0 from customer
+  union all select 'c_acctbal', 'float', count(*), count(*), 0 from customer union all select 'c_acctbal', 'double', 0, count(*), 0 from customer union all select 'c_acctbal', 'decimal', 0, count(*), 0 from customer),
+g as (select *, case type when 'long' then likely + (select likely from v where type = 'int') when 'ulong' then (select likely from v where type = 'int') when 'decimal' then case name when 'c_acctbal' then (select likely from v where type = 'float' and name = 'c_acctbal') else 0 end
+  when 'double' then case name when 'c_acctbal' then (select likely from v where type = 'float' and name = 'c_acctbal') else 0 end when 'int' then likely when 'float' then likely else 0 end in_group from v where valid > 0),
+r as (select *, row_number() over (partition by name order by greatest(in_group, likely) desc, likely desc, valid desc, potential desc, type) as rank from g)
+select name, type, cast(likely as bigint) likely, cast(in_group as bigint) in_group, cast(valid as bigint) valid, cast(potential as bigint) potential, cast(rank as integer) as rank, cast(0 as bigint) as empty, cast(0 as bigint) as nulls, first(type) over (partition by name order by rank) as recommended, false as nullable from r"""
+
+
+@query(_VOTES_SQL)
+def csv_detect(spark, sf):
+    """Votes and recommended types of text columns."""
+    source = read(spark, sf, "customer").withColumn("c_acctbal", F.format_string("%.2f", "c_acctbal"))
+    return csv.detect_columns(source, _VOTED["customer"])
+
+
+_RAGGED = [("{0}", 1), ("{0},'a,b',\"q\"\"x\"", 3), ("{0},,", 3), ("{0},O'Clock,\"x,y\",'it''s',z", 5), ("{0},\"open", 2)]
+
+
+@query("""select cast(event_id as varchar) as "Column1", [null, 'a,b', '', 'O''Clock', 'open'][k + 1] as "Column2", [null, 'q"x', '', 'x,y', null][k + 1] as "Column3", [null, null, null, 'it''s', null][k + 1] as "Column4", [null, null, null, 'z', null][k + 1] as "Column5"
+from (select event_id, event_id % 5 k from events)""")
+def csv_ragged(spark, sf):
+    """Rows of unlike length and both quotes, by a scan that splits files."""
+    path, key = scratch(spark, "ragged"), F.col("event_id").cast("string")
+    line = F.element_at(F.array(*[F.replace(F.lit(form), F.lit("{0}"), key) for form, _ in _RAGGED]), (F.col("event_id") % 5 + 1).cast("int"))
+    read(spark, sf, "events").select(line.alias("value")).write.text(path)
+    return csv.read_strings(spark, path, ",", False)
+
+
 _CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]
 
 
@@ -585,7 +779,7 @@ def _customer_csv(spark, sf) -> str:
 
 @query("select c_custkey, c_name, c_nationkey, c_mktsegment from customer")
 def csv_scan(spark, sf):
-    rows = csv.rows_of_files(spark, _customer_csv(spark, sf)).filter(F.col("cells")[0]["value"] != "c_custkey")
+    rows = csv.rows_of_files(spark, _customer_csv(spark, sf)).filter("row > 0")  # behind each file's header
     cell = lambda i, kind: F.col("cells")[i]["value"].cast(kind).alias(_CUSTOMER[i])
     return rows.select(cell(0, "bigint"), cell(1, "string"), cell(2, "int"), cell(3, "string"))
 
@@ -595,41 +789,37 @@ def csv_strings(spark, sf):
     return csv.read_strings(spark, _customer_csv(spark, sf))
 
 
-@query("select c_custkey as id, try_cast(c_name as integer) as number, c_nationkey as nation from customer")
+@query("select c_custkey as id, try_cast(c_name as integer) as number, c_nationkey * 2 as nation, c_name as failed from customer")
 def csv_parse_rows(spark, sf):
+    """Typed rows with a setter of our own, and the text of what didn't fit."""
     strings = csv.read_strings(spark, _customer_csv(spark, sf))
-    return csv.parse_entities(strings, {"id": ("c_custkey", "bigint"), "number": ("c_name", "int"), "nation": ("c_nationkey", "int")})
+    mapping = {"id": ("c_custkey", "bigint"), "number": ("c_name", "int"), "nation": ("c_nationkey", lambda s: s.try_cast("int") * 2)}
+    return csv.parse_entities(strings, mapping, "unparsed").select("id", "number", "nation", F.col("unparsed")["number"].alias("failed"))
 
 
-@query()
+@query("select * from (values (0, 'c_custkey'), (1, 'c_name'), (2, 'c_nationkey'), (3, 'c_mktsegment')) t(place, name)")
 def csv_header(spark, sf):
     return spark.createDataFrame([(i, c) for i, c in enumerate(csv.read_strings(spark, _customer_csv(spark, sf)).columns)], "place int, name string")
 
 
 _LINES = ["a,b,c", "a;b;c,d", "a|b", "a\tb\tc", "a:b", "a,b;c", "plain", "1;2;3;4"]
-_LINE_SQL = _picked_sql("event_id", _LINES)
 
 
-@query(f"select event_id, {csv.separator_sql('s')} as separator from (select event_id, {_LINE_SQL} s from events)")
+@query(f"select event_id, {_picked_sql('event_id', [',', ';', '|', chr(9), ':', ',', ',', ';'])} as separator from events")
 def csv_separator(spark, sf):
     return read(spark, sf, "events").select("event_id", _picked("event_id", _LINES).alias("s")).select("event_id", F.expr(csv.separator_sql("s")).alias("separator"))
 
 
 _VOTED = {"customer": ["c_custkey", "c_name", "c_acctbal", "c_mktsegment"]}
-_STACK = " union all ".join(f"select '{c}' as name, cast({c} as varchar) as value from customer" for c in _VOTED["customer"])
 
 
-@query(f"select name, {C.kind_sql('value', 'duckdb')} as kind, count(*) as votes from ({_STACK}) group by all")
+@query("""select 'c_custkey' as name, case when c_custkey in (0, 1) then 'bool' else 'int' end as kind, count(*) as votes from customer group by all
+union all select 'c_name', 'string', count(*) from customer union all select 'c_mktsegment', 'string', count(*) from customer union all select 'c_acctbal', 'double', count(*) from customer""")
 def csv_type_votes(spark, sf):
     return csv.type_votes(read(spark, sf, "customer"), _VOTED["customer"])
 
 
-_WIDTH = "case kind " + " ".join(f"when '{k}' then {w}" for k, (_, w) in csv.GROUPS.items()) + " else 0 end"
-
-
-@query(f"""with v as (select name, {C.kind_sql('value', 'duckdb')} as kind, count(*) as votes from ({_STACK}) group by all),
-g as (select name, case when kind in ({', '.join(repr(k) for k in csv.GROUPS)}) then 'number' else kind end grp, sum(votes) n, arg_max(kind, {_WIDTH}) kind from v where kind <> 'null' group by all)
-select name, case when max(n) * 2 >= sum(n) then arg_max(kind, (n, grp)) else 'string' end as kind from g group by name""")
+@query("select * from (values ('c_custkey', 'int'), ('c_name', 'string'), ('c_acctbal', 'double'), ('c_mktsegment', 'string')) t(name, kind)")
 def csv_infer(spark, sf):
     return csv.infer_types(read(spark, sf, "customer"), _VOTED["customer"])
 
@@ -654,14 +844,40 @@ def csv_write(spark, sf):
 
 
 @query("select event_id, json_extract_string(props, '$.' || k) as value from (select event_id, props, json_keys(props)[1] k from events)")
-def json_ticker(spark, sf):
+def json_first_value(spark, sf):
     props = F.from_json("props", "map<string,string>")
     return read(spark, sf, "events").select("event_id", F.get(F.map_values(props), 0).alias("value"))
 
 
-@query("select page_id, url from pages where regexp_matches(url, '/[0-9]+([.]html)?$')")
+@query("""select user_id as "CoinID", 'S' || user_id as "Symbol", make_timestamp(event_id * 1000000) as "Timestamp", value as "MarketCapByAvailableSupply", value * 2 as "PriceBTC", case when user_id % 2 = 0 then value * 3 else 0 end as "PricePlatform", value * 4 as "PriceUSD", value * 5 as "VolumeUSD" from events where user_id % 5 <> 0""")
+def json_ticker(spark, sf):
+    """A ticker file for each user, of either layout, some not finished, and the rows that they hold."""
+    path, v = scratch(spark, "ticker"), F.col("value")
+    row = F.when(F.col("user_id") % 2 == 0, F.array(F.col("event_id") * 1000.0, v, v * 2, v * 3, v * 4, v * 5)).otherwise(F.array(F.col("event_id") * 1000.0, v, v * 2, v * 4, v * 5))
+    name = F.struct(F.lit("Coin").alias("Name"), F.concat(F.lit("S"), F.col("user_id").cast("string")).alias("Symbol"))
+    coins = read(spark, sf, "events").groupBy("user_id").agg(F.collect_list(row).alias("Data"))
+    document = F.struct(F.struct(F.col("user_id").alias("ID"), name.alias("Name")).alias("coin"), (F.col("user_id") % 5 == 0).alias("will_need_requery"), F.array(F.lit("a")).alias("format"), "Data")
+    coins.select(F.to_json(document).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return ticker.read_ticker(spark, path)[0]
+
+
+@query("select 'n_regionkey=' || n_regionkey as folder, cast(sum(strlen(n_name) + 1) as bigint) as bytes from nation where n_regionkey < 3 group by n_regionkey")
 def file_regex(spark, sf):
-    return read(spark, sf, "pages").select("page_id", "url").filter(F.col("url").rlike("/[0-9]+([.]html)?$"))
+    """Files of a tree by a pattern on their paths."""
+    path = scratch(spark, "tree")
+    read(spark, sf, "nation").select("n_regionkey", F.col("n_name").alias("value")).write.partitionBy("n_regionkey").text(path)
+    tree = files.read_tree(spark, path, "part-*", "^n_regionkey=[0-2]/")
+    return tree.groupBy(F.substring_index("FileName", "/", 1).alias("folder")).agg(F.sum(F.octet_length("Content")).cast("bigint").alias("bytes"))
+
+
+@query("select 'n_regionkey=' || n_regionkey as folder, cast(sum(strlen(n_name) + 1) as bigint) as bytes from nation group by n_regionkey")
+def file_restore(spark, sf):
+    """A tree of files stored as a table, restored, and read again."""
+    path, back = scratch(spark, "tree"), scratch(spark, "restored")
+    read(spark, sf, "nation").select("n_regionkey", F.col("n_name").alias("value")).write.partitionBy("n_regionkey").text(path)
+    files.restore_tree(files.read_tree(spark, path, "part-*"), back)
+    tree = files.read_tree(spark, back)
+    return tree.groupBy(F.substring_index("FileName", "/", 1).alias("folder")).agg(F.sum(F.octet_length("Content")).cast("bigint").alias("bytes"))
 
 
 # Generators
@@ -697,9 +913,23 @@ def gen_finite_set(spark, sf):
     return synthetic.finite_set(spark, 10000, 0.9, 100, 9)
 
 
-@query()
+@query("select range as id, 42.0::double as constant, range * 0.1::double as growth, range::bigint as whole, make_timestamp(946684800000000 + range * 1000000) as at from range(10000)")
+def gen_benchmark_steady(spark, sf):
+    """The columns of the synthetic table that don't hang on chance."""
+    t = synthetic.benchmark_table(spark, 10000)
+    return t.select("id", F.col("d_Constant").alias("constant"), F.col("d_SteadyGrowth").alias("growth"), F.col("uint64_SteadyGrowth").cast("bigint").alias("whole"), F.col("dt_SteadyGrowth").alias("at"))
+
+
+@query("select 56::bigint as columns, 10000::bigint as rows, true as in_range, true as grows, true as repeats")
 def gen_benchmark_table(spark, sf):
-    return synthetic.benchmark_table(spark, 10000)
+    """The synthetic table's shape: all 56 columns, finite sets in range, growths that never fall, patterns that come again."""
+    t = synthetic.benchmark_table(spark, 10000)
+    order = Window.orderBy("id")
+    own = t.select("*", F.lag("d_SlowRandomGrowth").over(order).alias("g"), F.lag("`uint32_Pattern_(10)`", 10).over(order).alias("p"))
+    return own.agg(
+        F.lit(len(t.columns) - 1).cast("bigint").alias("columns"), F.count("*").alias("rows"), F.bool_and((F.col("`int8_FiniteSet(100)`").between(-50, 49)) & (F.col("`d_FiniteSet_(10)`").between(0, 9))).alias("in_range"),
+        F.bool_and(F.coalesce(F.col("g") <= F.col("d_SlowRandomGrowth"), F.lit(True))).alias("grows"), F.bool_and(F.coalesce(F.col("p") == F.col("`uint32_Pattern_(10)`"), F.lit(True))).alias("repeats"),
+    )
 
 
 # Append
@@ -707,11 +937,17 @@ def gen_benchmark_table(spark, sf):
 
 @query("select * from events where event_id > 500")
 def resume_append(spark, sf):
-    e = read(spark, sf, "events").withColumn("s", F.lit(1))
-    return append.resume(e.filter("event_id <= 500"), e, ["s"], "event_id").drop("s")
+    e = read(spark, sf, "events")
+    return append.resume(e.filter("event_id <= 500"), e, [], "event_id")
+
+
+@query("with ends as (select user_id, max(event_id) e from events where event_id <= 500 group by user_id) select events.* from events left join ends using (user_id) where e is null or event_id > e")
+def resume_series(spark, sf):
+    e = read(spark, sf, "events")
+    return append.resume(e.filter("event_id <= 500"), e, SERIES, "event_id")
 
 
-@query(f"select user_id as series, event_id as ordinal, {US} as value, {US} - lag({US}, 1, 0) over w as delta, row_number() over w - 1 as pos from events window w as (partition by user_id order by event_id)")
+@query(f"select user_id as series, event_id as ordinal, {US} as value, {US} - lag({US}, 1, 0) over w as delta, row_number() over w - 1 as pos, false as late from events window w as (partition by user_id order by event_id)")
 def streaming_append(spark, sf):
     """Deltas of a stream of the events in three runs: each takes up the state that the run before committed."""
     out, checkpoint, source = scratch(spark, "stream"), scratch(spark, "commits"), scratch(spark, "source")

@@ -7,11 +7,12 @@ from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlake.functions.csvtext import csv_line, kind_sql
+from strandlake.functions.csvtext import GROUPS as TYPE_GROUPS
+from strandlake.functions.csvtext import candidates, csv_line, format_bool, format_bytes, format_datetime, format_number, format_string, kind_sql
 
 #: Separators in the order that breaks ties, and byte order marks, the shortest first.
 SEPARATORS = ",;|\t:"
@@ -94,21 +95,50 @@ def detect_header(row: Sequence[str]) -> list[str] | None:
     return list(row) if ok and row else None
 
 
-def read_strings(spark: SparkSession, path: str, separator: str | None = None, header: bool | None = None) -> DataFrame:
-    """Every value as text. Both are found from the first file's first bytes where they aren't given.
+#: What stands between the columns of a file read line by line: no line holds it.
+_NOTHING = "\x01\x02\x01\x02"
 
-    Rows are read by Spark's own parser, which splits large files; files whose values use ' as a quote or hold line ends
-    go through rows_of_files.
+
+def cells(line: Column, separator: str) -> Column:
+    """The values of a line, however many: a value that begins with ' or " runs to the next such mark, doubled marks being one."""
+    sep = "\\" + separator if separator in "|" else separator
+    quoted = lambda q: f"{q}[^{q}]*+(?:{q}{q}[^{q}]*+)*+{q}?[^{sep}]*+"
+    found = F.regexp_extract_all(F.concat(F.lit(separator), line), F.lit(f"{sep}(?:{quoted(chr(34))}|{quoted(chr(39))}|[^{sep}]*+)"), F.lit(0))
+    inner = lambda v, q: F.replace(F.regexp_extract(v, f"^{q}([^{q}]*+(?:{q}{q}[^{q}]*+)*+)", 1), F.lit(q + q), F.lit(q))
+
+    def value(m: Column) -> Column:
+        v = F.substr(m, F.lit(2))
+        return F.when(v.startswith('"'), inner(v, '"')).when(v.startswith("'"), inner(v, "'")).otherwise(v)
+
+    return F.transform(found, value)
+
+
+def lines(spark: SparkSession, path: str, header: bool) -> DataFrame:
+    """`line` of all files, large ones in splits, without empty lines and, with header, without each file's first line."""
+    raw = spark.read.schema("line string").csv(path, sep=_NOTHING, quote="", header=header, enforceSchema=True, comment="")
+    return raw.select(F.regexp_replace("line", "^\ufeff", "").alias("line")).filter("line <> ''")
+
+
+def read_strings(spark: SparkSession, path: str, separator: str | None = None, header: bool | None = None, multiline: bool = False) -> DataFrame:
+    """Every value as text. Separator and header are found from the first line where they aren't given.
+
+    Rows may be of unlike length: a short one ends with nulls, and a column is added for each place of the longest row that
+    the header doesn't name. Large files are read in splits, line by line; values that hold line ends need `multiline`,
+    which reads files as wholes. No column for no rows.
     """
     first = spark.read.text(path).limit(1).collect()
-    line = first[0][0].lstrip("﻿") if first else ""
+    line = first[0][0].lstrip("\ufeff") if first else ""
     separator = separator or detect_separator(line)
     names = [v for v, _ in next(parse_rows(line, separator), [])]
-    found = detect_header(names)
-    header = found is not None if header is None else header
-    columns = names if header else [f"Column{i + 1}" for i in range(len(names))]
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return spark.read.schema(schema).csv(path, sep=separator, header=header, quote='"', escape='"')
+    header = detect_header(names) is not None if header is None else header
+    if multiline:
+        rows = rows_of_files(spark, path, separator)
+        rows = (rows.filter("row > 0") if header else rows).select(F.transform("cells", lambda c: c["value"]).alias("cells"))
+    else:
+        rows = lines(spark, path, header).select(cells(F.col("line"), separator).alias("cells"))
+    width = max(rows.agg(F.max(F.size("cells"))).first()[0] or 0, len(names))
+    columns = [*(names if header else [f"Column{i + 1}" for i in range(len(names))]), *(f"Column{i + 1}" for i in range(len(names), width))]
+    return rows.select(*[F.get("cells", i).alias(c) for i, c in enumerate(columns)])
 
 
 def rows_of_files(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
@@ -127,10 +157,41 @@ def rows_of_files(spark: SparkSession, path: str, separator: str | None = None)
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, row bigint, cells array<struct<value: string, quoted: boolean>>")
 
 
-def parse_entities(df: DataFrame, mapping: dict[str, tuple[str, str]]) -> DataFrame:
-    """Typed columns {target: (source column, type)}; values that don't fit are null and rows without any value go."""
-    out = df.select(*[F.col(f"`{source}`").try_cast(kind).alias(target) for target, (source, kind) in mapping.items()])
-    return out.filter(reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in mapping]))
+def parse_entities(df: DataFrame, mapping: dict[str, tuple], unparsed: str | None = None) -> DataFrame:
+    """Typed columns {target: (source column, type or setter)}; a setter is a function from the text column to the value's.
+
+    Values that don't fit are null, and rows without any value go. With `unparsed`, a map of that name holds the text of
+    each target whose value was there and didn't fit.
+    """
+    made = {target: how(F.col(f"`{source}`")) if callable(how) else F.col(f"`{source}`").try_cast(how) for target, (source, how) in mapping.items()}
+    out = [v.alias(target) for target, v in made.items()]
+    if unparsed:
+        failed = F.map_filter(F.create_map(*[x for target, (source, _) in mapping.items() for x in (F.lit(target), F.when(made[target].isNull(), F.col(f"`{source}`")))]), lambda _, v: v.isNotNull() & (v != ""))
+        out.append(failed.alias(unparsed))
+    return df.select(*out).filter(reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in mapping]))
+
+
+def detect_columns(df: DataFrame, columns: Sequence[str], rows: int | None = None) -> DataFrame:
+    """(name, type, likely, in_group, valid, potential, rank, empty, nulls, recommended, nullable) of text columns, a row for each type that some value may have.
+
+    likely: values whose first candidate is the type; in_group: those of it and the smaller types of its group; valid and
+    potential: values that it holds without and with loss. Types rank by the greater of likely and in_group, then likely,
+    valid, potential and name. The first one is recommended if half of the values that aren't empty or null fit it, else
+    string. With `rows`, only so many rows are looked at.
+    """
+    source = df.limit(rows) if rows else df
+    stacked = source.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])).alias("x")).select("x.name", candidates(F.col("x.value")).alias("found"))
+    each = stacked.select("name", F.posexplode("found").alias("place", "c")).groupBy("name", F.col("c.type").alias("type")).agg(F.count_if(F.col("place") == 0).alias("likely"), F.count_if("c.lossless").alias("valid"), F.count_if(~F.col("c.lossless")).alias("potential"))
+    totals = stacked.groupBy("name").agg(F.count("*").alias("rows"), F.count_if(F.col("found").isNull()).alias("empty"), F.count_if(F.size("found") == 0).alias("nulls"))
+    place = F.create_map(*[x for group in TYPE_GROUPS for i, k in enumerate(group) for x in (F.lit(k), F.lit(i))])
+    group = F.create_map(*[x for g, names in enumerate(TYPE_GROUPS) for k in names for x in (F.lit(k), F.lit(g))])
+    in_group = F.sum("likely").over(Window.partitionBy("name", group[F.col("type")]).orderBy(place[F.col("type")].desc()))
+    counted = each.withColumn("in_group", F.when(group[F.col("type")].isNotNull(), in_group).otherwise(0).cast("bigint"))
+    best = Window.partitionBy("name").orderBy(F.greatest("in_group", "likely").desc(), F.desc("likely"), F.desc("valid"), F.desc("potential"), "type")
+    ranked = counted.withColumn("rank", F.row_number().over(best)).join(totals, "name")
+    fits = (F.col("valid") + F.col("potential")) >= F.floor((F.col("rows") - F.col("empty") - F.col("nulls")) / 2)
+    top = F.first(F.when(fits, F.col("type")).otherwise(F.lit("string"))).over(Window.partitionBy("name").orderBy("rank"))
+    return ranked.select("name", "type", "likely", "in_group", "valid", "potential", "rank", "empty", "nulls", top.alias("recommended"), (F.col("empty") + F.col("nulls") > 0).alias("nullable"))
 
 
 def type_votes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -149,6 +210,26 @@ def infer_types(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return best.select("name", F.when(F.col("n") * 2 >= F.col("total"), F.col("kind")).otherwise(F.lit("string")).alias("kind"))
 
 
-def write_lines(df: DataFrame, columns: Sequence[Column], path: str, separator: str = ",") -> None:
-    """Append formatted rows as text files, lines ended by CR LF, without a header."""
-    df.select(csv_line(list(columns), separator).alias("value")).write.mode("append").option("lineSep", "\r\n").text(path)
+def formatted(df: DataFrame) -> list[Column]:
+    """The CSV text of each column, as its type asks for."""
+    out = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.StringType):
+            out.append(format_string(c))
+        elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
+            out.append(format_datetime(c))
+        elif isinstance(f.dataType, T.BinaryType):
+            out.append(format_bytes(c))
+        elif isinstance(f.dataType, T.BooleanType):
+            out.append(format_bool(c))
+        elif isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
+            out.append(format_number(c))
+        else:
+            out.append(c.cast("string"))
+    return out
+
+
+def write_lines(df: DataFrame, columns: Sequence[Column] | None, path: str, separator: str = ",") -> None:
+    """Append rows as text files, lines ended by CR LF, without a header; columns without a form of their own are formatted by type."""
+    df.select(csv_line(list(columns or formatted(df)), separator).alias("value")).write.mode("append").option("lineSep", "\r\n").text(path)

@@ -17,7 +17,11 @@ def read_tree(spark: SparkSession, root: str, pattern: str = "*", regex: str | N
 
 
 def restore_tree(table: DataFrame, root: str) -> None:
-    """Write each row's file below root, a folder that all executors share; names that lead out of it are refused."""
+    """Write each row's file below root, a folder that all executors have mounted; names that lead out of it are refused."""
+    scheme, _, rest = root.partition("://") if "://" in root else ("file", "", root.removeprefix("file:"))
+    if scheme != "file":
+        raise ValueError(f"{root} isn't a mounted folder")
+    root = rest
 
     def write(rows):
         for r in rows:

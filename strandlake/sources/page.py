@@ -5,23 +5,23 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandlake.operators.encode import micros
-from strandlake.operators.pagefile import read_page, write_page
+from strandlake.operators.pagefile import append_page, copy_columns, dump_channels, read_header, read_page, write_page
 from strandlake.plans.schema import Series
 
 #: Rows that one page holds at most, if `paged` deals a series out.
 STRIPE = 25_000
 
 
-def paged(df: DataFrame, series: Sequence[str], order: Sequence[str], rows: int = STRIPE) -> DataFrame:
+def paged(df: DataFrame, series: Sequence[str], order: Sequence[str], rows: int = STRIPE, chunk: Column | None = None) -> DataFrame:
     """df with `page`: 0, 1, ... for each `rows` rows of a series, so that no page outgrows a task."""
     from strandlake.operators.table import positions
 
-    return positions(df, series, order, "__pos").withColumn("page", F.floor(F.col("__pos") / rows).cast("bigint")).drop("__pos")
+    return positions(df, series, order, "__pos", chunk).withColumn("page", F.floor(F.col("__pos") / rows).cast("bigint")).drop("__pos")
 
 
 def to_pages(df: DataFrame, definition: Series, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -64,3 +64,49 @@ def from_pages(pages: DataFrame, definition: Series, keys: Sequence[str] = (), c
 def load_pages(spark: SparkSession, path: str, definition: Series, columns: Sequence[str] | None = None) -> DataFrame:
     """(path, pos, columns) of page files; a file that isn't a finished page is an error."""
     return from_pages(spark.read.format("binaryFile").load(path).select("path", "content"), definition, ["path"], columns)
+
+
+def copied_columns(pages: DataFrame, names: Sequence[str], content: str = "content") -> DataFrame:
+    """pages with only some of their columns, whose stored bytes are copied without decoding them."""
+
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index(content)
+            yield batch.set_column(at, content, pa.array([None if c is None else copy_columns(c, names) for c in batch.column(at).to_pylist()], pa.binary()))
+
+    return pages.mapInArrow(run, pages.schema)
+
+
+def channels(pages: DataFrame, keys: Sequence[str] = (), content: str = "content") -> DataFrame:
+    """(keys, column, name, channel, data): the stored bytes of each column of the pages."""
+    schema = T.StructType([*(pages.schema[k] for k in keys), *T._parse_datatype_string("column int, name string, channel int, data binary").fields])
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = dump_channels(batch.column(len(keys))[i].as_py())
+                head = [pa.array([batch.column(k)[i].as_py()] * len(found), batch.column(k).type) for k in range(len(keys))]
+                yield pa.RecordBatch.from_arrays([*head, *(pa.array(c, t) for c, t in zip(zip(*found), (pa.int32(), pa.string(), pa.int32(), pa.binary())))], schema.names)
+
+    return pages.select(*keys, F.col(content)).mapInArrow(run, schema)
+
+
+def appended(pages: DataFrame, more: DataFrame, definition: Series, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """pages (keys, n_rows, content) with the rows of `more` behind those of the same keys; keys without a page get one.
+
+    A page's encoders take up where its last row ended. A page is one task's work, so give long series chunked keys.
+    """
+    fresh = to_pages(more, definition, keys, order)
+    joined = pages.select(*keys, F.col("content").alias("old")).join(fresh.select(*keys, F.col("content").alias("new")), [*keys], "full")
+    schema = T.StructType([*(pages.schema[k] for k in keys), T.StructField("n_rows", T.LongType()), T.StructField("content", T.BinaryType())])
+
+    def run(batches):
+        for batch in batches:
+            counts, whole = [], []
+            for old, new in zip(batch.column(len(keys)).to_pylist(), batch.column(len(keys) + 1).to_pylist()):
+                data = append_page(old, list(read_page(new)[2].values())) if old is not None and new is not None else old if new is None else new
+                counts.append(read_header(data)[2])
+                whole.append(data)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keys))), pa.array(counts, pa.int64()), pa.array(whole, pa.binary())], schema.names)
+
+    return joined.mapInArrow(run, schema)

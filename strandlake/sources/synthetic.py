@@ -59,12 +59,63 @@ def finite_set(spark: SparkSession, rows: int, p: float, n: int, seed: int) -> D
     return running_sum(changed, "step", "run").select("id", F.pmod(F.xxhash64(F.col("run"), F.lit(seed)), F.lit(n)).cast("int").alias("value"))
 
 
+#: Patterns by family; a name in brackets tells the parameter. RandomWalk, RandomlyGrowing and FiniteSet are sums over the rows before.
+_WHOLE_PATTERNS = (("Constant",), ("Random",), ("RandomWalk", 1), ("RandomWalk_(x10)", 10), ("FiniteSet_(2)", 2), ("FiniteSet_(10)", 10), ("FiniteSet_(100)", 100), ("Pattern_(2)", 2), ("Pattern_(10)", 10), ("Pattern_(100)", 100), ("SteadyGrowth", 1), ("SlowRandomGrowth", 0.05, 10), ("FastRandomGrowth", 0.5, 10))
+_REAL_PATTERNS = (("Constant",), ("Random",), ("RandomWalk", 0.01), ("RandomWalk_(x10)", 0.1), *_WHOLE_PATTERNS[4:10], ("SteadyGrowth", 0.1), ("SteadyGrowth_(int)", 1), ("SlowRandomGrowth", 0.05, 0.1), ("FastRandomGrowth", 0.5, 0.1), ("SlowRandomGrowth_(int)", 0.05, 10), ("FastRandomGrowth_(int)", 0.5, 10))
+_TIME_PATTERNS = (("SteadyGrowth", 1), ("SlowRandomGrowth", 0.05, 1), ("FastRandomGrowth", 0.5, 1))
+_TYPES = {"int8": "tinyint", "int16": "smallint", "int32": "int", "int64": "bigint", "uint8": "smallint", "uint16": "int", "uint32": "bigint", "uint64": "decimal(20,0)", "float": "float", "double": "double", "decimal": "decimal(38,10)"}
+
+
+def benchmark_columns() -> list[tuple[str, str, tuple]]:
+    """(name, type, pattern) of the synthetic table's 56 columns."""
+    sets = [(f"{kind}_FiniteSet(100)", kind, ("FiniteSet_(100)", 100)) for kind in _TYPES]
+    families = (("d", "double", _REAL_PATTERNS), ("dt", "datetime", _TIME_PATTERNS), ("uint32", "uint32", _WHOLE_PATTERNS), ("uint64", "uint64", _WHOLE_PATTERNS))
+    return sets + [(f"{prefix}_{p[0]}", kind, p) for prefix, kind, patterns in families for p in patterns]
+
+
 def benchmark_table(spark: SparkSession, rows: int = 1_000_000, seed: int = 1) -> DataFrame:
-    """One column for each type of pattern, named <type>_<pattern>."""
-    kinds = {"int8": "tinyint", "int16": "smallint", "int32": "int", "int64": "bigint", "float": "float", "double": "double", "decimal": "decimal(38,10)"}
-    out = spark.range(rows)
-    pick = F.pmod(F.xxhash64(F.floor(F.col("id") / 5), F.lit(seed)), F.lit(100))
-    columns = {f"{k}_finite_set": pick.cast(t) for k, t in kinds.items()} | {"uint8_finite_set": pick.cast("smallint"), "uint16_finite_set": pick.cast("int"), "uint32_finite_set": pick.cast("bigint"), "uint64_finite_set": pick.cast("decimal(20,0)")}
-    columns |= {"double_const": const(1.5), "double_random": random(seed), "double_gaussian": gaussian(seed + 1), "double_steady": steady_growing(0.25, 10), "double_pattern": repeating_pattern(50, seed)}
-    columns |= {"datetime_steady": F.timestamp_add("SECOND", F.col("id"), F.lit("2020-01-01 00:00:00").cast("timestamp_ntz")), "uint32_steady": steady_growing(3, 4).cast("bigint"), "uint64_steady": steady_growing(7, 2).cast("bigint")}
-    return out.withColumns(columns)
+    """id and the 56 synthetic columns, each with a seed of its own.
+
+    Walks, growths and finite sets are running sums: all of them are summed block by block in one window, and a small table
+    of the blocks' sums carries each block's start. Values outside a type's range wrap into it.
+    """
+    steps, values = {}, {}
+    for k, (name, kind, (pattern, *numbers)) in enumerate(benchmark_columns()):
+        own, column = seed * 1000 + k, F.col(f"`__{k}`")
+        if pattern == "Constant":
+            value = F.lit(42.0)
+        elif pattern == "Random":
+            value = F.rand(own)
+        elif pattern.startswith("Pattern"):
+            value = repeating_pattern(numbers[0], own)
+        elif pattern.startswith("SteadyGrowth"):
+            value = F.col("id").cast("double") * numbers[0]
+        elif pattern.startswith("RandomWalk"):
+            steps[k], value = gaussian(own, 0.0, numbers[0]), column
+        elif pattern.startswith("FiniteSet"):
+            steps[k], value = (F.rand(own) < 0.05).cast("double"), F.pmod(F.xxhash64(column, F.lit(own)), F.lit(numbers[0])).cast("double")
+        else:
+            steps[k], value = geometric_steps(numbers[0], numbers[1], own), column
+        values[name] = _typed(value, kind, pattern)
+    base = spark.range(rows).withColumns({f"__s{k}": v for k, v in steps.items()}).withColumn("__b", F.floor(F.col("id") / BLOCK))
+    sums = base.groupBy("__b").agg(*[F.sum(f"__s{k}").alias(f"__t{k}") for k in steps])
+    before, within = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("__b").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    starts = sums.select("__b", *[F.coalesce(F.sum(f"__t{k}").over(before), F.lit(0.0)).alias(f"__u{k}") for k in steps])
+    summed = base.join(starts, "__b").select("id", *[(F.col(f"__u{k}") + F.sum(f"__s{k}").over(within)).alias(f"__{k}") for k in steps])
+    return summed.select("id", *[v.alias(name) for name, v in values.items()])
+
+
+def _typed(value: Column, kind: str, pattern: str) -> Column:
+    if kind == "datetime":
+        return F.timestamp_add("MICROSECOND", F.floor(value * 1_000_000).cast("bigint"), F.lit("2000-01-01 00:00:00").cast("timestamp_ntz"))
+    if kind.startswith("uint") and (pattern == "Random" or pattern.startswith("Pattern")):  # the whole range of the type
+        value = value * float((1 << int(kind[4:])) - 1)
+    elif kind.startswith("uint") and pattern.startswith("RandomWalk"):
+        value = value + 10000
+    elif kind.startswith("int"):
+        value = value - 50
+    if kind == "uint64":
+        return F.pmod(F.floor(value).cast("decimal(38,0)"), F.lit(str(1 << 64)).cast("decimal(38,0)")).cast("decimal(20,0)")
+    if kind.startswith("uint"):
+        return F.pmod(F.floor(value).cast("bigint"), F.lit(1 << int(kind[4:]))).cast(_TYPES[kind])
+    return (F.floor(value) if kind.startswith("int") else value).cast(_TYPES[kind])

@@ -4,34 +4,41 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-OUT = "series bigint, ordinal bigint, value bigint, delta bigint, pos bigint"
+OUT = "series bigint, ordinal bigint, value bigint, delta bigint, pos bigint, late boolean"
 STATE = "last bigint, pos bigint, seen bigint"
 
 
 def _continue(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     last, pos, seen = state.get if state.exists else (0, 0, -(2**63))
-    rows = pd.concat(list(batches)).sort_values("ordinal", kind="stable")
-    rows = rows[rows["ordinal"] > seen].drop_duplicates("ordinal")
+    rows = pd.concat(list(batches)).sort_values(["ordinal", "value"], kind="stable")
+    late = rows[rows["ordinal"] < seen] if state.exists else rows[:0]
+    rows = rows[rows["ordinal"] >= seen] if state.exists else rows
+    frame = lambda r, **more: pd.DataFrame({"series": pd.array([int(key[0])] * len(r), dtype="Int64"), "ordinal": r["ordinal"].astype("int64"), "value": r["value"].astype("int64"), **more})
+    if len(late):  # their place in the codes is past: they are handed on without one
+        yield frame(late, delta=pd.array([None] * len(late), dtype="Int64"), pos=pd.array([None] * len(late), dtype="Int64"), late=True)
     if len(rows):
-        values = rows["value"].astype("int64")
-        delta = values.diff()
-        delta.iloc[0] = values.iloc[0] - last
-        yield pd.DataFrame({"series": int(key[0]), "ordinal": rows["ordinal"].astype("int64"), "value": values, "delta": delta.astype("int64"), "pos": range(pos, pos + len(rows))})
-        last, pos, seen = int(values.iloc[-1]), pos + len(rows), int(rows["ordinal"].iloc[-1])
+        values = rows["value"].astype("int64").to_numpy()
+        with np.errstate(over="ignore"):
+            delta = np.diff(values, prepend=np.int64(last))  # wraps, as all deltas do
+        yield frame(rows, delta=pd.array(delta, dtype="Int64"), pos=pd.array(range(pos, pos + len(rows)), dtype="Int64"), late=False)
+        last, pos, seen = int(values[-1]), pos + len(rows), int(rows["ordinal"].iloc[-1])
     state.update((last, pos, seen))
 
 
 def delta_stream(stream: DataFrame) -> DataFrame:
     """Deltas of a stream of (series, ordinal, value), all bigint: each series goes on where its last batch ended.
 
-    The state of a series is its last value, its number of rows and its last ordinal; rows at or below that are late and
-    are not encoded again.
+    The state of a series is its last value, its number of rows and its last ordinal. No row is lost: rows of equal ordinals
+    all get codes, by value; a row below the last ordinal comes too late for one and is handed on as `late`, without delta
+    and place. A null value counts as 0, null ordinals and series are one of their own each.
     """
-    return stream.select("series", "ordinal", "value").groupBy("series").applyInPandasWithState(_continue, OUT, STATE, "append", "NoTimeout")
+    clean = stream.select(F.coalesce("series", F.lit(-(2**63))).alias("series"), F.coalesce("ordinal", F.lit(-(2**63))).alias("ordinal"), F.coalesce("value", F.lit(0).cast("bigint")).alias("value"))
+    return clean.groupBy("series").applyInPandasWithState(_continue, OUT, STATE, "append", "NoTimeout")
 
 
 def append_sink(stream: DataFrame, path: str, checkpoint: str):
@@ -40,7 +47,14 @@ def append_sink(stream: DataFrame, path: str, checkpoint: str):
 
 
 def resume(stored: DataFrame, incoming: DataFrame, series: Sequence[str], order: str) -> DataFrame:
-    """Rows of incoming behind each series' last stored place: what an append after a break still has to write."""
+    """Rows of incoming behind each series' last stored place: what an append after a break still has to write.
+
+    With no series, the place is that of the whole table: its one greatest value is found by a partial maximum, and no row
+    is shuffled.
+    """
+    if not series:
+        end = stored.agg(F.max(order).alias("__end"))
+        return incoming.crossJoin(F.broadcast(end)).filter(F.col("__end").isNull() | (F.col(order) > F.col("__end"))).drop("__end")
     ends = stored.groupBy(*series).agg(F.max(order).alias("__end"))
     return incoming.join(ends, [*series], "left").filter(F.col("__end").isNull() | (F.col(order) > F.col("__end"))).drop("__end")
 

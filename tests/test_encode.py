@@ -90,6 +90,32 @@ def test_streams(spark):
 
 
 def test_dfcm_gives_doubles_back(spark):
-    rows = [(1, i, float(i % 7) * 1.1) for i in range(40)]
-    out = S.dfcm(spark.createDataFrame(rows, "s int, o int, v double"), ["s"], ["o"], "v").orderBy("o").collect()
-    assert [r.decoded for r in out] == [r[2] for r in rows]
+    rows = [(1, i, None if i == 9 else float(i % 7) * 1.1) for i in range(40)]
+    codes = S.dfcm(spark.createDataFrame(rows, "s int, o int, v double"), ["s"], ["o"], "v")
+    assert codes.columns == ["s", "o", "encoded"]
+    assert [r.decoded for r in S.dfcm_decode(codes, ["s"], ["o"]).orderBy("o").collect()] == [r[2] or 0.0 for r in rows]
+
+
+LIMITS = [2**63 - 1, -5, None, -(2**63), 0, -1, 1, 2**62, None, -(2**62) - 1] * 5
+
+
+@pytest.mark.parametrize("cut", [False, True])
+def test_codes_wrap_and_take_nulls(spark, cut):
+    """At both ends of the type and with nulls, which count as 0; cut into chunks or not."""
+    df, chunk = series(spark, LIMITS), F.floor(F.col("o") / 7) if cut else None
+    want = [v or 0 for v in LIMITS]
+    back = E.delta_decode(E.delta(df, ["s"], ["o"], "v", chunk), ["s"], ["o"], "delta_zigzag", True, chunk).orderBy("o")
+    assert [r.decoded for r in back.collect()] == want
+    for unsigned in (False, True):
+        coded = E.delta_delta(df, ["s"], ["o"], "v", unsigned, chunk).drop("pos", "prev")
+        assert [r.decoded for r in E.delta_delta_decode(coded, ["s"], ["o"], unsigned, chunk).orderBy("o").collect()] == want
+    assert [r.decoded for r in E.xor_decode(E.xor(df, ["s"], ["o"], "v", chunk=chunk), ["s"], ["o"]).orderBy("o").collect()] == want
+    for bits in (8, 16, 32):
+        low = E.delta_decode(E.delta(df, ["s"], ["o"], "v", chunk, bits), ["s"], ["o"], "delta", chunk=chunk, bits=bits).orderBy("o")
+        assert [r.decoded for r in low.collect()] == [((v + (1 << bits - 1)) % (1 << bits)) - (1 << bits - 1) for v in want]
+
+
+def test_chunks_change_no_run_or_word(spark):
+    df, chunk = series(spark, [0, 0, 5, 0, 7] + [0] * 40 + [3, None]), F.floor(F.col("o") / 6)
+    for work in (lambda c: E.zero_runs(df, ["s"], ["o"], "v", chunk=c), lambda c: E.bit_pack(df, ["s"], ["o"], "v", 4, c)):
+        assert sorted(map(tuple, work(None).collect())) == sorted(map(tuple, work(chunk).collect()))
