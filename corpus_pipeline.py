@@ -21,10 +21,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without strings that stand earlier; a character that a cut leaves incomplete goes too. n_chars follows the text."""
-    found = suffix.dedup(docs, as_text=True)
-    out = found.select("row.*", "kept_text").withColumnRenamed("kept_text", "text")
-    return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    """Texts without strings that stand earlier; a character that a cut leaves incomplete goes too. n_chars follows the text; a null text becomes an empty one."""
+    found, kept = suffix.dedup(docs, as_text=True), F.col("kept_text")
+    changed = {"text": kept, "n_chars": F.length(kept).cast("bigint")}
+    return found.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids (joined by commas) and the text that they decode to."""
+    """doc_id, n_tokens, ids (joined by commas) and the text that they decode to; a null text has none."""
     return bpe.encoded(docs, vocabulary_file("byte_bpe_50k.json"), pass_bytes=2 << 20, kept_chunks=100_000, keep=False)
 
 
