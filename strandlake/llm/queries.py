@@ -74,8 +74,6 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
 }
 
-_ALL_RULES = " or ".join(f"({r.rejects})" for r in quality.RULES)
-
 SQL = {
     "op1_minhash_dedup": r"""
 with recursive d as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') words from documents),
@@ -121,7 +119,7 @@ select page_id, cast(n as bigint) payload_bytes,
   case when again then 'revisit' else 'response' end record_type, case when again then least_id end refers_to
 from j
 """,
-    "op7_quality_rules": rf"""
+    "op7_quality_rules": r"""
 with t as (
   select row_number() over () rid, doc_id, coalesce(text, '') body from documents),
 w as (
@@ -140,8 +138,9 @@ m as (
     cast(len(lns) as bigint) n_lines, cast(len(lns) - len(list_distinct(lns)) as bigint) n_dup_lines,
     cast(coalesce(r.n, 0) as bigint) n_repeat_words
   from w left join r on w.rid = r.rid),
-b as (select *, n_words < {quality.MIN_WORDS} or n_repeat_words * 100 > n_words * {quality.MAX_REPEAT_PERCENT} as base_failed from m)
+b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and not ({_ALL_RULES}) as kept from b
+  not base_failed and 10 * n_symbols <= n_words and 2 * n_dup_lines <= n_lines and 5 * n_repeat_words <= 2 * n_words
+    and word_chars between 2 * n_words and 20 * n_words and 10 * n_digits <= 3 * word_chars and 2 * n_marks <= n_words as kept from b
 """,
 }
