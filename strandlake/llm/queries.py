@@ -109,6 +109,19 @@ t as (select rid, count(*) n, string_agg(item_id, ',' order by item_id) s from (
 select doc_id, cast(len(words) as bigint) n_words, cast(coalesce(n.n, 0) as bigint) n_hit, cast(coalesce(t.n, 0) as bigint) n_items, sha256(coalesce(t.s, '')) items_sha256,
   coalesce(n.n, 0) > 0 and 20 * coalesce(n.n, 0) >= len(words) as contaminated
 from d left join n on d.rid = n.rid left join t on d.rid = t.rid
+""",
+    "op9_suffix_array_dedup": r"""
+with d as (select row_number() over () rid, doc_id, hex(encode(coalesce(text, ''))) h from documents),
+w as (select rid, doc_id, i, substr(h, 2 * i + 1, 200) win from (select rid, doc_id, h, unnest(range(0, length(h) // 2 - 99)) i from d where length(h) >= 200)),
+f as (select win, min((doc_id, i)) first from w group by win having count(*) > 1),
+g as (select rid, i from w join f using (win) where (doc_id, i) > first),
+m as (select rid, i, i - lag(i, 1, -1000) over (partition by rid order by i) > 100 as fresh from g),
+s as (select rid, i, sum(cast(fresh as int)) over (partition by rid order by i) span from m),
+r as (select rid, span, min(i) a, max(i) + 100 b from s group by rid, span),
+t as (select rid, count(*) n_spans, sum(b - a) n_removed, list((a, b) order by a) spans from r group by rid)
+select d.doc_id, cast(length(h) // 2 as bigint) n_bytes, cast(coalesce(n_removed, 0) as bigint) n_removed, cast(coalesce(n_spans, 0) as bigint) n_spans,
+  sha256(unhex(case when spans is null then h else array_to_string(list_transform(range(0, len(spans) + 1), lambda k: substr(h, case when k = 0 then 1 else 2 * spans[k][2] + 1 end, case when k = len(spans) then length(h) else 2 * spans[k + 1][1] end - case when k = 0 then 0 else 2 * spans[k][2] end)), '') end)) kept_sha256
+from d left join t using (rid)
 """,
     "op8_warc": r"""
 with q as (select page_id, strlen(coalesce(html, '')) n, sha1(coalesce(html, '')) s from pages),
