@@ -101,6 +101,23 @@ def candidates(s: Column) -> Column:
     )
 
 
+def typed_value(s: str) -> Column:
+    """(kind, flag, whole, real, at, ticks, guid, text) of a text column: its kind, and the value in the field of that kind."""
+    c = F.trim(F.col(s))
+    kind = value_kind(s)
+    of = lambda kinds, v, t: F.when(F.col(s).isNotNull() & kind.isin(*kinds), v).cast(t)
+    return F.struct(
+        kind.alias("kind"), of(["bool"], parse_bool(c), "boolean").alias("flag"), of(["int", "long", "ulong"], parse_whole(c), "decimal(20,0)").alias("whole"),
+        of(["double", "decimal"], parse_number(c), "double").alias("real"), of(["datetime"], parse_datetime(c), "timestamp_ntz").alias("at"), of(["timespan"], parse_timespan(c), "bigint").alias("ticks"),
+        of(["guid"], parse_guid(c), "string").alias("guid"), of(["string", "char"], F.col(s), "string").alias("text"),
+    )
+
+
+def parse_whole(s: Column) -> Column:
+    """A whole number of up to 64 bits, of either sign."""
+    return F.coalesce(parse_int(s, "long"), parse_int(s, "ulong"))
+
+
 def format_datetime(ts: Column) -> Column:
     """yyyy-MM-dd HH:mm:ss, and seven decimals unless they are zero."""
     micro = F.date_format(ts, "SSSSSS")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import bits as B
 from strandlake.functions import csvtext as C
+from strandlake.functions import registry
 from strandlake.operators import dispatch, rows
 from strandlake.operators import encode as E
 from strandlake.operators import stateful as S
@@ -154,6 +155,13 @@ def page_copy(spark, sf):
     return page.from_pages(page.copied_columns(_pages(spark, sf), ["event_type", "value"]), kept, SERIES).select("user_id", "event_type", "value")
 
 
+@query("select user_id, 'events' as series, count(*) as rows, 3 as columns, null::varchar as error from events group by user_id union all select -1, null, null, null, 'not a page'")
+def page_headers(spark, sf):
+    """Heads of pages, and of what isn't one."""
+    other = spark.range(1).select(F.lit(-1).cast("bigint").alias("user_id"), F.lit(0).cast("bigint").alias("n_rows"), F.encode(F.lit("x" * 40), "UTF-8").alias("content"))
+    return page.headers(_pages(spark, sf).union(other), SERIES)
+
+
 @query("select user_id, name, channel from (select distinct user_id from events), (values ('ts', 1), ('value', 2), ('event_type', 3)) c(name, channel)")
 def page_channels(spark, sf):
     return page.channels(_pages(spark, sf), SERIES).filter(F.octet_length("data") > 0).select("user_id", "name", "channel")
@@ -482,6 +490,27 @@ def compressed_size(spark, sf):
     return S.compressed_sizes(S.codec_stream(_coded(spark, sf), SERIES, ORDER, "encoded", "lsb"), SERIES)
 
 
+def _roundtrip(spark, source: DataFrame, codec: str) -> DataFrame:
+    """Streams of one job, written, and the values that another job reads from them."""
+    path = scratch(spark, "streams")
+    S.codec_stream(source, SERIES, ORDER, "v", codec).write.parquet(path)
+    return S.codec_values(spark.read.parquet(path), SERIES, codec)
+
+
+_EDGES = f"(case when event_id % 3 = 0 then 0 else {_LIMIT} end)"
+
+
+@query(f"select user_id, row_number() over (partition by user_id order by ts, event_id) - 1 as pos, cast({_EDGES} as bigint) as value from events")
+def lsb_roundtrip(spark, sf):
+    """Runs of zeros and values at both ends of 64 bits, by way of the low-byte codec."""
+    return _roundtrip(spark, limits(spark, sf).withColumn("v", F.when(F.col("event_id") % 3 == 0, 0).otherwise(F.col("v"))), "lsb")
+
+
+@query("select user_id, row_number() over (partition by user_id order by ts, event_id) - 1 as pos, event_id * 2654435761 % 4294967296 as value from events")
+def u32_roundtrip(spark, sf):
+    return _roundtrip(spark, read(spark, sf, "events").select("user_id", "ts", "event_id", (F.col("event_id") * 2654435761 % 4294967296).alias("v")), "u32")
+
+
 @query(f"select user_id, count(*) as items, cast(sum(case when event_type is null then 1 else {_varint_sql('strlen(event_type) + 1')} + strlen(event_type) end) as bigint) as size from events group by user_id")
 def varsize_stream(spark, sf):
     return S.var_size_stream(read(spark, sf, "events"), SERIES, ORDER, "event_type").select("user_id", "items", "size")
@@ -497,14 +526,15 @@ def column_size(spark, sf):
   select user_id, 'none' as encoding, cast(sum(8 - {LEAD.format('us')}) as bigint) size from e group by user_id
   union all select user_id, 'xor', cast(sum(8 - {LEAD.format('xor(us, prev)')}) as bigint) from e group by user_id
   union all select user_id, 'delta', cast(sum(8 - {LEAD.format('(us - prev)')}) as bigint) from e group by user_id)
-select s.user_id, s.encoding, s.size, round(s.size / b.size - 1, 9) as gain from s join s b on s.user_id = b.user_id and b.encoding = 'none'""")
+select s.user_id, s.encoding, s.size, s.size * 3 + 100 as seconds, round(s.size / b.size - 1, 9) as gain, round((b.size * 3 + 100) / (s.size * 3 + 100) - 1, 9) as speed_gain from s join s b on s.user_id = b.user_id and b.encoding = 'none'""")
 def encoding_gain(spark, sf):
     e = E.sequenced(events(spark, sf), SERIES, ORDER, "us")
     width = lambda v: F.sum(B.lsb_width(v))
     ways = {"none": F.col("us"), "xor": F.col("us").bitwiseXOR(F.col("prev")), "delta": F.col("us") - F.col("prev")}
     wide = e.groupBy("user_id").agg(*[width(v).alias(k) for k, v in ways.items()])
     sizes = wide.select("user_id", F.explode(F.array(*[F.struct(F.lit(k).alias("encoding"), F.col(k).alias("size")) for k in ways])).alias("x")).select("user_id", "x.*")
-    return O.encoding_gain(sizes, SERIES, "encoding", "size", "none").withColumn("gain", F.round("gain", 9))
+    timed = sizes.withColumn("seconds", F.col("size") * 3 + 100)  # in place of measured times, which no SQL could tell
+    return O.encoding_gain(timed, SERIES, "encoding", "size", "none", "seconds").withColumns({"gain": F.round("gain", 9), "speed_gain": F.round("speed_gain", 9)})
 
 
 # Aggregates and small combinatorics
@@ -723,6 +753,47 @@ def csv_value_types(spark, sf):
     return texts(spark, sf, "any").select("event_id", C.value_kind("s").alias("kind"))
 
 
+#: The values of TEXTS["any"] by kind, by hand.
+_FLAGS = [None, None, None, "true", "false", "true", "false", "false", "true"]
+_WHOLES = {9: "7", 14: "123456789", 15: "1234567890", 16: "123456789012345678", 17: "1234567890123456789", 18: "12345678901234567890", 32: "42"}
+_AT = {24: "2008-04-10 06:30:00", 25: "2008-04-10 00:00:00", 26: "9999-12-20 00:00:00"}
+_TICKS = {27: "0", 28: "3219305000000"}
+_STRINGS = {10: "x", 31: "hello", 33: "1-2", 34: "a" * 65}
+
+
+def _by_place(values, n: int = 35) -> str:
+    get = values.get if isinstance(values, dict) else lambda i: values[i] if i < len(values) else None
+    return "[" + ", ".join("null" if get(i) is None else f"'{get(i)}'" for i in range(n)) + "][event_id % 35 + 1]"
+
+
+@query(f"select event_id, {_picked_sql('event_id', _KINDS)} as kind, {_by_place(_FLAGS)} as flag, {_by_place(_WHOLES)} as whole, {_by_place(_AT)} as at, {_by_place(_TICKS)} as ticks, {_by_place({29: '12345678-9abc-def0-1234-56789abcdef0', 30: '12345678-9abc-def0-1234-56789abcdef0'})} as guid, {_by_place(_STRINGS)} as text from events")
+def csv_typed_values(spark, sf):
+    """Each value in the type that it has."""
+    v = texts(spark, sf, "any").select("event_id", C.typed_value("s").alias("v"))
+    return v.select("event_id", "v.kind", F.col("v.flag").cast("string").alias("flag"), F.col("v.whole").cast("string").alias("whole"), F.date_format("v.at", "yyyy-MM-dd HH:mm:ss").alias("at"), F.col("v.ticks").cast("string").alias("ticks"), "v.guid", "v.text")
+
+
+@query(f"""select event_id, case when regexp_matches(b, '{C.NUMBER}') then cast(try_cast(b as float) as double) when lower(b) = 'x' then null end as float_value, cast(case when regexp_matches(b, '{C.NUMBER}') then try_cast(b as decimal(38,18)) end as double) as decimal_value,
+  case when length(s) = 1 then s end as char_value, case when s <> '' and lower(s) <> 'null' then s end as string_value from (select event_id, {PICK['number']} s, regexp_replace(trim({PICK['number']}), '[$€£¥,]', '', 'g') b from events)""")
+def parse_reals(spark, sf):
+    s = F.col("s")
+    return texts(spark, sf, "number").select("event_id", C.parse_number(s, "float").cast("double").alias("float_value"), C.parse_number(s, "decimal(38,18)").cast("double").alias("decimal_value"), C.parse_char(s).alias("char_value"), C.parse_string(s).alias("string_value"))
+
+
+@query("select event_id, case when k = 0 then 'NaN' when k = 1 then 'Infinity' when k = 2 then '-Infinity' end as value from (select event_id, event_id % 4 k from events)")
+def parse_special(spark, sf):
+    """Words for what isn't a number or isn't finite."""
+    s = _picked("event_id", ["NaN", "Inf", "-inf", "none"])
+    return read(spark, sf, "events").select("event_id", C.parse_number(s).cast("string").alias("value"))
+
+
+@query("""select event_id, cast(case when v >= 0 then v * 2 else -v * 2 - 1 end as bigint) as zigzag, cast(v as bigint) as back, make_timestamp(event_id * 1000) as at from (select event_id, event_id - 500 v from events)""")
+def sql_functions(spark, sf):
+    """Scalar operations as SQL functions of the session."""
+    registry.register(spark)
+    return read(spark, sf, "events").selectExpr("event_id", "series_zigzag(event_id - 500) as zigzag", "series_unzigzag(series_zigzag(event_id - 500)) as back", "series_unix_ms(event_id) as at")
+
+
 _CANDIDATE_SQL = "[" + ", ".join("null" if c is None else f"'{c}'" for c in _CANDIDATES) + "]"
 
 
@@ -893,24 +964,38 @@ def gen_steady(spark, sf):
     return spark.range(10000).select("id", synthetic.steady_growing(0.5, 7).alias("value"))
 
 
-@query()
+@query("select 10000::bigint as rows, true as uniform, true as normal, true as repeats, 25::bigint as patterns")
 def gen_random(spark, sf):
-    return spark.range(10000).select("id", synthetic.random(3).alias("value"), synthetic.gaussian(4).alias("normal"), synthetic.repeating_pattern(25, 5).alias("pattern"))
+    """What is true of random columns whatever the numbers: range, mean and spread, and patterns that come again."""
+    t = spark.range(10000).select("id", synthetic.random(3).alias("u"), synthetic.gaussian(4).alias("n"), synthetic.repeating_pattern(25, 5).alias("p"))
+    again = t.groupBy((F.col("id") % 25).alias("k")).agg(F.min("p").alias("low"), F.max("p").alias("high"))
+    shape = again.agg(F.bool_and(F.col("low") == F.col("high")).alias("repeats"), F.count_distinct("low").alias("patterns"))
+    close = lambda c, mean, spread: (F.abs(F.avg(c) - mean) < 0.05) & (F.abs(F.stddev(c) - spread) < 0.05)
+    return t.agg(F.count("*").alias("rows"), (F.bool_and(F.col("u").between(0, 1)) & close("u", 0.5, 0.288675)).alias("uniform"), close("n", 0.0, 1.0).alias("normal")).crossJoin(shape)
 
 
-@query()
+_STEPS_SQL = "select 10000::bigint as rows, true as steps"
+
+
+@query(_STEPS_SQL)
 def gen_random_walk(spark, sf):
-    return synthetic.random_walk(spark, 10000, 0.0, 1.0, 7)
+    """Steps of a walk: their mean is near 0 and their spread near 1."""
+    w = synthetic.random_walk(spark, 10000, 0.0, 1.0, 7).withColumn("step", F.col("value") - F.lag("value", 1, 0.0).over(Window.orderBy("id")))
+    return w.agg(F.count("*").alias("rows"), ((F.abs(F.avg("step")) < 0.05) & (F.abs(F.stddev("step") - 1) < 0.05)).alias("steps"))
 
 
-@query()
+@query(_STEPS_SQL)
 def gen_randomly_growing(spark, sf):
-    return synthetic.randomly_growing(spark, 10000, 0.5, 2.0, 8)
+    """It never falls, and grows by whole steps."""
+    w = synthetic.randomly_growing(spark, 10000, 0.5, 2.0, 8).withColumn("step", F.col("value") - F.lag("value", 1, 0.0).over(Window.orderBy("id")))
+    return w.agg(F.count("*").alias("rows"), F.bool_and((F.col("step") >= 0) & (F.col("step") % 2.0 == 0)).alias("steps"))
 
 
-@query()
+@query("select 10000::bigint as rows, true as in_range, true as stays")
 def gen_finite_set(spark, sf):
-    return synthetic.finite_set(spark, 10000, 0.9, 100, 9)
+    """Categories in range that stay with the probability given."""
+    w = synthetic.finite_set(spark, 10000, 0.9, 100, 9).withColumn("same", F.col("value") == F.lag("value").over(Window.orderBy("id")))
+    return w.agg(F.count("*").alias("rows"), F.bool_and(F.col("value").between(0, 99)).alias("in_range"), F.avg(F.col("same").cast("int")).between(0.88, 0.93).alias("stays"))
 
 
 @query("select range as id, 42.0::double as constant, range * 0.1::double as growth, range::bigint as whole, make_timestamp(946684800000000 + range * 1000000) as at from range(10000)")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandlake.operators.encode import micros
-from strandlake.operators.pagefile import append_page, copy_columns, dump_channels, read_header, read_page, write_page
+from strandlake.operators.pagefile import PageError, append_page, copy_columns, dump_channels, read_header, read_page, write_page
 from strandlake.plans.schema import Series
 
 #: Rows that one page holds at most, if `paged` deals a series out.
@@ -110,3 +110,23 @@ def appended(pages: DataFrame, more: DataFrame, definition: Series, keys: Sequen
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keys))), pa.array(counts, pa.int64()), pa.array(whole, pa.binary())], schema.names)
 
     return joined.mapInArrow(run, schema)
+
+
+def headers(pages: DataFrame, keys: Sequence[str] = (), content: str = "content") -> DataFrame:
+    """(keys, series, rows, columns, error) from the heads of pages alone; error tells why a page isn't a finished one, the others are null then."""
+    schema = T.StructType([*(pages.schema[k] for k in keys), *T._parse_datatype_string("series string, rows bigint, columns int, error string").fields])
+
+    def head(data: bytes) -> tuple[str | None, int | None, int | None, str | None]:
+        try:
+            series, _, rows, _ = read_header(data)
+        except PageError as e:
+            return None, None, None, str(e)
+        return series.name, rows, len(series.columns), None
+
+    def run(batches):
+        for batch in batches:
+            found = [head(c or b"") for c in batch.column(len(keys)).to_pylist()]
+            if found:
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keys))), *(pa.array(c, t) for c, t in zip(zip(*found), (pa.string(), pa.int64(), pa.int32(), pa.string())))], schema.names)
+
+    return pages.select(*keys, F.col(content)).mapInArrow(run, schema)
