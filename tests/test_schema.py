@@ -2,13 +2,13 @@ import pytest
 
 from strandlake.plans.schema import ColumnDef, Compression, Series, definition_matrix
 
-SENSOR = "colevel room=42 building=2 floor=1 wing=East sensor=A\nTimeStamp datetime,64,DeltaDelta,NoCompress\nValue string,var,None,zstd.level=10\nDummyColumn int"
+SENSOR = "tide port=harbour gauge=7\nmeasured datetime,64,DeltaDelta,NoCompress\nremark string,var,None,zstd.level=10\nheight int"
 
 
 def test_round_trip():
     s = Series.parse(SENSOR)
-    assert s.name == "colevel" and s.tags["wing"] == "East"
-    assert str(s.columns[2]) == "DummyColumn int32,32,Xor,zstd.level=3"
+    assert s.name == "tide" and s.tags["gauge"] == "7"
+    assert str(s.columns[2]) == "height int32,32,Xor,zstd.level=3"
     assert Series.parse(str(s)) == s
 
 
