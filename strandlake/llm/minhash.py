@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE_SEPARATORS, Words, as_bytes, mix, passes, small, spread, whole_rows, with_row, written
+from .common import SPACE_SEPARATORS, Words, as_bytes, forget, mix, passes, small, spread, whole_rows, with_row, written
 from .components import components
 
 #: Words of a shingle, unless the caller gives another number.
@@ -205,7 +205,10 @@ def _across(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: in
                     parent[root(label[p])] = root(label[q])
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
-    return tasks.groupBy("main", "class", "i", "j").applyInArrow(run, "a bigint, b bigint")
+    more = written(tasks.groupBy("main", "class", "i", "j").applyInArrow(run, "a bigint, b bigint"), "more")
+    for done in (mixed, held, columns, chunks):
+        forget(done)
+    return more
 
 
 def _classes(docs: DataFrame, key: str, text: str, percent: int, size: int) -> DataFrame:
@@ -218,7 +221,9 @@ def _classes(docs: DataFrame, key: str, text: str, percent: int, size: int) -> D
     members = written(bands.join(shared, "band"), "bands")
     pairs = members.filter("node > leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     labels = components(_verified(pairs, nodes, percent, size))
-    more = written(_across(members, labels, nodes, percent, size), "more")
+    more = _across(members, labels, nodes, percent, size)
+    forget(members)
+    forget(shared)
     named = nodes.select("node", "low", "high", "least_key").join(labels, "node", "left").select("node", "low", "high", "least_key", F.coalesce("label", "node").alias("label"))
     end = lambda c: named.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
     final = named

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import exchange as X
-from .common import SPACE_SEPARATORS, Words, mix, passes, sliding, spread
+from .common import SPACE_SEPARATORS, Words, forget, mix, passes, sliding, spread
 
 WINDOW = 13
 #: Words of a fingerprint; each window's least one tells whether the window is asked for at all.
@@ -156,8 +156,10 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", digests: boo
             X.stretches(block, keys, mix(hashes), np.repeat(w.doc[hot], w.n[hot]), spread(w.begin[hot], w.n[hot]) if len(one) else one, one, one < 0, body, True, False),
         ]
 
-    questions = X.asked(table, X.recurring(table, _prints, hot_places), ask, bits)
+    known = X.recurring(table, _prints, hot_places)
+    questions = X.asked(table, known, ask, bits)
     found = X.settled(questions, find, WINDOW - 1, False, bits)
+    forget(known)
     last = "kept_sha256" if digests else "kept_text"
 
     def finish(rows: pa.Table, spans: list[np.ndarray]) -> pa.Table:

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Rows that one slot bucket holds on average; buckets grow in number with the table.
 BUCKET_ROWS = 50_000
 #: Length of one run of slots; repeated rows are counted, not carried, until slots are dealt.
@@ -49,9 +51,11 @@ def assign(docs: DataFrame, key: str, text: str, weights: Sequence[float], next_
         F.col(f"`{key}`").alias("key"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"),
         winner(scores[:-1]).alias("shard"), winner(scores).alias("grown_shard"),
     )
-    buckets = max(1, math.ceil(docs.count() / BUCKET_ROWS / len(weights)))
     place = F.xxhash64("key", "size", "text_crc32")
-    counted = rows.groupBy("key", "size", "text_crc32", "shard", "grown_shard").agg(F.count("*").alias("times"))
+    # Texts are read once: what follows takes a few numbers of each row from a table of its own.
+    counted = written(rows.groupBy("key", "size", "text_crc32", "shard", "grown_shard").agg(F.count("*").alias("times")), "counted")
+    total = counted.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    buckets = max(1, math.ceil(total / BUCKET_ROWS / len(weights)))
     counted = counted.withColumn("place", place).withColumn("bucket", F.pmod("place", F.lit(buckets)).cast("int"))
     totals = counted.groupBy("shard", "bucket").agg(F.sum("times").alias("rows"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import exchange as X
-from .common import byte_hashes, mix, passes, sliding, spread
+from .common import byte_hashes, forget, mix, passes, sliding, spread
 
 LENGTH = 100
 #: Bytes of a fingerprint; the least one in each LENGTH bytes tells whether they are asked for, and where.
@@ -264,8 +264,10 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", digests: boo
             out.append(X.stretches(block, keys, own.value, own.doc, own.begin, own.n, own.times > 1, lambda d, b, n: texts[d][b : b + n + LENGTH - 1], is_hot, True))
         return out
 
-    questions = X.asked(table, X.recurring(table, _prints, hot_places), ask, bits)
+    known = X.recurring(table, _prints, hot_places)
+    questions = X.asked(table, known, ask, bits)
     found = X.settled(questions, find, LENGTH - 1, True, bits)
+    forget(known)
     last = "kept_sha256" if digests else "kept_text" if as_text else "kept"
 
     def finish(rows: pa.Table, spans: list[np.ndarray]) -> pa.Table:
