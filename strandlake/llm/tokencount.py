@@ -72,32 +72,42 @@ class PieceCounts:
 
     def _learn(self, chunks: set[str]) -> None:
         """Store the prefix counts of chunks; words are passed over in the order of a trie, each shared prefix once."""
-        words = {SPACE + c.lstrip(SPACE) for c in chunks}
-        cut = {w: self.unknown.split(w) for w in words}
-        own: dict[str, tuple[list[int], list[bool]]] = {}  # of each part: token counts of its prefixes, and whether these begin with a lone space
+        split, several = self.unknown.split, {c for c in chunks if c.startswith(SPACE)}
+        bare = {c: c.lstrip(SPACE) for c in several}
+        cut = {SPACE + c: split(SPACE + c) for c in {*bare.values(), *(chunks - several)}}
+        behind = {cut[SPACE + c][0] for c in bare.values()}  # parts with more spaces before them
+        own: dict[str, bytes | tuple[int, ...]] = {}  # of each part, the token counts of its prefixes
+        lone: dict[str, list[bool]] = {}  # whether these begin with a space that is a token
         for part, last, count in self.encoder.walk(sorted({p for ps in cut.values() for p in ps[::2] if p})):
-            lone = [True] * (len(part) + 1)
-            if part[0] == SPACE:
-                for i in range(2, len(part) + 1):
+            n = len(part) + 1
+            own[part] = bytes(count[1:n]) if n <= 256 else tuple(count[1:n])
+            if part in behind:
+                alone = [True] * n
+                for i in range(2, n):
                     j = i - len(last[i])
-                    lone[i] = j > 0 and lone[j]
-            own[part] = count[1 : len(part) + 1], lone[1:]
+                    alone[i] = j > 0 and alone[j]
+                lone[part] = alone[1:]
+        stored, total = self.stored, self.total
         for c in chunks:
-            bare = c.lstrip(SPACE)
-            spaces, counts, base = len(c) - len(bare) + 1, [], 0
-            for j, p in enumerate(cut[SPACE + bare]):
+            parts = cut[SPACE + bare.get(c, c)]
+            if len(parts) == 1 and c not in several:
+                found = stored[c] = own[parts[0]]
+                total[c] = found[-1]
+                continue
+            spaces, counts, base = len(c) - len(bare.get(c, c)) + 1, [], 0
+            for j, p in enumerate(parts):
                 if j % 2:
                     counts.append(base := base + len(p.encode()))
                 elif p:
-                    found, lone = own[p]
+                    found = own[p]
                     if not counts and spaces > 1:
                         # A lone first space is merged with those before it, once all other pieces are formed.
-                        found = [self.run_count(spaces) + n - 1 if alone else self.run_count(spaces - 1) + n for n, alone in zip(found, lone)]
+                        found = [self.run_count(spaces) + n - 1 if alone else self.run_count(spaces - 1) + n for n, alone in zip(found, lone[p])]
                         counts = [self.run_count(k) for k in range(1, spaces)]
                     counts += [base + n for n in found] if base else found
                     base = counts[-1]
-            self.stored[c] = bytes(counts) if base < 256 and max(counts) < 256 else tuple(counts)
-            self.total[c] = base
+            stored[c] = bytes(counts) if max(counts) < 256 else tuple(counts)
+            total[c] = base
 
     def _known(self, texts: list[str]) -> list[list[str]]:
         cut = [self.chunks(t) for t in texts]
@@ -110,8 +120,9 @@ class PieceCounts:
 
     def counts(self, texts: list[str], budget: int | None = None) -> list[tuple[int, int]]:
         """(tokens, characters of the longest prefix within the budget) of each text, from the stored counts."""
-        get, out = self.total.__getitem__, []
-        for text, chunks in zip(texts, self._known(texts)):
+        known, out = self._known(texts), []
+        get = self.total.__getitem__
+        for text, chunks in zip(texts, known):
             n = sum(map(get, chunks))
             out.append((n, len(text) if budget is None or n <= budget else self._within(chunks, budget)))
         return out

@@ -93,6 +93,18 @@ def test_counts_equal_the_library(spark, docs, empty):
     assert some.counts[-1] == len(library.encode(ROWS[0][1], num_threads=1))
 
 
+def test_counts_when_the_cache_is_full(monkeypatch):
+    monkeypatch.setattr(tokencount, "KEPT_CHUNKS", 20)
+    path = vocabulary_file("piece_bpe_32k.model")
+    pieces, whole = tokencount.PieceCounts(path), tokencount.PieceCounts(path)
+    texts = [r[1] or "" for r in ROWS[:30]]
+    for k in range(0, 30, 3):
+        monkeypatch.setattr(tokencount, "KEPT_CHUNKS", 20)
+        got = pieces.counts(texts[k : k + 3], 50)
+        monkeypatch.setattr(tokencount, "KEPT_CHUNKS", 10**6)
+        assert got == whole.counts(texts[k : k + 3], 50)
+
+
 def brute_hits(text, items, window=13):
     split = lambda t: [w for w in re.split(rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").encode().lower()) if w]
     words, hit, found = split(text), set(), set()
