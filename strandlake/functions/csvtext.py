@@ -92,7 +92,7 @@ def candidates(s: Column) -> Column:
         .when(s.isin("0", "1"), some(one("bool"), *small)).when(s.rlike("^[2-9]$"), some(*small)).when(low.isin("t", "f"), some(one("bool"), one("char"))).when(n == 1, some(one("char")))
         .when((n >= 32) & s.rlike(GUID), some(one("guid")))
         .when(s.rlike("[.].*[.]"), text)
-        .when(s.rlike("-.*-|/|^[^:]*T[^:]*$") & s.rlike(DATETIME), some(one("datetime"))).when(s.rlike(":") & s.rlike(TIMESPAN), some(one("timespan"))).when(s.rlike("T") & s.rlike(DATETIME), some(one("datetime")))
+        .when(s.rlike("-.*-|/|^[^:]*T[^:]*$") & parse_datetime(s).isNotNull(), some(one("datetime"))).when(s.rlike(":") & s.rlike(TIMESPAN), some(one("timespan"))).when(s.rlike("T") & parse_datetime(s).isNotNull(), some(one("datetime")))
         .when(s.rlike("^-?[0-9]{1,9}$") & (n <= 9), short).when(s.rlike("^-?[0-9]{1,18}$") & (n <= 18), middle)
         .when(s.rlike("^-?[0-9]{18,38}$") & between(-DECIMAL_MAX, DECIMAL_MAX), large)
         .when((n < 32) & s.rlike("^-?([0-9]+[.]?[0-9]*|[.][0-9]+)[eE]-?[0-9]+$") & d.isNotNull(), some(one("double"), if_(F.abs(d) <= FLOAT_MAX, one("float", d.cast("float").cast("double") == d))))

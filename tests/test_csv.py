@@ -37,6 +37,28 @@ def test_files(spark, tmp_path):
     assert csv.parse_entities(strings, {"n": ("name", "int")}).count() == 0
 
 
+def test_lines_lose_nothing(spark, tmp_path):
+    """Ragged rows, both quotes, backslashes, blanks, a mark, a header in each of two files, and a row that is equal to it."""
+    (tmp_path / "a.csv").write_bytes("\ufeffid,name\n1,'x,y',more\n\n2,\\a\\,\"q\"\"\"\n3\nid,name\n".encode())
+    (tmp_path / "b.csv").write_bytes(b"id,name\r\n 4 ,\tz \r\n5,''\r\n6,O'Clock\"s,,\r\n")
+    got = csv.read_strings(spark, str(tmp_path))
+    assert got.columns == ["id", "name", "Column3", "Column4"]
+    want = [("1", "x,y", "more", None), ("2", "\\a\\", 'q"', None), ("3", None, None, None), ("id", "name", None, None), (" 4 ", "\tz ", None, None), ("5", "", None, None), ("6", "O'Clock\"s", "", "")]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert set(map(tuple, csv.read_strings(spark, str(tmp_path), multiline=True).collect())) >= {want[0], want[1]}
+
+
+def test_candidates_of_edges(spark):
+    show = F.transform(C.candidates(F.col("s")), lambda x: F.concat(x["type"], F.when(x["lossless"], "+").otherwise("-")))
+    values = {
+        "-1": "int+ long+ double+ float+ decimal+ sbyte+ short+", "255": "int+ long+ double+ float+ uint+ ulong+ decimal+ byte+ ushort+ short+", "16777217": "int+ long+ double+ float- uint+ ulong+ decimal+",
+        "2147483648": "long+ double+ float+ uint+ ulong+ decimal+", "-9223372036854775808": "long+ decimal+", "18446744073709551616": "decimal+", "1e40": "double+", "1.5E-3": "double+ float-", "+5": "string+", ".5": "float+ double+ decimal+",
+        "-": "char+", "--": "string+", "2008-13-45": "string+", "20080410T063000": "datetime+",
+    }
+    df = spark.createDataFrame([(k,) for k in values], "s string").select("s", F.array_join(show, " ").alias("c"))
+    assert {r.s: r.c for r in df.collect()} == values
+
+
 KINDS = {"": "null", "null": "null", "true": "bool", "t": "bool", "0": "bool", "7": "int", "x": "char", "NaN": "double", "-Inf": "double", "123456789": "int", "1234567890": "int", "12345678901": "long", "9223372036854775808": "ulong", "18446744073709551616": "decimal", "-1.5": "double", "1.2345678901234567": "decimal", "1e5": "double", "2008/04/10": "datetime", "2008-04-10 06:30:00.1234567": "datetime", "00:00:00": "timespan", "3.17:25:30.5": "timespan", "12345678-9abc-def0-1234-56789abcdef0": "guid", "hello": "string", "a" * 65: "string"}
 
 
