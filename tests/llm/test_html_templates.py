@@ -1,6 +1,8 @@
 """Main text: templates inside articles, copies, hosts of any size, names that don't name the part, hostile pages."""
 
+import random
 import time
+from xml.etree import ElementTree
 
 import pytest
 
@@ -39,6 +41,70 @@ def test_templates_of_a_section_go_on_a_large_host(spark):
     assert texts(spark, rows) == {k: f"own {k}" + " few" * (k % 100 == 0) for k in range(900)}
 
 
+def tree_pages(rng):
+    """Well-formed pages of three hosts: boxes shared by a host or a section, sentences that some articles share, copies, nested parts."""
+    boxes = [f"<div class='k{k}'><p>box {k}</p><div>more of {k}</div></div>" for k in range(6)]
+    rows = []
+    for n in range(90):
+        host, own = n % 3, f"page {n if n % 9 else 0}"
+        parts = [f"<p>{own} first</p>", f"<section class='s'><p>{own} second</p>{rng.choice(['', '<p>A common line.</p>'])}</section>"]
+        parts += [b for k, b in enumerate(boxes) if (k < 3 and host == k) or (k >= 3 and n % 7 < k - 2)]
+        rng.shuffle(parts)
+        body = "".join(parts)
+        body = f"<div id='m'>{body}</div>" if n % 2 else f"<article>{body}</article><div>outside {n}</div>"
+        rows.append((n, f"http://h{host}.example/{n}", f"<html><body>{body}</body></html>"))
+    return rows
+
+
+def brute_texts(rows, least=5, share=0.5):
+    """The same by trees: every element's path and content as they are, counted over distinct pages."""
+    pages = {}
+    for key, url, source in rows:
+        elements, blocks = {}, []
+
+        def walk(node, path, around, inside):
+            path = path if node.tag in ("html", "body") else f"{path}/{node.tag} {node.get('class', '')} {node.get('id', '')}"
+            own = around if node.tag in ("html", "body") else [*around, len(elements)]
+            if own is not around:
+                elements[own[-1]] = None
+            inside = inside or node.tag == "article"
+            content = []
+            for text in [node.text, *[x for child in node for x in (child, child.tail)]]:
+                if text is None:
+                    continue
+                if not isinstance(text, str):
+                    content.append(walk(text, path, own, inside))
+                elif text.strip():
+                    blocks.append((text, own, inside))
+                    content.append(text)
+            if own is not around:
+                elements[own[-1]] = (path, (path, tuple(content)))
+            return (path, tuple(content))
+
+        walk(ElementTree.fromstring(source), "", [], False)
+        kept = [b for b in blocks if b[2]] or blocks
+        pages[key] = url.split("/")[2], kept, elements
+    held, there = {}, {}
+    for host, kept, elements in pages.values():
+        text = tuple(t for t, _, _ in kept)
+        for n in {n for _, around, _ in kept for n in around}:
+            path, content = elements[n]
+            held.setdefault((host, content), set()).add(text)
+            there.setdefault((host, path), set()).add(text)
+    out = {}
+    for key, (host, kept, elements) in pages.items():
+        gone = {n for n, (path, content) in elements.items() if len(held.get((host, content), ())) >= max(least, share * len(there.get((host, path), ())))}
+        out[key] = " ".join(t for t, around, _ in kept if not gone & set(around))
+    return out
+
+
+def test_templates_against_trees(spark):
+    rows = tree_pages(random.Random(5))
+    want = brute_texts(rows)
+    assert texts(spark, rows) == want
+    assert any("box" not in t for t in want.values()) and any("box" in t for t in want.values()) and any("common" in t for t in want.values())
+
+
 def test_sentences_that_articles_share_stay(spark):
     """A line on many pages of a host is no template while other articles have other paragraphs in its place; a box on all pages of a section is."""
     box = "<div class='author'><p>Written by us</p></div>"
