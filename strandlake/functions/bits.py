@@ -18,7 +18,10 @@ _LOW = (1 << 32) - 1
 
 def joined_halves(high: Column, low: Column, bits: int = 64, unsigned: bool = False) -> Column:
     """high * 2**32 + low modulo 2**bits, of any two whole numbers, as a signed number (or, below 64 bits, an unsigned one)."""
-    whole = F.shiftleft(high + F.shiftright(low, 32), 32).bitwiseOR(low.bitwiseAND(F.lit(_LOW)))
+    return _narrowed(F.shiftleft(high + F.shiftright(low, 32), 32).bitwiseOR(low.bitwiseAND(F.lit(_LOW))), bits, unsigned)
+
+
+def _narrowed(whole: Column, bits: int, unsigned: bool) -> Column:
     if bits == 64:
         return whole
     return whole.bitwiseAND(F.lit((1 << bits) - 1).cast("bigint")) if unsigned else F.shiftright(F.shiftleft(whole, 64 - bits), 64 - bits)
@@ -30,13 +33,14 @@ def halves(v: Column) -> tuple[Column, Column]:
 
 
 def wrapping_add(a: Column, b: Column, bits: int = 64, unsigned: bool = False) -> Column:
+    """a + b modulo 2**bits of bigints; by halves only where 64 bits overflow."""
     (h, l), (i, m) = halves(a), halves(b)
-    return joined_halves(h + i, l + m, bits, unsigned)
+    return _narrowed(F.coalesce(F.try_add(a, b), joined_halves(h + i, l + m)), bits, unsigned)
 
 
 def wrapping_subtract(a: Column, b: Column, bits: int = 64, unsigned: bool = False) -> Column:
     (h, l), (i, m) = halves(a), halves(b)
-    return joined_halves(h - i, l - m, bits, unsigned)
+    return _narrowed(F.coalesce(F.try_subtract(a, b), joined_halves(h - i, l - m)), bits, unsigned)
 
 
 def unzigzag(u: Column) -> Column:
