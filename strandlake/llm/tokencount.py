@@ -132,9 +132,10 @@ class PieceCounts:
         for c in chunks:
             if base >= budget:
                 break
-            fits = [i for i, n in enumerate(self.stored[c], 1) if base + n <= budget]
-            if fits:
-                best = at + fits[-1]
+            if base + self.total[c] <= budget:
+                best = at + len(c) + 1
+            else:
+                best = max([best, *(at + i for i, n in enumerate(self.stored[c], 1) if base + n <= budget)])
             base += self.total[c]
             at += len(c) + 1
         return max(0, best - 1)  # the space put before the text
