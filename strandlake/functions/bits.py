@@ -105,10 +105,10 @@ def digits10(v: Column) -> Column:
 
 
 def _humanized(v: Column, base: int, units: list[str], plain: str) -> Column:
-    """One decimal, halves up, by whole-number arithmetic."""
+    """One decimal, halves up, by whole-number arithmetic: `/` of decimals keeps six places and rounds what is just below a half up to it."""
     out = F.when(v < base, F.concat(v.cast("bigint").cast("string"), F.lit(plain)))
     for k, unit in enumerate(units, 1):
-        tenths = F.floor((v.cast("decimal(38,0)") * 20 + F.lit(str(base**k)).cast("decimal(38,0)")) / F.lit(str(2 * base**k)).cast("decimal(38,0)")).cast("bigint")
+        tenths = F.call_function("div", v.cast("decimal(38,0)") * 20 + F.lit(str(base**k)).cast("decimal(38,0)"), F.lit(str(2 * base**k)).cast("decimal(38,0)"))
         text = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(f" {unit}"))
         out = out.when(v < base ** (k + 1), text) if k < len(units) else out.otherwise(text)
     return out

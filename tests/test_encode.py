@@ -70,6 +70,20 @@ def test_scalars(spark):
     assert one(B.float_bits(F.lit(1.0).cast("float"))) == 0x3F800000
 
 
+def test_sizes_just_below_a_half(spark):
+    """Values next to where the tenth changes, in every unit."""
+
+    def words(v, base, units, plain):
+        k = max((k for k in range(1, 6) if v >= base**k), default=0)
+        tenths = (v * 20 + base**k) // (2 * base**k)
+        return f"{tenths // 10}.{tenths % 10} {units[k - 1]}" if k else f"{v}{plain}"
+
+    for how, base, units, plain in (B.humanize_bytes, 1024, ["KB", "MB", "GB", "TB", "PB"], " B"), (B.humanize_quantity, 1000, ["K", "M", "G", "T", "P"], ""):
+        places = {v for k in range(1, 6) for tenths in (10, 11, 23, 9999) for v in range((tenths * 2 - 1) * base**k // 20 - 2, (tenths * 2 - 1) * base**k // 20 + 3)} | {0, base - 1, 342291**2 * 3, 2**63 - 1}
+        df = spark.createDataFrame([(v,) for v in sorted(places)], "v bigint").select("v", how(F.col("v")))
+        assert {v: s for v, s in df.collect()} == {v: words(v, base, units, plain) for v in places}
+
+
 def test_zero_runs_and_packing(spark):
     runs = E.zero_runs(series(spark, [0, 0, 5, 0, 7] + [0] * 115), ["s"], ["o"], "v").select("zeros", "codes")
     assert sorted(map(tuple, runs.collect())) == [(1, 1), (2, 1), (115, 2)]
