@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import codecs
-from collections.abc import Iterator, Sequence
+import re
+from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,6 +21,8 @@ SEPARATORS = ",;|\t:"
 MARKS = [(codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be"), (codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF32_BE, "utf-32-be")]
 #: Bytes of a file that header and separator are found in.
 PEEK = 1 << 16
+#: Bytes of a file that are decoded and parsed at a time, and values that Python hands on at a time.
+PIECE, PORTION = 1 << 20, 1 << 15
 #: Types by group; within a group a column takes the widest type that it has.
 GROUPS = {"int": ("whole", 1), "long": ("whole", 2), "ulong": ("whole", 3), "double": ("real", 4), "decimal": ("real", 5)}
 
@@ -45,8 +49,36 @@ def separator_sql(line: str) -> str:
 def parse_rows(text: str, separator: str) -> Iterator[list[tuple[str, bool]]]:
     """(value, quoted) of each row. A value that begins with ' or " runs to the next such mark, doubled marks being one; marks
     inside a value are ordinary. CR, LF or both end a row; empty lines are skipped; rows may be of unlike length."""
+    return (row for row, _ in _rows(text, separator))
+
+
+def parse_pieces(pieces: Iterable[str], separator: str) -> Iterator[list[tuple[str, bool]]]:
+    """The rows of a text that comes in pieces; besides a piece, only the row that it ends in is held.
+
+    A row counts once its line end is there; what is behind the last one is read again with the next pieces, at least as much
+    more as was left, so that the work stays in proportion to the text.
+    """
+    held, rest, more = [], 0, 0
+    for piece in pieces:
+        held.append(piece)
+        more += len(piece)
+        if more < rest:
+            continue
+        text, done = "".join(held), 0
+        for row, end in _rows(text, separator):
+            if end > len(text):  # ended by the end of the piece alone
+                break
+            done = end
+            yield row
+        held, rest, more = [text[done:]], len(text) - done, 0
+    yield from parse_rows("".join(held), separator)
+
+
+def _rows(text: str, separator: str) -> Iterator[tuple[list[tuple[str, bool]], int]]:
+    """(row, place behind its line end) of each row; the place is behind the text's end if that ended the row, not a line end."""
     row: list[tuple[str, bool]] = []
     i, n = 0, len(text)
+    stop = re.compile(f"[{re.escape(separator)}\r\n]").search
     while i < n or row:
         c = text[i] if i < n else "\n"
         if c in "'\"" and i < n:
@@ -64,29 +96,24 @@ def parse_rows(text: str, separator: str) -> Iterator[list[tuple[str, bool]]]:
                 parts.append(c)
                 start = j + 2
             value, quoted = "".join(parts), True
-            while i < n and text[i] != separator and text[i] not in "\r\n":
-                i += 1
+            i = m.start() if (m := stop(text, i)) else n
         else:
-            j = i
-            while j < n and text[j] != separator and text[j] not in "\r\n":
-                j += 1
+            j = m.start() if (m := stop(text, i)) else n
             value, quoted, i = text[i:j], False, j
         if i < n and text[i] == separator:
             row.append((value, quoted))
             i += 1
             if i == n:
                 row.append(("", False))
-                yield row
+                yield row, n + 1
                 return
             continue
+        end = i + (2 if text[i : i + 2] == "\r\n" else 1)
         if row or value or quoted:
             row.append((value, quoted))
-            yield row
+            yield row, end
             row = []
-        if text[i : i + 2] == "\r\n":
-            i += 2
-        else:
-            i += 1
+        i = end
 
 
 def detect_header(row: Sequence[str]) -> list[str] | None:
@@ -141,18 +168,54 @@ def read_strings(spark: SparkSession, path: str, separator: str | None = None, h
     return rows.select(*[F.get("cells", i).alias(c) for i, c in enumerate(columns)])
 
 
+def _decoded(data: memoryview) -> Iterator[str]:
+    """The text of a file in pieces, without its mark."""
+    encoding, mark = detect_encoding(bytes(data[:4]))
+    decode = codecs.getincrementaldecoder(encoding)("replace").decode
+    for i in range(mark, len(data), PIECE):
+        yield decode(bytes(data[i : i + PIECE]))
+    yield decode(b"", True)
+
+
+def _file_rows(data: memoryview, separator: str | None) -> Iterator[list[tuple[str, bool]]]:
+    pieces, first = _decoded(data), []
+    while not separator:  # found from the whole first line, however long
+        piece = next(pieces, None)
+        first.append(piece or "")
+        if piece is None or "\n" in piece:
+            separator = detect_separator("".join(first).split("\n", 1)[0])
+    return parse_pieces(chain(first, pieces), separator)
+
+
+def _portions(data: memoryview, separator: str | None) -> Iterator[tuple[int, list, list, list]]:
+    """(first row, offsets, values, quoted) of a file's rows; a portion ends with the row that fills it."""
+    begun, offsets, values, quoted, size = 0, [0], [], [], 0
+    for row in _file_rows(data, separator):
+        for v, q in row:
+            values.append(v)
+            quoted.append(q)
+            size += len(v)
+        offsets.append(len(values))
+        if len(values) >= PORTION or size >= PIECE:
+            yield begun, offsets, values, quoted
+            begun, offsets, values, quoted, size = begun + len(offsets) - 1, [0], [], [], 0
+    if len(offsets) > 1:
+        yield begun, offsets, values, quoted
+
+
 def rows_of_files(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
-    """(path, row, cells: array of (value, quoted)) of whole files, by parse_rows."""
+    """(path, row, cells: array of (value, quoted)) of whole files, by parse_rows.
+
+    Python holds a file's bytes, and of what they say a piece and a portion of rows (or one row, where that is larger).
+    """
 
     def run(batches):
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                raw = data.as_py()
-                encoding, mark = detect_encoding(raw)
-                text = raw[mark:].decode(encoding, "replace")
-                own = separator or detect_separator(text.split("\n", 1)[0])
-                rows = [[{"value": v, "quoted": q} for v, q in r] for r in parse_rows(text, own)]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int64()), pa.array(rows, pa.list_(pa.struct([("value", pa.string()), ("quoted", pa.bool_())])))], ["path", "row", "cells"])
+                for begun, offsets, values, quoted in _portions(memoryview(data.as_buffer()), separator):
+                    n = len(offsets) - 1
+                    cell = pa.StructArray.from_arrays([pa.array(values, pa.string()), pa.array(quoted, pa.bool_())], ["value", "quoted"])
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array(range(begun, begun + n), pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), cell)], ["path", "row", "cells"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, row bigint, cells array<struct<value: string, quoted: boolean>>")
 

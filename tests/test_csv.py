@@ -1,4 +1,5 @@
 import json
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +16,29 @@ def test_rows(text, rows):
     assert [[v for v, _ in r] for r in csv.parse_rows(text, ",")] == rows
 
 
+@pytest.mark.parametrize("text", ["a,b\r\nc,d\r\n", "'it''s',\"x\ny\"z\r\n\n\r,,\n\"open,\nend", "a,", "\"a\"\"b\"\"\"\n1", "", "\n\r\n"])
+def test_pieces_give_the_rows_of_the_whole(text):
+    want = list(csv.parse_rows(text, ","))
+    for i in range(len(text) + 1):
+        for j in range(i, len(text) + 1):
+            assert list(csv.parse_pieces([text[:i], text[i:j], text[j:]], ",")) == want
+
+
+def test_whole_files_in_portions(spark, tmp_path, monkeypatch):
+    """Marks, places and rows hold over pieces; what Python holds of a large file is far less than its rows."""
+    n = 120_000
+    data = b"\xef\xbb\xbf" + "id;name\n".encode() + "".join(f"{i};'é\n{i}'\n" for i in range(n)).encode()
+    (tmp_path / "a.csv").write_bytes(data)
+    rows = csv.rows_of_files(spark, str(tmp_path)).select("row", F.transform("cells", lambda c: c["value"]).alias("v"), F.transform("cells", lambda c: c["quoted"]).alias("q"))
+    assert [tuple(r) for r in rows.orderBy("row").collect()] == [(0, ["id", "name"], [False, False]), *((i + 1, [str(i), f"é\n{i}"], [False, True]) for i in range(n))]
+    tracemalloc.start()
+    assert sum(len(offsets) - 1 for _, offsets, _, _ in csv._portions(memoryview(data), None)) == n + 1
+    assert tracemalloc.get_traced_memory()[1] < 16 << 20  # all rows at once are over 60 MB
+    tracemalloc.stop()
+    monkeypatch.setattr(csv, "PIECE", 3)
+    assert [r for _, offsets, values, _ in csv._portions(memoryview(b"a|b\nc|\xc3\xa9\xc3"), None) for r in (values[i:j] for i, j in zip(offsets, offsets[1:]))] == [["a", "b"], ["c", "é\ufffd"]]
+
+
 @pytest.mark.parametrize("line,sep", [("a,b;c,d", ","), ("a;b;c", ";"), ("a|b", "|"), ("a\tb", "\t"), ("a:b:c", ":"), ("a,b;c", ","), ("plain", ",")])
 def test_separator(line, sep):
     assert csv.detect_separator(line) == sep
