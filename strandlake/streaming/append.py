@@ -10,24 +10,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 OUT = "series bigint, ordinal bigint, value bigint, delta bigint, pos bigint, late boolean"
-STATE = "last bigint, pos bigint, seen bigint"
+#: Of all series of a bucket: four rows of 64-bit numbers, which are the series in order, and their last value, number of rows and last ordinal.
+STATE = "series binary"
+#: Series are dealt into so many groups, since a group costs Python a few ms whatever is in it. Checkpoints hang on the number.
+BUCKETS = 1024
 
 
 def _continue(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    last, pos, seen = state.get if state.exists else (0, 0, -(2**63))
-    rows = pd.concat(list(batches)).sort_values(["ordinal", "value"], kind="stable")
-    late = rows[rows["ordinal"] < seen] if state.exists else rows[:0]
-    rows = rows[rows["ordinal"] >= seen] if state.exists else rows
-    frame = lambda r, **more: pd.DataFrame({"series": pd.array([int(key[0])] * len(r), dtype="Int64"), "ordinal": r["ordinal"].astype("int64"), "value": r["value"].astype("int64"), **more})
-    if len(late):  # their place in the codes is past: they are handed on without one
-        yield frame(late, delta=pd.array([None] * len(late), dtype="Int64"), pos=pd.array([None] * len(late), dtype="Int64"), late=True)
-    if len(rows):
-        values = rows["value"].astype("int64").to_numpy()
+    known = np.frombuffer(bytes(state.get[0]), np.int64).reshape(4, -1) if state.exists else np.empty((4, 0), np.int64)
+    series, ordinal, value = np.concatenate([b[["series", "ordinal", "value"]].to_numpy(np.int64) for b in batches]).T
+    order = np.lexsort((value, ordinal, series))
+    series, ordinal, value = series[order], ordinal[order], value[order]
+    ids = np.union1d(known[0], series)
+    last, pos, seen = np.zeros_like(ids), np.zeros_like(ids), np.full_like(ids, -(2**63))
+    place = np.searchsorted(ids, known[0])
+    last[place], pos[place], seen[place] = known[1:]
+    own = np.searchsorted(ids, series)
+    late = ordinal < seen[own]  # their place in the codes is past: they are handed on without one
+    now = np.flatnonzero(~late)
+    delta, at = np.zeros_like(value), np.zeros_like(value)
+    if len(now):
+        s, v = own[now], value[now]
+        starts = np.flatnonzero(np.diff(s, prepend=-1))
+        ends, first = np.append(starts[1:], len(s)) - 1, s[starts]
+        before = np.concatenate([v[:1], v[:-1]])
+        before[starts] = last[first]
         with np.errstate(over="ignore"):
-            delta = np.diff(values, prepend=np.int64(last))  # wraps, as all deltas do
-        yield frame(rows, delta=pd.array(delta, dtype="Int64"), pos=pd.array(range(pos, pos + len(rows)), dtype="Int64"), late=False)
-        last, pos, seen = int(values[-1]), pos + len(rows), int(rows["ordinal"].iloc[-1])
-    state.update((last, pos, seen))
+            delta[now] = v - before  # wraps, as all deltas do
+        lengths = ends - starts + 1
+        at[now] = np.arange(len(s)) - np.repeat(starts - pos[first], lengths)
+        last[first], seen[first] = v[ends], ordinal[now][ends]
+        pos[first] += lengths
+    yield pd.DataFrame({"series": series, "ordinal": ordinal, "value": value, "delta": pd.arrays.IntegerArray(delta, late), "pos": pd.arrays.IntegerArray(at, late.copy()), "late": late})
+    state.update((np.stack([ids, last, pos, seen]).tobytes(),))
 
 
 def delta_stream(stream: DataFrame) -> DataFrame:
@@ -35,10 +50,11 @@ def delta_stream(stream: DataFrame) -> DataFrame:
 
     The state of a series is its last value, its number of rows and its last ordinal. No row is lost: rows of equal ordinals
     all get codes, by value; a row below the last ordinal comes too late for one and is handed on as `late`, without delta
-    and place. A null value counts as 0, null ordinals and series are one of their own each.
+    and place. A null value counts as 0, null ordinals and series are one of their own each. Series are coded by buckets of
+    them, all series of a bucket at once.
     """
     clean = stream.select(F.coalesce("series", F.lit(-(2**63))).alias("series"), F.coalesce("ordinal", F.lit(-(2**63))).alias("ordinal"), F.coalesce("value", F.lit(0).cast("bigint")).alias("value"))
-    return clean.groupBy("series").applyInPandasWithState(_continue, OUT, STATE, "append", "NoTimeout")
+    return clean.withColumn("bucket", F.pmod(F.xxhash64("series"), F.lit(BUCKETS))).groupBy("bucket").applyInPandasWithState(_continue, OUT, STATE, "append", "NoTimeout")
 
 
 def append_sink(stream: DataFrame, path: str, checkpoint: str):
