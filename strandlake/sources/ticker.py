@@ -1,4 +1,4 @@
-"""Ticker files: JSON with a coin and rows of [ms, cap, btc, (platform,) usd, volume]."""
+"""Ticker documents: JSON with a coin and rows of [ms, cap, btc, (platform,) usd, volume], one a file or one a line."""
 
 from __future__ import annotations
 
@@ -9,9 +9,13 @@ SCHEMA = "coin struct<ID: bigint, Name: struct<Name: string, Symbol: string>>, w
 FIELDS = ("MarketCapByAvailableSupply", "PriceBTC", "PricePlatform", "PriceUSD", "VolumeUSD")
 
 
-def read_ticker(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, paths of files that don't parse). Files marked as unfinished are skipped; a layout without platform has 0 there."""
-    raw = spark.read.schema(SCHEMA).option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(path).withColumn("path", F.col("_metadata.file_path"))
+def read_ticker(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows, path of each document that doesn't parse). Documents marked as unfinished are skipped; a layout without platform has 0 there.
+
+    A file is one document over any number of lines. Opening it costs some ms, so with `lines` each line is one: files then
+    hold any number of documents and are read in splits.
+    """
+    raw = spark.read.schema(SCHEMA).option("multiLine", not lines).option("columnNameOfCorruptRecord", "_bad").json(path).withColumn("path", F.col("_metadata.file_path"))
     bad = raw.filter(F.col("_bad").isNotNull() | F.col("Data").isNull()).select("path")
     good = raw.filter(F.col("_bad").isNull() & F.col("Data").isNotNull() & ~F.coalesce("will_need_requery", F.lit(False)))
     rows = good.select(F.col("coin.ID").alias("CoinID"), F.col("coin.Name.Symbol").alias("Symbol"), F.explode("Data").alias("r"))

@@ -2,9 +2,11 @@ import json
 import tracemalloc
 
 import pytest
+from conftest import SMALL
 from pyspark.sql import functions as F
 
 from strandlake.functions import csvtext as C
+from strandlake.queries import QUERIES
 from strandlake.sources import csv, files, synthetic, ticker
 
 
@@ -119,6 +121,22 @@ def test_ticker(spark, tmp_path):
     assert str(got[0].Timestamp) == "1970-01-01 00:00:01" and [r.path.rsplit("/", 1)[1] for r in bad.collect()] == ["c.json"]
 
 
+def test_ticker_lines(spark, tmp_path):
+    """Many documents in a file, whatever their texts hold; each that doesn't parse is told."""
+    name = "a\n\r\u2028\"b"
+    doc = lambda k, **more: json.dumps({"coin": {"ID": k, "Name": {"Name": name, "Symbol": name}}, "Data": [[1000 * k, 1.0, 2.0, 3.0, 4.0], [2000 * k, 1.0, 2.0, 9.0, 3.0, 4.0]]} | more, ensure_ascii=False)
+    (tmp_path / "a.json").write_text("\n".join([doc(1), doc(2, will_need_requery=True), "", "{nonsense", doc(3, Data=[]), doc(4), "{}"]))
+    (tmp_path / "b.json").write_text(doc(5) + "\r\n")
+    rows, bad = ticker.read_ticker(spark, str(tmp_path), lines=True)
+    assert sorted((r.CoinID, r.Symbol, r.PricePlatform, r.PriceUSD, r.VolumeUSD) for r in rows.collect()) == [(k, name, p, 3.0, 4.0) for k in (1, 4, 5) for p in (0.0, 9.0)]
+    assert [r.path.rsplit("/", 1)[1] for r in bad.collect()] == ["a.json", "a.json"]
+
+
+def test_ticker_files_do_not_grow_with_users(spark):
+    users = spark.read.parquet(f"{SMALL}/events.parquet").select("user_id").distinct().count()
+    assert len(QUERIES["json_ticker"](spark, SMALL).inputFiles()) <= 4 < users
+
+
 def test_file_tree(spark, tmp_path):
     (tmp_path / "in" / "sub").mkdir(parents=True)
     (tmp_path / "in" / "a.txt").write_bytes(b"1")
